@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+#: Rows that a function of `add_columns` gets at once at most.
+ROWS_AT_ONCE = 512
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of a data folder; the path may be one that only Spark can open."""
@@ -39,6 +45,31 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def add_columns(df: DataFrame, inputs: Sequence[str], fields: str, f: Callable[..., Sequence[list]]) -> DataFrame:
+    """df with the columns that f computes; fields is their schema in DDL.
+
+    f gets one list for each input column, of at most ROWS_AT_ONCE rows, and returns a list for each field.
+    All columns of df pass through as Arrow data, untouched; one named like a field is replaced.
+    """
+    new = StructType.fromDDL(fields)
+    kept = [c for c in df.columns if c not in new.names]
+    both = list(dict.fromkeys([*kept, *inputs]))
+    schema = StructType([*(df.schema[c] for c in kept), *new.fields])
+    kinds = [to_arrow_type(x.dataType) for x in new.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                made = f(*(part.column(both.index(c)).to_pylist() for c in inputs))
+                arrays = [pa.array(x, k) for x, k in zip(made, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(both.index(c)) for c in kept), *arrays], names=schema.names
+                )
+
+    return df.select(*both).mapInArrow(run, schema)
+
+
 def gapless(
     df: DataFrame, group: Sequence[str], key: Sequence[str], out: str, cells: Column | int = 64
 ) -> DataFrame:

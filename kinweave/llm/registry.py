@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinweave.llm.decontamination import op4_decontamination
 from kinweave.llm.sharding import op3_sharding
+from kinweave.llm.simhash import op6_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op3_sharding,
+        op4_decontamination,
+        op6_simhash,
     )
 }
 
