@@ -101,3 +101,8 @@ def gapless(
         *(F.col(f"l.{c}") for c in [*group, *key]),
         F.explode(F.sequence(first, first + F.col("l.__n") - 1)).alias(out),
     )
+
+
+def count_of(kind: str, spans: str = "spans") -> Column:
+    """How many structs of an array have this kind, as long."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm.decontamination import op4_decontamination
+from kinweave.llm.pii import op7_pii
+from kinweave.llm.secrets import op8_secret_scan
 from kinweave.llm.sharding import op3_sharding
 from kinweave.llm.simhash import op6_simhash
 
@@ -16,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_sharding,
         op4_decontamination,
         op6_simhash,
+        op7_pii,
+        op8_secret_scan,
     )
 }
 
