@@ -11,10 +11,12 @@ from kinweave.llm.pii import op7_pii
 from kinweave.llm.secrets import op8_secret_scan
 from kinweave.llm.sharding import op3_sharding
 from kinweave.llm.simhash import op6_simhash
+from kinweave.llm.toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_toxicity,
         op3_sharding,
         op4_decontamination,
         op6_simhash,
