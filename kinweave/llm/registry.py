@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm.decontamination import op4_decontamination
 from kinweave.llm.pii import op7_pii
+from kinweave.llm.quality import op9_quality
 from kinweave.llm.secrets import op8_secret_scan
 from kinweave.llm.sharding import op3_sharding
 from kinweave.llm.simhash import op6_simhash
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_simhash,
         op7_pii,
         op8_secret_scan,
+        op9_quality,
     )
 }
 
