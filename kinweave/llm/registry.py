@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm.decontamination import op4_decontamination
+from kinweave.llm.html import op10_html
 from kinweave.llm.pii import op7_pii
 from kinweave.llm.quality import op9_quality
 from kinweave.llm.secrets import op8_secret_scan
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_pii,
         op8_secret_scan,
         op9_quality,
+        op10_html,
     )
 }
 
