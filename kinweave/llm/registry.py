@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm.decontamination import op4_decontamination
 from kinweave.llm.html import op10_html
+from kinweave.llm.packing import op5_packing
 from kinweave.llm.pii import op7_pii
 from kinweave.llm.quality import op9_quality
 from kinweave.llm.secrets import op8_secret_scan
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_toxicity,
         op3_sharding,
         op4_decontamination,
+        op5_packing,
         op6_simhash,
         op7_pii,
         op8_secret_scan,
