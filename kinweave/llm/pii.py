@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,7 +146,7 @@ def disclosing_terms(
     """term and share (the largest over entities), a table in the shared folder.
 
     The first pass over the corpus gathers the words beside entities; the second counts documents with the
-    terms that have enough support. Both are combined before they are shuffled.
+    terms that have enough support, each task adding up its own before anything is shuffled.
     """
 
     def beside(texts: list) -> tuple[list, list]:
@@ -159,18 +161,27 @@ def disclosing_terms(
     both = flat.groupBy("entity", "term").agg(
         F.count_distinct("mark").alias("marks"), F.count_distinct("doc").alias("both")
     )
-    both = cut(both.filter(F.col("marks") >= support))
+    # Documents that have a term beside any entity are the least that can have it at all.
+    least = flat.groupBy("term").agg(F.count_distinct("doc").alias("beside_any"))
+    both = both.filter(F.col("marks") >= support).join(least, "term")
+    both = cut(both.filter(F.col("both") >= F.lit(confidence) * F.col("beside_any")))
     having = flat.select("entity", "doc").distinct().groupBy("entity").agg(F.count("doc").alias("with_entity"))
     counts = None
     for lot in _lots(both, "term", at_once):
         held = df.sparkSession.sparkContext.broadcast(frozenset(t.encode() for t in lot))
 
-        def present(texts: list, held=held) -> tuple[list]:
-            known = held.value
-            return ([[x.decode() for x in known.intersection(words(t))] for t in texts],)
-
-        own = add_columns(texts, ["text"], "has array<string>", present)
-        own = own.select(F.explode("has").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+        def present(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            seen: Counter = Counter()
+            for batch in batches:
+                for t in batch.column(0).to_pylist():
+                    seen.update(held.value.intersection(words(t)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([t.decode() for t in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
+                names=["term", "n"],
+            )
+
+        own = texts.mapInArrow(present, "term string, n long")
+        own = own.groupBy("term").agg(F.sum("n").alias("with_term"))
         counts = own if counts is None else counts.union(own)
     if counts is None:
         return cut(both.select("term", F.lit(0.0).alias("share")).limit(0))
