@@ -1,8 +1,9 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Every distinct fingerprint carries its Hamming distances to a fixed set of reference fingerprints (pivots). By
-the triangle inequality two fingerprints within `radius` differ by at most `radius` in every coordinate, so a
-larger maximum coordinate difference discards a pair unseen; survivors are verified by the exact distance.
+Wherever fingerprints are compared, their Hamming distances to a fixed set of reference fingerprints (pivots) are
+tabled first. By the triangle inequality two fingerprints within `radius` differ by at most `radius` in every
+coordinate, so a larger maximum coordinate difference discards a pair unseen; survivors are verified by the exact
+distance and, where the caller asks for a similarity of texts, by a sketch of their shingles.
 
 So that no fingerprint meets all others, pairs are sought only within cells: cut the 64 bits into `radius + 2`
 parts or more; two fingerprints within `radius` agree on at least parts - radius of them, so each fingerprint is
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,10 @@ from kinweave.llm.common import add_columns, cut, table
 
 #: Words of a shingle and bits that linked fingerprints may differ in, in the registered query.
 SHINGLE, RADIUS = 4, 4
+#: In the pipeline's stage, fingerprints are of the set of words, which few edits move little, and may differ in
+#: this many bits; sketches are of shingles of five words and may differ in so many of their SKETCH bits. Texts of
+#: a similarity s are expected to differ in (1 - s) / 2 of them; the margin covers 1.5 standard deviations at 0.8.
+STAGE_SHINGLE, STAGE_RADIUS, SKETCH, SKETCH_RADIUS = 5, 6, 128, 18
 #: Reference fingerprints: XXH64 of their number under seed 7.
 PIVOTS = np.array([xxhash.xxh64_intdigest(str(k), 7) for k in range(16)], dtype=np.uint64)
 #: Fingerprints of a cell that one block of a task holds.
@@ -34,26 +39,59 @@ CELL = 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash; 0 for null texts and texts without words."""
+def _words(text: str | None) -> list[bytes]:
+    """Lower-cased (A-Z only) runs of characters that are no ASCII white space, as UTF-8."""
     if not text:
-        return 0
-    words = [w for w in text.encode("utf-8", "surrogatepass").translate(_LOWER).split(b" ") if w]
-    if not words:
-        return 0
+        return []
+    return [w for w in text.encode("utf-8", "surrogatepass").translate(_LOWER).split(b" ") if w]
+
+
+def _shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle, as rows of bytes, most significant first; fewer words are one shingle."""
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
+    digest = xxhash.xxh64_digest
     if n == 1:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.frombuffer(digest(joined, 42), np.uint8).reshape(1, 8)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    digest = xxhash.xxh64_digest
     h = b"".join([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)])
+    return np.frombuffer(h, np.uint8).reshape(n, 8)
+
+
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
-    view = np.frombuffer(h, np.uint8).reshape(n, 8)
-    for at in range(0, n, 4096):
-        ones += np.unpackbits(view[at : at + 4096], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    for at in range(0, len(hashes), 4096):
+        ones += np.unpackbits(hashes[at : at + 4096], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of all shingles, repeats included; 0 for null texts and texts without words."""
+    words = _words(text)
+    return _majority(_shingle_hashes(words, shingle)) if words else 0
+
+
+def word_fingerprint(words: list[bytes]) -> int:
+    """Unsigned 64-bit SimHash of the set of words; 0 without words."""
+    if not words:
+        return 0
+    h = b"".join([xxhash.xxh64_digest(w, 42) for w in sorted(set(words))])
+    return _majority(np.frombuffer(h, np.uint8).reshape(-1, 8))
+
+
+def sketch(words: list[bytes], shingle: int = STAGE_SHINGLE, bits: int = SKETCH) -> bytes:
+    """One bit of the least shingle hash in each of `bits` bins; an empty bin takes the next one's."""
+    if not words:
+        return bytes(bits // 8)
+    h = np.sort(np.ascontiguousarray(_shingle_hashes(words, shingle)).view(">u8").reshape(-1).astype(np.uint64))
+    bins = (h % np.uint64(bits)).astype(np.int64)
+    full, first = np.unique(bins, return_index=True)
+    least = h[first]
+    source = np.searchsorted(full, np.arange(bits)) % len(full)
+    far = (full[source] - np.arange(bits)) % bits  # a borrowed value is mixed with the way to it
+    x = (least[source] ^ (far.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.packbits((x >> np.uint64(63)).astype(np.uint8)).tobytes()
 
 
 def fingerprints(df: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -66,6 +104,17 @@ def fingerprints(df: DataFrame, text: str = "text", shingle: int = SHINGLE) -> D
     return add_columns(df, [text], "fp long", run).drop(text)
 
 
+def sketched_fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
+    """df without `text`, with fp long of the set of words and sk binary, a sketch of the shingles."""
+
+    def run(texts: list) -> tuple[list, list]:
+        words = [_words(t) for t in texts]
+        fp = np.array([word_fingerprint(w) for w in words], dtype=np.uint64)
+        return fp.view(np.int64), [sketch(w) for w in words]
+
+    return add_columns(df, [text], "fp long, sk binary", run).drop(text)
+
+
 def pivot_table(fp: np.ndarray) -> np.ndarray:
     """Hamming distances to the pivots, one row of bytes for each fingerprint (uint64)."""
     return np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
@@ -83,13 +132,17 @@ def _cell_keys(segments: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(spans, segments - radius)]
 
 
-def walk(fp: np.ndarray, pivots: np.ndarray, radius: int, inner: int | None = None) -> tuple[list, list]:
-    """Edges (i, j) of a spanning forest of the graph of links among distinct fingerprints.
+def walk(
+    fp: np.ndarray, radius: int, inner: int | None = None, sk: np.ndarray | None = None, sk_radius: int = 0
+) -> tuple[list, list]:
+    """Edges (i, j) of a spanning forest of the graph of links among fingerprints.
 
-    With `inner`, only links between the first `inner` and the others count. Each step takes one reached
-    fingerprint, discards the unreached ones whose pivot coordinates differ too much, and verifies the rest.
+    With `inner`, only links between the first `inner` and the others count; with `sk` (rows of 64-bit words),
+    sketches must agree as well. Each step takes one reached fingerprint, discards the unreached ones whose
+    pivot coordinates differ too much, and verifies the rest.
     """
     n = len(fp)
+    pivots = pivot_table(fp)
     left, right = [], []
     free = np.arange(n)
     side = np.zeros(n, bool)
@@ -109,6 +162,8 @@ def walk(fp: np.ndarray, pivots: np.ndarray, radius: int, inner: int | None = No
                 near = near[np.bitwise_count(fp[near] ^ fp[x]) <= radius]
                 if inner is not None:
                     near = near[side[near] != side[x]]
+                if sk is not None and len(near):
+                    near = near[np.bitwise_count(sk[near] ^ sk[x]).sum(axis=1) <= sk_radius]
             if len(near):
                 left += [x] * len(near)
                 right += near.tolist()
@@ -117,58 +172,63 @@ def walk(fp: np.ndarray, pivots: np.ndarray, radius: int, inner: int | None = No
     return left, right
 
 
-def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL, segments: int | None = None) -> DataFrame:
-    """Edges a long, b long between distinct fingerprints that span the components of all links.
+def links(
+    nodes: DataFrame, radius: int = RADIUS, cell: int = CELL, segments: int | None = None, sk_radius: int | None = None
+) -> DataFrame:
+    """Edges a long, b long between nodes that span the components of all links.
 
-    fps: one column fp, distinct. The parts are the finer the more fingerprints there are, so that a cell of
-    unrelated ones stays small.
+    nodes: node long (distinct) and fp long; with `sk_radius` also sk binary. The parts are the finer the more
+    nodes there are, so that a cell of unrelated ones stays small.
     """
     if segments is None:
-        n = fps.count()
+        n = nodes.count()
         segments = radius + (2 if n < 1 << 23 else 3 if n < 1 << 30 else 4)
     masks = _cell_keys(segments, radius)
-
-    @F.pandas_udf("binary")
-    def coordinates(s: pd.Series) -> pd.Series:
-        return pd.Series([r.tobytes() for r in pivot_table(s.to_numpy(np.int64).view(np.uint64))])
-
-    pivoted = fps.select("fp", coordinates("fp").alias("pv"))
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = pivoted.select(
-        "fp",
-        "pv",
+    keyed = nodes.select(
+        *nodes.columns,
         F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed))).alias("m", "k"),
     )
-    keyed = cut(keyed)
     # Cells of one are dropped by a count that combines before it is shuffled; large ones are split in blocks.
     sizes = keyed.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     held = keyed.join(sizes, ["m", "k"])
     blocks = F.ceil(F.col("n") / F.lit(cell)).cast("int")
-    block = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = held.withColumn("bs", blocks).withColumn("b", block).withColumn(
         "o", F.explode(F.sequence(F.lit(0), F.col("bs") - 1))
     )
     lots = (
         pairs.groupBy("m", "k", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-        .agg(F.collect_list(F.struct("fp", "pv", "b")).alias("rows"))
+        .agg(F.collect_list(F.struct("b", *nodes.columns)).alias("rows"))
         .filter(F.size("rows") > 1)
         .select("i", "j", "rows")
     )
 
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            a, b = [], []
-            for i, j, rows in zip(pdf["i"], pdf["j"], pdf["rows"], strict=True):
-                rows = sorted(rows, key=lambda r: (r["b"] != i, r["fp"]))
-                fp = np.array([r["fp"] for r in rows], np.int64)
-                pv = np.frombuffer(b"".join(r["pv"] for r in rows), np.int8).reshape(len(rows), -1)
-                inner = None if i == j else sum(r["b"] == i for r in rows)
-                x, y = walk(fp.view(np.uint64), pv, radius, inner)
-                a += fp[x].tolist()
-                b += fp[y].tolist()
-            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    return lots.mapInPandas(join, "a long, b long").distinct()
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, j = (np.asarray(batch.column(c)) for c in (0, 1))
+            lists = batch.column(2)
+            offsets, rows = np.asarray(lists.offsets), lists.values
+            own = {x.name: rows.field(k) for k, x in enumerate(rows.type)}
+            b, node, fp = (own[c].to_numpy(zero_copy_only=False) for c in ("b", "node", "fp"))
+            fp = fp.view(np.uint64)
+            sk = None
+            if sk_radius is not None:
+                sk = np.frombuffer(b"".join(own["sk"].to_pylist()), np.uint64).reshape(len(fp), -1)
+            left, right = [], []
+            for k in range(batch.num_rows):
+                at = np.arange(offsets[k], offsets[k + 1])
+                at = at[np.lexsort((node[at], b[at] != i[k]))]
+                inner = None if i[k] == j[k] else int((b[at] == i[k]).sum())
+                x, y = walk(fp[at], radius, inner, None if sk is None else sk[at], sk_radius or 0)
+                left.append(node[at[x]])
+                right.append(node[at[y]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(x).astype(np.int64)) for x in (left, right)],
+                names=["a", "b"],
+            )
+
+    return lots.mapInArrow(join, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -212,24 +272,33 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(
-    df: DataFrame, key: str, text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, cell: int = CELL
+    df: DataFrame,
+    key: str,
+    text: str = "text",
+    shingle: int = SHINGLE,
+    radius: int = RADIUS,
+    cell: int = CELL,
+    similar: bool = False,
 ) -> DataFrame:
     """The columns of df but the text, with fp long, root long and component_id for every row.
 
-    root is the least fingerprint of the component (as a signed number), component_id the least key. Null and
-    wordless texts have fingerprint 0 and are linked like any other. Equal fingerprints are one node, so copies
-    cost nothing beyond their row. Null keys take no part in the least key; a component of null keys alone has
-    a null id. Repeated rows are kept. An empty table gives no rows.
+    With `similar`, fingerprints are of the set of words and links also need sketches of shingles that agree (see
+    STAGE_SHINGLE); then sk binary is added too. root is the least node of the component, component_id the
+    least key. Null and wordless texts have fingerprint 0 and are linked like any other. Equal fingerprints (and
+    sketches) are one node, so copies cost nothing beyond their row. Null keys take no part in the least key; a
+    component of null keys alone has a null id. Repeated rows are kept. An empty table gives no rows.
     """
-    rows = cut(fingerprints(df, text, shingle))
-    nodes = cut(rows.groupBy("fp").agg(F.min(key).alias("least")))
-    roots = components(links(nodes.select("fp"), radius, cell))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+    made = sketched_fingerprints(df, text) if similar else fingerprints(df, text, shingle)
+    own = ["fp", "sk"] if similar else ["fp"]
+    rows = cut(made.withColumn("node", F.xxhash64(*own) if similar else F.col("fp")))
+    nodes = cut(rows.groupBy("node", *own).agg(F.min(key).alias("least")))
+    edges = links(nodes.select("node", *own), radius, cell, sk_radius=SKETCH_RADIUS if similar else None)
+    named = nodes.join(components(edges), "node", "left").select(
+        "node", "least", F.coalesce("root", "node").alias("root")
     )
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = cut(named.join(least, "root").select("fp", "root", "component_id"))
-    return rows.join(by_fp, "fp")
+    by_node = cut(named.join(least, "root").select("node", "root", "component_id"))
+    return rows.join(by_node, "node").drop("node")
 
 
 def as_hex(fp: Column) -> Column:
@@ -246,7 +315,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: of the least doc_id (null ones last), then of the least text hash."""
     own = F.xxhash64("text").alias("own")
-    found = near_duplicates(docs.select("doc_id", "text", own), "doc_id")
+    found = near_duplicates(docs.select("doc_id", "text", own), "doc_id", radius=STAGE_RADIUS, similar=True)
     first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "own")).alias("w")
     kept = found.groupBy("root").agg(first).select("w.doc_id", "w.own").distinct()
     left, right = docs.select("*", F.xxhash64("text").alias("__own")).alias("l"), kept.alias("r")
