@@ -14,6 +14,7 @@ breadth-first walk emits a spanning forest of the links, never all pairs; its co
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,7 +28,7 @@ from kinweave.llm.common import add_columns, cut, table
 
 #: Words of a shingle and bits that linked fingerprints may differ in, in the registered query.
 SHINGLE, RADIUS = 4, 4
-#: In the pipeline's stage, fingerprints are of the set of words, which few edits move little, and may differ in
+#: In the pipeline's stage, fingerprints are of weighted words, which few edits move little, and may differ in
 #: this many bits; sketches are of shingles of five words and may differ in so many of their SKETCH bits. Texts of
 #: a similarity s are expected to differ in (1 - s) / 2 of them; the margin covers 1.5 standard deviations at 0.8.
 STAGE_SHINGLE, STAGE_RADIUS, SKETCH, SKETCH_RADIUS = 5, 6, 128, 18
@@ -73,11 +74,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def word_fingerprint(words: list[bytes]) -> int:
-    """Unsigned 64-bit SimHash of the set of words; 0 without words."""
+    """Unsigned 64-bit SimHash of the words, each weighted by the root of its count; 0 without words."""
     if not words:
         return 0
-    h = b"".join([xxhash.xxh64_digest(w, 42) for w in sorted(set(words))])
-    return _majority(np.frombuffer(h, np.uint8).reshape(-1, 8))
+    counts = Counter(words)
+    own = sorted(counts)
+    weights = np.sqrt(np.array([counts[w] for w in own], np.float64))
+    h = np.frombuffer(b"".join([xxhash.xxh64_digest(w, 42) for w in own]), np.uint8).reshape(-1, 8)
+    return int.from_bytes(np.packbits(2 * (weights @ np.unpackbits(h, axis=1)) > weights.sum()).tobytes(), "big")
 
 
 def sketch(words: list[bytes], shingle: int = STAGE_SHINGLE, bits: int = SKETCH) -> bytes:
@@ -105,7 +109,7 @@ def fingerprints(df: DataFrame, text: str = "text", shingle: int = SHINGLE) -> D
 
 
 def sketched_fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
-    """df without `text`, with fp long of the set of words and sk binary, a sketch of the shingles."""
+    """df without `text`, with fp long of the weighted words and sk binary, a sketch of the shingles."""
 
     def run(texts: list) -> tuple[list, list]:
         words = [_words(t) for t in texts]
@@ -282,7 +286,7 @@ def near_duplicates(
 ) -> DataFrame:
     """The columns of df but the text, with fp long, root long and component_id for every row.
 
-    With `similar`, fingerprints are of the set of words and links also need sketches of shingles that agree (see
+    With `similar`, fingerprints are of weighted words and links also need sketches of shingles that agree (see
     STAGE_SHINGLE); then sk binary is added too. root is the least node of the component, component_id the
     least key. Null and wordless texts have fingerprint 0 and are linked like any other. Equal fingerprints (and
     sketches) are one node, so copies cost nothing beyond their row. Null keys take no part in the least key; a
