@@ -12,12 +12,23 @@ from pyspark.sql.window import Window
 from kinweave.functions import encode as E
 from kinweave.functions.accountant import geometric_bins, hybrid_bins
 from kinweave.functions.noise import bits, gaussian_sql
+from kinweave.functions.options import parse
+from kinweave.operators import baselines as BL
+from kinweave.operators import calibrate as C
+from kinweave.operators import census as CE
 from kinweave.operators import encode as fit
 from kinweave.operators import marginals as M
+from kinweave.operators import metrics as MX
+from kinweave.operators import plant as PL
+from kinweave.operators import sampling as SA
 from kinweave.operators import sizes as S
+from kinweave.operators import synth as SY
 from kinweave.operators import views as V
 from kinweave.operators import workload as W
 from kinweave.plans import fixtures as X
+from kinweave.plans.release import release
+from kinweave.schema import Role, Schema
+from kinweave.streaming.incremental import windowed_marginal as windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -590,3 +601,364 @@ def debias(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+# Effects, associations, quotas, records -----------------------------------------------------------------------
+
+
+@register(
+    "effect_delta",
+    X.with_sql("SELECT round(avg(lineitem__LSTATUS) FILTER (customer__SEGMENT >= 2) - avg(lineitem__LSTATUS) FILTER (customer__SEGMENT < 2), 9) AS delta FROM w", _CHAIN_WIDE),
+)
+def effect_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = V.view(X.CHAIN, X.tables(spark, sf_dir, X.CHAIN), "lineitem", [("customer", "SEGMENT"), ("lineitem", "LSTATUS")])
+    return MX.delta(wide, F.col("lineitem__LSTATUS"), (F.col("customer__SEGMENT") >= 2).cast("int")).select(F.round("delta", 9).alias("delta"))
+
+
+_FOUR = "avg(lineitem__LSTATUS) FILTER (customer__SEGMENT {a} 2 AND orders__YEAR {b} 3)"
+
+
+@register(
+    "effect_contrast",
+    X.with_sql(f"SELECT round({_FOUR.format(a='>=', b='>=')} - {_FOUR.format(a='>=', b='<')} - {_FOUR.format(a='<', b='>=')} + {_FOUR.format(a='<', b='<')}, 9) AS contrast FROM w", _CHAIN_WIDE),
+)
+def effect_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = V.view(X.CHAIN, X.tables(spark, sf_dir, X.CHAIN), "lineitem", [("customer", "SEGMENT"), ("orders", "YEAR"), ("lineitem", "LSTATUS")])
+    a, b = ((F.col(c) >= n).cast("int") for c, n in (("customer__SEGMENT", 2), ("orders__YEAR", 3)))
+    return MX.contrast(wide, F.col("lineitem__LSTATUS"), a, b).select(F.round("contrast", 9).alias("contrast"))
+
+
+@register(
+    "effect_phi",
+    X.with_sql("SELECT round(avg(CAST(lineitem__LSTATUS = xor(xor(CAST(lineitem__RFLAG >= 1 AS INTEGER), CAST(customer__SEGMENT >= 2 AS INTEGER)), CAST(customer__ACCTBIN >= 11 AS INTEGER)) AS INTEGER)), 9) AS phi FROM w", _CHAIN_WIDE),
+)
+def effect_phi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = V.view(X.CHAIN, X.tables(spark, sf_dir, X.CHAIN), "lineitem", [("customer", "SEGMENT"), ("customer", "ACCTBIN"), ("lineitem", "RFLAG"), ("lineitem", "LSTATUS")])
+    u, a, b = ((F.col(c) >= n).cast("int") for c, n in (("lineitem__RFLAG", 1), ("customer__SEGMENT", 2), ("customer__ACCTBIN", 11)))
+    return MX.fidelity(wide, F.col("lineitem__LSTATUS"), E.rule("xor", u, a, b)).select(F.round("phi", 9).alias("phi"))
+
+
+@register(
+    "tv_assoc",
+    X.with_sql(
+        """ SELECT round(0.5 * sum(abs(coalesce(n, 0) / nx - ny / nn)), 9) AS tv FROM x CROSS JOIN y CROSS JOIN t LEFT JOIN c ON c.a = x.a AND c.b = y.b""",
+        _CHAIN_WIDE + """, c AS (SELECT customer__NATION AS a, orders__YEAR AS b, count(*)::DOUBLE AS n FROM w GROUP BY ALL), x AS (SELECT a, sum(n) AS nx FROM c GROUP BY a),
+     y AS (SELECT b, sum(n) AS ny FROM c GROUP BY b), t AS (SELECT sum(n) AS nn FROM c)""",
+    ),
+)
+def tv_assoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = V.view(X.CHAIN, X.tables(spark, sf_dir, X.CHAIN), "lineitem", [("customer", "NATION"), ("orders", "YEAR")])
+    return MX.association_tv(wide, "customer__NATION", "orders__YEAR").select(F.round("tv", 9).alias("tv"))
+
+
+@register(
+    "pair_tv",
+    X.with_sql(
+        "",
+        f"x AS (SELECT STATUS * 100 + YEAR AS b, count(*) AS n FROM orders_ GROUP BY 1), y AS (SELECT STATUS * 100 + YEAR AS b, count(*) AS n FROM orders_ WHERE {_HALF_SQL} GROUP BY 1), " + _TV,
+    ),
+)
+def pair_tv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = X.orders(spark, sf_dir)
+    return MX.pair_tv(o, _half(o), ["STATUS", "YEAR"]).select(F.round("tv", 9).alias("tv"))
+
+
+@register(
+    "crosstab_shares",
+    "WITH n AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) SELECT c_nationkey, c_mktsegment, round(n / sum(n) OVER (PARTITION BY c_nationkey), 9) AS share FROM n",
+)
+def crosstab_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit.crosstab_shares(_raw(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment").withColumn("share", F.round("share", 9))
+
+
+@register("cue_share", "SELECT round(avg(CAST(l_returnflag = 'R' AS INTEGER)), 9) AS share, count(*) AS n FROM lineitem WHERE l_quantity >= 25")
+def cue_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fit.gather_ratio(_raw(spark, sf_dir, "lineitem"), F.col("l_returnflag") == "R", F.col("l_quantity") >= 25)
+    return out.select(F.round("share", 9).alias("share"), "n")
+
+
+@register(
+    "big_group_gap",
+    X.with_sql("SELECT round(max(s) - min(s), 9) AS gap FROM g", "s AS (SELECT okey, count(*) AS n FROM lineitem_ GROUP BY okey), g AS (SELECT STATUS, avg(CAST(n >= 6 AS INTEGER)) AS s FROM orders_ JOIN s USING (okey) GROUP BY STATUS)"),
+)
+def big_group_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = S.all_sizes(X.orders(spark, sf_dir), "okey", X.lineitem(spark, sf_dir), "okey", ["STATUS"]).filter("n > 0")
+    return MX.big_group_share_gap(sizes, "STATUS", 6).select(F.round("gap", 9).alias("gap"))
+
+
+@register(
+    "topn_remainder",
+    """WITH n AS (SELECT c_mktsegment AS seg, c_nationkey AS nation, count(*) AS n FROM customer GROUP BY ALL),
+     x AS (SELECT *, n / sum(n) OVER (PARTITION BY seg) * 100.0::DOUBLE AS e FROM n),
+     f AS (SELECT *, floor(e) AS fl, row_number() OVER (PARTITION BY seg ORDER BY round(e - floor(e), 9) DESC, nation) AS r FROM x)
+     SELECT seg, nation, CAST(fl + CAST(r <= round(100 - sum(fl) OVER (PARTITION BY seg)) AS INTEGER) AS BIGINT) AS quota FROM f""",
+)
+def topn_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _raw(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("seg")
+    cells = n.withColumn("share", F.col("n") / F.sum("n").over(own))
+    return C.remainder_ranks(cells, ["seg"], "share", F.lit(100.0), ["nation"]).select("seg", "nation", "quota")
+
+
+@register("quota_draw_hist", "SELECT CAST(range AS INTEGER) AS code, CASE range WHEN 0 THEN n - 2 * (n // 4) ELSE n // 4 END AS n FROM range(3), (SELECT count(*) AS n FROM customer)")
+def quota_draw_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _raw(spark, sf_dir, "customer").select("c_custkey")
+    n = c.count()
+    q = n // 4
+    drawn = C.quota_draw(c, "c_custkey", "code", [n - 2 * q, q, q], 7)
+    return drawn.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "quota_1d",
+    """WITH s AS (SELECT c_custkey AS k, c_nationkey AS v, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL)
+     SELECT v, CAST(2 * sum(n) AS BIGINT) AS total, count(*) AS parents FROM s GROUP BY v""",
+)
+def quota_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.all_sizes(X.customer(spark, sf_dir), "ckey", X.orders(spark, sf_dir), "ckey", ["NATION"]).filter("n > 0")
+    goal = 2 * F.sum("n").over(Window.partitionBy("NATION"))
+    out = C.rescale_groups(rows.withColumn("goal", goal), ["NATION"], "ckey", "n", F.col("goal"), 1, "m")
+    return out.groupBy(F.col("NATION").alias("v")).agg(F.sum("m").alias("total"), F.count(F.lit(1)).alias("parents"))
+
+
+@register(
+    "dedup_preference",
+    """SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CAST(value > 5 AS INTEGER) DESC, event_type, event_id) AS r FROM events) WHERE r = 1""",
+)
+def dedup_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MX.preferred(_raw(spark, sf_dir, "events"), ["user_id"], F.col("value") > 5, "event_type", ["event_id"]).select("event_id", "user_id", "event_type")
+
+
+@register(
+    "replace_by_key",
+    """SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
+     UNION ALL SELECT o_orderkey, 'X' FROM orders WHERE o_orderstatus = 'P'""",
+)
+def replace_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _raw(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return MX.replaced(o, o.filter("o_orderstatus = 'P'").withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"])
+
+
+@register("missing_cells", "SELECT n_nationkey AS NATION, CAST(range AS INTEGER) AS ACCTBIN FROM nation, range(22) EXCEPT (" + X.with_sql("SELECT NATION, ACCTBIN FROM customer_") + ")")
+def missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = _raw(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("NATION"), F.explode(F.sequence(F.lit(0), F.lit(21))).alias("ACCTBIN"))
+    return MX.missing_cells(grid, X.customer(spark, sf_dir), ["NATION", "ACCTBIN"])
+
+
+@register(
+    "stratified_medians",
+    """WITH k AS (SELECT l_returnflag AS cls, l_linestatus AS ds, l_linenumber AS seed, avg(l_discount) AS v FROM lineitem GROUP BY ALL),
+     s AS (SELECT cls, ds, median(v) AS v FROM k GROUP BY ALL) SELECT cls, round(median(v), 9) AS value FROM s GROUP BY cls""",
+)
+def stratified_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _raw(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("cls"), F.col("l_linestatus").alias("ds"), F.col("l_linenumber").alias("seed"), F.col("l_discount").alias("value"))
+    return MX.stratified(li, "ds", "seed", "cls", "value").select("cls", F.round("value", 9).alias("value"))
+
+
+@register("strength_range", "SELECT o_orderstatus, o_orderpriority, min(o_totalprice) AS lowest, max(o_totalprice) AS highest FROM orders GROUP BY ALL")
+def strength_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MX.strength_range(_raw(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], "o_totalprice")
+
+
+@register(
+    "reused_plants",
+    """WITH p AS (SELECT l_returnflag AS cell, l_linestatus AS seed, list_sort(list(l_linenumber)) AS v FROM lineitem GROUP BY ALL)
+     SELECT cell, count(*) > count(DISTINCT v) AS reused FROM p GROUP BY cell""",
+)
+def reused_plants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _raw(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("cell"), F.col("l_linestatus").alias("seed"), "l_linenumber")
+    return MX.reused(li, ["cell"], "seed", "l_linenumber")
+
+
+@register(
+    "holm",
+    """WITH p AS (SELECT c_nationkey AS k, count(*) / 5000.0::DOUBLE AS p FROM customer GROUP BY 1), r AS (SELECT k, p, row_number() OVER (ORDER BY p, k) AS r, count(*) OVER () AS m FROM p)
+     SELECT k, round(max(least(1.0, (m - r + 1) * p)) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING), 9) AS adjusted FROM r""",
+)
+def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step-down adjustment of a few p-values; an ordered window over as many rows as there are tests."""
+    p = _raw(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg((F.count(F.lit(1)) / 5000.0).alias("p"))
+    order = Window.partitionBy(F.lit(0)).orderBy("p", "k")
+    r = p.withColumn("r", F.row_number().over(order)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    step = F.least(F.lit(1.0), (F.col("m") - F.col("r") + 1) * F.col("p"))
+    return r.select("k", F.round(F.max(step).over(order.rowsBetween(Window.unboundedPreceding, 0)), 9).alias("adjusted"))
+
+
+_BOOT = "cast('0x' || substr(md5('3|boot|' || i || '|' || j), 1, 13) as bigint)"
+
+
+@register(
+    "bootstrap_ci",
+    f"""WITH v AS (SELECT c_nationkey AS k, avg(c_acctbal) AS v FROM customer GROUP BY 1), n AS (SELECT k, v, row_number() OVER (ORDER BY k) - 1 AS r, count(*) OVER () AS m FROM v),
+     s AS (SELECT i.range AS i, j.range AS j, {_BOOT.replace("i ||", "i.range ||").replace("|| j)", "|| j.range)")} AS h FROM range(200) i CROSS JOIN range((SELECT count(*) FROM v)) j),
+     d AS (SELECT i, median(v) AS x FROM s JOIN n ON s.h % n.m = n.r GROUP BY i) SELECT round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM d""",
+)
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _raw(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("c_acctbal").alias("v"))
+    x = SA.bootstrap(v, "k", 200, 3).groupBy("replicate").agg(F.median("v").alias("x"))
+    return x.agg(F.round(F.percentile("x", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("x", F.lit(0.975)), 6).alias("high"))
+
+
+@register("sample_exact", f"SELECT c_custkey FROM customer ORDER BY cast('0x' || substr(md5('5|sample|' || c_custkey), 1, 13) as bigint), c_custkey LIMIT 100")
+def sample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit.sample_exact(_raw(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 100, 5)
+
+
+@register(
+    "plant_chain_audit",
+    X.with_sql("SELECT orders__STATUS, CAST(lineitem__RFLAG >= 1 AS INTEGER) AS u, count(*) AS n, CAST(sum(lineitem__LSTATUS) AS BIGINT) AS ones_old, CAST(sum(lineitem__LSTATUS) AS BIGINT) AS ones_new FROM w GROUP BY ALL", _CHAIN_WIDE),
+)
+def plant_chain_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planting keeps every class's count of ones: the audit's old and new counts agree."""
+    return PL.audit(planted(spark, sf_dir), "old", "planted", ["orders__STATUS", "u"]).drop("changed")
+
+
+def planted(spark: SparkSession, sf_dir: str, strength: float = 0.8, seed: int = 1) -> DataFrame:
+    cols = [("customer", "SEGMENT"), ("customer", "ACCTBIN"), ("orders", "STATUS"), ("lineitem", "RFLAG"), ("lineitem", "LSTATUS")]
+    wide = V.view(X.CHAIN, X.tables(spark, sf_dir, X.CHAIN, keyed=True), "lineitem", cols, extra=["lkey"])
+    wide = wide.select(
+        "lkey", "orders__STATUS", F.col("lineitem__LSTATUS").alias("old"), (F.col("lineitem__RFLAG") >= 1).cast("int").alias("u"),
+        (F.col("customer__SEGMENT") >= 2).cast("int").alias("x1"), (F.col("customer__ACCTBIN") >= 11).cast("int").alias("x2"),
+    )
+    return PL.plant_chain(wide, "lkey", "old", "u", "x1", "x2", ["orders__STATUS"], "xor", strength, seed)
+
+
+@register("plant_chain")
+def plant_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule fidelity before and after planting."""
+    df = planted(spark, sf_dir)
+    expected = E.rule("xor", F.col("u"), F.col("x1"), F.col("x2"))
+    return df.agg(F.avg((F.col("old") == expected).cast("int")).alias("before"), F.avg((F.col("planted") == expected).cast("int")).alias("after"))
+
+
+@register("plant_star")
+def plant_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of ones by the two roots' bits, before and after planting in a star."""
+    cols = [("part", "PSIZEBIN"), ("orders", "PRIORITY"), ("lineitem", "RFLAG"), ("lineitem", "QBIN")]
+    wide = V.view(X.STAR, X.tables(spark, sf_dir, X.STAR, keyed=True), "lineitem", cols, extra=["lkey"])
+    wide = wide.select(
+        "lkey", (F.col("lineitem__QBIN") >= 3).cast("int").alias("old"), (F.col("lineitem__RFLAG") >= 1).cast("int").alias("u"),
+        (F.col("part__PSIZEBIN") >= 2).cast("int").alias("x1"), (F.col("orders__PRIORITY") >= 2).cast("int").alias("x2"),
+    )
+    return PL.audit(PL.plant_star(wide, "lkey", "old", "u", "x1", "x2", "xor", 0.8, 1), "old", "planted", ["x1", "x2"])
+
+
+@register(
+    "windowed_marginal",
+    "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
+)
+def windowed_marginal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowed(_raw(spark, sf_dir, "events"), "ts", ["event_type"])
+
+
+# Synthesis ----------------------------------------------------------------------------------------------------
+
+
+def chain_pairs(schema) -> list[tuple[tuple[str, str], tuple[str, str]]]:
+    """Pairs within the top, of adjacent levels, and of the top with every lower level."""
+    roles = list(schema.roles)
+    top = [(roles[0], a) for a in schema.roles[roles[0]].attrs]
+    out = [(a, b) for i, a in enumerate(top) for b in top[i + 1 :]]
+    for i, up in enumerate(roles):
+        for down in roles[i + 1 :]:
+            if i == 0 or roles.index(down) == i + 1:
+                out += [((up, a), (down, b)) for a in schema.roles[up].attrs for b in schema.roles[down].attrs]
+    return out
+
+
+def _histograms(schema, made: dict[str, DataFrame]) -> DataFrame:
+    """role, attr, code, n of every synthesized attribute."""
+    parts = [
+        made[r].groupBy(F.col(a).alias("code")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(r).alias("role"), F.lit(a).alias("attr"), "code", "n")
+        for r, role in schema.roles.items() for a in role.attrs
+    ]
+    return _union(parts)
+
+
+def synthesis(spark: SparkSession, sf_dir: str, schema, epsilon: float, text: str, rail: str, pairs: list, triples: tuple = ()) -> dict[str, DataFrame]:
+    options = parse(text, rail)
+    rel = release(schema, X.tables(spark, sf_dir, schema), epsilon, options, 1, pairs, triples)
+    make = SY.synthesize_star if rail == "star" else SY.synthesize_chain
+    return make(spark, rel, options)
+
+
+@register("synth_chain3")
+def synth_chain3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribute histograms of a database synthesized from noisy marginals of the chain."""
+    made = synthesis(spark, sf_dir, X.CHAIN, 3.2, "pubn,rowleaf,szthresh,exactmarg,growcap", "chain3", chain_pairs(X.CHAIN))
+    return _histograms(X.CHAIN, made)
+
+
+CHAIN2 = Schema.chain(
+    Role("orders", "okey", {"STATUS": 3, "YEAR": 7, "MONTH": 12, "PRIORITY": 5}),
+    Role("lineitem", "lkey", {"QBIN": 6, "DBIN": 4, "RFLAG": 3, "LSTATUS": 2}, {"orders": "okey"}),
+)
+
+
+@register("synth_chain2")
+def synth_chain2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = synthesis(spark, sf_dir, CHAIN2, 3.2, "totals,szthresh", "chain2", chain_pairs(CHAIN2))
+    return _histograms(CHAIN2, made)
+
+
+@register("synth_star")
+def synth_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roles = ["part", "orders", "lineitem"]
+    a, b, c = ([(r, x) for x in X.STAR.roles[r].attrs] for r in roles)
+    pairs = [(a[0], b[0]), *((x, k) for x in [*a, *b] for k in c)]
+    made = synthesis(spark, sf_dir, X.STAR, 3.2, "pubn,rowleaf,shrink", "star", pairs, [(a[0], b[0], k) for k in c])
+    return _histograms(X.STAR, made)
+
+
+@register("synth_census")
+def synth_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real and synthetic P(EMP | URBAN) of the census benchmark, as many regions as there are nations."""
+    n = 40 * spark.read.parquet(f"{sf_dir}/nation.parquet").count()
+    real = CE.generate(spark, n)
+    rel = release(CE.SCHEMA, real, 3.2, parse("pubn", "chain3"), 1, chain_pairs(CE.SCHEMA))
+    made = CE.synthesize(spark, rel)
+
+    def emp(tables: dict[str, DataFrame], name: str) -> DataFrame:
+        w = V.view(CE.SCHEMA, tables, "individual", [("region", "URBAN"), ("individual", "EMP")])
+        return w.groupBy("region__URBAN").agg(F.avg("individual__EMP").alias("p")).withColumn("source", F.lit(name))
+
+    return emp(real, "real").unionByName(emp(made, "synthetic"))
+
+
+@register("relink")
+def relink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group sizes of orders linked anew to customers by a noisy size histogram."""
+    o, c = X.orders(spark, sf_dir), X.customer(spark, sf_dir)
+    shares = BL.noisy_size_shares(o, "ckey", 1.0, 1, 64, 1e-5)
+    made = BL.relink(o.drop("ckey"), "okey", c, "ckey", shares, "ckey", 1)
+    return S.size_histogram(c, "ckey", made, "ckey", zeros=True)
+
+
+@register("baseline_independent")
+def baseline_independent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = BL.per_table(spark, X.CHAIN, X.tables(spark, sf_dir, X.CHAIN), 3.2, 1)
+    return _histograms(X.CHAIN, made)
+
+
+@register("repair", X.with_sql("SELECT CAST(range AS INTEGER) AS STATUS, CASE range WHEN 0 THEN n - 2 * (n // 3) ELSE n // 3 END AS n FROM range(3), (SELECT count(*) AS n FROM orders_)"))
+def repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' status codes moved, least date first, until the three codes are alike in number."""
+    o = X.orders(spark, sf_dir).select("okey", "STATUS", "YEAR")
+    n = o.count()
+    target = {0: n - 2 * (n // 3), 1: n // 3, 2: n // 3}
+    return C.repair(o, "okey", "STATUS", target, F.col("YEAR")).groupBy("STATUS").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("ipf_margins")
+def ipf_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occupied cells of three attributes fitted to two pairwise tables of the other half of the orders."""
+    o = X.orders(spark, sf_dir)
+    names = ["STATUS", "YEAR", "PRIORITY"]
+    cells = {tuple(r)[:3]: float(r["n"]) for r in _half(o).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()}
+    targets = []
+    for axes in ((0, 1), (1, 2)):
+        own = o.groupBy(*(names[a] for a in axes)).agg(F.count(F.lit(1)).alias("n")).collect()
+        targets.append((axes, {tuple(r)[:2]: float(r["n"]) for r in own}))
+    fitted = C.ipf(cells, targets)
+    rows = [(*map(int, k), v) for k, v in sorted(fitted.items())]
+    return spark.createDataFrame(rows, "STATUS int, YEAR int, PRIORITY int, value double")

@@ -126,7 +126,11 @@ def release(
         first = list(schema.roles).index(up) == 0 and edges is None
         found = size_histogram(tables[up], schema.roles[up].key, tables[r], fk, a, None if edges else out.taus[r], edges, zeros=first)
         wanted = [Marginal(f"SZ.{r}.{a}", ("attr", "size"))]
-        cells = found.select(F.lit(wanted[0].name).alias("query_name"), F.col(a).cast("int").alias("c0"), F.col("size").alias("c1"), F.lit(None).cast("int").alias("c2"), F.col("groups").cast("double").alias("value"))
+        found = found.toDF("attr", "bin", "groups")
+        cells = found.select(
+            F.lit(wanted[0].name).alias("query_name"), F.col("attr").cast("int").alias("c0"), F.col("bin").cast("int").alias("c1"),
+            F.lit(None).cast("int").alias("c2"), F.col("groups").cast("double").alias("value"),
+        )
         sizes = {"attr": schema.size(up, a), "size": width}
         dense = on_grid(cells, domain_grid(sizes, wanted, spark))
         dense = released(dense, out.sigma[wanted[0].name], seed) if epsilon else dense
