@@ -62,29 +62,41 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _new(self, words: list[str]) -> dict[str, bytes]:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        """The ids of plain words, encoded as one text and told apart where a token ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
             return {w: self._whole(w) for w in words}
         data, ends = ids.tobytes(), (4 * ends).tolist()
         return {w: data[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Every text's ids; words that are new are encoded together."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        plain: list[tuple[int, int, list[str]]] = []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            # Composition and merging never cross a line end, so only lines with strange characters are set apart.
+            for part in t.split("\n") if self.strange.search(t) else [t]:
+                if self.strange.search(part):
+                    out[i].append(self._whole(part))
+                else:
+                    plain.append((i, len(out[i]), self.word.findall(part.lower())))
+                    out[i].append(b"")
+        known = self.known
+        fresh = list(set().union(*(w for _, _, w in plain)).difference(known))
+        if fresh:
+            known.update(self._new(fresh))
+        get = known.__getitem__
+        for i, k, w in plain:
+            out[i][k] = b"".join(map(get, w))
+        for w in fresh[: max(0, len(known) - REMEMBERED)]:
+            del known[w]
+        return [b"".join(x) for x in out]
+
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.strange.search(text):
-            parts = text.split("\n")  # composition and merging never cross a line end
-            if len(parts) == 1:
-                return self._whole(text)
-            return b"".join([self.encode(p) for p in parts])
-        words, known = self.word.findall(text.lower()), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            fresh = self._new(list({w: None for w in words if w not in known}))
-            if len(known) < REMEMBERED:
-                known.update(fresh)
-            return b"".join([known[w] if w in known else fresh[w] for w in words])
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -103,8 +115,8 @@ def pieces(df: DataFrame, key: str, tokenizer: str, text: str = "text", capacity
     def run(texts: list) -> tuple[list]:
         e, out = encoder(tokenizer), []
         end = np.array([closing], "<u4").tobytes()
-        for t in texts:
-            ids = e.encode(t) + end
+        for ids in e.encode_all(texts):
+            ids += end
             out.append(
                 [
                     {"piece": k, "start": a // 4, "length": len(ids[a : a + 4 * capacity]) // 4, "ids_crc32": crc32(ids[a : a + 4 * capacity])}
