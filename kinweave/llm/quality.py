@@ -30,8 +30,6 @@ from kinweave.llm.common import add_columns, cut, table
 RATED = 8000
 #: Hashed features of tokens, then of shapes.
 BITS = 16
-#: Tokens whose features a task remembers at most; then it starts over.
-REMEMBERED = 500_000
 #: Selection keeps a text if a grade of at least the rating's upper half is at least this likely.
 KEEP = 0.5
 
@@ -39,7 +37,6 @@ _SHAPE = bytes(
     97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 32 if c <= 32 else c
     for c in range(256)
 )
-_MEMORY: dict[bytes, int] = {}
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -49,14 +46,8 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     tokens = Counter(all_tokens)
     if not tokens:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    if len(_MEMORY) > REMEMBERED:
-        _MEMORY.clear()
-    mask, places = (1 << BITS) - 1, []
-    for t in tokens:
-        h = _MEMORY.get(t)
-        if h is None:
-            h = _MEMORY[t] = crc32(t) & mask
-        places.append(h)
+    mask = (1 << BITS) - 1
+    places = [crc32(t) & mask for t in tokens]
     values = np.fromiter(tokens.values(), np.float64, len(tokens))
     look = np.frombuffer(raw.translate(_SHAPE), np.uint8)
     shapes = Counter(look[np.append(True, look[1:] != look[:-1])].tobytes().split())
