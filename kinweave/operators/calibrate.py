@@ -71,19 +71,27 @@ def rescaled(sizes: Sequence[int], target: int, lo: int, hi: int | None = None)
     if hi is not None and target >= hi * n:
         return [hi] * n
     over = np.maximum(np.asarray(sizes, float) - lo, 0)
-    out = np.asarray(largest_remainder(over if over.sum() > 0 else np.ones(n), target - lo * n)) + lo
-    while hi is not None and (out > hi).any():
-        spare = int((out - hi).clip(min=0).sum())
-        out = np.minimum(out, hi)
-        room = hi - out
-        add = np.minimum(np.asarray(largest_remainder(np.where(room > 0, np.maximum(over, 1e-9), 0), spare)), room)
-        out += add
-        missing = target - int(out.sum())
-        for i in np.flatnonzero(out < hi)[: max(0, missing)]:
-            out[i] += 1
-        if int(out.sum()) == target:
+    top = np.inf if hi is None else float(hi - lo)
+    share, spend = np.zeros(n), float(target - lo * n)
+    free = np.ones(n, bool)
+    # Proportional shares; what would pass the cap stays at it, and the rest is shared out anew among the others.
+    while free.any() and spend > 0:
+        weight = np.where(free, over if over[free].sum() > 0 else 1.0, 0.0)
+        part = weight * (spend / weight.sum())
+        full = free & (part >= top)
+        if not full.any():
+            share = np.where(free, part, share)
             break
-    return out.tolist()
+        share[full] = top
+        spend -= top * int(full.sum())
+        free &= ~full
+    out = np.floor(share + 1e-9).astype(int)
+    rest = target - lo * n - int(out.sum())
+    for i in np.argsort(-(share - out), kind="stable").tolist() * 2:
+        if rest > 0 and out[i] < top:
+            out[i] += 1
+            rest -= 1
+    return (out + lo).tolist()
 
 
 def rescale_groups(sizes: DataFrame, group: Sequence[str], key: str, size: str, target: Column, lo: int, out: str) -> DataFrame:
