@@ -1,11 +1,14 @@
-"""Sampling of rows: draws by inverse distribution functions, conditionals by distinct condition, child rows.
+"""Sampling of rows: draws by inverse distribution functions, alone or given other columns, and child rows.
 
 Draws depend on a row's key and a purpose alone (see functions.noise), so retries and partitionings don't matter.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -15,6 +18,8 @@ from pyspark.sql.window import Window
 from kinweave.functions.noise import bits, uniform
 from kinweave.operators.calibrate import normalised
 
+#: Tuples of conditions whose distributions are tabled and joined.
+TUPLES = 5000
 #: Children of one parent that a child key has room for.
 MOST_CHILDREN = 1 << 20
 
@@ -30,40 +35,53 @@ def inverse(cdf: Column, u: Column) -> Column:
     return F.size(F.filter(F.slice(cdf, 1, F.size(cdf) - 1), lambda c: c <= u)).cast("int")
 
 
-def cdf_of(weights: Column) -> Column:
-    """The running sums of weights over their total; alike steps if the total is 0."""
+def drawn_code(weights: Column, u: Column) -> Column:
+    """The code that u falls on among the running sums of weights; alike for all codes if they add up to 0."""
     total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    n = F.size(weights)
-    even = F.transform(weights, lambda x, i: (i + 1) / n)
-    running = F.aggregate(
-        weights,
-        F.array().cast("array<double>"),
-        lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x)),
+    # A fold keeps the running sum and how many of the sums, the last one apart, u has reached.
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k"))
+    reached = F.aggregate(
+        F.slice(weights, 1, F.size(weights) - 1),
+        start,
+        lambda a, x: F.struct((a["s"] + x).alias("s"), (a["k"] + (a["s"] + x <= u * total).cast("int")).alias("k")),
+        lambda a: a["k"],
     )
-    return F.when(total > 0, F.transform(running, lambda x: x / total)).otherwise(even)
+    return F.when(total > 0, reached).otherwise(F.floor(u * F.size(weights)).cast("int"))
 
 
-def conditional_table(df: DataFrame, base: np.ndarray, lifts: Mapping[str, np.ndarray], out: str = "cdf") -> DataFrame:
-    """The condition columns' tuples that occur, with the distribution function of base times the tuple's lifts.
-
-    Computed once for each tuple, not for each row; the number of tuples is bounded by the conditions' domains.
-    """
-    conditions = list(lifts)
-    weights = numbers(normalised(base))
-    tuples = df.select(*conditions).distinct()
-    for c in conditions:
-        row = F.element_at(numbers(lifts[c]), F.col(c).cast("int") + 1)
-        weights = F.zip_with(weights, row, lambda x, y: x * y)
-    return tuples.select(*conditions, cdf_of(weights).alias(out))
+def conditional_rows(base: np.ndarray, lifts: Sequence[np.ndarray]) -> list[tuple]:
+    """(codes of the conditions..., distribution function) for every tuple of the conditions' domains."""
+    out = []
+    for codes in itertools.product(*(range(len(x)) for x in lifts)):
+        w = np.asarray(base, float)
+        for x, c in zip(lifts, codes, strict=True):
+            w = w * x[c]
+        out.append((*codes, np.cumsum(normalised(w)).tolist()))
+    return out
 
 
 def draw(df: DataFrame, key: str, out: str, base: np.ndarray, lifts: Mapping[str, np.ndarray], seed: int) -> DataFrame:
-    """df with a code drawn from base, or from base times the lifts of its condition columns."""
+    """df with a code drawn from base, or from base times the lifts of its condition columns.
+
+    Where the conditions' domains have few tuples, each tuple's distribution is computed once and joined; the
+    table's size is bounded by TUPLES. Beyond, every row folds its own weights. Neither way reads df twice.
+    """
     u = uniform(seed, out, F.col(key))
+    base = normalised(base)
     if not lifts:
-        return df.withColumn(out, inverse(numbers(np.cumsum(normalised(base))), u))
-    table = conditional_table(df, base, lifts, "__cdf")
-    return df.join(table, list(lifts)).withColumn(out, inverse(F.col("__cdf"), u)).drop("__cdf")
+        return df.withColumn(out, inverse(numbers(np.cumsum(base)), u))
+    if math.prod(len(x) for x in lifts.values()) <= TUPLES:
+        names = [f"__c{i}" for i in range(len(lifts))]
+        rows = conditional_rows(base, list(lifts.values()))
+        table = df.sparkSession.createDataFrame(rows, ", ".join([*(f"{n} int" for n in names), "__cdf array<double>"]))
+        same = [F.col(c) == F.col(n) for c, n in zip(lifts, names, strict=True)]
+        # A table made here has no statistics; at most TUPLES rows go to every task.
+        return df.join(F.broadcast(table), reduce(Column.__and__, same)).withColumn(out, inverse(F.col("__cdf"), u)).drop("__cdf", *names)
+    weights = numbers(base)
+    for c, x in lifts.items():
+        row = F.element_at(numbers(x), F.col(c).cast("int") + 1)
+        weights = F.zip_with(weights, row, lambda a, b: a * b)
+    return df.withColumn(out, drawn_code(weights, u))
 
 
 def children(parents: DataFrame, key: str, size: str, fk: str, pk: str, keep: Sequence[str] = ()) -> DataFrame:

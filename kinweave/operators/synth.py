@@ -121,7 +121,8 @@ def to_total(df: DataFrame, key: str, rel: Release, child: str, parent: str, tot
     names = [*group, "size", "__low", "__more"]
     plan = spark.createDataFrame([tuple(map(int, x)) for x in steps], ", ".join(f"{n} long" for n in names))
     ranked = shuffled_rank(df, key, 0, f"total {child}", [*group, "size"])
-    return ranked.join(plan, [*group, "size"]).withColumn("size", F.col("__low") + (F.col("__rank") < F.col("__more")).cast("long")).drop("__low", "__more", "__rank")
+    # One row for each class of size, at most the quota attribute's domain times the number of bins.
+    return ranked.join(F.broadcast(plan), [*group, "size"]).withColumn("size", F.col("__low") + (F.col("__rank") < F.col("__more")).cast("long")).drop("__low", "__more", "__rank")
 
 
 def repaired(df: DataFrame, key: str, rel: Release, role: str, total: int | None) -> DataFrame:

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from kinweave.functions.accountant import (
     COUNT, SIZES, accepted_total, debiased, delta_of, equal_sigma, geometric_bins, hybrid_bins, split_sigmas,
 )
+from kinweave.functions.encode import size_bin
 from kinweave.functions.options import Options
 from kinweave.operators.calibrate import shrunk_joint
 from kinweave.operators.marginals import Marginal, domain_grid, marginals, on_grid, released
-from kinweave.operators.sizes import size_histogram, tau, with_weights
+from kinweave.operators.sizes import all_sizes, capped, size_histogram, tau, with_weights
 from kinweave.operators.views import column, view
 from kinweave.schema import Schema
 
@@ -119,26 +120,26 @@ def release(
                 out.one[members[0]] = arrays[m.name]
             else:
                 out.joint[members] = arrays[m.name]
-    for r, a in size_objects:
+    for r in dict.fromkeys(r for r, _ in size_objects):
         up = next(iter(schema.roles[r].parents))
-        fk = schema.roles[r].parents[up]
         edges, width = bins[r]
+        attrs = [a for q, a in size_objects if q == r]
         first = list(schema.roles).index(up) == 0 and edges is None
-        found = size_histogram(tables[up], schema.roles[up].key, tables[r], fk, a, None if edges else out.taus[r], edges, zeros=first)
-        wanted = [Marginal(f"SZ.{r}.{a}", ("attr", "size"))]
-        found = found.toDF("attr", "bin", "groups")
-        cells = found.select(
-            F.lit(wanted[0].name).alias("query_name"), F.col("attr").cast("int").alias("c0"), F.col("bin").cast("int").alias("c1"),
-            F.lit(None).cast("int").alias("c2"), F.col("groups").cast("double").alias("value"),
-        )
-        sizes = {"attr": schema.size(up, a), "size": width}
-        dense = on_grid(cells, domain_grid(sizes, wanted, spark))
-        dense = released(dense, out.sigma[wanted[0].name], seed) if epsilon else dense
-        table = _arrays(dense, wanted, sizes)[wanted[0].name]
+        rows = all_sizes(tables[up], schema.roles[up].key, tables[r], schema.roles[r].parents[up], attrs)
+        rows = rows if first else rows.filter("n > 0")
+        size = size_bin(F.col("n"), edges) if edges else capped(F.col("n"), out.taus[r])
+        rows = rows.select(*(F.col(a).alias(column(up, a)) for a in attrs), size.alias("__size"))
+        wanted = [Marginal(f"SZ.{r}.{a}", (column(up, a), "__size")) for a in attrs]
+        sizes = {column(up, a): schema.size(up, a) for a in attrs} | {"__size": width}
+        dense = on_grid(marginals(rows, wanted), domain_grid(sizes, wanted, spark))
+        dense = released(dense, {m.name: out.sigma[m.name] for m in wanted}, seed) if epsilon else dense
+        for a, m in zip(attrs, _arrays(dense, wanted, sizes).items(), strict=True):
+            out.sizes[r, a] = m[1]
+    for r, a in size_objects:
+        name, table = f"SZ.{r}.{a}", out.sizes[r, a]
         if "szthresh" in options:
             kappa = options.numbers("szthresh")[0]
-            table = np.array([debiased(x, out.sigma[wanted[0].name], kappa) for x in table])
-        out.sizes[r, a] = table
+            out.sizes[r, a] = np.array([debiased(x, out.sigma[name], kappa) for x in table])
     if "shrink" in options:
         for members, x in out.joint.items():
             if len(members) == 2:
