@@ -39,6 +39,16 @@ def association_tv(df: DataFrame, x: str, y: str) -> DataFrame:
     return gap.join(k, F.lit(True)).select((0.5 * (F.col("g") + F.col("k") - F.col("covered"))).alias("tv"))
 
 
+def association_to_mean(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row, tv: the mean over x of the total variation of P(y | x) to the unweighted mean of these rows."""
+    counts = df.groupBy(x, y).agg(F.count(F.lit(1)).alias("n"))
+    grid = counts.select(x).distinct().join(counts.select(y).distinct(), F.lit(True))
+    full = grid.join(counts, [x, y], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    p = full.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(x)))
+    gap = p.withColumn("g", F.abs(F.col("p") - F.avg("p").over(Window.partitionBy(y))))
+    return gap.groupBy(x).agg((0.5 * F.sum("g")).alias("t")).agg(F.avg("t").alias("tv"))
+
+
 def pair_tv(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row, tv: total variation of the joint distributions of the columns."""
     columns = list(columns)

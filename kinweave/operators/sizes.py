@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kinweave.functions.accountant import tau_of
 from kinweave.functions.encode import size_bin
@@ -64,6 +65,15 @@ def with_weights(child: DataFrame, fk: str, tau: int, weight: str = "w", per_row
     return child.join(sizes, F.col(fk) == F.col("__fk")).drop("__fk")
 
 
+def truncated(child: DataFrame, fk: str, order: Sequence[str], tau: int) -> DataFrame:
+    """The first tau rows of each group, in the given order.
+
+    The rank limit is pushed below the shuffle, so a group of any size sends on no more than tau rows of a task.
+    """
+    own = Window.partitionBy(fk).orderBy(*order)
+    return child.withColumn("__r", F.row_number().over(own)).filter(F.col("__r") <= tau).drop("__r")
+
+
 def size_tv(real: DataFrame, synthetic: DataFrame, cap: int, size: str = "n") -> DataFrame:
     """Total variation of two tables of sizes, over bins 1 to cap and one beyond; one row, column tv."""
 
@@ -97,8 +107,6 @@ def gini(df: DataFrame, value: str = "n") -> DataFrame:
 
     Equal values are ranked as one block, so only distinct values meet in the ordered sum.
     """
-    from pyspark.sql.window import Window
-
     blocks = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("b", F.coalesce(F.sum("c").over(before), F.lit(0)))

@@ -41,16 +41,26 @@ def some_codes(r: random.Random, size: int, most: int = 4) -> tuple[int, ...]:
     return tuple(sorted(r.sample(range(size), r.randint(1, max(1, min(most, size) - 1)))))
 
 
-def generate(schema: Schema, classes: Mapping[str, tuple[str, Sequence[str]]], per_class: int = PER_CLASS, seed: int = SEED, most: int = 4) -> list[CountQuery]:
-    """`per_class` queries of each class; a class names the counted role and the roles that get a condition each."""
+def generate(
+    schema: Schema,
+    classes: Mapping[str, tuple[str, Sequence[str]]],
+    per_class: int = PER_CLASS,
+    seed: int = SEED,
+    most: int = 4,
+    most_attrs: int = 1,
+) -> list[CountQuery]:
+    """`per_class` queries of each class; a class names the counted role and the roles that get conditions.
+
+    Each of these roles gets conditions on 1 to `most_attrs` of its attributes, of up to `most` - 1 codes each.
+    """
     r, out = random.Random(seed), []
     for cls, (counted, roles) in classes.items():
         for qid in range(per_class):
             conditions = []
             for role in roles:
                 usable = [a for a, n in schema.roles[role].sizes.items() if n >= 2]
-                attr = r.choice(usable)
-                conditions.append((role, attr, some_codes(r, schema.size(role, attr), most)))
+                for attr in sorted(r.sample(usable, r.randint(1, min(most_attrs, len(usable))))):
+                    conditions.append((role, attr, some_codes(r, schema.size(role, attr), most)))
             out.append(CountQuery(cls, qid, counted, tuple(conditions)))
     return out
 

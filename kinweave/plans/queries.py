@@ -309,6 +309,9 @@ register("q_batch_chain", _batch_sql(X.CHAIN, _CHAIN_BATCH))(lambda s, d: W.answ
 register("q_batch_star", _batch_sql(X.STAR, _STAR_BATCH))(lambda s, d: W.answer(X.STAR, X.tables(s, d, X.STAR), _STAR_BATCH))
 register("q_batch_deep", _batch_sql(X.DEEP, _DEEP_BATCH))(lambda s, d: W.answer(X.DEEP, X.tables(s, d, X.DEEP), _DEEP_BATCH))
 
+_WIDE_BATCH = W.generate(X.CHAIN, {"2hop": ("lineitem", ["customer", "lineitem"]), "1hop": ("lineitem", ["orders", "lineitem"]), "0hop": ("orders", ["orders"])}, 20, 7, 10, 2)
+register("q_batch_two_attrs", _batch_sql(X.CHAIN, _WIDE_BATCH))(lambda s, d: W.answer(X.CHAIN, X.tables(s, d, X.CHAIN), _WIDE_BATCH))
+
 #: A stand-in for a synthetic database: the orders whose key's hash falls into the first half.
 _HALF_SQL = f"cast('0x' || substr(md5('half|' || CAST(okey AS VARCHAR)), 1, 13) as bigint) < {1 << 51}"
 
@@ -400,6 +403,12 @@ def size_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.round(F.avg("n"), 6).alias("mean_size"), F.max("n").alias("max_size"), F.median("n").alias("median_size"))
 
 
+@register("truncated_groups", "SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 5")
+def truncated_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _raw(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return S.truncated(o, "o_custkey", ["o_orderkey"], 5).select("o_orderkey")
+
+
 @register("gini", "SELECT round((2 * sum(i * n) - (count(*) + 1) * sum(n)) / (count(*) * sum(n)), 9) AS gini FROM (SELECT n, row_number() OVER (ORDER BY n) AS i FROM (SELECT count(*) AS n FROM events GROUP BY user_id))")
 def gini(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.gini(S.group_sizes(_raw(spark, sf_dir, "events"), "user_id")).select(F.round("gini", 9).alias("gini"))
@@ -651,6 +660,19 @@ def tv_assoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MX.association_tv(wide, "customer__NATION", "orders__YEAR").select(F.round("tv", 9).alias("tv"))
 
 
+@register(
+    "tv_to_mean",
+    X.with_sql(
+        " SELECT round(avg(t), 9) AS tv FROM (SELECT a, 0.5 * sum(abs(p - m)) AS t FROM (SELECT *, avg(p) OVER (PARTITION BY b) AS m FROM p) GROUP BY a)",
+        """c AS (SELECT NATION AS a, SEGMENT AS b, count(*)::DOUBLE AS n FROM customer_ GROUP BY ALL),
+     g AS (SELECT * FROM (SELECT DISTINCT a FROM c) CROSS JOIN (SELECT DISTINCT b FROM c)),
+     f AS (SELECT g.a, g.b, coalesce(n, 0) AS n FROM g LEFT JOIN c ON g.a = c.a AND g.b = c.b), p AS (SELECT a, b, n / sum(n) OVER (PARTITION BY a) AS p FROM f)""",
+    ),
+)
+def tv_to_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MX.association_to_mean(X.customer(spark, sf_dir), "NATION", "SEGMENT").select(F.round("tv", 9).alias("tv"))
+
+
 @register(
     "pair_tv",
     X.with_sql(

@@ -51,13 +51,16 @@ def _arrays(cells: DataFrame, wanted: Sequence[Marginal], sizes: Mapping[str, in
 def release(
     schema: Schema, tables: Mapping[str, DataFrame], epsilon: float | None, options: Options | None = None, seed: int = 0,
     pairs: Sequence[tuple[tuple[str, str], tuple[str, str]]] = (), triples: Sequence[tuple] = (), delta: float | None = None,
-    exclude_sizes: Sequence[str] = (),
+    exclude_sizes: Sequence[str] = (), cross: str = "inner",
 ) -> Release:
     """Release one-way marginals of all roles, the pairs and triples named, and size histograms.
 
     pairs and triples name (role, attribute) members; each is counted over the lowest role that it names. Rows of
-    roles with parents weigh 1 / min(size of their group, tau), or 1 with `rowleaf`. epsilon None adds no noise.
+    roles with parents weigh 1 / min(size of their group, tau), or 1 with `rowleaf`. With `cross` = both, pairs that
+    skip a level weigh by the weights of all levels between, not by the lowest one's alone. epsilon None adds no noise.
     """
+    if cross not in ("inner", "both"):
+        raise ValueError("cross must be inner or both")
     options = options or Options()
     spark = next(iter(tables.values())).sparkSession
     out = Release(schema)
@@ -111,9 +114,18 @@ def release(
             fk = next(iter(role.parents.values()))
             source[r] = with_weights(tables[r], fk, out.taus[r], "w", "rowleaf" in options)
             weight = "w"
-        wide = view(schema, source, r, attrs, extra=[weight] if weight else [])
         sizes = {column(q, a): schema.size(q, a) for q, a in attrs}
-        dense = on_grid(marginals(wide, wanted, weight), domain_grid(sizes, wanted, spark))
+        wide = view(schema, source, r, attrs, extra=[weight] if weight else [])
+        far = [m for m, k in own if cross == "both" and len(k) == 2 and len(schema.path(r, k[0][0])) > 2]
+        cells = marginals(wide, [m for m in wanted if m not in far], weight)
+        if far:
+            up = next(iter(role.parents))
+            above = with_weights(tables[up], next(iter(schema.roles[up].parents.values())), out.taus[up], "__above")
+            keyed = above.select(F.col(schema.roles[up].key).alias("__up"), "__above")
+            both = source[r].join(keyed, F.col(role.parents[up]) == F.col("__up")).drop("__up")
+            both = both.withColumn("w", F.col("w") * F.col("__above")).drop("__above")
+            cells = cells.unionByName(marginals(view(schema, source | {r: both}, r, attrs, extra=["w"]), far, "w"))
+        dense = on_grid(cells, domain_grid(sizes, wanted, spark))
         arrays = _arrays(released(dense, {m.name: out.sigma[m.name] for m in wanted}, seed) if epsilon else dense, wanted, sizes)
         for m, members in own:
             if len(members) == 1:

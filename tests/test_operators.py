@@ -213,3 +213,39 @@ def test_stream_equals_table(spark, tmp_path):
     q.awaitTermination()
     got = sorted(map(tuple, merged(spark.table("m"), ["c"]).collect()))
     assert got == sorted((r["c"], r["count"]) for r in rows.groupBy("c").count().collect())
+
+
+def test_cross_weights_of_both_levels(spark):
+    frames, top, mid, bot = toy(spark)
+    pair = (("top", "TT"), ("bot", "BB"))
+    s1, s2 = {}, {}
+    for _, t, _ in mid:
+        s1[t] = s1.get(t, 0) + 1
+    for _, m, _ in bot:
+        s2[m] = s2.get(m, 0) + 1
+    for cross in ("inner", "both"):
+        rel = release(SCHEMA, frames, None, pairs=[pair], cross=cross)
+        t1, t2 = rel.taus["mid"], rel.taus["bot"]
+        want = [[0.0] * 4 for _ in range(3)]
+        for _, m, code in bot:
+            t = mid[m][1]
+            w = 1 / min(s2[m], t2) * (1 / min(s1[t], t1) if cross == "both" else 1)
+            want[top[t][1]][code] += w
+        assert rel.joint[pair] == pytest.approx(want)
+    with pytest.raises(ValueError):
+        release(SCHEMA, frames, None, cross="outer")
+
+
+def test_truncation_keeps_the_first_rows(spark):
+    df = spark.createDataFrame([(i, i % 3 if i < 90 else 0) for i in range(100)], "k long, g long")
+    got = sizes.truncated(df, "g", ["k"], 4)
+    assert sorted(r["k"] for r in got.collect()) == list(range(12))
+
+
+def test_workloads_of_several_attributes():
+    schema = Schema.of(Role("r", "k", {"A": 5, "B": 7, "C": 1}))
+    queries = W.generate(schema, {"c": ("r", ["r"])}, 50, most_attrs=3)
+    assert {len(q.conditions) for q in queries} == {1, 2} and all(a != "C" for q in queries for _, a, _ in q.conditions)
+    assert queries == W.generate(schema, {"c": ("r", ["r"])}, 50, most_attrs=3)
+    with pytest.raises(ValueError):
+        W.some_codes(random.Random(0), 1)
