@@ -43,6 +43,10 @@ _ENDS = {
 }
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 TEXT = "#text"
+#: Kinds of edges, by the child: each has its own potentials.
+KINDS = {TEXT: 1} | dict.fromkeys("nav aside footer header form".split(), 2) | dict.fromkeys("ul ol li dl dt dd table tbody tr td th".split(), 3)
+KINDS |= dict.fromkeys("article main section".split(), 4)
+N_KINDS = 5
 
 
 class _Reader(HTMLParser):
@@ -151,14 +155,14 @@ def read(html: str | None) -> tuple[list[int], list[list[str]], dict[int, str]]:
     for i, tag in enumerate(reader.tag):
         chars, linked = below[i]
         link = "none" if not linked else "some" if linked * 2 < chars else "most"
-        own = ["bias", f"link {link}", f"size {min(chars.bit_length(), 11)}"]
+        own = [f"link {link}", f"size {min(chars.bit_length(), 11)}"]
+        up = reader.tag[reader.parent[i]] if i else ""
         if tag == TEXT:
             t = texts[i]
-            own = ["text", *(f"text {x}" for x in own[1:]), f"text in {reader.tag[reader.parent[i]]}"]
-            own.append("ends" if t[-1:] in ".!?:;\"'" else "open")
+            own = [TEXT, *(f"text {x}" for x in own), f"text in {up}", "ends" if t[-1:] in ".!?:;\"'" else "open"]
         else:
-            own.append(f"tag {tag}")
-            own += [f"word {w}" for w in reader.words[i]]
+            own = [f"tag {tag}", "bias", *own, f"tag {tag} in {up}", *(f"word {w}" for w in reader.words[i])]
+            own += [f"begins {w[:n]}" for w in reader.words[i] for n in (4, 7) if len(w) > n]
         features.append(own)
     return reader.parent, features, texts
 
@@ -181,7 +185,7 @@ class Forest:
             for i, f in enumerate(features):
                 parent.append(up[i] + base if up[i] >= 0 else -1)
                 depth.append(depth[up[i] + base] + 1 if up[i] >= 0 else 0)
-                kind.append(f[0] == "text")
+                kind.append(KINDS.get(f[0].removeprefix("tag "), 0))
                 for x in f:
                     if x in names:
                         row.append(base + i)
@@ -195,11 +199,11 @@ class Forest:
 
 @dataclass
 class Model:
-    """Weights by feature, and log potentials [child is text][parent's label][child's label]."""
+    """Weights by feature, and log potentials [kind of the child][parent's label][child's label]."""
 
     names: dict[str, int] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros((2, 2, 2)))
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros((N_KINDS, 2, 2)))
 
     def marginals(self, f: Forest) -> tuple[np.ndarray, np.ndarray]:
         """P(content) of every node, and P(parent's label, own label) of every node but the roots."""
@@ -252,24 +256,25 @@ def train(pages: list[tuple[str, set[str]]], steps: int = 200, rate: float = 0.1
                 counts[x] = counts.get(x, 0) + 1
     names = {x: i for i, x in enumerate(sorted(x for x, n in counts.items() if n >= 3))}
     forest, y = Forest.of([t[:2] for t in trees], names), np.array(label)
-    model = Model(names, np.zeros(len(names)), np.zeros((2, 2, 2)))
+    model = Model(names, np.zeros(len(names)), np.zeros((N_KINDS, 2, 2)))
     child = np.flatnonzero(forest.parent >= 0)
-    seen = np.zeros((2, 2, 2))
+    seen = np.zeros((N_KINDS, 2, 2))
     np.add.at(seen, (forest.kind[child], y[forest.parent[child]], y[child]), 1)
     held = np.bincount(forest.place, y[forest.row], minlength=len(names))
-    m, v = np.zeros(len(names) + 8), np.zeros(len(names) + 8)
+    cells = 4 * N_KINDS
+    m, v = np.zeros(len(names) + cells), np.zeros(len(names) + cells)
     for step in range(1, steps + 1):
         p, both = model.marginals(forest)
-        expected = np.zeros((2, 2, 2))
-        for k in (0, 1):
+        expected = np.zeros((N_KINDS, 2, 2))
+        for k in range(N_KINDS):
             expected[k] = both[child][forest.kind[child] == k].sum(axis=0)
         gw = np.bincount(forest.place, p[forest.row], minlength=len(names)) - held
         grad = np.append(gw, (expected - seen).ravel()) / len(pages)
         grad += decay * np.append(model.weights, model.pairs.ravel())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        model.weights = model.weights - move[:-8]
-        model.pairs = model.pairs - move[-8:].reshape(2, 2, 2)
+        model.weights = model.weights - move[:-cells]
+        model.pairs = model.pairs - move[-cells:].reshape(N_KINDS, 2, 2)
     return model
 
 
@@ -284,11 +289,11 @@ _OTHER_WORDS = {
     "ad": "ad ads advert advertisement sponsored sponsor promo promotion adsense partner".split(),
     "form": "form newsletter subscribe signup search login subscription field".split(),
     "share": "share social sharing tools meta tags byline author toolbar buttons".split(),
-    "comments": "comments comment replies reply discussion respond thread disqus reader readers responses".split(),
+    "comments": "comments comment commentlist replies reply discussion respond thread disqus readers responses".split(),
 }
 
 
-def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, set[str]]]:
+def labelled_pages(n: int = 800, seed: int = 5) -> list[tuple[str, set[str]]]:
     """Generated pages of many layouts with the texts of their article's blocks.
 
     The words mean nothing; only tags, class words, links and lengths can tell content from the rest.
@@ -339,10 +344,17 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, set[str]]]:
         elif kind == "share":
             inner = "".join(f"<a href=#>{words(1, 2)}</a> " for _ in range(r.randint(2, 5)))
         elif kind == "comments":
-            inner = f"<h3>{words(1, 3)}</h3>" + "".join(
-                f"<{t}{named(_OTHER_WORDS[kind])}><p>{words(4, 60, '.')}</p></{t}>"
-                for t in [r.choice(("div", "li", "article"))] * r.randint(1, 6)
+            t = r.choice(("div", "li", "article"))
+            own = "".join(
+                f"<{t}{named(_OTHER_WORDS[kind])}>"
+                + (f"<p>{words(4, 60, '.')}</p>" if r.random() < 0.7 else words(1, 40, "."))
+                + (f"<span>{words(1, 3)}</span>" if r.random() < 0.3 else "")
+                + f"</{t}>"
+                for _ in range(r.randint(1, 6))
             )
+            h = r.choice(("h2", "h3", "h4", "p"))
+            inner = f"<{h}>{words(1, 3)}</{h}>" if r.random() < 0.8 else ""
+            inner += f"<ol{named(_OTHER_WORDS[kind])}>{own}</ol>" if t == "li" else own
         else:
             inner = words(3, 40, ".")
             inner = f"<p>{inner}</p>" if r.random() < 0.5 else inner

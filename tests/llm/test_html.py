@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import pytest
 
-from kinweave.llm.html import Forest, Model, extract_text, labelled_pages, op10_html, read, train
+from kinweave.llm.html import N_KINDS, TEXT, Forest, Model, extract_text, labelled_pages, op10_html, read, train
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><!-- ad --><div class="ad">Buy now.</div>
@@ -24,16 +24,18 @@ def test_page(model):
 def test_held_out_pages(model):
     pages = labelled_pages(200, seed=77)
     right = sum(set(t.split("\n")) - {""} == good for t, (_, good) in zip(model.extract([p for p, _ in pages]), pages, strict=True))
-    assert right >= 0.93 * len(pages)
+    assert right >= 0.97 * len(pages)
 
 
 def test_marginals_equal_enumeration():
     g = np.random.default_rng(1)
     parents = [-1, 0, 0, 1, 1, 2, 4]
-    features = [[f"f{i}"] if i % 2 else ["text", f"f{i}"] for i in range(7)]
+    firsts = ("tag div", TEXT, "tag nav", "tag li", "tag article", TEXT, "tag p")
+    features = [[firsts[i], f"f{i}"] for i in range(7)]
     names = {f"f{i}": i for i in range(7)}
-    m = Model(names, g.normal(size=7), g.normal(size=(2, 2, 2)))
+    m = Model(names, g.normal(size=7), g.normal(size=(N_KINDS, 2, 2)))
     f = Forest.of([(parents, features)], names)
+    assert f.kind.tolist() == [0, 1, 2, 3, 4, 1, 0]
     total, ones, pair = 0.0, np.zeros(7), np.zeros((7, 2, 2))
     for y in itertools.product((0, 1), repeat=7):
         e = sum(m.weights[i] * y[i] for i in range(7))
