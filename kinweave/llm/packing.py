@@ -33,7 +33,7 @@ PATTERNS, PIECES = 30_000, 5
 #: Words whose ids a task remembers.
 REMEMBERED = 300_000
 #: Rows that a cell of the ranking aims at.
-CELL_ROWS = 20_000
+CELL_ROWS = 500
 
 
 class Encoder:
