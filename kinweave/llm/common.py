@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -13,6 +11,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from kinweave.scratch import cut
+
+__all__ = ["add_columns", "count_of", "cut", "gapless", "table"]
+
 #: Rows that a function of `add_columns` gets at once at most.
 ROWS_AT_ONCE = 512
 
@@ -22,29 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one is set only where the session names none."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinweave-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it again.
-
-    Its lineage ends there, so a lost executor costs no earlier stage again. The files go when the JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/kinweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def add_columns(df: DataFrame, inputs: Sequence[str], fields: str, f: Callable[..., Sequence[list]]) -> DataFrame:
     """df with the columns that f computes; fields is their schema in DDL.
 
