@@ -5,8 +5,9 @@ Fits are aggregates whose results are a few numbers or a domain; applying them i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql.window import Window
 
 from kinweave.functions.encode import passed
 from kinweave.functions.noise import bits
+from kinweave.operators.views import closure, dense_keys
+from kinweave.schema import Schema
 
 
 def sorted_ranks(df: DataFrame, value: str, code: str) -> DataFrame:
@@ -171,3 +174,34 @@ def crosstab_shares(df: DataFrame, row: str, col: str) -> DataFrame:
     """row, col, share: P(col | row)."""
     counts = df.groupBy(row, col).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(row))).drop("n")
+
+
+def subset_by_root(
+    schema: Schema, tables: Mapping[str, DataFrame], root: str, fraction: float, seed: int, redense: bool = False
+) -> dict[str, DataFrame]:
+    """A part of a database that is closed under its foreign keys: a share of a root, and what belongs to it.
+
+    Children whose parents went go, and other roots keep the rows that children still point to. With `redense`,
+    every role's keys are numbered anew from 0 in their old order, and the keys that point to them follow.
+    """
+    kept = sample_fraction(tables[root], schema.roles[root].key, fraction, seed)
+    out = closure(schema, tables, {root: kept})
+    for name, role in schema.roles.items():
+        pointing = [(c, r.parents[name]) for c, r in schema.roles.items() if name in r.parents]
+        if not role.parents and name != root and pointing:
+            used = reduce(DataFrame.union, (out[c].select(F.col(fk).alias("__fk")) for c, fk in pointing))
+            out[name] = out[name].join(used, F.col(role.key) == F.col("__fk"), "left_semi")
+    if redense:
+        for name, role in schema.roles.items():
+            ids = dense_keys(out[name].select(F.col(role.key).alias("__old")), ["__old"], "__new")
+            out[name] = out[name].join(ids, F.col(role.key) == F.col("__old")).drop(role.key, "__old").withColumnRenamed("__new", role.key)
+            for c, r in schema.roles.items():
+                if name in r.parents:
+                    fk = r.parents[name]
+                    out[c] = out[c].join(ids, F.col(fk) == F.col("__old")).drop(fk, "__old").withColumnRenamed("__new", fk)
+    return out
+
+
+def common_keys(frames: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
+    """The keys that all frames have."""
+    return reduce(DataFrame.intersect, (f.select(*key) for f in frames))

@@ -235,6 +235,31 @@ def fk_closure_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n[0].join(n[1], F.lit(True)).join(n[2], F.lit(True))
 
 
+_SHARE = f"cast('0x' || substr(md5('3|share|' || pkey), 1, 13) as bigint) < {int(0.25 * (1 << 52))}"
+
+
+@register(
+    "star_subset",
+    X.with_sql(
+        " SELECT (SELECT count(*) FROM p) AS n_part, (SELECT count(*) FROM l) AS n_line, (SELECT count(*) FROM o) AS n_order, (SELECT max(r) FROM p) AS last_part",
+        f"""p AS (SELECT *, row_number() OVER (ORDER BY pkey) - 1 AS r FROM part_ WHERE {_SHARE}), l AS (SELECT * FROM lineitem_ WHERE pkey IN (SELECT pkey FROM p)),
+     o AS (SELECT * FROM orders_ WHERE okey IN (SELECT okey FROM l))""",
+    ),
+)
+def star_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = fit.subset_by_root(X.STAR, X.tables(spark, sf_dir, X.STAR), "part", 0.25, 3, redense=True)
+    counts = [t[r].agg(F.count(F.lit(1)).alias(n)) for r, n in (("part", "n_part"), ("lineitem", "n_line"), ("orders", "n_order"))]
+    last = t["lineitem"].agg(F.max("pkey").alias("last_line")).join(t["part"].agg(F.max("pkey").alias("last_part")), F.lit(True))
+    out = reduce(lambda a, b: a.join(b, F.lit(True)), [*counts, last])
+    return out.select("n_part", "n_line", "n_order", "last_part")
+
+
+@register("common_keys", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def common_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _raw(spark, sf_dir, "orders")
+    return fit.common_keys([o.filter(F.col("o_orderstatus") == s) for s in X.STATUSES], ["o_custkey"])
+
+
 @register("denorm_signature", X.with_sql("SELECT row_number() OVER (ORDER BY customer__SEGMENT, orders__STATUS, orders__YEAR) - 1 AS signature, customer__SEGMENT, orders__STATUS, orders__YEAR, count(*) AS n_rows FROM w GROUP BY 2, 3, 4", _CHAIN_WIDE))
 def denorm_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.tables(spark, sf_dir, X.CHAIN)
