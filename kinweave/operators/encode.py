@@ -182,7 +182,8 @@ def subset_by_root(
     """A part of a database that is closed under its foreign keys: a share of a root, and what belongs to it.
 
     Children whose parents went go, and other roots keep the rows that children still point to. With `redense`,
-    every role's keys are numbered anew from 0 in their old order, and the keys that point to them follow.
+    every role's keys, which must be unique then, are numbered anew from 0 in their old order, and the keys that
+    point to them follow.
     """
     kept = sample_fraction(tables[root], schema.roles[root].key, fraction, seed)
     out = closure(schema, tables, {root: kept})

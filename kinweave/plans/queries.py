@@ -247,7 +247,7 @@ _SHARE = f"cast('0x' || substr(md5('3|share|' || pkey), 1, 13) as bigint) < {int
     ),
 )
 def star_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fit.subset_by_root(X.STAR, X.tables(spark, sf_dir, X.STAR), "part", 0.25, 3, redense=True)
+    t = fit.subset_by_root(X.STAR, X.tables(spark, sf_dir, X.STAR, keyed=True), "part", 0.25, 3, redense=True)
     counts = [t[r].agg(F.count(F.lit(1)).alias(n)) for r, n in (("part", "n_part"), ("lineitem", "n_line"), ("orders", "n_order"))]
     last = t["lineitem"].agg(F.max("pkey").alias("last_line")).join(t["part"].agg(F.max("pkey").alias("last_part")), F.lit(True))
     out = reduce(lambda a, b: a.join(b, F.lit(True)), [*counts, last])
