@@ -93,7 +93,10 @@ def hybrid_bins(tau: int, most: int, tail: int = 8, least: int = 1) -> tuple[lis
 
 def _middles(edges: Sequence[int], most: int) -> list[int]:
     ends = [*(e - 1 for e in edges[1:]), most]
-    return [max(a, min(b, half_even(math.sqrt(a * b)) if a else (a + b) // 2)) for a, b in zip(edges, ends, strict=True)]
+    return [
+        max(a, min(b, half_even(math.sqrt(a * b)) if a else (a + b) // 2)) for a,
+        b in zip(edges, ends, strict=True)
+    ]
 
 
 def accepted_total(noisy: float, fallback: float, lo: float = 0.0) -> float:

@@ -36,10 +36,15 @@ def independent_marginals(spark: SparkSession, table: DataFrame, sizes: Mapping[
 def noisy_size_shares(child: DataFrame, fk: str, epsilon: float, seed: int, cap: int, delta: float) -> DataFrame:
     """size, share: the noisy histogram of group sizes, capped, noise drawn for every size from 1 to cap."""
     spark = child.sparkSession
-    found = group_sizes(child, fk).groupBy(F.least("n", F.lit(cap)).alias("size")).agg(F.count(F.lit(1)).alias("groups"))
+    found = group_sizes(child, fk).groupBy(
+        F.least("n", F.lit(cap)).alias("size"),
+    ).agg(F.count(F.lit(1)).alias("groups"))
     grid = spark.range(1, cap + 1).withColumnRenamed("id", "size")
     noise = gaussian(seed, "relink", F.col("size")) / F.lit(gamma(epsilon, delta))
-    return grid.join(found, "size", "left").select("size", F.greatest(F.coalesce("groups", F.lit(0)) + noise, F.lit(0.0)).alias("share"))
+    return grid.join(found, "size", "left").select(
+        "size",
+        F.greatest(F.coalesce("groups", F.lit(0)) + noise, F.lit(0.0)).alias("share"),
+    )
 
 
 def relink(children: DataFrame, key: str, parents: DataFrame, pk: str, shares: DataFrame, fk: str, seed: int) -> DataFrame:

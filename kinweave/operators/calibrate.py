@@ -37,13 +37,22 @@ def largest_remainder(weights: Sequence[float], total: int) -> list[int]:
 def remainder_ranks(cells: DataFrame, group: Sequence[str], share: str, total: Column, key: Sequence[str], out: str = "quota") -> DataFrame:
     """Largest-remainder quotas of a table of cells, within groups: floor, then one more by falling remainder."""
     exact = F.col(share) * total
-    rows = cells.withColumn("__floor", F.floor(exact)).withColumn("__rest", exact - F.col("__floor")).withColumn("__total", total)
+    rows = cells.withColumn("__floor", F.floor(exact)).withColumn(
+        "__rest",
+        exact - F.col("__floor"),
+    ).withColumn("__total", total)
     own = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     rank = F.row_number().over(own.orderBy(F.desc("__rest"), *key))
     left = F.max("__total").over(own) - F.sum("__floor").over(own)
     rows = rows.withColumn("__r", rank).withColumn("__left", F.round(left).cast("long"))
     more = (F.col("__r") <= F.col("__left")).cast("long")
-    return rows.withColumn(out, (F.col("__floor") + more).cast("long")).drop("__floor", "__rest", "__total", "__r", "__left")
+    return rows.withColumn(out, (F.col("__floor") + more).cast("long")).drop(
+        "__floor",
+        "__rest",
+        "__total",
+        "__r",
+        "__left",
+    )
 
 
 def grown_at_cap(sizes: Sequence[int], target: int, hi: int) -> list[int]:
@@ -104,7 +113,10 @@ def rescale_groups(sizes: DataFrame, group: Sequence[str], key: str, size: str,
     n, whole = F.count(F.lit(1)).over(own), F.sum(over).over(own)
     spend = F.greatest(target - n * lo, F.lit(0))
     share = F.when(whole > 0, over / whole).otherwise(F.lit(1.0) / n)
-    rows = sizes.withColumn("__x", share * spend).withColumn("__f", F.floor(F.col("__x") + F.lit(1e-9))).withColumn("__s", spend)
+    rows = sizes.withColumn("__x", share * spend).withColumn(
+        "__f",
+        F.floor(F.col("__x") + F.lit(1e-9)),
+    ).withColumn("__s", spend)
     r = F.row_number().over(own.orderBy(F.desc(F.col("__x") - F.col("__f")), key))
     more = (r <= F.max("__s").over(own) - F.sum("__f").over(own)).cast("long")
     return rows.withColumn(out, (F.col("__f") + more + lo).cast("long")).drop("__x", "__f", "__s")
@@ -230,7 +242,10 @@ def shuffled_rank(df: DataFrame, key: str, seed: int, purpose: str, group: Seque
     from kinweave.operators.views import number_within
 
     step = (1 << 52) // ranges
-    hashed = df.withColumn("__h", bits(seed, purpose, F.col(key))).withColumn("__cell", F.floor(F.col("__h") / F.lit(step)))
+    hashed = df.withColumn("__h", bits(seed, purpose, F.col(key))).withColumn(
+        "__cell",
+        F.floor(F.col("__h") / F.lit(step)),
+    )
     return number_within(hashed, list(group), ["__h", key], "__rank", "__cell").drop("__h")
 
 

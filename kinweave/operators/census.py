@@ -38,19 +38,28 @@ def _by(bit: str, values: tuple[float, float]):
 def generate(spark: SparkSession, n_regions: int, seed: int = 0) -> dict[str, DataFrame]:
     """Tables of n regions, with 2 to 6 households each and SIZE + 1 members in each household."""
     r = spark.range(1, n_regions + 1).withColumnRenamed("id", "r_id")
-    r = r.withColumn("URBAN", _coin(0.5, seed, "urban", F.col("r_id"))).withColumn("BAND", F.floor(uniform(seed, "band", F.col("r_id")) * 3).cast("int"))
+    r = r.withColumn("URBAN", _coin(0.5, seed, "urban", F.col("r_id"))).withColumn(
+        "BAND",
+        F.floor(uniform(seed, "band", F.col("r_id")) * 3).cast("int"),
+    )
     r = r.withColumn("__z", _coin(_by("URBAN", TYPE_BY_URBAN), seed, "type", F.col("r_id")))
     lo, hi = HOUSEHOLDS
     n = (F.lit(lo) + F.floor(uniform(seed, "households", F.col("r_id")) * (hi - lo + 1))).cast("int")
     h = r.withColumn("__i", F.explode(F.sequence(F.lit(1), n)))
     h = h.withColumn("h_id", F.col("r_id") * MOST_CHILDREN + F.col("__i"))
-    h = h.withColumn("OWN", _coin(_by("URBAN", OWN_BY_URBAN), seed, "own", F.col("h_id"))).withColumn("SIZE", F.floor(uniform(seed, "size", F.col("h_id")) * 5).cast("int"))
+    h = h.withColumn("OWN", _coin(_by("URBAN", OWN_BY_URBAN), seed, "own", F.col("h_id"))).withColumn(
+        "SIZE",
+        F.floor(uniform(seed, "size", F.col("h_id")) * 5).cast("int"),
+    )
     # The hidden type is the household's own, so that members of one household share it.
     h = h.withColumn("__z", _coin(_by("URBAN", TYPE_BY_URBAN), seed, "type", F.col("h_id")))
     i = h.withColumn("__j", F.explode(F.sequence(F.lit(1), F.col("SIZE") + 1)))
     i = i.withColumn("i_id", F.col("h_id") * 8 + F.col("__j"))
     i = i.withColumn("EMP", _coin(_by("__z", EMP_BY_TYPE), seed, "emp", F.col("i_id")))
-    i = i.withColumn("AGE", F.floor(uniform(seed, "age", F.col("i_id")) * 8).cast("int")).withColumn("EDU", F.floor(uniform(seed, "edu", F.col("i_id")) * 4).cast("int"))
+    i = i.withColumn(
+        "AGE",
+        F.floor(uniform(seed, "age", F.col("i_id")) * 8).cast("int"),
+    ).withColumn("EDU", F.floor(uniform(seed, "edu", F.col("i_id")) * 4).cast("int"))
     return {
         "region": r.select("r_id", "URBAN", "BAND"),
         "household": h.select("h_id", "r_id", "OWN", "SIZE"),
@@ -110,7 +119,13 @@ def synthesize(spark: SparkSession, rel, seed: int = 0) -> dict[str, DataFrame]:
     if joint is None:
         return out
     target = [normalised(row)[1] for row in joint]
-    wide = view(SCHEMA, out, "individual", [("region", "URBAN"), ("household", "OWN")], extra=["i_id", "h_id", "AGE", "EDU"])
+    wide = view(
+        SCHEMA,
+        out,
+        "individual",
+        [("region", "URBAN"), ("household", "OWN")],
+        extra=["i_id", "h_id", "AGE", "EDU"],
+    )
     own = rel.joint.get((("household", "OWN"), ("individual", "EMP")))
     base_of = [normalised(row)[1] for row in own] if own is not None else [0.5, 0.5]
     counts = {(r[0], r[1]): r["n"] for r in wide.groupBy("region__URBAN", "household__OWN").agg(F.count(F.lit(1)).alias("n")).collect()}

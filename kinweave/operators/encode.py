@@ -22,7 +22,10 @@ from kinweave.schema import Schema
 def sorted_ranks(df: DataFrame, value: str, code: str) -> DataFrame:
     """value, code: the place of each distinct non-null value in sorted order."""
     order = Window.partitionBy(F.lit(0)).orderBy(value)
-    return df.select(value).filter(F.col(value).isNotNull()).distinct().withColumn(code, (F.row_number().over(order) - 1).cast("int"))
+    return df.select(value).filter(F.col(value).isNotNull()).distinct().withColumn(
+        code,
+        (F.row_number().over(order) - 1).cast("int"),
+    )
 
 
 def encode_sorted(df: DataFrame, value: str, code: str) -> DataFrame:
@@ -94,7 +97,10 @@ def fit_binariser(df: DataFrame, attr: str, size: int, ordered: bool, band: floa
         return Binariser(codes=(1,))
     if ordered:
         return Binariser(cut=float(df.agg(F.median(attr)).first()[0] or 0.0))
-    counts = sorted(((r["n"], r[attr]) for r in df.groupBy(attr).agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda x: (-x[0], x[1]))
+    counts = sorted(
+        ((r["n"], r[attr]) for r in df.groupBy(attr).agg(F.count(F.lit(1)).alias("n")).collect()),
+        key=lambda x: (-x[0], x[1]),
+    )
     whole, held, chosen = sum(n for n, _ in counts), 0, []
     for n, code in counts:
         if chosen and held / whole >= 0.5 - band:
@@ -134,7 +140,10 @@ def flip_least(df: DataFrame, bit: str, value: int, flips: int, score: str, key:
         return df.withColumn(bit, F.when(F.col(bit) == value, 1 - F.col(bit)).otherwise(F.col(bit)).cast("int"))
     order = Window.partitionBy(F.lit(0)).orderBy(score, key)
     chosen = df.filter((F.col(bit) == value) & (bucket == edge)).select(key, score)
-    chosen = chosen.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= flips - before).select(F.col(key).alias("__k"))
+    chosen = chosen.withColumn(
+        "r",
+        F.row_number().over(order),
+    ).filter(F.col("r") <= flips - before).select(F.col(key).alias("__k"))
     out = df.join(chosen, df[key] == chosen["__k"], "left")
     hit = (F.col(bit) == value) & ((bucket < edge) | F.col("__k").isNotNull())
     return out.withColumn(bit, F.when(hit, 1 - F.col(bit)).otherwise(F.col(bit)).cast("int")).drop("__k")
@@ -195,11 +204,17 @@ def subset_by_root(
     if redense:
         for name, role in schema.roles.items():
             ids = dense_keys(out[name].select(F.col(role.key).alias("__old")), ["__old"], "__new")
-            out[name] = out[name].join(ids, F.col(role.key) == F.col("__old")).drop(role.key, "__old").withColumnRenamed("__new", role.key)
+            out[name] = out[name].join(
+                ids,
+                F.col(role.key) == F.col("__old"),
+            ).drop(role.key, "__old").withColumnRenamed("__new", role.key)
             for c, r in schema.roles.items():
                 if name in r.parents:
                     fk = r.parents[name]
-                    out[c] = out[c].join(ids, F.col(fk) == F.col("__old")).drop(fk, "__old").withColumnRenamed("__new", fk)
+                    out[c] = out[c].join(
+                        ids,
+                        F.col(fk) == F.col("__old"),
+                    ).drop(fk, "__old").withColumnRenamed("__new", fk)
     return out
 
 

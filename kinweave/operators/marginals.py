@@ -50,7 +50,11 @@ def marginals(view: DataFrame, wanted: Sequence[Marginal], weight: str | None =
             F.struct(
                 F.lit(m.name).alias("query_name"),
                 F.lit(ids[m.columns]).cast("long").alias("g"),
-                *((F.col(m.columns[i]).cast("int") if i < len(m.columns) else F.lit(None).cast("int")).alias(f"c{i}") for i in range(3)),
+                *(
+                    (
+                        F.col(m.columns[i]).cast("int") if i < len(m.columns) else F.lit(None).cast("int")
+                    ).alias(f"c{i}") for i in range(3)
+                ),
             )
             for m in wanted
         )
@@ -80,11 +84,19 @@ def on_grid(cells: DataFrame, grid: DataFrame) -> DataFrame:
     a, b = grid.alias("a"), cells.alias("b")
     names = ("query_name", "c0", "c1", "c2")
     same = reduce(Column.__and__, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in names))
-    return a.join(b, same, "left").select(*(F.col(f"a.{c}") for c in names), F.coalesce("b.value", F.lit(0.0)).alias("value"))
+    return a.join(b, same, "left").select(
+        *(F.col(f"a.{c}") for c in names),
+        F.coalesce("b.value", F.lit(0.0)).alias("value"),
+    )
 
 
 def cell_key(seed: int) -> Column:
-    return F.concat_ws("|", F.lit(str(seed)), "query_name", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ("c0", "c1", "c2")))
+    return F.concat_ws(
+        "|",
+        F.lit(str(seed)),
+        "query_name",
+        *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ("c0", "c1", "c2")),
+    )
 
 
 def released(dense: DataFrame, sigma: float | Mapping[str, float], seed: int) -> DataFrame:
@@ -121,7 +133,10 @@ def registry_chain2(parent: str, p_attrs: Sequence[str], child: str, c_attrs: Se
     """Released objects of parent <- child, by the table they are counted over."""
     p, c = (lambda a: f"{parent}__{a}"), (lambda a: f"{child}__{a}")
     return {
-        "parent": [*(Marginal(f"P_{a}", (p(a),)) for a in p_attrs), *(Marginal(f"PP_{a}_{b}", (p(a), p(b))) for a, b in pairs)],
+        "parent": [
+            *(Marginal(f"P_{a}", (p(a),)) for a in p_attrs),
+            *(Marginal(f"PP_{a}_{b}", (p(a), p(b))) for a, b in pairs),
+        ],
         "child": [
             *(Marginal(f"C_{b}", (c(b),)) for b in c_attrs),
             *(Marginal(f"PC_{a}_{b}", (p(a), c(b))) for a in p_attrs for b in c_attrs),
@@ -139,8 +154,14 @@ def registry_chain3(
             *(Marginal(f"T_{a}", (t(a),)) for a in top),
             *(Marginal(f"TT_{a}_{c}", (t(a), t(c))) for i, a in enumerate(top) for c in top[i + 1 :]),
         ],
-        "mid": [*(Marginal(f"M_{a}", (m(a),)) for a in mid), *(Marginal(f"TM_{a}_{c}", (t(a), m(c))) for a in top for c in mid)],
-        "bot": [*(Marginal(f"B_{a}", (b(a),)) for a in bot), *(Marginal(f"MB_{a}_{c}", (m(a), b(c))) for a in mid for c in bot)],
+        "mid": [
+            *(Marginal(f"M_{a}", (m(a),)) for a in mid),
+            *(Marginal(f"TM_{a}_{c}", (t(a), m(c))) for a in top for c in mid),
+        ],
+        "bot": [
+            *(Marginal(f"B_{a}", (b(a),)) for a in bot),
+            *(Marginal(f"MB_{a}_{c}", (m(a), b(c))) for a in mid for c in bot),
+        ],
         "cross": [Marginal(f"TB_{a}_{c}", (t(a), b(c))) for a in top for c in bot] if cross else [],
     }
 

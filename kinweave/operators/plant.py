@@ -32,7 +32,10 @@ def with_class_counts(df: DataFrame, key: str, classes: list[str], new: str, old
     surplus = (F.col(new) == (F.col("__d") > 0).cast("int")) & (F.col("__d") != 0)
     ranked = shuffled_rank(off.withColumn("__c", surplus.cast("int")), key, seed, f"swap {new}", [*classes, "__c"])
     flip = (F.col("__c") == 1) & (F.col("__rank") < F.abs("__d"))
-    return ranked.withColumn(new, F.when(flip, 1 - F.col(new)).otherwise(F.col(new)).cast("int")).drop("__a", "__b", "__d", "__c", "__rank")
+    return ranked.withColumn(
+        new,
+        F.when(flip, 1 - F.col(new)).otherwise(F.col(new)).cast("int"),
+    ).drop("__a", "__b", "__d", "__c", "__rank")
 
 
 def plant_chain(
@@ -59,15 +62,26 @@ def plant_star(
     df = wide.withColumn(out, bit)
     cells = {
         (r[0], r[1]): (r["n"], r["a"], r["b"])
-        for r in df.groupBy(x1, x2).agg(F.count(F.lit(1)).alias("n"), F.sum(out).alias("a"), F.sum(old).alias("b")).collect()
+        for r in df.groupBy(x1, x2).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(out).alias("a"),
+            F.sum(old).alias("b"),
+        ).collect()
     }
-    goal = projected({k: v[0] for k, v in cells.items()}, {k: v[1] for k, v in cells.items()}, {k: v[2] for k, v in cells.items()})
+    goal = projected(
+        {k: v[0] for k, v in cells.items()},
+        {k: v[1] for k, v in cells.items()},
+        {k: v[2] for k, v in cells.items()},
+    )
     moves = F.create_map(*(F.lit(x) for k, v in cells.items() for x in (k[0] * 2 + k[1], v[1] - goal[k])))
     off = df.withColumn("__d", moves[F.col(x1) * 2 + F.col(x2)])
     surplus = (F.col(out) == (F.col("__d") > 0).cast("int")) & (F.col("__d") != 0)
     ranked = shuffled_rank(off.withColumn("__c", surplus.cast("int")), key, seed, f"cells {out}", [x1, x2, "__c"])
     flip = (F.col("__c") == 1) & (F.col("__rank") < F.abs("__d"))
-    return ranked.withColumn(out, F.when(flip, 1 - F.col(out)).otherwise(F.col(out)).cast("int")).drop("__d", "__c", "__rank")
+    return ranked.withColumn(
+        out,
+        F.when(flip, 1 - F.col(out)).otherwise(F.col(out)).cast("int"),
+    ).drop("__d", "__c", "__rank")
 
 
 def projected(rows: dict[tuple[int, int], int], ones: dict[tuple[int, int], int], old: dict[tuple[int, int], int]) -> dict[tuple[int, int], int]:
@@ -110,7 +124,10 @@ def segment_plant(customers: DataFrame, key: str, nation: str, segments: int, sh
     """A segment that follows nation modulo `segments` on a share of the rows, and is drawn alike on the others."""
     follows = bits(seed, "segment", F.col(key)) < F.lit(int(share * (1 << 52)))
     free = F.floor(uniform(seed, "free", F.col(key)) * segments)
-    return customers.withColumn(out, F.when(follows, F.pmod(F.col(nation), F.lit(segments))).otherwise(free).cast("int"))
+    return customers.withColumn(
+        out,
+        F.when(follows, F.pmod(F.col(nation), F.lit(segments))).otherwise(free).cast("int"),
+    )
 
 
 def even_quota(total: int, parts: int) -> list[int]:

@@ -76,7 +76,10 @@ def draw(df: DataFrame, key: str, out: str, base: np.ndarray, lifts: Mapping[str
         table = df.sparkSession.createDataFrame(rows, ", ".join([*(f"{n} int" for n in names), "__cdf array<double>"]))
         same = [F.col(c) == F.col(n) for c, n in zip(lifts, names, strict=True)]
         # A table made here has no statistics; at most TUPLES rows go to every task.
-        return df.join(F.broadcast(table), reduce(Column.__and__, same)).withColumn(out, inverse(F.col("__cdf"), u)).drop("__cdf", *names)
+        return df.join(
+            F.broadcast(table),
+            reduce(Column.__and__, same),
+        ).withColumn(out, inverse(F.col("__cdf"), u)).drop("__cdf", *names)
     weights = numbers(base)
     for c, x in lifts.items():
         row = F.element_at(numbers(x), F.col(c).cast("int") + 1)
@@ -102,14 +105,21 @@ def linked(children_: DataFrame, key: str, weighted: DataFrame, parent: str, wei
     dealt = weighted.filter(F.col(weight) > 0).withColumn("__cell", F.pmod(F.xxhash64(parent), F.lit(64)))
     sums = dealt.groupBy("__cell").agg(F.sum(weight).alias("__m"))
     before = Window.partitionBy(F.lit(0)).orderBy("__cell")
-    sums = sums.select("__cell", F.sum("__m").over(before).alias("__top"), "__m", F.sum("__m").over(Window.partitionBy(F.lit(0))).alias("__all"))
+    sums = sums.select(
+        "__cell",
+        F.sum("__m").over(before).alias("__top"),
+        "__m",
+        F.sum("__m").over(Window.partitionBy(F.lit(0))).alias("__all"),
+    )
     own = Window.partitionBy("__cell").orderBy(parent)
     placed = dealt.withColumn("__run", F.sum(weight).over(own)).join(sums, "__cell")
     hi = (F.col("__top") - F.col("__m") + F.col("__run")) / F.col("__all")
     lo = hi - F.col(weight) / F.col("__all")
     placed = placed.select(
         F.col(parent).alias(fk), lo.alias("__lo"), hi.alias("__hi"),
-        F.explode(F.sequence(F.floor(lo * ranges).cast("int"), F.least(F.floor(hi * ranges), F.lit(ranges - 1)).cast("int"))).alias("__b"),
+        F.explode(
+            F.sequence(F.floor(lo * ranges).cast("int"), F.least(F.floor(hi * ranges), F.lit(ranges - 1)).cast("int")),
+        ).alias("__b"),
     )
     u = uniform(seed, "link", F.col(key))
     drawn = children_.withColumn("__u", u).withColumn("__b", F.floor(u * ranges).cast("int"))
@@ -133,6 +143,9 @@ def bootstrap(df: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
     own = Window.partitionBy(F.lit(0)).orderBy(key)
     numbered = df.withColumn("__r", F.row_number().over(own) - 1)
     n = df.count()
-    slots = df.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("__s"))
+    slots = df.sparkSession.range(replicates).select(
+        F.col("id").alias("replicate"),
+        F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("__s"),
+    )
     drawn = slots.withColumn("__r", F.pmod(bits(seed, "boot", F.col("replicate"), F.col("__s")), F.lit(max(n, 1))))
     return drawn.join(numbered, "__r").drop("__r", "__s")

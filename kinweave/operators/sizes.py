@@ -112,5 +112,11 @@ def gini(df: DataFrame, value: str = "n") -> DataFrame:
     blocks = blocks.withColumn("b", F.coalesce(F.sum("c").over(before), F.lit(0)))
     # Ranks of a block are b + 1 to b + c; their sum is c b + c (c + 1) / 2.
     ranks = F.col("c") * F.col("b") + F.col("c") * (F.col("c") + 1) / 2
-    sums = blocks.agg(F.sum(F.col("v") * ranks).alias("iv"), F.sum(F.col("v") * F.col("c")).alias("s"), F.sum("c").alias("n"))
-    return sums.select(F.try_divide(2 * F.col("iv") - (F.col("n") + 1) * F.col("s"), F.col("n") * F.col("s")).alias("gini"))
+    sums = blocks.agg(
+        F.sum(F.col("v") * ranks).alias("iv"),
+        F.sum(F.col("v") * F.col("c")).alias("s"),
+        F.sum("c").alias("n"),
+    )
+    return sums.select(
+        F.try_divide(2 * F.col("iv") - (F.col("n") + 1) * F.col("s"), F.col("n") * F.col("s")).alias("gini"),
+    )

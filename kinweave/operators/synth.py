@@ -72,7 +72,10 @@ def add_sizes(df: DataFrame, key: str, rel: Release, child: str, parent: str, op
         joint = x / max(x.sum(), 1e-300)
         lifts[column(parent, a)] = snr_shrunk(lift(joint, joint.sum(axis=1), joint.sum(axis=0)), x, sigma)
     df = draw(df, key, "__bin", base, lifts, seed + 1)
-    df = df.withColumn("size", F.element_at(F.array(*map(F.lit, reps.tolist())), F.col("__bin") + 1).cast("long")).drop("__bin")
+    df = df.withColumn(
+        "size",
+        F.element_at(F.array(*map(F.lit, reps.tolist())), F.col("__bin") + 1).cast("long"),
+    ).drop("__bin")
     total = rel.totals.get(child)
     if total is None:
         return df
@@ -122,7 +125,10 @@ def to_total(df: DataFrame, key: str, rel: Release, child: str, parent: str, tot
     plan = spark.createDataFrame([tuple(map(int, x)) for x in steps], ", ".join(f"{n} long" for n in names))
     ranked = shuffled_rank(df, key, 0, f"total {child}", [*group, "size"])
     # One row for each class of size, at most the quota attribute's domain times the number of bins.
-    return ranked.join(F.broadcast(plan), [*group, "size"]).withColumn("size", F.col("__low") + (F.col("__rank") < F.col("__more")).cast("long")).drop("__low", "__more", "__rank")
+    return ranked.join(F.broadcast(plan), [*group, "size"]).withColumn(
+        "size",
+        F.col("__low") + (F.col("__rank") < F.col("__more")).cast("long"),
+    ).drop("__low", "__more", "__rank")
 
 
 def repaired(df: DataFrame, key: str, rel: Release, role: str, total: int | None) -> DataFrame:
@@ -149,12 +155,29 @@ def fitted_leaf(df: DataFrame, key: str, rel: Release, roles: list[str], options
         base = normalised(rel.one[leaf, a])
         rows = sum(r["n"] for r in occupied)
         cells = {(*(r[c] for c in columns), v): r["n"] * base[v] for r in occupied for v in range(size) if base[v] > 0}
-        targets = [((i, len(pairs)), {(x, v): rows * p for x, line in enumerate(normalised(rel.joint[k, (leaf, a)])) for v, p in enumerate(line)}) for i, k in enumerate(pairs)]
+        targets = [
+            (
+                (i, len(pairs)),
+                {(x, v): rows * p for x, line in enumerate(normalised(rel.joint[k, (leaf, a)])) for v, p in enumerate(line)},
+            ) for i,
+            k in enumerate(pairs)
+        ]
         targets.append(((len(pairs),), {(v,): rows * base[v] for v in range(size)}))
         done = ipf(cells, targets)
-        table = [(*(int(r[c]) for c in columns), np.cumsum(normalised([done.get((*(r[c] for c in columns), v), 0.0) for v in range(size)])).tolist()) for r in occupied]
-        cdfs = df.sparkSession.createDataFrame(table, ", ".join([*(f"{c} int" for c in columns), "__cdf array<double>"]))
-        df = df.join(cdfs, columns).withColumn(column(leaf, a), inverse(F.col("__cdf"), uniform(seed, f"ipf {a}", F.col(key)))).drop("__cdf")
+        table = [
+            (
+                *(int(r[c]) for c in columns),
+                np.cumsum(normalised([done.get((*(r[c] for c in columns), v), 0.0) for v in range(size)])).tolist(),
+            ) for r in occupied
+        ]
+        cdfs = df.sparkSession.createDataFrame(
+            table,
+            ", ".join([*(f"{c} int" for c in columns), "__cdf array<double>"]),
+        )
+        df = df.join(cdfs, columns).withColumn(
+            column(leaf, a),
+            inverse(F.col("__cdf"), uniform(seed, f"ipf {a}", F.col(key))),
+        ).drop("__cdf")
     return df
 
 
@@ -201,8 +224,30 @@ def synthesize_star(spark: SparkSession, rel: Release, options: Options | None =
         r.name: rel.totals.get(r.name) or int(round(float(np.mean([rel.one[r.name, a].sum() for a in r.attrs]))))
         for r in (r1, r2)
     }
-    one = cut(add_attributes(spark.range(n[r1.name]).withColumnRenamed("id", r1.key), r1.key, rel, r1.name, [], options, seed, n[r1.name]))
-    two = cut(add_attributes(spark.range(n[r2.name]).withColumnRenamed("id", r2.key), r2.key, rel, r2.name, [], options, seed + 777, n[r2.name]))
+    one = cut(
+        add_attributes(
+            spark.range(n[r1.name]).withColumnRenamed("id", r1.key),
+            r1.key,
+            rel,
+            r1.name,
+            [],
+            options,
+            seed,
+            n[r1.name],
+        ),
+    )
+    two = cut(
+        add_attributes(
+            spark.range(n[r2.name]).withColumnRenamed("id", r2.key),
+            r2.key,
+            rel,
+            r2.name,
+            [],
+            options,
+            seed + 777,
+            n[r2.name],
+        ),
+    )
     known = [(r1.name, a) for a in r1.attrs]
     sized = add_sizes(one, r1.key, rel, ch.name, r1.name, options, seed, 1)
     fk1, fk2 = ch.parents[r1.name], ch.parents[r2.name]
@@ -223,7 +268,14 @@ def synthesize_star(spark: SparkSession, rel: Release, options: Options | None =
             df = df.withColumn("__cell", F.col(column(*ka)) * x.shape[1] + F.col(column(*kb)))
             df = draw(df, ch.key, column(ch.name, a), np.ones(x.shape[2]), {"__cell": cond}, seed).drop("__cell")
         else:
-            df = draw(df, ch.key, column(ch.name, a), rel.one[ch.name, a], {column(*k): x for k in known if (x := pair_lift(rel, k, (ch.name, a))) is not None}, seed)
+            df = draw(
+                df,
+                ch.key,
+                column(ch.name, a),
+                rel.one[ch.name, a],
+                {column(*k): x for k in known if (x := pair_lift(rel, k, (ch.name, a))) is not None},
+                seed,
+            )
     df = cut(df)
     if "repair" in options:
         df = repaired(df, ch.key, rel, ch.name, None)

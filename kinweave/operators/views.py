@@ -39,11 +39,19 @@ def join_parent(
     orphan = F.col("__hit").isNull()
     if policy == "error":
         out = out.withColumn(
-            "__hit", F.when(orphan, F.raise_error(F.concat(F.lit(f"{fk} finds no parent: "), child[fk].cast("string")))).otherwise(F.col("__hit"))
+            "__hit", F.when(
+                orphan,
+                F.raise_error(F.concat(F.lit(f"{fk} finds no parent: "), child[fk].cast("string"))),
+            ).otherwise(F.col("__hit"))
         ).filter("__hit")
     elif policy == "zero":
         fills = {
-            c: F.when(orphan, F.lit(0)).otherwise(F.col(c)).cast(t) for c, t in parent.dtypes if t not in ("string", "date", "timestamp", "boolean")
+            c: F.when(orphan, F.lit(0)).otherwise(F.col(c)).cast(t) for c, t in parent.dtypes if t not in (
+                "string",
+                "date",
+                "timestamp",
+                "boolean",
+            )
         }
         out = out.withColumns(fills)
     else:
@@ -51,7 +59,9 @@ def join_parent(
         order = F.min_by if policy == "first" else F.max_by
         row = parent.agg(order(F.struct(*parent.columns), F.col(pk)).alias("__p"))
         out = out.join(row, F.lit(True), "left")
-        out = out.withColumns({c: F.when(orphan, F.col(f"__p.{c}")).otherwise(F.col(c)) for c in parent.columns}).drop("__p")
+        out = out.withColumns(
+            {c: F.when(orphan, F.col(f"__p.{c}")).otherwise(F.col(c)) for c in parent.columns},
+        ).drop("__p")
     out = out.withColumn(flag, orphan) if flag else out
     return out.drop("__hit")
 

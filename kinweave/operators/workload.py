@@ -96,7 +96,13 @@ def condition(query: CountQuery) -> Column:
 def count_one(schema: Schema, tables: Mapping[str, DataFrame], query: CountQuery, policy: str = "drop") -> DataFrame:
     """One row, column answer; joins only the roles that the query names, filters what they scan."""
     wanted = [(r, a) for r, a, _ in query.conditions]
-    return view(schema, tables, query.role, wanted, policy).filter(condition(query)).agg(F.count(F.lit(1)).alias("answer"))
+    return view(
+        schema,
+        tables,
+        query.role,
+        wanted,
+        policy,
+    ).filter(condition(query)).agg(F.count(F.lit(1)).alias("answer"))
 
 
 def answer(schema: Schema, tables: Mapping[str, DataFrame], queries: Iterable[CountQuery], policy: str = "drop") -> DataFrame:
@@ -112,9 +118,19 @@ def answer(schema: Schema, tables: Mapping[str, DataFrame], queries: Iterable[Co
         cube = view(schema, tables, role, wanted, policy).groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
         for at in range(0, len(mine), CHUNK):
             lot = mine[at : at + CHUNK]
-            sums = [F.coalesce(F.sum(F.when(condition(q), F.col("__n"))), F.lit(0)).alias(f"q{i}") for i, q in enumerate(lot)]
+            sums = [
+                F.coalesce(F.sum(F.when(condition(q), F.col("__n"))), F.lit(0)).alias(f"q{i}") for i,
+                q in enumerate(lot)
+            ]
             rows = F.array(
-                *(F.struct(F.lit(q.cls).alias("cls"), F.lit(q.qid).alias("qid"), F.col(f"q{i}").alias("answer")) for i, q in enumerate(lot))
+                *(
+                    F.struct(
+                        F.lit(q.cls).alias("cls"),
+                        F.lit(q.qid).alias("qid"),
+                        F.col(f"q{i}").alias("answer"),
+                    ) for i,
+                    q in enumerate(lot)
+                )
             )
             parts.append(cube.agg(*sums).select(F.explode(rows).alias("r")).select("r.*"))
     return reduce(DataFrame.unionByName, parts)

@@ -88,11 +88,18 @@ def lineitem(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame
 
 def part(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = encode_sorted(_read(spark, sf_dir, "part"), "p_type", "PTYPE")
-    return df.select(F.col("p_partkey").alias("pkey"), "PTYPE", divided(F.col("p_size") - 1, 10.0, 0, 4).alias("PSIZEBIN"))
+    return df.select(
+        F.col("p_partkey").alias("pkey"),
+        "PTYPE",
+        divided(F.col("p_size") - 1, 10.0, 0, 4).alias("PSIZEBIN"),
+    )
 
 
 def supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("skey"), F.col("s_nationkey").alias("SNATION"))
+    return _read(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("skey"),
+        F.col("s_nationkey").alias("SNATION"),
+    )
 
 
 def tables(spark: SparkSession, sf_dir: str, schema: Schema, keyed: bool = False) -> dict[str, DataFrame]:

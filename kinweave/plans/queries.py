@@ -93,7 +93,10 @@ def enc_top_k_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.encode_top(_raw(spark, sf_dir, "customer"), "c_nationkey", "code", 16).select("c_custkey", "code")
 
 
-@register("enc_median_split", "SELECT o_orderkey, CAST(o_totalprice > (SELECT median(o_totalprice) FROM orders) AS INTEGER) AS code FROM orders")
+@register(
+    "enc_median_split",
+    "SELECT o_orderkey, CAST(o_totalprice > (SELECT median(o_totalprice) FROM orders) AS INTEGER) AS code FROM orders",
+)
 def enc_median_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.median_split(_raw(spark, sf_dir, "orders"), "o_totalprice", "code").select("o_orderkey", "code")
 
@@ -112,10 +115,16 @@ register("enc_quantile_right", _quantile_sql(">=", 3))(
 )
 
 
-@register("enc_case_bins", "SELECT p_partkey, CASE WHEN p_size >= 40 THEN 3 WHEN p_size >= 20 THEN 2 WHEN p_size >= 10 THEN 1 ELSE 0 END AS code FROM part")
+@register(
+    "enc_case_bins",
+    "SELECT p_partkey, CASE WHEN p_size >= 40 THEN 3 WHEN p_size >= 20 THEN 2 WHEN p_size >= 10 THEN 1 ELSE 0 END AS code FROM part",
+)
 def enc_case_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("p_size")
-    return _raw(spark, sf_dir, "part").select("p_partkey", E.cases([(x >= 10, 1), (x >= 20, 2), (x >= 40, 3)], 0).alias("code"))
+    return _raw(spark, sf_dir, "part").select(
+        "p_partkey",
+        E.cases([(x >= 10, 1), (x >= 20, 2), (x >= 40, 3)], 0).alias("code"),
+    )
 
 
 @register(
@@ -125,7 +134,12 @@ def enc_case_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def enc_date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     y, m = F.year("o_orderdate"), F.month("o_orderdate")
-    return _raw(spark, sf_dir, "orders").select("o_orderkey", y.alias("y"), m.alias("m"), E.first_of_month(y - 1995, m - 1, 1995).alias("first_day"))
+    return _raw(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        y.alias("y"),
+        m.alias("m"),
+        E.first_of_month(y - 1995, m - 1, 1995).alias("first_day"),
+    )
 
 
 @register(
@@ -133,17 +147,33 @@ def enc_date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT e.event_id, CASE e.event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS code FROM events e""",
 )
 def enc_na_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _raw(spark, sf_dir, "events").select("event_id", E.value_list(F.col("event_type"), ["click", "view"]).alias("code"))
+    return _raw(spark, sf_dir, "events").select(
+        "event_id",
+        E.value_list(F.col("event_type"), ["click", "view"]).alias("code"),
+    )
 
 
-@register("enc_lookup", "SELECT p_partkey, CASE least(greatest(p_size // 10, 0), 3) WHEN 0 THEN 7 WHEN 1 THEN 5 WHEN 2 THEN 3 ELSE 1 END AS code FROM part")
+@register(
+    "enc_lookup",
+    "SELECT p_partkey, CASE least(greatest(p_size // 10, 0), 3) WHEN 0 THEN 7 WHEN 1 THEN 5 WHEN 2 THEN 3 ELSE 1 END AS code FROM part",
+)
 def enc_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _raw(spark, sf_dir, "part").select("p_partkey", E.looked_up(F.floor(F.col("p_size") / 10), [7, 5, 3, 1]).alias("code"))
+    return _raw(spark, sf_dir, "part").select(
+        "p_partkey",
+        E.looked_up(F.floor(F.col("p_size") / 10), [7, 5, 3, 1]).alias("code"),
+    )
 
 
-@register("enc_cap_shift", "SELECT l_orderkey, l_linenumber, CAST(least(greatest(l_linenumber, 1), 4) - 1 AS INTEGER) AS code FROM lineitem")
+@register(
+    "enc_cap_shift",
+    "SELECT l_orderkey, l_linenumber, CAST(least(greatest(l_linenumber, 1), 4) - 1 AS INTEGER) AS code FROM lineitem",
+)
 def enc_cap_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _raw(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", E.capped_from_one(F.col("l_linenumber"), 4).alias("code"))
+    return _raw(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        E.capped_from_one(F.col("l_linenumber"), 4).alias("code"),
+    )
 
 
 @register(
@@ -152,7 +182,10 @@ def enc_cap_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def enc_flat_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = X.MID.attrs
-    return X.orders(spark, sf_dir).select("okey", E.flat_index([F.col(c) for c in a], [X.MID.sizes[c] for c in a]).alias("cell"))
+    return X.orders(spark, sf_dir).select(
+        "okey",
+        E.flat_index([F.col(c) for c in a], [X.MID.sizes[c] for c in a]).alias("cell"),
+    )
 
 
 @register(
@@ -168,15 +201,26 @@ def enc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("enc_list_parts", "SELECT p_partkey, string_split(p_name, ' ')[1] AS first_word, CAST(len(string_split(p_name, ' ')) AS INTEGER) AS n_words FROM part")
+@register(
+    "enc_list_parts",
+    "SELECT p_partkey, string_split(p_name, ' ')[1] AS first_word, CAST(len(string_split(p_name, ' ')) AS INTEGER) AS n_words FROM part",
+)
 def enc_list_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("p_name")
-    return _raw(spark, sf_dir, "part").select("p_partkey", E.first_part(x, " ").alias("first_word"), F.size(E.delimited(x, " ")).alias("n_words"))
+    return _raw(spark, sf_dir, "part").select(
+        "p_partkey",
+        E.first_part(x, " ").alias("first_word"),
+        F.size(E.delimited(x, " ")).alias("n_words"),
+    )
 
 
 @register("enc_dense_key", "SELECT c_custkey, row_number() OVER (ORDER BY c_name) - 1 AS dense FROM customer")
 def enc_dense_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.dense_keys(_raw(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_name"], "dense").select("c_custkey", "dense")
+    return V.dense_keys(
+        _raw(spark, sf_dir, "customer").select("c_custkey", "c_name"),
+        ["c_name"],
+        "dense",
+    ).select("c_custkey", "dense")
 
 
 # Views and joins ----------------------------------------------------------------------------------------------
@@ -186,28 +230,46 @@ _STAR_WIDE = "w AS (" + X.wide_sql(X.STAR, "lineitem") + ")"
 _DEEP_WIDE = "w AS (" + X.wide_sql(X.DEEP, "lineitem") + ")"
 
 
-@register("view_chain_counts", X.with_sql("SELECT customer__SEGMENT, orders__YEAR, lineitem__QBIN, count(*) AS n FROM w GROUP BY ALL", _CHAIN_WIDE))
+@register(
+    "view_chain_counts",
+    X.with_sql(
+        "SELECT customer__SEGMENT, orders__YEAR, lineitem__QBIN, count(*) AS n FROM w GROUP BY ALL",
+        _CHAIN_WIDE,
+    ),
+)
 def view_chain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.tables(spark, sf_dir, X.CHAIN)
     wide = V.view(X.CHAIN, t, "lineitem", [("customer", "SEGMENT"), ("orders", "YEAR"), ("lineitem", "QBIN")])
     return wide.groupBy(*wide.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("view_star_counts", X.with_sql("SELECT part__PTYPE, orders__PRIORITY, lineitem__RFLAG, count(*) AS n FROM w GROUP BY ALL", _STAR_WIDE))
+@register(
+    "view_star_counts",
+    X.with_sql("SELECT part__PTYPE, orders__PRIORITY, lineitem__RFLAG, count(*) AS n FROM w GROUP BY ALL", _STAR_WIDE),
+)
 def view_star_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.tables(spark, sf_dir, X.STAR)
     wide = V.view(X.STAR, t, "lineitem", [("part", "PTYPE"), ("orders", "PRIORITY"), ("lineitem", "RFLAG")])
     return wide.groupBy(*wide.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("view_star_b_counts", X.with_sql("SELECT supplier__SNATION, part__PSIZEBIN, lineitem__DBIN, count(*) AS n FROM w GROUP BY ALL", "w AS (" + X.wide_sql(X.STAR_B, "lineitem") + ")"))
+@register(
+    "view_star_b_counts",
+    X.with_sql(
+        "SELECT supplier__SNATION, part__PSIZEBIN, lineitem__DBIN, count(*) AS n FROM w GROUP BY ALL",
+        "w AS (" + X.wide_sql(X.STAR_B, "lineitem") + ")",
+    ),
+)
 def view_star_b_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.tables(spark, sf_dir, X.STAR_B)
     wide = V.view(X.STAR_B, t, "lineitem", [("supplier", "SNATION"), ("part", "PSIZEBIN"), ("lineitem", "DBIN")])
     return wide.groupBy(*wide.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("orphans_anti", "SELECT c_custkey AS ckey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)")
+@register(
+    "orphans_anti",
+    "SELECT c_custkey AS ckey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)",
+)
 def orphans_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.orphans(X.customer(spark, sf_dir), "ckey", _raw(spark, sf_dir, "events"), "user_id").select("ckey")
 
@@ -231,7 +293,10 @@ def orphan_policy_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fk_closure_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.tables(spark, sf_dir, X.CHAIN)
     kept = V.closure(X.CHAIN, t, {"customer": t["customer"].filter("NATION < 5")})
-    n = [kept[r].agg(F.count(F.lit(1)).alias(name)) for r, name in (("customer", "n_top"), ("orders", "n_mid"), ("lineitem", "n_bot"))]
+    n = [
+        kept[r].agg(F.count(F.lit(1)).alias(name)) for r,
+        name in (("customer", "n_top"), ("orders", "n_mid"), ("lineitem", "n_bot"))
+    ]
     return n[0].join(n[1], F.lit(True)).join(n[2], F.lit(True))
 
 
@@ -248,19 +313,34 @@ _SHARE = f"cast('0x' || substr(md5('3|share|' || pkey), 1, 13) as bigint) < {int
 )
 def star_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fit.subset_by_root(X.STAR, X.tables(spark, sf_dir, X.STAR, keyed=True), "part", 0.25, 3, redense=True)
-    counts = [t[r].agg(F.count(F.lit(1)).alias(n)) for r, n in (("part", "n_part"), ("lineitem", "n_line"), ("orders", "n_order"))]
-    last = t["lineitem"].agg(F.max("pkey").alias("last_line")).join(t["part"].agg(F.max("pkey").alias("last_part")), F.lit(True))
+    counts = [
+        t[r].agg(F.count(F.lit(1)).alias(n)) for r,
+        n in (("part", "n_part"), ("lineitem", "n_line"), ("orders", "n_order"))
+    ]
+    last = t["lineitem"].agg(F.max("pkey").alias("last_line")).join(
+        t["part"].agg(F.max("pkey").alias("last_part")),
+        F.lit(True),
+    )
     out = reduce(lambda a, b: a.join(b, F.lit(True)), [*counts, last])
     return out.select("n_part", "n_line", "n_order", "last_part")
 
 
-@register("common_keys", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+@register(
+    "common_keys",
+    "SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",
+)
 def common_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _raw(spark, sf_dir, "orders")
     return fit.common_keys([o.filter(F.col("o_orderstatus") == s) for s in X.STATUSES], ["o_custkey"])
 
 
-@register("denorm_signature", X.with_sql("SELECT row_number() OVER (ORDER BY customer__SEGMENT, orders__STATUS, orders__YEAR) - 1 AS signature, customer__SEGMENT, orders__STATUS, orders__YEAR, count(*) AS n_rows FROM w GROUP BY 2, 3, 4", _CHAIN_WIDE))
+@register(
+    "denorm_signature",
+    X.with_sql(
+        "SELECT row_number() OVER (ORDER BY customer__SEGMENT, orders__STATUS, orders__YEAR) - 1 AS signature, customer__SEGMENT, orders__STATUS, orders__YEAR, count(*) AS n_rows FROM w GROUP BY 2, 3, 4",
+        _CHAIN_WIDE,
+    ),
+)
 def denorm_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.tables(spark, sf_dir, X.CHAIN)
     cols = [("customer", "SEGMENT"), ("orders", "STATUS"), ("orders", "YEAR")]
@@ -279,9 +359,17 @@ def slot_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.slots(c, "c_custkey", o, "o_custkey", ["o_orderkey"], 5)
 
 
-@register("bucket_split", "SELECT c_custkey, CAST((row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 4 AS BIGINT) AS bucket FROM customer")
+@register(
+    "bucket_split",
+    "SELECT c_custkey, CAST((row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 4 AS BIGINT) AS bucket FROM customer",
+)
 def bucket_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.bucketed(_raw(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey"], ["c_custkey"], 4).select("c_custkey", "bucket")
+    return V.bucketed(
+        _raw(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"),
+        ["c_nationkey"],
+        ["c_custkey"],
+        4,
+    ).select("c_custkey", "bucket")
 
 
 # Count queries ------------------------------------------------------------------------------------------------
@@ -292,7 +380,12 @@ _EXAMPLES = {
     "q_0hop_bot": (X.CHAIN, _CHAIN_WIDE, "lineitem", [("lineitem", "QBIN", (0, 3))]),
     "q_1hop_topmid": (X.CHAIN, _CHAIN_WIDE, "orders", [("customer", "SEGMENT", (1, 3)), ("orders", "YEAR", (0, 2, 5))]),
     "q_1hop_midbot": (X.CHAIN, _CHAIN_WIDE, "lineitem", [("orders", "PRIORITY", (0, 1)), ("lineitem", "DBIN", (2,))]),
-    "q_2hop_topbot": (X.CHAIN, _CHAIN_WIDE, "lineitem", [("customer", "NATION", (3, 9, 11)), ("lineitem", "RFLAG", (2,))]),
+    "q_2hop_topbot": (
+        X.CHAIN,
+        _CHAIN_WIDE,
+        "lineitem",
+        [("customer", "NATION", (3, 9, 11)), ("lineitem", "RFLAG", (2,))],
+    ),
     "q_0hop_r1": (X.STAR, _STAR_WIDE, "part", [("part", "PTYPE", (0, 4))]),
     "q_0hop_r2": (X.STAR, _STAR_WIDE, "orders", [("orders", "STATUS", (1,))]),
     "q_0hop_c": (X.STAR, _STAR_WIDE, "lineitem", [("lineitem", "RFLAG", (0, 1))]),
@@ -302,7 +395,12 @@ _EXAMPLES = {
     "q_3hop": (X.DEEP, _DEEP_WIDE, "lineitem", [("nation", "NCODE", (0, 4, 8, 12)), ("lineitem", "QBIN", (1,))]),
     "q_3hop_disc": (X.DEEP, _DEEP_WIDE, "lineitem", [("region", "RNAME", (1, 2)), ("lineitem", "DBIN", (0, 3))]),
     "q_2hop_cn": (X.DEEP, _DEEP_WIDE, "orders", [("nation", "NCODE", (5, 6)), ("orders", "YEAR", (1, 2, 3))]),
-    "q_2hop_seg": (X.DEEP, _DEEP_WIDE, "lineitem", [("customer", "SEGMENT", (0, 2)), ("orders", "STATUS", (0,)), ("lineitem", "LSTATUS", (1,))]),
+    "q_2hop_seg": (
+        X.DEEP,
+        _DEEP_WIDE,
+        "lineitem",
+        [("customer", "SEGMENT", (0, 2)), ("orders", "STATUS", (0,)), ("lineitem", "LSTATUS", (1,))],
+    ),
 }
 
 
@@ -330,12 +428,31 @@ def _batch_sql(schema, queries: list[W.CountQuery]) -> str:
 _CHAIN_BATCH = batch(X.CHAIN, W.chain_classes("customer", "orders", "lineitem"), 30)
 _STAR_BATCH = batch(X.STAR, W.star_classes("part", "lineitem", "orders"), 30)
 _DEEP_BATCH = batch(X.DEEP, W.deep_classes("nation", "customer", "orders", "lineitem"), 15)
-register("q_batch_chain", _batch_sql(X.CHAIN, _CHAIN_BATCH))(lambda s, d: W.answer(X.CHAIN, X.tables(s, d, X.CHAIN), _CHAIN_BATCH))
-register("q_batch_star", _batch_sql(X.STAR, _STAR_BATCH))(lambda s, d: W.answer(X.STAR, X.tables(s, d, X.STAR), _STAR_BATCH))
-register("q_batch_deep", _batch_sql(X.DEEP, _DEEP_BATCH))(lambda s, d: W.answer(X.DEEP, X.tables(s, d, X.DEEP), _DEEP_BATCH))
+register("q_batch_chain", _batch_sql(X.CHAIN, _CHAIN_BATCH))(
+    lambda s,
+    d: W.answer(X.CHAIN, X.tables(s, d, X.CHAIN), _CHAIN_BATCH),
+)
+register("q_batch_star", _batch_sql(X.STAR, _STAR_BATCH))(
+    lambda s,
+    d: W.answer(X.STAR, X.tables(s, d, X.STAR), _STAR_BATCH),
+)
+register("q_batch_deep", _batch_sql(X.DEEP, _DEEP_BATCH))(
+    lambda s,
+    d: W.answer(X.DEEP, X.tables(s, d, X.DEEP), _DEEP_BATCH),
+)
 
-_WIDE_BATCH = W.generate(X.CHAIN, {"2hop": ("lineitem", ["customer", "lineitem"]), "1hop": ("lineitem", ["orders", "lineitem"]), "0hop": ("orders", ["orders"])}, 20, 7, 10, 2)
-register("q_batch_two_attrs", _batch_sql(X.CHAIN, _WIDE_BATCH))(lambda s, d: W.answer(X.CHAIN, X.tables(s, d, X.CHAIN), _WIDE_BATCH))
+_WIDE_BATCH = W.generate(
+    X.CHAIN,
+    {"2hop": ("lineitem", ["customer", "lineitem"]), "1hop": ("lineitem", ["orders", "lineitem"]), "0hop": ("orders", ["orders"])},
+    20,
+    7,
+    10,
+    2,
+)
+register("q_batch_two_attrs", _batch_sql(X.CHAIN, _WIDE_BATCH))(
+    lambda s,
+    d: W.answer(X.CHAIN, X.tables(s, d, X.CHAIN), _WIDE_BATCH),
+)
 
 #: A stand-in for a synthetic database: the orders whose key's hash falls into the first half.
 _HALF_SQL = f"cast('0x' || substr(md5('half|' || CAST(okey AS VARCHAR)), 1, 13) as bigint) < {1 << 51}"
@@ -349,7 +466,10 @@ def _errors_sql(body: str) -> str:
     roles = dict.fromkeys(q.role for q in _CHAIN_BATCH)
     real = ", ".join(f"w_{r} AS (" + X.wide_sql(X.CHAIN, r) + ")" for r in roles)
     half = f"half_ AS (SELECT * FROM orders_ WHERE {_HALF_SQL}), " + ", ".join(
-        f"v_{r} AS (" + X.wide_sql(X.CHAIN, r).replace("FROM orders_", "FROM half_ orders_").replace("JOIN orders_", "JOIN half_ orders_") + ")" for r in roles
+        f"v_{r} AS (" + X.wide_sql(X.CHAIN, r).replace(
+            "FROM orders_",
+            "FROM half_ orders_",
+        ).replace("JOIN orders_", "JOIN half_ orders_") + ")" for r in roles
     )
     a = " UNION ALL ".join(W.sql_of(q, f"w_{q.role}") for q in _CHAIN_BATCH)
     b = " UNION ALL ".join(W.sql_of(q, f"v_{q.role}") for q in _CHAIN_BATCH)
@@ -366,7 +486,12 @@ def re_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.withColumn("re", F.round("re", 9))
 
 
-@register("re_by_class", _errors_sql("SELECT cls, count(*) AS n, count(*) FILTER (real >= 50) AS n_large, round(median(re), 9) AS median_re, round(median(re) FILTER (real >= 50), 9) AS median_re_large FROM e GROUP BY cls"))
+@register(
+    "re_by_class",
+    _errors_sql(
+        "SELECT cls, count(*) AS n, count(*) FILTER (real >= 50) AS n_large, round(median(re), 9) AS median_re, round(median(re) FILTER (real >= 50), 9) AS median_re_large FROM e GROUP BY cls",
+    ),
+)
 def re_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = W.error_medians(re_rows(spark, sf_dir))
     return m.select("cls", "n", "n_large", rounded("median_re", 9), rounded("median_re_large", 9))
@@ -378,19 +503,43 @@ _ORDER_SIZES = "s AS (SELECT c_custkey, c_nationkey, count(o_orderkey) AS n FROM
 _LINE_SIZES = "s AS (SELECT o_orderkey, o_orderstatus, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)"
 
 
-@register("size_hist_capped", f"WITH {_LINE_SIZES} SELECT CAST(least(n, 8) AS INTEGER) AS size, count(*) AS groups FROM s WHERE n > 0 GROUP BY 1")
+@register(
+    "size_hist_capped",
+    f"WITH {_LINE_SIZES} SELECT CAST(least(n, 8) AS INTEGER) AS size, count(*) AS groups FROM s WHERE n > 0 GROUP BY 1",
+)
 def size_hist_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.size_histogram(X.orders(spark, sf_dir), "okey", X.lineitem(spark, sf_dir), "okey", tau=TAU_LINES)
 
 
-@register("size_hist_zero_bin", f"WITH {_LINE_SIZES} SELECT CAST(least(n, 8) AS INTEGER) AS size, count(*) AS groups FROM s GROUP BY 1")
+@register(
+    "size_hist_zero_bin",
+    f"WITH {_LINE_SIZES} SELECT CAST(least(n, 8) AS INTEGER) AS size, count(*) AS groups FROM s GROUP BY 1",
+)
 def size_hist_zero_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.size_histogram(X.orders(spark, sf_dir), "okey", X.lineitem(spark, sf_dir), "okey", tau=TAU_LINES, zeros=True)
+    return S.size_histogram(
+        X.orders(spark, sf_dir),
+        "okey",
+        X.lineitem(spark, sf_dir),
+        "okey",
+        tau=TAU_LINES,
+        zeros=True,
+    )
 
 
-@register("size_by_attr", f"WITH {_ORDER_SIZES} SELECT c_nationkey AS NATION, CAST(least(n, 15) AS INTEGER) AS size, count(*) AS groups FROM s GROUP BY ALL")
+@register(
+    "size_by_attr",
+    f"WITH {_ORDER_SIZES} SELECT c_nationkey AS NATION, CAST(least(n, 15) AS INTEGER) AS size, count(*) AS groups FROM s GROUP BY ALL",
+)
 def size_by_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.size_histogram(X.customer(spark, sf_dir), "ckey", X.orders(spark, sf_dir), "ckey", "NATION", TAU_ORDERS, zeros=True)
+    return S.size_histogram(
+        X.customer(spark, sf_dir),
+        "ckey",
+        X.orders(spark, sf_dir),
+        "ckey",
+        "NATION",
+        TAU_ORDERS,
+        zeros=True,
+    )
 
 
 @register(
@@ -406,7 +555,11 @@ def size_tau_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
         return S.group_sizes(df, fk).agg(tau.alias("tau")).select(F.lit(level).alias("level"), "tau")
 
     li = X.lineitem(spark, sf_dir)
-    return one("orders", X.orders(spark, sf_dir), "ckey").union(one("lineitem", li, "okey")).union(one("part", li, "pkey"))
+    return one(
+        "orders",
+        X.orders(spark, sf_dir),
+        "ckey",
+    ).union(one("lineitem", li, "okey")).union(one("part", li, "pkey"))
 
 
 _GEO, _ = geometric_bins(60, 12)
@@ -418,23 +571,42 @@ def _bins_sql(edges: list[int]) -> str:
     return f"WITH s AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT greatest({passed} - 1, 0) AS size, count(*) AS groups FROM s GROUP BY 1"
 
 
-register("size_bins_geo", _bins_sql(_GEO))(lambda s, d: S.size_histogram(X.part(s, d), "pkey", X.lineitem(s, d), "pkey", edges=_GEO))
-register("size_bins_hybrid", _bins_sql(_HYBRID))(lambda s, d: S.size_histogram(X.part(s, d), "pkey", X.lineitem(s, d), "pkey", edges=_HYBRID))
+register("size_bins_geo", _bins_sql(_GEO))(
+    lambda s,
+    d: S.size_histogram(X.part(s, d), "pkey", X.lineitem(s, d), "pkey", edges=_GEO),
+)
+register("size_bins_hybrid", _bins_sql(_HYBRID))(
+    lambda s,
+    d: S.size_histogram(X.part(s, d), "pkey", X.lineitem(s, d), "pkey", edges=_HYBRID),
+)
 
 
-@register("size_mean", "SELECT round(avg(n), 6) AS mean_size, max(n) AS max_size, median(n) AS median_size FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")
+@register(
+    "size_mean",
+    "SELECT round(avg(n), 6) AS mean_size, max(n) AS max_size, median(n) AS median_size FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)",
+)
 def size_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = S.group_sizes(X.orders(spark, sf_dir), "ckey")
-    return g.agg(F.round(F.avg("n"), 6).alias("mean_size"), F.max("n").alias("max_size"), F.median("n").alias("median_size"))
+    return g.agg(
+        F.round(F.avg("n"), 6).alias("mean_size"),
+        F.max("n").alias("max_size"),
+        F.median("n").alias("median_size"),
+    )
 
 
-@register("truncated_groups", "SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 5")
+@register(
+    "truncated_groups",
+    "SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 5",
+)
 def truncated_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _raw(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return S.truncated(o, "o_custkey", ["o_orderkey"], 5).select("o_orderkey")
 
 
-@register("gini", "SELECT round((2 * sum(i * n) - (count(*) + 1) * sum(n)) / (count(*) * sum(n)), 9) AS gini FROM (SELECT n, row_number() OVER (ORDER BY n) AS i FROM (SELECT count(*) AS n FROM events GROUP BY user_id))")
+@register(
+    "gini",
+    "SELECT round((2 * sum(i * n) - (count(*) + 1) * sum(n)) / (count(*) * sum(n)), 9) AS gini FROM (SELECT n, row_number() OVER (ORDER BY n) AS i FROM (SELECT count(*) AS n FROM events GROUP BY user_id))",
+)
 def gini(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.gini(S.group_sizes(_raw(spark, sf_dir, "events"), "user_id")).select(F.round("gini", 9).alias("gini"))
 
@@ -480,7 +652,10 @@ _MID_JOINED = "w AS (SELECT * FROM orders_ o JOIN z1 USING (ckey) JOIN customer_
 
 def _cells(df: DataFrame, *names: str) -> DataFrame:
     """One marginal's cells under the attributes' names."""
-    return df.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)), F.round("value", M.DECIMALS).alias("value"))
+    return df.select(
+        *(F.col(f"c{i}").alias(n) for i, n in enumerate(names)),
+        F.round("value", M.DECIMALS).alias("value"),
+    )
 
 
 def weighted(spark: SparkSession, sf_dir: str, both: bool = False, rows: bool = False) -> dict[str, DataFrame]:
@@ -506,19 +681,48 @@ def marginal(name: str, role: str, columns: tuple[tuple[str, str], ...], weight:
 
 
 def _m_sql(attrs: str, weight: str, more: str, source: str = "w") -> str:
-    return X.with_sql(f"SELECT {attrs}, round(sum({weight}), 6) AS value FROM {source} GROUP BY ALL", more) if more else X.with_sql(f"SELECT {attrs}, round(sum({weight}), 6) AS value FROM {source} GROUP BY ALL")
+    return X.with_sql(
+        f"SELECT {attrs}, round(sum({weight}), 6) AS value FROM {source} GROUP BY ALL",
+        more,
+    ) if more else X.with_sql(f"SELECT {attrs}, round(sum({weight}), 6) AS value FROM {source} GROUP BY ALL")
 
 
 _C, _O, _L = "customer", "orders", "lineitem"
 marginal("m_top1", _C, ((_C, "NATION"),), False, _m_sql("NATION", "1.0::DOUBLE", "", "customer_"))
-marginal("m_top2", _C, ((_C, "NATION"), (_C, "SEGMENT")), False, _m_sql("NATION, SEGMENT", "1.0::DOUBLE", "", "customer_"))
+marginal(
+    "m_top2",
+    _C,
+    ((_C, "NATION"), (_C, "SEGMENT")),
+    False,
+    _m_sql("NATION, SEGMENT", "1.0::DOUBLE", "", "customer_"),
+)
 marginal("m_mid1_w", _O, ((_O, "YEAR"),), True, _m_sql("YEAR", "w1", f"{_W1}, {_MID_JOINED}"))
 marginal("m_tm_w", _O, ((_C, "SEGMENT"), (_O, "YEAR")), True, _m_sql("SEGMENT, YEAR", "w1", f"{_W1}, {_MID_JOINED}"))
 marginal("m_bot1_w", _L, ((_L, "QBIN"),), True, _m_sql("QBIN", "w2", f"{_W1}, {_W2}, {_JOINED}"))
 marginal("m_mb_w", _L, ((_O, "STATUS"), (_L, "QBIN")), True, _m_sql("STATUS, QBIN", "w2", f"{_W1}, {_W2}, {_JOINED}"))
-marginal("m_tb_inner", _L, ((_C, "NATION"), (_L, "QBIN")), True, _m_sql("NATION, QBIN", "w2", f"{_W1}, {_W2}, {_JOINED}"))
-marginal("m_tb_both", _L, ((_C, "NATION"), (_L, "QBIN")), True, _m_sql("NATION, QBIN", "w12", f"{_W1}, {_W2}, {_JOINED}"), both=True)
-marginal("m_rowleaf", _L, ((_O, "STATUS"), (_L, "RFLAG")), True, _m_sql("STATUS, RFLAG", "1.0::DOUBLE", f"{_W1}, {_W2}, {_JOINED}"), rows=True)
+marginal(
+    "m_tb_inner",
+    _L,
+    ((_C, "NATION"), (_L, "QBIN")),
+    True,
+    _m_sql("NATION, QBIN", "w2", f"{_W1}, {_W2}, {_JOINED}"),
+)
+marginal(
+    "m_tb_both",
+    _L,
+    ((_C, "NATION"), (_L, "QBIN")),
+    True,
+    _m_sql("NATION, QBIN", "w12", f"{_W1}, {_W2}, {_JOINED}"),
+    both=True,
+)
+marginal(
+    "m_rowleaf",
+    _L,
+    ((_O, "STATUS"), (_L, "RFLAG")),
+    True,
+    _m_sql("STATUS, RFLAG", "1.0::DOUBLE", f"{_W1}, {_W2}, {_JOINED}"),
+    rows=True,
+)
 
 _STAR_W = "zs AS (SELECT pkey, 1.0::DOUBLE / least(count(*), 38) AS w FROM lineitem_ GROUP BY pkey), w AS (SELECT * FROM lineitem_ l JOIN zs USING (pkey) JOIN part_ p USING (pkey) JOIN orders_ o USING (okey))"
 
@@ -530,7 +734,14 @@ def star_weighted(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 _P = "part"
 marginal("m_xp", _L, ((_P, "PTYPE"), (_O, "YEAR")), True, _m_sql("PTYPE, YEAR", "w", _STAR_W), X.STAR)
-marginal("m_xpc", _L, ((_P, "PTYPE"), (_O, "YEAR"), (_L, "RFLAG")), True, _m_sql("PTYPE, YEAR, RFLAG", "w", _STAR_W), X.STAR)
+marginal(
+    "m_xpc",
+    _L,
+    ((_P, "PTYPE"), (_O, "YEAR"), (_L, "RFLAG")),
+    True,
+    _m_sql("PTYPE, YEAR, RFLAG", "w", _STAR_W),
+    X.STAR,
+)
 marginal("m_p1c", _L, ((_P, "PSIZEBIN"), (_L, "QBIN")), True, _m_sql("PSIZEBIN, QBIN", "w", _STAR_W), X.STAR)
 marginal("m_p2c", _L, ((_O, "PRIORITY"), (_L, "QBIN")), True, _m_sql("PRIORITY, QBIN", "w", _STAR_W), X.STAR)
 
@@ -548,8 +759,14 @@ def m_pairs_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SETS = [
-    M.Marginal("SEGMENT", ("customer__SEGMENT",)), M.Marginal("YEAR", ("orders__YEAR",)), M.Marginal("QBIN", ("lineitem__QBIN",)),
-    M.Marginal("SEGMENT_QBIN", ("customer__SEGMENT", "lineitem__QBIN")), M.Marginal("SEGMENT_YEAR_QBIN", ("customer__SEGMENT", "orders__YEAR", "lineitem__QBIN")),
+    M.Marginal(
+        "SEGMENT",
+        ("customer__SEGMENT",),
+    ), M.Marginal("YEAR", ("orders__YEAR",)), M.Marginal("QBIN", ("lineitem__QBIN",)),
+    M.Marginal("SEGMENT_QBIN", ("customer__SEGMENT", "lineitem__QBIN")), M.Marginal(
+        "SEGMENT_YEAR_QBIN",
+        ("customer__SEGMENT", "orders__YEAR", "lineitem__QBIN"),
+    ),
 ]
 
 
@@ -557,7 +774,9 @@ _SETS = [
     "m_grouping_sets",
     X.with_sql(
         " UNION ALL ".join(
-            f"SELECT '{m.name}' AS query_name, " + ", ".join((m.columns[i] if i < len(m.columns) else "CAST(NULL AS INTEGER)") + f" AS c{i}" for i in range(3)) + ", CAST(count(*) AS DOUBLE) AS value FROM w GROUP BY ALL"
+            f"SELECT '{m.name}' AS query_name, " + ", ".join(
+                (m.columns[i] if i < len(m.columns) else "CAST(NULL AS INTEGER)") + f" AS c{i}" for i in range(3)
+            ) + ", CAST(count(*) AS DOUBLE) AS value FROM w GROUP BY ALL"
             for m in _SETS
         ),
         _CHAIN_WIDE,
@@ -585,7 +804,10 @@ _TB_SQL = f"""{_W1}, {_W2}, {_JOINED}, o AS (SELECT NATION AS c0, QBIN AS c1, su
 _NOISE = gaussian_sql("'0|TB_NATION_QBIN|' || c0 || '|' || c1 || '|~'")
 
 
-@register("noisy_tb", X.with_sql(f"SELECT c0, c1, round(greatest(value + 3.5 * {_NOISE}, 0.0), 6) AS value FROM t", _TB_SQL))
+@register(
+    "noisy_tb",
+    X.with_sql(f"SELECT c0, c1, round(greatest(value + 3.5 * {_NOISE}, 0.0), 6) AS value FROM t", _TB_SQL),
+)
 def noisy_tb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.released(_tb(spark, sf_dir), 3.5, 0).select("c0", "c1", rounded("value"))
 
@@ -601,33 +823,58 @@ def _with_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.join(sums[0], "c0").join(sums[1], "c1").join(total, F.lit(True))
 
 
-@register("lift_tb", X.with_sql("SELECT c0, c1, round((value + 1e-6 / 150) / (a / n * b / n + 1e-6), 4) AS lift FROM j", _TB_MARGINS))
+@register(
+    "lift_tb",
+    X.with_sql("SELECT c0, c1, round((value + 1e-6 / 150) / (a / n * b / n + 1e-6), 4) AS lift FROM j", _TB_MARGINS),
+)
 def lift_tb(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = (F.col("value") + 1e-6 / 150) / (F.col("a") / F.col("n") * F.col("b") / F.col("n") + 1e-6)
     return _with_margins(spark, sf_dir).select("c0", "c1", F.round(x, 4).alias("lift"))
 
 
-@register("cond_norm", X.with_sql("SELECT c0, c1, round(CASE WHEN a > 0 THEN value / a ELSE 0 END, 6) AS p FROM j", _TB_MARGINS))
+@register(
+    "cond_norm",
+    X.with_sql("SELECT c0, c1, round(CASE WHEN a > 0 THEN value / a ELSE 0 END, 6) AS p FROM j", _TB_MARGINS),
+)
 def cond_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.sum("value").over(Window.partitionBy("c0"))
-    return _tb(spark, sf_dir).select("c0", "c1", F.round(F.when(own > 0, F.col("value") / own).otherwise(F.lit(0.0)), 6).alias("p"))
+    return _tb(spark, sf_dir).select(
+        "c0",
+        "c1",
+        F.round(F.when(own > 0, F.col("value") / own).otherwise(F.lit(0.0)), 6).alias("p"),
+    )
 
 
-@register("snr_shrink", X.with_sql("SELECT c0, c1, round(1 + (value * n / (a * b) - 1) * least(greatest(value / (5 * 3.5), 0), 1), 6) AS lift FROM j", _TB_MARGINS))
+@register(
+    "snr_shrink",
+    X.with_sql(
+        "SELECT c0, c1, round(1 + (value * n / (a * b) - 1) * least(greatest(value / (5 * 3.5), 0), 1), 6) AS lift FROM j",
+        _TB_MARGINS,
+    ),
+)
 def snr_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.col("value") * F.col("n") / (F.col("a") * F.col("b"))
     w = F.least(F.greatest(F.col("value") / 17.5, F.lit(0.0)), F.lit(1.0))
     return _with_margins(spark, sf_dir).select("c0", "c1", F.round(1 + (raw - 1) * w, 6).alias("lift"))
 
 
-@register("shrink_joint", X.with_sql("SELECT c0, c1, round(least(value / 7.0, 1) * value + (1 - least(value / 7.0, 1)) * a * b / n, 6) AS value FROM j", _TB_MARGINS))
+@register(
+    "shrink_joint",
+    X.with_sql(
+        "SELECT c0, c1, round(least(value / 7.0, 1) * value + (1 - least(value / 7.0, 1)) * a * b / n, 6) AS value FROM j",
+        _TB_MARGINS,
+    ),
+)
 def shrink_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.least(F.col("value") / 7.0, F.lit(1.0))
     x = w * F.col("value") + (1 - w) * F.col("a") * F.col("b") / F.col("n")
     return _with_margins(spark, sf_dir).select("c0", "c1", F.round(x, 6).alias("value"))
 
 
-@register("debias", f"WITH {_ORDER_SIZES}, h AS (SELECT least(n, 15) AS size, count(*) AS groups FROM s GROUP BY 1) SELECT CAST(size AS INTEGER) AS size, round(greatest(groups - 0.39894::DOUBLE * 4, 0), 6) AS groups FROM h")
+@register(
+    "debias",
+    f"WITH {_ORDER_SIZES}, h AS (SELECT least(n, 15) AS size, count(*) AS groups FROM s GROUP BY 1) SELECT CAST(size AS INTEGER) AS size, round(greatest(groups - 0.39894::DOUBLE * 4, 0), 6) AS groups FROM h",
+)
 def debias(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = S.size_histogram(X.customer(spark, sf_dir), "ckey", X.orders(spark, sf_dir), "ckey", tau=TAU_ORDERS, zeros=True)
     return h.select("size", F.round(F.greatest(F.col("groups") - 0.39894 * 4, F.lit(0.0)), 6).alias("groups"))
@@ -642,11 +889,23 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 @register(
     "effect_delta",
-    X.with_sql("SELECT round(avg(lineitem__LSTATUS) FILTER (customer__SEGMENT >= 2) - avg(lineitem__LSTATUS) FILTER (customer__SEGMENT < 2), 9) AS delta FROM w", _CHAIN_WIDE),
+    X.with_sql(
+        "SELECT round(avg(lineitem__LSTATUS) FILTER (customer__SEGMENT >= 2) - avg(lineitem__LSTATUS) FILTER (customer__SEGMENT < 2), 9) AS delta FROM w",
+        _CHAIN_WIDE,
+    ),
 )
 def effect_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = V.view(X.CHAIN, X.tables(spark, sf_dir, X.CHAIN), "lineitem", [("customer", "SEGMENT"), ("lineitem", "LSTATUS")])
-    return MX.delta(wide, F.col("lineitem__LSTATUS"), (F.col("customer__SEGMENT") >= 2).cast("int")).select(F.round("delta", 9).alias("delta"))
+    wide = V.view(
+        X.CHAIN,
+        X.tables(spark, sf_dir, X.CHAIN),
+        "lineitem",
+        [("customer", "SEGMENT"), ("lineitem", "LSTATUS")],
+    )
+    return MX.delta(
+        wide,
+        F.col("lineitem__LSTATUS"),
+        (F.col("customer__SEGMENT") >= 2).cast("int"),
+    ).select(F.round("delta", 9).alias("delta"))
 
 
 _FOUR = "avg(lineitem__LSTATUS) FILTER (customer__SEGMENT {a} 2 AND orders__YEAR {b} 3)"
@@ -654,21 +913,40 @@ _FOUR = "avg(lineitem__LSTATUS) FILTER (customer__SEGMENT {a} 2 AND orders__YEAR
 
 @register(
     "effect_contrast",
-    X.with_sql(f"SELECT round({_FOUR.format(a='>=', b='>=')} - {_FOUR.format(a='>=', b='<')} - {_FOUR.format(a='<', b='>=')} + {_FOUR.format(a='<', b='<')}, 9) AS contrast FROM w", _CHAIN_WIDE),
+    X.with_sql(
+        f"SELECT round({_FOUR.format(a='>=', b='>=')} - {_FOUR.format(a='>=', b='<')} - {_FOUR.format(a='<', b='>=')} + {_FOUR.format(a='<', b='<')}, 9) AS contrast FROM w",
+        _CHAIN_WIDE,
+    ),
 )
 def effect_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = V.view(X.CHAIN, X.tables(spark, sf_dir, X.CHAIN), "lineitem", [("customer", "SEGMENT"), ("orders", "YEAR"), ("lineitem", "LSTATUS")])
+    wide = V.view(
+        X.CHAIN,
+        X.tables(spark, sf_dir, X.CHAIN),
+        "lineitem",
+        [("customer", "SEGMENT"), ("orders", "YEAR"), ("lineitem", "LSTATUS")],
+    )
     a, b = ((F.col(c) >= n).cast("int") for c, n in (("customer__SEGMENT", 2), ("orders__YEAR", 3)))
     return MX.contrast(wide, F.col("lineitem__LSTATUS"), a, b).select(F.round("contrast", 9).alias("contrast"))
 
 
 @register(
     "effect_phi",
-    X.with_sql("SELECT round(avg(CAST(lineitem__LSTATUS = xor(xor(CAST(lineitem__RFLAG >= 1 AS INTEGER), CAST(customer__SEGMENT >= 2 AS INTEGER)), CAST(customer__ACCTBIN >= 11 AS INTEGER)) AS INTEGER)), 9) AS phi FROM w", _CHAIN_WIDE),
+    X.with_sql(
+        "SELECT round(avg(CAST(lineitem__LSTATUS = xor(xor(CAST(lineitem__RFLAG >= 1 AS INTEGER), CAST(customer__SEGMENT >= 2 AS INTEGER)), CAST(customer__ACCTBIN >= 11 AS INTEGER)) AS INTEGER)), 9) AS phi FROM w",
+        _CHAIN_WIDE,
+    ),
 )
 def effect_phi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = V.view(X.CHAIN, X.tables(spark, sf_dir, X.CHAIN), "lineitem", [("customer", "SEGMENT"), ("customer", "ACCTBIN"), ("lineitem", "RFLAG"), ("lineitem", "LSTATUS")])
-    u, a, b = ((F.col(c) >= n).cast("int") for c, n in (("lineitem__RFLAG", 1), ("customer__SEGMENT", 2), ("customer__ACCTBIN", 11)))
+    wide = V.view(
+        X.CHAIN,
+        X.tables(spark, sf_dir, X.CHAIN),
+        "lineitem",
+        [("customer", "SEGMENT"), ("customer", "ACCTBIN"), ("lineitem", "RFLAG"), ("lineitem", "LSTATUS")],
+    )
+    u, a, b = (
+        (F.col(c) >= n).cast("int") for c,
+        n in (("lineitem__RFLAG", 1), ("customer__SEGMENT", 2), ("customer__ACCTBIN", 11))
+    )
     return MX.fidelity(wide, F.col("lineitem__LSTATUS"), E.rule("xor", u, a, b)).select(F.round("phi", 9).alias("phi"))
 
 
@@ -715,10 +993,17 @@ def pair_tv(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH n AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) SELECT c_nationkey, c_mktsegment, round(n / sum(n) OVER (PARTITION BY c_nationkey), 9) AS share FROM n",
 )
 def crosstab_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit.crosstab_shares(_raw(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment").withColumn("share", F.round("share", 9))
+    return fit.crosstab_shares(
+        _raw(spark, sf_dir, "customer"),
+        "c_nationkey",
+        "c_mktsegment",
+    ).withColumn("share", F.round("share", 9))
 
 
-@register("cue_share", "SELECT round(avg(CAST(l_returnflag = 'R' AS INTEGER)), 9) AS share, count(*) AS n FROM lineitem WHERE l_quantity >= 25")
+@register(
+    "cue_share",
+    "SELECT round(avg(CAST(l_returnflag = 'R' AS INTEGER)), 9) AS share, count(*) AS n FROM lineitem WHERE l_quantity >= 25",
+)
 def cue_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fit.gather_ratio(_raw(spark, sf_dir, "lineitem"), F.col("l_returnflag") == "R", F.col("l_quantity") >= 25)
     return out.select(F.round("share", 9).alias("share"), "n")
@@ -726,7 +1011,10 @@ def cue_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "big_group_gap",
-    X.with_sql("SELECT round(max(s) - min(s), 9) AS gap FROM g", "s AS (SELECT okey, count(*) AS n FROM lineitem_ GROUP BY okey), g AS (SELECT STATUS, avg(CAST(n >= 6 AS INTEGER)) AS s FROM orders_ JOIN s USING (okey) GROUP BY STATUS)"),
+    X.with_sql(
+        "SELECT round(max(s) - min(s), 9) AS gap FROM g",
+        "s AS (SELECT okey, count(*) AS n FROM lineitem_ GROUP BY okey), g AS (SELECT STATUS, avg(CAST(n >= 6 AS INTEGER)) AS s FROM orders_ JOIN s USING (okey) GROUP BY STATUS)",
+    ),
 )
 def big_group_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = S.all_sizes(X.orders(spark, sf_dir), "okey", X.lineitem(spark, sf_dir), "okey", ["STATUS"]).filter("n > 0")
@@ -741,13 +1029,19 @@ def big_group_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
      SELECT seg, nation, CAST(fl + CAST(r <= round(100 - sum(fl) OVER (PARTITION BY seg)) AS INTEGER) AS BIGINT) AS quota FROM f""",
 )
 def topn_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _raw(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+    n = _raw(spark, sf_dir, "customer").groupBy(
+        F.col("c_mktsegment").alias("seg"),
+        F.col("c_nationkey").alias("nation"),
+    ).agg(F.count(F.lit(1)).alias("n"))
     own = Window.partitionBy("seg")
     cells = n.withColumn("share", F.col("n") / F.sum("n").over(own))
     return C.remainder_ranks(cells, ["seg"], "share", F.lit(100.0), ["nation"]).select("seg", "nation", "quota")
 
 
-@register("quota_draw_hist", "SELECT CAST(range AS INTEGER) AS code, CASE range WHEN 0 THEN n - 2 * (n // 4) ELSE n // 4 END AS n FROM range(3), (SELECT count(*) AS n FROM customer)")
+@register(
+    "quota_draw_hist",
+    "SELECT CAST(range AS INTEGER) AS code, CASE range WHEN 0 THEN n - 2 * (n // 4) ELSE n // 4 END AS n FROM range(3), (SELECT count(*) AS n FROM customer)",
+)
 def quota_draw_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _raw(spark, sf_dir, "customer").select("c_custkey")
     n = c.count()
@@ -773,7 +1067,13 @@ def quota_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CAST(value > 5 AS INTEGER) DESC, event_type, event_id) AS r FROM events) WHERE r = 1""",
 )
 def dedup_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return MX.preferred(_raw(spark, sf_dir, "events"), ["user_id"], F.col("value") > 5, "event_type", ["event_id"]).select("event_id", "user_id", "event_type")
+    return MX.preferred(
+        _raw(spark, sf_dir, "events"),
+        ["user_id"],
+        F.col("value") > 5,
+        "event_type",
+        ["event_id"],
+    ).select("event_id", "user_id", "event_type")
 
 
 @register(
@@ -786,9 +1086,17 @@ def replace_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MX.replaced(o, o.filter("o_orderstatus = 'P'").withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"])
 
 
-@register("missing_cells", "SELECT n_nationkey AS NATION, CAST(range AS INTEGER) AS ACCTBIN FROM nation, range(22) EXCEPT (" + X.with_sql("SELECT NATION, ACCTBIN FROM customer_") + ")")
+@register(
+    "missing_cells",
+    "SELECT n_nationkey AS NATION, CAST(range AS INTEGER) AS ACCTBIN FROM nation, range(22) EXCEPT (" + X.with_sql(
+        "SELECT NATION, ACCTBIN FROM customer_",
+    ) + ")",
+)
 def missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = _raw(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("NATION"), F.explode(F.sequence(F.lit(0), F.lit(21))).alias("ACCTBIN"))
+    grid = _raw(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("NATION"),
+        F.explode(F.sequence(F.lit(0), F.lit(21))).alias("ACCTBIN"),
+    )
     return MX.missing_cells(grid, X.customer(spark, sf_dir), ["NATION", "ACCTBIN"])
 
 
@@ -798,11 +1106,19 @@ def missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
      s AS (SELECT cls, ds, median(v) AS v FROM k GROUP BY ALL) SELECT cls, round(median(v), 9) AS value FROM s GROUP BY cls""",
 )
 def stratified_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _raw(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("cls"), F.col("l_linestatus").alias("ds"), F.col("l_linenumber").alias("seed"), F.col("l_discount").alias("value"))
+    li = _raw(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("cls"),
+        F.col("l_linestatus").alias("ds"),
+        F.col("l_linenumber").alias("seed"),
+        F.col("l_discount").alias("value"),
+    )
     return MX.stratified(li, "ds", "seed", "cls", "value").select("cls", F.round("value", 9).alias("value"))
 
 
-@register("strength_range", "SELECT o_orderstatus, o_orderpriority, min(o_totalprice) AS lowest, max(o_totalprice) AS highest FROM orders GROUP BY ALL")
+@register(
+    "strength_range",
+    "SELECT o_orderstatus, o_orderpriority, min(o_totalprice) AS lowest, max(o_totalprice) AS highest FROM orders GROUP BY ALL",
+)
 def strength_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MX.strength_range(_raw(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], "o_totalprice")
 
@@ -813,7 +1129,11 @@ def strength_range(spark: SparkSession, sf_dir: str) -> DataFrame:
      SELECT cell, count(*) > count(DISTINCT v) AS reused FROM p GROUP BY cell""",
 )
 def reused_plants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _raw(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("cell"), F.col("l_linestatus").alias("seed"), "l_linenumber")
+    li = _raw(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("cell"),
+        F.col("l_linestatus").alias("seed"),
+        "l_linenumber",
+    )
     return MX.reused(li, ["cell"], "seed", "l_linenumber")
 
 
@@ -824,11 +1144,19 @@ def reused_plants(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step-down adjustment of a few p-values; an ordered window over as many rows as there are tests."""
-    p = _raw(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg((F.count(F.lit(1)) / 5000.0).alias("p"))
+    p = _raw(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(
+        (F.count(F.lit(1)) / 5000.0).alias("p"),
+    )
     order = Window.partitionBy(F.lit(0)).orderBy("p", "k")
-    r = p.withColumn("r", F.row_number().over(order)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    r = p.withColumn("r", F.row_number().over(order)).withColumn(
+        "m",
+        F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))),
+    )
     step = F.least(F.lit(1.0), (F.col("m") - F.col("r") + 1) * F.col("p"))
-    return r.select("k", F.round(F.max(step).over(order.rowsBetween(Window.unboundedPreceding, 0)), 9).alias("adjusted"))
+    return r.select(
+        "k",
+        F.round(F.max(step).over(order.rowsBetween(Window.unboundedPreceding, 0)), 9).alias("adjusted"),
+    )
 
 
 _BOOT = "cast('0x' || substr(md5('3|boot|' || i || '|' || j), 1, 13) as bigint)"
@@ -843,17 +1171,26 @@ _BOOT = "cast('0x' || substr(md5('3|boot|' || i || '|' || j), 1, 13) as bigint)"
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _raw(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("c_acctbal").alias("v"))
     x = SA.bootstrap(v, "k", 200, 3).groupBy("replicate").agg(F.median("v").alias("x"))
-    return x.agg(F.round(F.percentile("x", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("x", F.lit(0.975)), 6).alias("high"))
+    return x.agg(
+        F.round(F.percentile("x", F.lit(0.025)), 6).alias("low"),
+        F.round(F.percentile("x", F.lit(0.975)), 6).alias("high"),
+    )
 
 
-@register("sample_exact", f"SELECT c_custkey FROM customer ORDER BY cast('0x' || substr(md5('5|sample|' || c_custkey), 1, 13) as bigint), c_custkey LIMIT 100")
+@register(
+    "sample_exact",
+    f"SELECT c_custkey FROM customer ORDER BY cast('0x' || substr(md5('5|sample|' || c_custkey), 1, 13) as bigint), c_custkey LIMIT 100",
+)
 def sample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.sample_exact(_raw(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 100, 5)
 
 
 @register(
     "plant_chain_audit",
-    X.with_sql("SELECT orders__STATUS, CAST(lineitem__RFLAG >= 1 AS INTEGER) AS u, count(*) AS n, CAST(sum(lineitem__LSTATUS) AS BIGINT) AS ones_old, CAST(sum(lineitem__LSTATUS) AS BIGINT) AS ones_new FROM w GROUP BY ALL", _CHAIN_WIDE),
+    X.with_sql(
+        "SELECT orders__STATUS, CAST(lineitem__RFLAG >= 1 AS INTEGER) AS u, count(*) AS n, CAST(sum(lineitem__LSTATUS) AS BIGINT) AS ones_old, CAST(sum(lineitem__LSTATUS) AS BIGINT) AS ones_new FROM w GROUP BY ALL",
+        _CHAIN_WIDE,
+    ),
 )
 def plant_chain_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planting keeps every class's count of ones: the audit's old and new counts agree."""
@@ -861,11 +1198,19 @@ def plant_chain_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planted(spark: SparkSession, sf_dir: str, strength: float = 0.8, seed: int = 1) -> DataFrame:
-    cols = [("customer", "SEGMENT"), ("customer", "ACCTBIN"), ("orders", "STATUS"), ("lineitem", "RFLAG"), ("lineitem", "LSTATUS")]
+    cols = [
+        ("customer", "SEGMENT"),
+        ("customer", "ACCTBIN"),
+        ("orders", "STATUS"),
+        ("lineitem", "RFLAG"),
+        ("lineitem", "LSTATUS"),
+    ]
     wide = V.view(X.CHAIN, X.tables(spark, sf_dir, X.CHAIN, keyed=True), "lineitem", cols, extra=["lkey"])
     wide = wide.select(
         "lkey", "orders__STATUS", F.col("lineitem__LSTATUS").alias("old"), (F.col("lineitem__RFLAG") >= 1).cast("int").alias("u"),
-        (F.col("customer__SEGMENT") >= 2).cast("int").alias("x1"), (F.col("customer__ACCTBIN") >= 11).cast("int").alias("x2"),
+        (F.col("customer__SEGMENT") >= 2).cast("int").alias("x1"), (
+            F.col("customer__ACCTBIN") >= 11
+        ).cast("int").alias("x2"),
     )
     return PL.plant_chain(wide, "lkey", "old", "u", "x1", "x2", ["orders__STATUS"], "xor", strength, seed)
 
@@ -875,7 +1220,10 @@ def plant_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule fidelity before and after planting."""
     df = planted(spark, sf_dir)
     expected = E.rule("xor", F.col("u"), F.col("x1"), F.col("x2"))
-    return df.agg(F.avg((F.col("old") == expected).cast("int")).alias("before"), F.avg((F.col("planted") == expected).cast("int")).alias("after"))
+    return df.agg(
+        F.avg((F.col("old") == expected).cast("int")).alias("before"),
+        F.avg((F.col("planted") == expected).cast("int")).alias("after"),
+    )
 
 
 @register("plant_star")
@@ -885,7 +1233,9 @@ def plant_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = V.view(X.STAR, X.tables(spark, sf_dir, X.STAR, keyed=True), "lineitem", cols, extra=["lkey"])
     wide = wide.select(
         "lkey", (F.col("lineitem__QBIN") >= 3).cast("int").alias("old"), (F.col("lineitem__RFLAG") >= 1).cast("int").alias("u"),
-        (F.col("part__PSIZEBIN") >= 2).cast("int").alias("x1"), (F.col("orders__PRIORITY") >= 2).cast("int").alias("x2"),
+        (F.col("part__PSIZEBIN") >= 2).cast("int").alias("x1"), (
+            F.col("orders__PRIORITY") >= 2
+        ).cast("int").alias("x2"),
     )
     return PL.audit(PL.plant_star(wide, "lkey", "old", "u", "x1", "x2", "xor", 0.8, 1), "old", "planted", ["x1", "x2"])
 
@@ -916,7 +1266,12 @@ def chain_pairs(schema) -> list[tuple[tuple[str, str], tuple[str, str]]]:
 def _histograms(schema, made: dict[str, DataFrame]) -> DataFrame:
     """role, attr, code, n of every synthesized attribute."""
     parts = [
-        made[r].groupBy(F.col(a).alias("code")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(r).alias("role"), F.lit(a).alias("attr"), "code", "n")
+        made[r].groupBy(F.col(a).alias("code")).agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(r).alias("role"),
+            F.lit(a).alias("attr"),
+            "code",
+            "n",
+        )
         for r, role in schema.roles.items() for a in role.attrs
     ]
     return _union(parts)
@@ -932,7 +1287,15 @@ def synthesis(spark: SparkSession, sf_dir: str, schema, epsilon: float, text: st
 @register("synth_chain3")
 def synth_chain3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attribute histograms of a database synthesized from noisy marginals of the chain."""
-    made = synthesis(spark, sf_dir, X.CHAIN, 3.2, "pubn,rowleaf,szthresh,exactmarg,growcap", "chain3", chain_pairs(X.CHAIN))
+    made = synthesis(
+        spark,
+        sf_dir,
+        X.CHAIN,
+        3.2,
+        "pubn,rowleaf,szthresh,exactmarg,growcap",
+        "chain3",
+        chain_pairs(X.CHAIN),
+    )
     return _histograms(X.CHAIN, made)
 
 
@@ -987,7 +1350,12 @@ def baseline_independent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _histograms(X.CHAIN, made)
 
 
-@register("repair", X.with_sql("SELECT CAST(range AS INTEGER) AS STATUS, CASE range WHEN 0 THEN n - 2 * (n // 3) ELSE n // 3 END AS n FROM range(3), (SELECT count(*) AS n FROM orders_)"))
+@register(
+    "repair",
+    X.with_sql(
+        "SELECT CAST(range AS INTEGER) AS STATUS, CASE range WHEN 0 THEN n - 2 * (n // 3) ELSE n // 3 END AS n FROM range(3), (SELECT count(*) AS n FROM orders_)",
+    ),
+)
 def repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders' status codes moved, least date first, until the three codes are alike in number."""
     o = X.orders(spark, sf_dir).select("okey", "STATUS", "YEAR")

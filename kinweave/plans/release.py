@@ -50,7 +50,9 @@ def _arrays(cells: DataFrame, wanted: Sequence[Marginal], sizes: Mapping[str, in
 
 def release(
     schema: Schema, tables: Mapping[str, DataFrame], epsilon: float | None, options: Options | None = None, seed: int = 0,
-    pairs: Sequence[tuple[tuple[str, str], tuple[str, str]]] = (), triples: Sequence[tuple] = (), delta: float | None = None,
+    pairs: Sequence[
+        tuple[tuple[str, str], tuple[str, str]]
+    ] = (), triples: Sequence[tuple] = (), delta: float | None = None,
     exclude_sizes: Sequence[str] = (), cross: str = "inner",
 ) -> Release:
     """Release one-way marginals of all roles, the pairs and triples named, and size histograms.
@@ -68,14 +70,24 @@ def release(
     for r, role in schema.roles.items():
         objects[r] += [(Marginal(f"{r}.{a}", (column(r, a),)), ((r, a),)) for a in role.attrs]
     for members in [*pairs, *triples]:
-        objects[_counted(schema, members)].append((Marginal("*".join(f"{r}.{a}" for r, a in members), tuple(column(r, a) for r, a in members)), tuple(members)))
+        objects[_counted(schema, members)].append(
+            (
+                Marginal("*".join(f"{r}.{a}" for r, a in members), tuple(column(r, a) for r, a in members)),
+                tuple(members),
+            ),
+        )
     bins: dict[str, tuple[list[int] | None, int]] = {}
     for r, role in schema.roles.items():
         if role.parents:
             fk = next(iter(role.parents.values()))
             out.taus[r] = tau(tables[r], fk)
             if "bins" in options or "tailbins" in options:
-                most = size_histogram(tables[next(iter(role.parents))], schema.roles[next(iter(role.parents))].key, tables[r], fk).agg(F.max("size")).first()[0] or 1
+                most = size_histogram(
+                    tables[next(iter(role.parents))],
+                    schema.roles[next(iter(role.parents))].key,
+                    tables[r],
+                    fk,
+                ).agg(F.max("size")).first()[0] or 1
                 edges, reps = (
                     geometric_bins(most, int(options.numbers("bins")[0]))
                     if "bins" in options
@@ -126,7 +138,11 @@ def release(
             both = both.withColumn("w", F.col("w") * F.col("__above")).drop("__above")
             cells = cells.unionByName(marginals(view(schema, source | {r: both}, r, attrs, extra=["w"]), far, "w"))
         dense = on_grid(cells, domain_grid(sizes, wanted, spark))
-        arrays = _arrays(released(dense, {m.name: out.sigma[m.name] for m in wanted}, seed) if epsilon else dense, wanted, sizes)
+        arrays = _arrays(
+            released(dense, {m.name: out.sigma[m.name] for m in wanted}, seed) if epsilon else dense,
+            wanted,
+            sizes,
+        )
         for m, members in own:
             if len(members) == 1:
                 out.one[members[0]] = arrays[m.name]
@@ -157,7 +173,14 @@ def release(
             if len(members) == 2:
                 a, b = (out.one[m] for m in members)
                 name = "*".join(f"{r}.{a}" for r, a in members)
-                out.joint[members] = shrunk_joint(x, a, b, out.sigma[name], options.numbers("shrink")[0], float(x.sum()))
+                out.joint[members] = shrunk_joint(
+                    x,
+                    a,
+                    b,
+                    out.sigma[name],
+                    options.numbers("shrink")[0],
+                    float(x.sum()),
+                )
     rng = np.random.default_rng(seed + 777_001)
     for r in schema.roles:
         n = tables[r].count() if {"totals", "pubn"} & options.chosen.keys() or epsilon is None else None

@@ -32,7 +32,10 @@ def read_coded(spark: SparkSession, path: str, role: Role, fmt: str = "csv") ->
     else:
         raw = spark.read.options(header=True).csv(path)
     keys = [role.key, *role.parents.values()]
-    return raw.select(*(F.col(c).cast("long").alias(c) for c in keys), *(F.col(a).cast("int").alias(a) for a in role.attrs))
+    return raw.select(
+        *(F.col(c).cast("long").alias(c) for c in keys),
+        *(F.col(a).cast("int").alias(a) for a in role.attrs),
+    )
 
 
 def read_tables(spark: SparkSession, folder: str, schema: Schema, files: Mapping[str, str], fmt: str = "csv") -> dict[str, DataFrame]:
@@ -82,7 +85,11 @@ def read_archive(spark: SparkSession, pattern: str, schema: str | StructType, un
     """
     whole = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     kept = StructType([*whole.fields]).add("_corrupt_record", "string")
-    df = spark.read.options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record").schema(kept).json(pattern)
+    df = spark.read.options(
+        multiLine=True,
+        mode="PERMISSIVE",
+        columnNameOfCorruptRecord="_corrupt_record",
+    ).schema(kept).json(pattern)
     df = df.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
     for u in unwanted:
         df = df.filter(~(F.col("file").startswith(u) if u.startswith(".") else F.col("file").contains(u)))

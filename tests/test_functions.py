@@ -16,7 +16,14 @@ DELTA = 1 / 1_056_320
 
 @pytest.mark.parametrize(
     "epsilon, sigma33, sigma45",
-    [(0.1, 295.9578272037, 345.6042839916), (0.2, 154.7585811609, 180.7190880505), (0.4, 80.8820023800, 94.4498301818), (0.8, 42.3448114088, 49.4480864588), (1.6, 22.2882377967, 26.0270543880), (3.2, 11.8617312375, 13.8515178664)],
+    [
+        (0.1, 295.9578272037, 345.6042839916),
+        (0.2, 154.7585811609, 180.7190880505),
+        (0.4, 80.8820023800, 94.4498301818),
+        (0.8, 42.3448114088, 49.4480864588),
+        (1.6, 22.2882377967, 26.0270543880),
+        (3.2, 11.8617312375, 13.8515178664),
+    ],
 )
 def test_golden_scales(epsilon, sigma33, sigma45):
     assert math.isclose(A.equal_sigma(epsilon, DELTA, 33), sigma33, rel_tol=1e-9)
@@ -34,7 +41,10 @@ def test_budget_is_spent_whole_for_any_weights():
 def test_size_grids():
     edges, reps = A.geometric_bins(500, 12)
     assert edges[0] == 1 and edges == sorted(set(edges)) and len(edges) <= 12
-    assert all(a <= r for a, r in zip(edges, reps, strict=True)) and all(r < b for r, b in zip(reps, edges[1:], strict=False))
+    assert all(a <= r for a, r in zip(edges, reps, strict=True)) and all(
+        r < b for r,
+        b in zip(reps, edges[1:], strict=False)
+    )
     exact, reps = A.hybrid_bins(8, 100)
     assert exact[:8] == reps[:8] == list(range(1, 9)) and A.hybrid_bins(8, 5) == (list(range(1, 9)),) * 2
     assert A.tau_of(3.0) == 12 and A.tau_of(99.7) == 99 and A.tau_of(1e9) == 1024
@@ -61,7 +71,10 @@ def test_signed_rank_and_holm():
     assert 0 < signed_rank(x, [0] * 40) < 0.2
     assert math.isclose(paired_t([1, 2, 3, 4, 5], [0] * 5), 0.01324, abs_tol=1e-4)
     assert paired_p([1, 1, 1], [0, 0, 0]) == 0.0
-    assert np.allclose(holm([0.01, 0.04, 0.03]), [0.03, 0.06, 0.06]) and np.allclose(holm([0.01, 0.04, 0.03], False), [0.03, 0.04, 0.06])
+    assert np.allclose(holm([0.01, 0.04, 0.03]), [0.03, 0.06, 0.06]) and np.allclose(
+        holm([0.01, 0.04, 0.03], False),
+        [0.03, 0.04, 0.06],
+    )
     lo, hi = bootstrap_interval([1.0, 2.0, 3.0, 4.0, 5.0])
     assert lo <= 3 <= hi and math.isnan(bootstrap_interval([])[0])
 

@@ -30,7 +30,11 @@ def toy(spark, n=(20, 100, 600), seed=0):
     return frames, top, mid, bot
 
 
-SCHEMA = Schema.chain(Role("top", "t", {"TT": 3}), Role("mid", "m", {"MM": 2}, {"top": "t"}), Role("bot", "b", {"BB": 4}, {"mid": "m"}))
+SCHEMA = Schema.chain(
+    Role("top", "t", {"TT": 3}),
+    Role("mid", "m", {"MM": 2}, {"top": "t"}),
+    Role("bot", "b", {"BB": 4}, {"mid": "m"}),
+)
 
 
 def test_two_hop_count_equals_nested_loops(spark):
@@ -48,9 +52,16 @@ def test_star_count_equals_nested_loops(spark):
     r = random.Random(1)
     x, y = [r.randrange(2) for _ in range(30)], [r.randrange(3) for _ in range(25)]
     c = [(i, r.randrange(30), r.randrange(25), r.randrange(2)) for i in range(500)]
-    schema = Schema.star(Role("r1", "k1", {"X": 2}), Role("c", "k", {"A": 2}, {"r1": "k1", "r2": "k2"}), Role("r2", "k2", {"Y": 3}))
+    schema = Schema.star(
+        Role("r1", "k1", {"X": 2}),
+        Role("c", "k", {"A": 2}, {"r1": "k1", "r2": "k2"}),
+        Role("r2", "k2", {"Y": 3}),
+    )
     frames = {
-        "r1": spark.createDataFrame(list(enumerate(x)), "k1 long, X int"), "r2": spark.createDataFrame(list(enumerate(y)), "k2 long, Y int"),
+        "r1": spark.createDataFrame(
+            list(enumerate(x)),
+            "k1 long, X int",
+        ), "r2": spark.createDataFrame(list(enumerate(y)), "k2 long, Y int"),
         "c": spark.createDataFrame(c, "k long, k1 long, k2 long, A int"),
     }
     q = W.CountQuery("cross", 0, "c", (("r1", "X", (1,)), ("r2", "Y", (0, 2))))
@@ -109,7 +120,15 @@ def test_repair_gives_the_target_and_moves_least_support(spark):
 
 def test_quota_draw_and_linking(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
-    got = [r["n"] for r in C.quota_draw(df, "k", "c", [500, 300, 200], 3).groupBy("c").agg(F.count("*").alias("n")).orderBy("c").collect()]
+    got = [
+        r["n"] for r in C.quota_draw(
+            df,
+            "k",
+            "c",
+            [500, 300, 200],
+            3,
+        ).groupBy("c").agg(F.count("*").alias("n")).orderBy("c").collect()
+    ]
     assert got == [500, 300, 200]
     parents = spark.createDataFrame([(i, float(i % 5)) for i in range(50)], "p long, w double")
     linked = sampling.linked(df, "k", parents, "p", "w", "fk", 1)
@@ -125,7 +144,9 @@ def test_planting_keeps_class_counts(spark):
     df = spark.createDataFrame(rows, "k long, old int, u int, x1 int, x2 int, m int")
     out = plant.plant_chain(df, "k", "old", "u", "x1", "x2", ["m"], "xor", 0.7, 4)
     assert all(x["ones_old"] == x["ones_new"] for x in plant.audit(out, "old", "planted", ["m", "u"]).collect())
-    agree = out.agg(F.avg((F.col("planted") == rule("xor", F.col("u"), F.col("x1"), F.col("x2"))).cast("int"))).first()[0]
+    agree = out.agg(
+        F.avg((F.col("planted") == rule("xor", F.col("u"), F.col("x1"), F.col("x2"))).cast("int")),
+    ).first()[0]
     assert agree > 0.75
     star = plant.plant_star(df, "k", "old", "u", "x1", "x2", "xor", 0.7, 4)
     for by in ("x1", "x2"):
@@ -159,7 +180,10 @@ def test_encoders(spark):
 
 def test_renormalised_tables_join_back(spark):
     r = random.Random(5)
-    wide = spark.createDataFrame([(r.randrange(3), r.randrange(2), r.randrange(4)) for _ in range(200)], "a int, b int, c int")
+    wide = spark.createDataFrame(
+        [(r.randrange(3), r.randrange(2), r.randrange(4)) for _ in range(200)],
+        "a int, b int, c int",
+    )
     parts = views.renormalise(wide, {"top": ["a"], "mid": ["b"]}, ["c"])
     back = parts["leaf"].join(parts["mid"], "mid_key").join(parts["top"], "top_key").select("a", "b", "c")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, wide.collect()))
@@ -184,15 +208,27 @@ def test_sources_and_sinks(spark, tmp_path):
     frames, *_ = toy(spark)
     writers.write_tables(frames, str(tmp_path / "db"), SCHEMA, "csv")
     back = readers.read_tables(spark, str(tmp_path / "db"), SCHEMA, {r: r for r in SCHEMA.roles})
-    assert sorted(map(tuple, back["bot"].select("b", "m", "BB").collect())) == sorted(map(tuple, frames["bot"].select("b", "m", "BB").collect()))
+    assert sorted(map(tuple, back["bot"].select("b", "m", "BB").collect())) == sorted(
+        map(tuple, frames["bot"].select("b", "m", "BB").collect()),
+    )
     writers.write_domain(spark, {"TT": 3}, str(tmp_path / "domain"))
     assert readers.read_domain(spark, str(tmp_path / "domain")) == {"TT": 3}
     (tmp_path / "a.tbl").write_text("1|x|2.5|\n2|y|3.5|\n")
-    assert [tuple(r) for r in readers.read_tbl(spark, str(tmp_path / "a.tbl"), "k int, v string").collect()] == [(1, "x"), (2, "y")]
+    assert [
+        tuple(r) for r in readers.read_tbl(spark, str(tmp_path / "a.tbl"), "k int, v string").collect()
+    ] == [(1, "x"), (2, "y")]
     (tmp_path / "m.dat").write_bytes("1::Mé::3\n".encode("latin-1"))
-    assert tuple(readers.read_double_colon(spark, str(tmp_path / "m.dat"), "k int, v string, n int").first()) == (1, "Mé", 3)
+    assert tuple(
+        readers.read_double_colon(spark, str(tmp_path / "m.dat"), "k int, v string, n int").first(),
+    ) == (1, "Mé", 3)
     (tmp_path / "t.tsv").write_text('k\tv\tn\n1\t\\N\t"5\n2\tNA\t7\n')
-    assert [tuple(r) for r in readers.read_tsv(spark, str(tmp_path / "t.tsv"), {"k": "int", "v": "string", "n": "int"}).collect()] == [(1, None, None), (2, None, 7)]
+    assert [
+        tuple(r) for r in readers.read_tsv(
+            spark,
+            str(tmp_path / "t.tsv"),
+            {"k": "int", "v": "string", "n": "int"},
+        ).collect()
+    ] == [(1, None, None), (2, None, 7)]
     (tmp_path / "c.tsv").write_text("# note\nk\tv\n1\ta\n")
     assert readers.read_commented(spark, str(tmp_path / "c.tsv"), "k int, v string").count() == 1
     for name, text in {"a.json": '{"k": 1, "v": 2.0}', "._a.json": '{"k": 9}', "b_sub.json": '{"k": 8}', "broken.json": '{"k": '}.items():
@@ -210,7 +246,10 @@ def test_stream_equals_table(spark, tmp_path):
     rows = spark.range(200).selectExpr("timestamp_seconds(id * 60) as ts", "cast(id % 3 as int) as c")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    q = windowed_marginal(stream, "ts", ["c"]).writeStream.outputMode("complete").format("memory").queryName("m").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q = windowed_marginal(stream, "ts", ["c"]).writeStream.outputMode("complete").format("memory").queryName("m").option(
+        "checkpointLocation",
+        str(tmp_path / "ck"),
+    ).trigger(availableNow=True).start()
     q.awaitTermination()
     got = sorted(map(tuple, merged(spark.table("m"), ["c"]).collect()))
     assert got == sorted((r["c"], r["count"]) for r in rows.groupBy("c").count().collect())

@@ -23,7 +23,9 @@ def duck():
 
 def same(a, b):
     if isinstance(a, float) or isinstance(b, float):
-        return (a is None) == (b is None) and (a is None or math.isclose(float(a), float(b), rel_tol=1e-9, abs_tol=1e-9))
+        return (a is None) == (b is None) and (
+            a is None or math.isclose(float(a), float(b), rel_tol=1e-9, abs_tol=1e-9)
+        )
     return a == b
 
 
