@@ -44,7 +44,10 @@ _ENDS = {
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 TEXT = "#text"
 #: Kinds of edges, by the child: each has its own potentials.
-KINDS = {TEXT: 1} | dict.fromkeys("nav aside footer header form".split(), 2) | dict.fromkeys("ul ol li dl dt dd table tbody tr td th".split(), 3)
+KINDS = {TEXT: 1} | dict.fromkeys("nav aside footer header form".split(), 2) | dict.fromkeys(
+    "ul ol li dl dt dd table tbody tr td th".split(),
+    3,
+)
 KINDS |= dict.fromkeys("article main section".split(), 4)
 N_KINDS = 5
 
@@ -194,7 +197,13 @@ class Forest:
         d = np.array(depth, np.int64)
         order = np.argsort(d, kind="stable")
         levels = np.split(order, np.flatnonzero(np.diff(d[order])) + 1) if len(d) else []
-        return cls(np.array(parent, np.int64), np.array(kind, np.int64), levels, np.array(row, np.int64), np.array(place, np.int64))
+        return cls(
+            np.array(parent, np.int64),
+            np.array(kind, np.int64),
+            levels,
+            np.array(row, np.int64),
+            np.array(place, np.int64),
+        )
 
 
 @dataclass

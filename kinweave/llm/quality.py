@@ -181,5 +181,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs that selection keeps."""
-    rated = quality_of(docs.withColumnsRenamed({c: f"__{c}" for c in docs.columns if c not in ("doc_id", "text")}), table(spark, sf_dir, "labels"))
-    return rated.filter("keep").select(*(F.col(c if c in ("doc_id", "text") else f"__{c}").alias(c) for c in docs.columns))
+    rated = quality_of(
+        docs.withColumnsRenamed({c: f"__{c}" for c in docs.columns if c not in ("doc_id", "text")}),
+        table(spark, sf_dir, "labels"),
+    )
+    return rated.filter("keep").select(
+        *(F.col(c if c in ("doc_id", "text") else f"__{c}").alias(c) for c in docs.columns),
+    )

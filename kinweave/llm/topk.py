@@ -170,7 +170,10 @@ def top_k(
                             own[n].meet(ids[a : a + BLOCK_CANDIDATES], x[a : a + BLOCK_CANDIDATES])
             for s in own.values():
                 q, v, score = s.results()
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(score)], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(q), pa.array(v), pa.array(score)],
+                    names=["query_id", "vec_id", "score"],
+                )
 
         parts.append(candidates.mapInArrow(search, schema))
     found = parts[0]

@@ -167,7 +167,10 @@ def train(
     n_p, n_u = (sample.filter(F.col("is_p") == side).count() for side in (True, False))
     if not n_p or not n_u:
         return Classifier()
-    counts = sample.mapInArrow(count, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = sample.mapInArrow(count, "f long, p long, u long").groupBy("f").agg(
+        F.sum("p").alias("p"),
+        F.sum("u").alias("u"),
+    )
     share_p, share_u = F.col("p") / n_p, (F.col("u") + 1) / (n_u + 1)
     z = (share_p - share_u) / F.sqrt(share_u * (1 - share_u * F.lit(n_u / (n_u + 1))) / n_p)
     best = (

@@ -18,12 +18,19 @@ def model():
 
 
 def test_page(model):
-    assert model.extract([PAGE, None, "", "<nav><a href=x>y</a></nav>"])[:3] == ["Head & line\nFirst part of <text>.\nSecond one.", "", ""]
+    assert model.extract([PAGE, None, "", "<nav><a href=x>y</a></nav>"])[:3] == [
+        "Head & line\nFirst part of <text>.\nSecond one.",
+        "",
+        "",
+    ]
 
 
 def test_held_out_pages(model):
     pages = labelled_pages(200, seed=77)
-    right = sum(set(t.split("\n")) - {""} == good for t, (_, good) in zip(model.extract([p for p, _ in pages]), pages, strict=True))
+    right = sum(
+        set(t.split("\n")) - {""} == good for t,
+        (_, good) in zip(model.extract([p for p, _ in pages]), pages, strict=True)
+    )
     assert right >= 0.97 * len(pages)
 
 
@@ -50,14 +57,31 @@ def test_marginals_equal_enumeration():
 
 
 def test_reader_survives_broken_markup():
-    for html in ("<", "</p>", "<p>a<p>b</div></div>c", "<li>a<li>b", "<table><tr><td>x<td>y", "a<script>b", "<!-- a", "&#x110000; &bad; &amp", "<p " * 500, "<div>" * 3000 + "deep"):
+    for html in (
+        "<",
+        "</p>",
+        "<p>a<p>b</div></div>c",
+        "<li>a<li>b",
+        "<table><tr><td>x<td>y",
+        "a<script>b",
+        "<!-- a",
+        "&#x110000; &bad; &amp",
+        "<p " * 500,
+        "<div>" * 3000 + "deep",
+    ):
         parents, features, texts = read(html)
-        assert len(parents) == len(features) and all(p < i for i, p in enumerate(parents)) and set(texts) <= set(range(len(parents)))
+        assert len(parents) == len(features) and all(
+            p < i for i,
+            p in enumerate(parents)
+        ) and set(texts) <= set(range(len(parents)))
     assert [t for t in read("<p>a<b>b</b>c <i>d</i><br>e<p>f")[2].values()] == ["abc d e", "f"]
 
 
 def test_query(spark, tmp_path, model):
-    pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (1, "u", PAGE)], "page_id long, url string, html string")
+    pages = spark.createDataFrame(
+        [(1, "u", PAGE), (2, None, None), (1, "u", PAGE)],
+        "page_id long, url string, html string",
+    )
     pages.write.parquet(f"{tmp_path}/pages.parquet")
     rows = sorted(op10_html(spark, str(tmp_path)).collect(), key=lambda r: r.page_id)
     assert [r.page_id for r in rows] == [1, 1, 2] and rows[0].text == rows[1].text and rows[2].text == ""

@@ -23,7 +23,19 @@ def ids(tokenizer, text):
 
 def test_encoder_is_the_tokenizer(tokenizer):
     r, e = random.Random(3), Encoder(PATH)
-    letters = [*"aeéßÀİΣσ'’sdmt12²½ \n\t.,!&<|>_-", "́", "\x1c", "\xa0", "<|endoftext|>", "'ll", "'re", "ª", "µ", "ǅ", "ſ"]
+    letters = [
+        *"aeéßÀİΣσ'’sdmt12²½ \n\t.,!&<|>_-",
+        "́",
+        "\x1c",
+        "\xa0",
+        "<|endoftext|>",
+        "'ll",
+        "'re",
+        "ª",
+        "µ",
+        "ǅ",
+        "ſ",
+    ]
     texts = ["".join(r.choices(letters, k=r.randint(0, 120))) for _ in range(2000)]
     texts += ["don't we'll 's x's l'été\n漢字 ﬁ naïve", "", None, "plain words only " * 50]
     assert e.encode_all(texts) == [ids(tokenizer, t or "") for t in texts]
@@ -70,14 +82,26 @@ def test_places_are_disjoint():
 
 
 def test_query(spark, tmp_path, tokenizer):
-    texts = [None, "", "hello world", "word " * 9000, *(["same text"] * 30), *(f"text {i} " * (i % 90) for i in range(200))]
-    df = documents(spark, texts).unionByName(documents(spark, ["same text"] * 3).selectExpr("4L doc_id", "text", "lang", "source", "n_chars"))
+    texts = [
+        None,
+        "",
+        "hello world",
+        "word " * 9000,
+        *(["same text"] * 30),
+        *(f"text {i} " * (i % 90) for i in range(200)),
+    ]
+    df = documents(spark, texts).unionByName(
+        documents(spark, ["same text"] * 3).selectExpr("4L doc_id", "text", "lang", "source", "n_chars"),
+    )
     save(df, tmp_path, "documents")
     rows = op5_packing(spark, str(tmp_path)).collect()
     want = []
     for r in df.collect():
         data = ids(tokenizer, r.text or "") + np.array([1], "<u4").tobytes()
-        want += [(r.doc_id, k, a // 4, len(data[a : a + 16384]) // 4, zlib.crc32(data[a : a + 16384])) for k, a in enumerate(range(0, len(data), 16384))]
+        want += [
+            (r.doc_id, k, a // 4, len(data[a : a + 16384]) // 4, zlib.crc32(data[a : a + 16384])) for k,
+            a in enumerate(range(0, len(data), 16384))
+        ]
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
     by_sequence = {}
     for r in rows:

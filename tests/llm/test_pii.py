@@ -17,18 +17,54 @@ def luhn(d):
 def brute(t):
     t = t or ""
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [
+        ("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(
+            int(x) <= 255 for x in m.group().split(".")
+        )
+    ]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
         d = re.sub("[^0-9]", "", m.group())
         if 16 <= len(d) <= 19 and luhn(d):
             out.append(("card", *m.span()))
-    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    out += [
+        ("phone", *m.span()) for m in re.finditer(
+            r"\+[0-9][\x20().0-9-]+[0-9]",
+            t,
+        ) if 8 <= len(re.sub("[^0-9]", "", m.group())) <= 15
+    ]
     return out
 
 
 def test_base_spans_equal_brute_force():
     r = random.Random(2)
-    pieces = ["a", "b.", "@", "@@", ".com", "x@y.z", "1", "12", "255", "256", ".", ". ", "+", "+1 ", "(", ")", "-", " ", "4", "é", "4111111111111111", "0", "00000255", "%", "\n", "_"]
+    pieces = [
+        "a",
+        "b.",
+        "@",
+        "@@",
+        ".com",
+        "x@y.z",
+        "1",
+        "12",
+        "255",
+        "256",
+        ".",
+        ". ",
+        "+",
+        "+1 ",
+        "(",
+        ")",
+        "-",
+        " ",
+        "4",
+        "é",
+        "4111111111111111",
+        "0",
+        "00000255",
+        "%",
+        "\n",
+        "_",
+    ]
     for _ in range(20_000):
         t = "".join(r.choices(pieces, k=r.randint(0, 25)))
         assert base_spans(t) == brute(t)
@@ -71,12 +107,21 @@ def test_stage_and_operator(spark):
 
 
 def test_sanitised_overlaps():
-    spans = [{"kind": "ip", "start": 2, "end": 9, "share": None}, {"kind": "phone", "start": 1, "end": 13, "share": None}, {"kind": "term", "start": 14, "end": 16, "share": 0.92}]
+    spans = [
+        {"kind": "ip", "start": 2, "end": 9, "share": None},
+        {"kind": "phone", "start": 1, "end": 13, "share": None},
+        {"kind": "term", "start": 14, "end": 16, "share": 0.92},
+    ]
     assert sanitised("a+1.2.3.4 567 42 z", spans) == "a[PHONE] [NUMBER] z"
 
 
 def test_query(spark, tmp_path):
-    texts = [None, "", "Mail a.b@c-d.org or +1 (377) 555-0271; 10.0.0.255, card 4111 1111 1111 1111 é x@y", "4111111111111112"]
+    texts = [
+        None,
+        "",
+        "Mail a.b@c-d.org or +1 (377) 555-0271; 10.0.0.255, card 4111 1111 1111 1111 é x@y",
+        "4111111111111112",
+    ]
     df = documents(spark, texts).unionByName(documents(spark, texts[2:3], 9))
     save(df, tmp_path, "documents")
     rows = {r.doc_id: r for r in op7_pii(spark, str(tmp_path)).collect()}
@@ -84,5 +129,10 @@ def test_query(spark, tmp_path):
         spans = brute(t)
         n = Counter(k for k, _, _ in spans)
         said = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-        assert (rows[i].n_email, rows[i].n_ip, rows[i].n_card, rows[i].n_phone) == (n["email"], n["ip"], n["card"], n["phone"])
+        assert (
+            rows[i].n_email,
+            rows[i].n_ip,
+            rows[i].n_card,
+            rows[i].n_phone,
+        ) == (n["email"], n["ip"], n["card"], n["phone"])
         assert rows[i].base_sha256 == hashlib.sha256(said.encode()).hexdigest() and rows[i].spans == said

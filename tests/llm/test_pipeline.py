@@ -15,7 +15,16 @@ def test_pipeline(spark, tmp_path):
         return " ".join("".join(r.choices("abcdefgh", k=r.randint(3, 8))) for _ in range(n)) + f" end{i}"
 
     good = [text(i) for i in range(60)]
-    texts = [*good, good[3], good[4] + " tail", text(70) + " " + ITEM, good[5] + " mail me@x.org", None, "", *(" ".join(f"{w}&&&" for w in text(i).split()) for i in range(40))]
+    texts = [
+        *good,
+        good[3],
+        good[4] + " tail",
+        text(70) + " " + ITEM,
+        good[5] + " mail me@x.org",
+        None,
+        "",
+        *(" ".join(f"{w}&&&" for w in text(i).split()) for i in range(40)),
+    ]
     save(documents(spark, texts), tmp_path, "documents")
     labels = [(i, 1, 0) for i in range(60)] + [(i, 0, 0) for i in range(66, 106)]
     save(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), tmp_path, "labels")

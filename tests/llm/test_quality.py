@@ -11,9 +11,14 @@ def corpus(spark, n=400):
     for i in range(n):
         words = ["".join(r.choices("abcde", k=r.randint(2, 7))) for _ in range(r.randint(5, 80))]
         good = i % 4 > 0
-        texts.append(" ".join(words) if good else " ".join(w + "&&&" for w in words) if i % 8 else " ".join([words[0]] * 50))
+        texts.append(
+            " ".join(words) if good else " ".join(w + "&&&" for w in words) if i % 8 else " ".join([words[0]] * 50),
+        )
         grades.append(int(good))
-    labels = spark.createDataFrame([(i, g, 0) for i, g in enumerate(grades) if i % 2 == 0 or i % 3 == 0], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame(
+        [(i, g, 0) for i, g in enumerate(grades) if i % 2 == 0 or i % 3 == 0],
+        "doc_id long, quality int, toxic int",
+    )
     return documents(spark, [*texts, None, ""]), labels, grades
 
 

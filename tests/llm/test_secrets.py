@@ -65,7 +65,9 @@ def test_query(spark, tmp_path):
     for i, t in enumerate(texts):
         spans = brute(t)
         base = [s for s in spans if s[0] in BASE]
-        assert rows[i].base_sha256 == digest(spans) == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert rows[i].base_sha256 == digest(spans) == hashlib.sha256(
+            ",".join(f"{k}:{a}:{b}" for k, a, b in base).encode(),
+        ).hexdigest()
         assert (rows[i].n_assign, rows[i].n_access, rows[i].n_hex) == tuple(sum(s[0] == k for s in base) for k in BASE)
         assert rows[i].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
     assert len(RULES) == 5

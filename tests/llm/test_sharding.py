@@ -9,7 +9,9 @@ from kinweave.llm.sharding import op3_sharding, shard_records
 
 def test_query_over_a_hot_key_and_nulls(spark, tmp_path):
     texts = ["same"] * 40 + [None, "", "é" * 3]
-    df = documents(spark, texts).unionByName(documents(spark, ["same"] * 1, 0)).unionByName(documents(spark, ["same"] * 30, 0).selectExpr("0L as doc_id", "text", "lang", "source", "n_chars"))
+    df = documents(spark, texts).unionByName(documents(spark, ["same"] * 1, 0)).unionByName(
+        documents(spark, ["same"] * 30, 0).selectExpr("0L as doc_id", "text", "lang", "source", "n_chars"),
+    )
     save(df, tmp_path, "documents")
     rows = op3_sharding(spark, str(tmp_path)).collect()
     assert len(rows) == df.count()

@@ -37,7 +37,14 @@ def groups(ids, fps, radius):
 
 def test_fingerprint_is_the_definition():
     r = random.Random(1)
-    for t in [None, "", " \t", "A b", "a\x1cb c\x0bd É", *(" ".join(r.choices(["Ab", "cd", "ß", "x1"], k=k)) for k in range(40))]:
+    for t in [
+        None,
+        "",
+        " \t",
+        "A b",
+        "a\x1cb c\x0bd É",
+        *(" ".join(r.choices(["Ab", "cd", "ß", "x1"], k=k)) for k in range(40)),
+    ]:
         assert fingerprint(t) == by_definition(t)
 
 
@@ -116,7 +123,15 @@ def test_stage_keeps_one_of_each_group(spark):
     near[10] = "changed"
     texts = [*base, base[1], " ".join(near), "", None, "short text"]
     docs = documents(spark, texts)
-    docs = docs.unionByName(docs.filter("doc_id = 2")).unionByName(docs.filter("doc_id = 3").selectExpr("cast(null as long) doc_id", "'lonely one here' text", "lang", "source", "n_chars"))
+    docs = docs.unionByName(docs.filter("doc_id = 2")).unionByName(
+        docs.filter("doc_id = 3").selectExpr(
+            "cast(null as long) doc_id",
+            "'lonely one here' text",
+            "lang",
+            "source",
+            "n_chars",
+        ),
+    )
     kept = stage_near_dedup(spark, docs, "")
     assert kept.columns == docs.columns
     rows = kept.collect()

@@ -7,13 +7,19 @@ from kinweave.llm.topk import op2_top_k, statistics, top_k
 
 
 def brute(rows, best=5):
-    ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [
+        (i, [math.floor(256 * float(np.float32(x))) for x in v]) for i,
+        v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    ]
     out, seen = set(), {}
     for i, v in sorted(ok):
         if i % 50 == 0 and i not in seen:
             seen[i] = v
     for q, v in seen.items():
-        found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q and len(w) == len(v))
+        found = sorted(
+            (-sum(a * b for a, b in zip(v, w, strict=True)), i) for i,
+            w in ok if i != q and len(w) == len(v)
+        )
         out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:best])}
     return out
 
@@ -26,7 +32,17 @@ def test_query_equals_brute_force(spark, tmp_path):
     r = random.Random(1)
     rows = [(i, [r.gauss(0, 0.2) for _ in range(16)]) for i in range(400)]
     rows += [(1000 + i, rows[50][1]) for i in range(20)]
-    rows += [(2000, None), (2050, [None] * 16), (2051, [math.nan] * 16), (2052, [math.inf] * 16), (None, rows[0][1]), (2100, [0.5, -0.5]), (2101, [0.25, 1.0]), (2150, []), (2151, [])]
+    rows += [
+        (2000, None),
+        (2050, [None] * 16),
+        (2051, [math.nan] * 16),
+        (2052, [math.inf] * 16),
+        (None, rows[0][1]),
+        (2100, [0.5, -0.5]),
+        (2101, [0.25, 1.0]),
+        (2150, []),
+        (2151, []),
+    ]
     frame(spark, rows).repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {tuple(x) for x in op2_top_k(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()}
     assert got == brute(rows)

@@ -42,7 +42,11 @@ def test_held_out_accuracy(spark, tmp_path):
 
 def test_labels_of_held_out_rows_change_nothing(spark):
     docs, labels, _ = corpus(spark, 400)
-    flipped = labels.selectExpr("doc_id", "quality", "case when crc32(cast(cast(doc_id as string) as binary)) % 3 = 1 then 1 - toxic else toxic end as toxic")
+    flipped = labels.selectExpr(
+        "doc_id",
+        "quality",
+        "case when crc32(cast(cast(doc_id as string) as binary)) % 3 = 1 then 1 - toxic else toxic end as toxic",
+    )
     a, b = ({r.doc_id: r.score for r in toxicity_of(docs, x).collect()} for x in (labels, flipped))
     assert a == b
 
