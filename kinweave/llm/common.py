@@ -45,6 +45,7 @@ def add_columns(df: DataFrame, inputs: Sequence[str], fields: str, f: Callable[.
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(both.index(c)) for c in kept), *arrays], names=schema.names
                 )
+        pa.default_memory_pool().release_unused()  # the worker lives on, and other tasks need the memory
 
     return df.select(*both).mapInArrow(run, schema)
 

@@ -198,16 +198,18 @@ def disclosing_terms(
 
 
 def find_personal_data(
-    df: DataFrame, text: str = "text", at_once: int = TERMS_AT_ONCE, **thresholds
+    df: DataFrame, text: str = "text", at_once: int = TERMS_AT_ONCE, clean: str | None = None, **thresholds
 ) -> DataFrame:
     """df with spans array<struct<kind,start,end,share>>: base spans and disclosing terms outside of them.
 
-    Every other column is kept. `share` is null for base spans.
+    Every other column is kept. `share` is null for base spans. `clean` names a further column, of the sanitised
+    text, which is made in the same pass.
     """
     found = disclosing_terms(df, text, at_once=at_once, **thresholds)
     fields = "spans array<struct<kind:string,start:long,end:long,share:double>>"
+    fields += f", `{clean}` string" if clean else ""
 
-    def spans_of(texts: list, held, before: list | None) -> tuple[list]:
+    def spans_of(texts: list, held, before: list | None) -> tuple[list, ...]:
         shares, out = held.value if held is not None else {}, []
         known = frozenset(t.encode() for t in shares)
         for i, t in enumerate(texts):
@@ -222,7 +224,7 @@ def find_personal_data(
                     if share is not None and not hidden.touches(m.start(), m.end()):
                         spans.append({"kind": "term", "start": m.start(), "end": m.end(), "share": share})
             out.append(sorted(spans, key=lambda s: (KINDS.index(s["kind"]), s["start"])))
-        return (out,)
+        return (out, list(map(sanitised, texts, out))) if clean else (out,)
 
     done = None
     spark = df.sparkSession
@@ -270,12 +272,6 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with sanitised texts; n_chars follows the text where it is one of the columns."""
-    found = find_personal_data(docs)
-    done = add_columns(
-        found,
-        ["text", "spans"],
-        "__clean string",
-        lambda texts, spans: ([sanitised(t, s) for t, s in zip(texts, spans, strict=True)],),
-    )
+    done = find_personal_data(docs, clean="__clean")
     own = {"text": F.col("__clean").alias("text"), "n_chars": F.char_length("__clean").cast("long").alias("n_chars")}
     return done.select(*(own.get(c, F.col(c)) for c in docs.columns))
