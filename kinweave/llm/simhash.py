@@ -300,7 +300,8 @@ def near_duplicates(
     named = nodes.join(components(edges), "node", "left").select(
         "node", "least", F.coalesce("root", "node").alias("root")
     )
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join below is dealt anew on both sides and can be split where one root is large.
+    least = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
     by_node = cut(named.join(least, "root").select("node", "root", "component_id"))
     return rows.join(by_node, "node").drop("node")
 
