@@ -812,63 +812,38 @@ def noisy_tb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.released(_tb(spark, sf_dir), 3.5, 0).select("c0", "c1", rounded("value"))
 
 
-_TB_MARGINS = _TB_SQL + """, a AS (SELECT c0, sum(value) AS a FROM t GROUP BY c0), b AS (SELECT c1, sum(value) AS b FROM t GROUP BY c1),
- n AS (SELECT sum(value) AS n FROM t), j AS (SELECT t.*, a, b, n FROM t JOIN a USING (c0) JOIN b USING (c1), n)"""
+#: Weights are whole multiples of 1 / UNIT, the least common multiple of 1 to TAU_LINES; counted in that unit, sums are
+#: exact in any order, and what is computed from them is the same to the last bit.
+UNIT = 840
+_TB_MARGINS = (
+    _TB_SQL
+    + f""", u AS (SELECT c0, c1, round(value * {UNIT}) AS value FROM t), a AS (SELECT c0, sum(value) AS a FROM u GROUP BY c0),
+ b AS (SELECT c1, sum(value) AS b FROM u GROUP BY c1), n AS (SELECT sum(value) AS n FROM u),
+ j AS (SELECT u.*, a, b, n FROM u JOIN a USING (c0) JOIN b USING (c1), n)"""
+)
 
 
 def _with_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _tb(spark, sf_dir)
+    cells = _tb(spark, sf_dir).withColumn("value", F.round(F.col("value") * UNIT))
     sums = [cells.groupBy(c).agg(F.sum("value").alias(n)) for c, n in (("c0", "a"), ("c1", "b"))]
     total = cells.agg(F.sum("value").alias("n"))
     return cells.join(sums[0], "c0").join(sums[1], "c1").join(total, F.lit(True))
 
 
-@register(
-    "lift_tb",
-    X.with_sql("SELECT c0, c1, round((value + 1e-6 / 150) / (a / n * b / n + 1e-6), 4) AS lift FROM j", _TB_MARGINS),
-)
-def lift_tb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = (F.col("value") + 1e-6 / 150) / (F.col("a") / F.col("n") * F.col("b") / F.col("n") + 1e-6)
-    return _with_margins(spark, sf_dir).select("c0", "c1", F.round(x, 4).alias("lift"))
-
-
-@register(
-    "cond_norm",
-    X.with_sql("SELECT c0, c1, round(CASE WHEN a > 0 THEN value / a ELSE 0 END, 6) AS p FROM j", _TB_MARGINS),
-)
-def cond_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.sum("value").over(Window.partitionBy("c0"))
-    return _tb(spark, sf_dir).select(
-        "c0",
-        "c1",
-        F.round(F.when(own > 0, F.col("value") / own).otherwise(F.lit(0.0)), 6).alias("p"),
-    )
-
-
-@register(
-    "snr_shrink",
-    X.with_sql(
-        "SELECT c0, c1, round(1 + (value * n / (a * b) - 1) * least(greatest(value / (5 * 3.5), 0), 1), 6) AS lift FROM j",
-        _TB_MARGINS,
-    ),
-)
-def snr_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.col("value") * F.col("n") / (F.col("a") * F.col("b"))
-    w = F.least(F.greatest(F.col("value") / 17.5, F.lit(0.0)), F.lit(1.0))
-    return _with_margins(spark, sf_dir).select("c0", "c1", F.round(1 + (raw - 1) * w, 6).alias("lift"))
+def from_margins(name: str, out: str, expression: str) -> None:
+    """A query of one expression over value, a, b and n, in double arithmetic that Spark and DuckDB share."""
+    sql = X.with_sql(f"SELECT c0, c1, round({expression}, 6) AS {out} FROM j", _TB_MARGINS)
+    register(name, sql)(lambda s, d: _with_margins(s, d).selectExpr("c0", "c1", f"round({expression}, 6) AS {out}"))
 
 
-@register(
+from_margins("lift_tb", "lift", "(value / 840e0 + 1e-6 / 150e0) / (a / n * b / n + 1e-6)")
+from_margins("cond_norm", "p", "CASE WHEN a > 0 THEN value / a ELSE 0e0 END")
+from_margins("snr_shrink", "lift", "1e0 + (value * n / (a * b) - 1e0) * least(greatest(value / 840e0 / 17.5e0, 0e0), 1e0)")
+from_margins(
     "shrink_joint",
-    X.with_sql(
-        "SELECT c0, c1, round(least(value / 7.0, 1) * value + (1 - least(value / 7.0, 1)) * a * b / n, 6) AS value FROM j",
-        _TB_MARGINS,
-    ),
+    "value",
+    "(least(value / 5880e0, 1e0) * value + (1e0 - least(value / 5880e0, 1e0)) * a * b / n) / 840e0",
 )
-def shrink_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.least(F.col("value") / 7.0, F.lit(1.0))
-    x = w * F.col("value") + (1 - w) * F.col("a") * F.col("b") / F.col("n")
-    return _with_margins(spark, sf_dir).select("c0", "c1", F.round(x, 6).alias("value"))
 
 
 @register(
