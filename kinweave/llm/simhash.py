@@ -218,7 +218,10 @@ def links(
             fp = fp.view(np.uint64)
             sk = None
             if sk_radius is not None:
-                sk = np.frombuffer(b"".join(own["sk"].to_pylist()), np.uint64).reshape(len(fp), -1)
+                # All sketches have one length and none is null, so their bytes stand side by side in Arrow's buffer.
+                _, ends, data = own["sk"].buffers()
+                ends = np.frombuffer(ends, np.int32)[own["sk"].offset :][: len(fp) + 1]
+                sk = np.frombuffer(data, np.uint64, int(ends[-1] - ends[0]) // 8, int(ends[0])).reshape(len(fp), -1)
             left, right = [], []
             for k in range(batch.num_rows):
                 at = np.arange(offsets[k], offsets[k + 1])
