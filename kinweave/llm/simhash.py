@@ -3,19 +3,22 @@
 Wherever fingerprints are compared, their Hamming distances to a fixed set of reference fingerprints (pivots) are
 tabled first. By the triangle inequality two fingerprints within `radius` differ by at most `radius` in every
 coordinate, so a larger maximum coordinate difference discards a pair unseen; survivors are verified by the exact
-distance and, where the caller asks for a similarity of texts, by a sketch of their shingles.
+distance.
 
 So that no fingerprint meets all others, pairs are sought only within cells: cut the 64 bits into `radius + 2`
 parts or more; two fingerprints within `radius` agree on at least parts - radius of them, so each fingerprint is
 put into one cell for each choice of that many parts and shares a cell with every partner. A cell of more than
 `CELL` fingerprints is dealt over pairs of blocks, each its own bounded task; nothing is capped. Within a cell a
 breadth-first walk emits a spanning forest of the links, never all pairs; its components are those of the links.
+
+The pipeline's stage links by the similarity of texts itself (shared shingles of all shingles, 0.8 or more), which
+fingerprints can't tell. Candidates share one of BANDS cells of least hashes and have near sketches; each connected
+group of candidates is then walked again with the exact similarity of the shingle sets.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,14 +31,20 @@ from kinweave.llm.common import add_columns, cut, table
 
 #: Words of a shingle and bits that linked fingerprints may differ in, in the registered query.
 SHINGLE, RADIUS = 4, 4
-#: In the pipeline's stage, fingerprints are of weighted words, which few edits move little, and may differ in
-#: this many bits; sketches are of shingles of five words and may differ in so many of their SKETCH bits. Texts of
-#: a similarity s are expected to differ in (1 - s) / 2 of them; the margin covers 1.5 standard deviations at 0.8.
-STAGE_SHINGLE, STAGE_RADIUS, SKETCH, SKETCH_RADIUS = 5, 6, 128, 18
+#: In the pipeline's stage, texts are linked whose sets of five-word shingles share LIKE[0] / LIKE[1] of their union or
+#: more. A candidate pair has the same BAND least hashes in one of BANDS cells (missed at 0.8 with a chance of 6e-7)
+#: and sketches of SKETCH bits, one of each least hash, that differ in SKETCH_RADIUS at most (more at 0.8 with a
+#: chance of 3e-7); both chances fall with the similarity and don't depend on the length of the texts.
+STAGE_SHINGLE, LIKE, BANDS, BAND, SKETCH, SKETCH_RADIUS = 5, (4, 5), 20, 3, 128, 32
 #: Reference fingerprints: XXH64 of their number under seed 7.
 PIVOTS = np.array([xxhash.xxh64_intdigest(str(k), 7) for k in range(16)], dtype=np.uint64)
 #: Fingerprints of a cell that one block of a task holds.
 CELL = 4096
+#: Shingles that one block of a task holds where sets are compared.
+SET_CELL = 1 << 20
+#: The SKETCH orders of hashes: h comes at (h ^ _FLIP) * _ODD.
+_FLIP = np.array([xxhash.xxh64_intdigest(str(k), 11) for k in range(SKETCH)], dtype=np.uint64)
+_ODD = np.array([xxhash.xxh64_intdigest(str(k), 13) | 1 for k in range(SKETCH)], dtype=np.uint64)
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 
@@ -73,29 +82,36 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return _majority(_shingle_hashes(words, shingle)) if words else 0
 
 
-def word_fingerprint(words: list[bytes]) -> int:
-    """Unsigned 64-bit SimHash of the words, each weighted by the root of its count; 0 without words."""
+def shingle_set(words: list[bytes], shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes in order; none without words."""
     if not words:
-        return 0
-    counts = Counter(words)
-    own = sorted(counts)
-    weights = np.sqrt(np.array([counts[w] for w in own], np.float64))
-    h = np.frombuffer(b"".join([xxhash.xxh64_digest(w, 42) for w in own]), np.uint8).reshape(-1, 8)
-    return int.from_bytes(np.packbits(2 * (weights @ np.unpackbits(h, axis=1)) > weights.sum()).tobytes(), "big")
+        return np.zeros(0, np.uint64)
+    return np.unique(np.ascontiguousarray(_shingle_hashes(words, shingle)).view(">u8").astype(np.uint64))
 
 
-def sketch(words: list[bytes], shingle: int = STAGE_SHINGLE, bits: int = SKETCH) -> bytes:
-    """One bit of the least shingle hash in each of `bits` bins; an empty bin takes the next one's."""
-    if not words:
-        return bytes(bits // 8)
-    h = np.sort(np.ascontiguousarray(_shingle_hashes(words, shingle)).view(">u8").reshape(-1).astype(np.uint64))
-    bins = (h % np.uint64(bits)).astype(np.int64)
-    full, first = np.unique(bins, return_index=True)
-    least = h[first]
-    source = np.searchsorted(full, np.arange(bits)) % len(full)
-    far = (full[source] - np.arange(bits)) % bits  # a borrowed value is mixed with the way to it
-    x = (least[source] ^ (far.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return np.packbits((x >> np.uint64(63)).astype(np.uint8)).tobytes()
+def least_hashes(h: np.ndarray) -> np.ndarray:
+    """The least of the hashes in each of SKETCH orders; two sets share each with the chance of their similarity."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1024):
+        x = (h[at : at + 1024, None] ^ _FLIP) * _ODD
+        np.minimum(least, x.min(axis=0), out=least)
+    return least
+
+
+def _sketch_of(least: np.ndarray) -> bytes:
+    return np.packbits((least * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(63)).astype(np.uint8)).tobytes()
+
+
+def _bands_of(least: np.ndarray) -> np.ndarray:
+    x = np.zeros(BANDS, np.uint64)
+    for part in least[: BANDS * BAND].reshape(BANDS, BAND).T:
+        x = ((x ^ (x >> np.uint64(31))) + part) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def sketch(words: list[bytes], shingle: int = STAGE_SHINGLE) -> bytes:
+    """One bit of the least shingle hash in each of SKETCH orders."""
+    return _sketch_of(least_hashes(shingle_set(words, shingle)))
 
 
 def fingerprints(df: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -108,15 +124,22 @@ def fingerprints(df: DataFrame, text: str = "text", shingle: int = SHINGLE) -> D
     return add_columns(df, [text], "fp long", run).drop(text)
 
 
-def sketched_fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
-    """df without `text`, with fp long of the weighted words and sk binary, a sketch of the shingles."""
+def sketched(df: DataFrame, text: str = "text") -> DataFrame:
+    """df without `text`, with node long (a hash of the shingle set), size int (its shingles), sk binary (its sketch)
+    and bands array<long> (a hash of each band)."""
 
-    def run(texts: list) -> tuple[list, list]:
-        words = [_words(t) for t in texts]
-        fp = np.array([word_fingerprint(w) for w in words], dtype=np.uint64)
-        return fp.view(np.int64), [sketch(w) for w in words]
+    def run(texts: list) -> tuple[list, list, list, list]:
+        node, size, sk, bands = [], [], [], []
+        for t in texts:
+            h = shingle_set(_words(t))
+            least = least_hashes(h)
+            node.append(int.from_bytes(xxhash.xxh64_digest(h.tobytes(), 42), "big", signed=True))
+            size.append(len(h))
+            sk.append(_sketch_of(least))
+            bands.append(_bands_of(least))
+        return node, size, sk, bands
 
-    return add_columns(df, [text], "fp long, sk binary", run).drop(text)
+    return add_columns(df, [text], "node long, size int, sk binary, bands array<long>", run).drop(text)
 
 
 def pivot_table(fp: np.ndarray) -> np.ndarray:
@@ -136,17 +159,12 @@ def _cell_keys(segments: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(spans, segments - radius)]
 
 
-def walk(
-    fp: np.ndarray, radius: int, inner: int | None = None, sk: np.ndarray | None = None, sk_radius: int = 0
-) -> tuple[list, list]:
-    """Edges (i, j) of a spanning forest of the graph of links among fingerprints.
+def _span(n: int, near: Callable[[int, np.ndarray], np.ndarray], inner: int | None = None) -> tuple[list, list]:
+    """Edges (i, j) of a spanning forest of the graph of links among n nodes.
 
-    With `inner`, only links between the first `inner` and the others count; with `sk` (rows of 64-bit words),
-    sketches must agree as well. Each step takes one reached fingerprint, discards the unreached ones whose
-    pivot coordinates differ too much, and verifies the rest.
+    near(x, free) gives the nodes of `free` that are linked with x. With `inner`, only links between the first
+    `inner` and the others count. Each step takes one reached node and links it with the unreached ones.
     """
-    n = len(fp)
-    pivots = pivot_table(fp)
     left, right = [], []
     free = np.arange(n)
     side = np.zeros(n, bool)
@@ -157,77 +175,104 @@ def walk(
         free = free[1:]
         while stack and len(free):
             x = stack.pop()
-            near = free
-            for c in (slice(0, 4), slice(4, 16)):
-                near = near[np.abs(pivots[near, c] - pivots[x, c]).max(axis=1) <= radius]
-                if not len(near):
-                    break
-            if len(near):
-                near = near[np.bitwise_count(fp[near] ^ fp[x]) <= radius]
-                if inner is not None:
-                    near = near[side[near] != side[x]]
-                if sk is not None and len(near):
-                    near = near[np.bitwise_count(sk[near] ^ sk[x]).sum(axis=1) <= sk_radius]
-            if len(near):
-                left += [x] * len(near)
-                right += near.tolist()
-                stack += near.tolist()
-                free = free[~np.isin(free, near, assume_unique=True)]
+            found = near(x, free if inner is None else free[side[free] != side[x]])
+            if len(found):
+                left += [x] * len(found)
+                right += found.tolist()
+                stack += found.tolist()
+                free = free[~np.isin(free, found, assume_unique=True)]
     return left, right
 
 
-def links(
-    nodes: DataFrame, radius: int = RADIUS, cell: int = CELL, segments: int | None = None, sk_radius: int | None = None
+def walk(fp: np.ndarray, radius: int, inner: int | None = None) -> tuple[list, list]:
+    """A spanning forest of fingerprints within the radius; see _span.
+
+    Each step discards the unreached ones whose pivot coordinates differ too much, and verifies the rest.
+    """
+    pivots = pivot_table(fp)
+
+    def near(x: int, free: np.ndarray) -> np.ndarray:
+        for c in (slice(0, 4), slice(4, 16)):
+            if not len(free):
+                return free
+            free = free[np.abs(pivots[free, c] - pivots[x, c]).max(axis=1) <= radius]
+        return free[np.bitwise_count(fp[free] ^ fp[x]) <= radius]
+
+    return _span(len(fp), near, inner)
+
+
+def _alike(sk: np.ndarray, size: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Links of candidates: sizes that allow the similarity, and near sketches (rows of 64-bit words)."""
+
+    def near(x: int, free: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(size[free], size[x]), np.maximum(size[free], size[x])
+        free = free[LIKE[1] * low >= LIKE[0] * high]
+        return free[np.bitwise_count(sk[free] ^ sk[x]).sum(axis=1) <= SKETCH_RADIUS]
+
+    return near
+
+
+def walk_candidates(sk: np.ndarray, size: np.ndarray, inner: int | None = None) -> tuple[list, list]:
+    """A spanning forest of candidates; see _span and _alike."""
+    return _span(len(size), _alike(sk, size), inner)
+
+
+def walk_sets(sets: list[np.ndarray], sk: np.ndarray, inner: int | None = None) -> tuple[list, list]:
+    """A spanning forest of the non-empty sets that are similar enough; candidates are verified exactly."""
+    size = np.array([len(s) for s in sets], np.int64)
+    starts = np.cumsum(size) - size
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(known), np.int64)
+    candidates = _alike(sk, size)
+
+    def near(x: int, free: np.ndarray) -> np.ndarray:
+        free = candidates(x, free)
+        if not len(free):
+            return free
+        own = ids[starts[x] : starts[x] + size[x]]
+        mark[own] = 1
+        many = size[free]
+        first = np.cumsum(many) - many
+        at = np.repeat(starts[free] - first, many) + np.arange(int(many.sum()))
+        shared = np.add.reduceat(mark[ids[at]], first)
+        mark[own] = 0
+        # shared / (a + b - shared) >= LIKE, in whole numbers
+        return free[sum(LIKE) * shared >= LIKE[0] * (many + size[x])]
+
+    return _span(len(size), near, inner)
+
+
+def _words_of(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All 64-bit words of a column of binaries without nulls, straight from Arrow's buffer, and each row's ends."""
+    _, ends, data = x.buffers()
+    ends = np.frombuffer(ends, np.int32)[x.offset :][: len(x) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint64, int(ends[-1] - ends[0]) // 8, int(ends[0])), (ends - ends[0]) // 8
+
+
+def _forests(
+    lots: DataFrame, judge: Callable[[dict[str, pa.Array]], Callable[[np.ndarray, int | None], tuple[list, list]]]
 ) -> DataFrame:
-    """Edges a long, b long between nodes that span the components of all links.
+    """Distinct edges a long, b long of all lots: i, j, rows of b, node and what `judge` reads.
 
-    nodes: node long (distinct) and fp long; with `sk_radius` also sk binary. The parts are the finer the more
-    nodes there are, so that a cell of unrelated ones stays small.
+    judge takes the columns of a batch's rows and returns a walk over the rows at given places.
     """
-    if segments is None:
-        n = nodes.count()
-        segments = radius + (2 if n < 1 << 23 else 3 if n < 1 << 30 else 4)
-    masks = _cell_keys(segments, radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = nodes.select(
-        *nodes.columns,
-        F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed))).alias("m", "k"),
-    )
-    # Cells of one are dropped by a count that combines before it is shuffled; large ones are split in blocks.
-    sizes = keyed.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = keyed.join(sizes, ["m", "k"])
-    blocks = F.ceil(F.col("n") / F.lit(cell)).cast("int")
-    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    pairs = held.withColumn("bs", blocks).withColumn("b", block).withColumn(
-        "o", F.explode(F.sequence(F.lit(0), F.col("bs") - 1))
-    )
-    lots = (
-        pairs.groupBy("m", "k", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-        .agg(F.collect_list(F.struct("b", *nodes.columns)).alias("rows"))
-        .filter(F.size("rows") > 1)
-        .select("i", "j", "rows")
-    )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             i, j = (np.asarray(batch.column(c)) for c in (0, 1))
             lists = batch.column(2)
             offsets, rows = np.asarray(lists.offsets), lists.values
             own = {x.name: rows.field(k) for k, x in enumerate(rows.type)}
-            b, node, fp = (own[c].to_numpy(zero_copy_only=False) for c in ("b", "node", "fp"))
-            fp = fp.view(np.uint64)
-            sk = None
-            if sk_radius is not None:
-                # All sketches have one length and none is null, so their bytes stand side by side in Arrow's buffer.
-                _, ends, data = own["sk"].buffers()
-                ends = np.frombuffer(ends, np.int32)[own["sk"].offset :][: len(fp) + 1]
-                sk = np.frombuffer(data, np.uint64, int(ends[-1] - ends[0]) // 8, int(ends[0])).reshape(len(fp), -1)
+            b, node = (own[c].to_numpy(zero_copy_only=False) for c in ("b", "node"))
+            over = judge(own)
             left, right = [], []
             for k in range(batch.num_rows):
                 at = np.arange(offsets[k], offsets[k + 1])
                 at = at[np.lexsort((node[at], b[at] != i[k]))]
                 inner = None if i[k] == j[k] else int((b[at] == i[k]).sum())
-                x, y = walk(fp[at], radius, inner, None if sk is None else sk[at], sk_radius or 0)
+                x, y = over(at, inner)
                 left.append(node[at[x]])
                 right.append(node[at[y]])
             yield pa.RecordBatch.from_arrays(
@@ -238,6 +283,96 @@ def links(
     return lots.mapInArrow(join, "a long, b long").distinct()
 
 
+def _cells(keyed: DataFrame, columns: list[str], cell: int) -> DataFrame:
+    """The lots of the cells (m, k): one for each pair of blocks of `cell` nodes."""
+    # Cells of one are dropped by a count that combines before it is shuffled; large ones are split in blocks.
+    sizes = keyed.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    held = keyed.join(sizes, ["m", "k"])
+    blocks = F.ceil(F.col("n") / F.lit(cell)).cast("int")
+    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    pairs = held.withColumn("bs", blocks).withColumn("b", block).withColumn(
+        "o", F.explode(F.sequence(F.lit(0), F.col("bs") - 1))
+    )
+    return (
+        pairs.groupBy("m", "k", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+        .agg(F.collect_list(F.struct("b", *columns)).alias("rows"))
+        .filter(F.size("rows") > 1)
+        .select("i", "j", "rows")
+    )
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, cell: int = CELL, segments: int | None = None) -> DataFrame:
+    """Edges a long, b long between nodes that span the components of all links.
+
+    nodes: node long (distinct) and fp long. The parts are the finer the more nodes there are, so that a cell of
+    unrelated ones stays small.
+    """
+    if segments is None:
+        n = nodes.count()
+        segments = radius + (2 if n < 1 << 23 else 3 if n < 1 << 30 else 4)
+    masks = _cell_keys(segments, radius)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keyed = nodes.select(
+        *nodes.columns,
+        F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed))).alias("m", "k"),
+    )
+
+    def judge(own: dict[str, pa.Array]) -> Callable[[np.ndarray, int | None], tuple[list, list]]:
+        fp = own["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
+        return lambda at, inner: walk(fp[at], radius, inner)
+
+    return _forests(_cells(keyed, nodes.columns, cell), judge)
+
+
+def candidates(nodes: DataFrame, cell: int = CELL) -> DataFrame:
+    """Edges a long, b long that span the connected groups of candidates; nodes: node, size, sk, bands."""
+    keyed = nodes.filter("size > 0").select("node", "size", "sk", F.posexplode("bands").alias("m", "k"))
+
+    def judge(own: dict[str, pa.Array]) -> Callable[[np.ndarray, int | None], tuple[list, list]]:
+        size = own["size"].to_numpy(zero_copy_only=False).astype(np.int64)
+        sk = _words_of(own["sk"])[0].reshape(len(size), -1)
+        return lambda at, inner: walk_candidates(sk[at], size[at], inner)
+
+    return _forests(_cells(keyed, ["node", "size", "sk"], cell), judge)
+
+
+def similar(
+    groups: DataFrame, nodes: DataFrame, texts: DataFrame, cell: int = CELL, set_cell: int = SET_CELL
+) -> DataFrame:
+    """Edges a long, b long that span the components of texts that are similar enough, within groups of candidates.
+
+    groups: node, root; nodes: node, size, sk, th (the hash of one of its texts); texts: text, th. A group is
+    dealt over pairs of blocks of `cell` nodes and `set_cell` shingles on average; nothing is capped.
+    """
+    held = groups.join(nodes.select("node", "size", "sk", "th"), "node")
+    sums = held.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("m"))
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(cell)), F.ceil(F.col("m") / F.lit(set_cell))).cast("int")
+    held = held.join(sums, "root").select(
+        "root", "node", "sk", "th", blocks.alias("bs"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("b")
+    )
+    # Copies are dropped before the shuffle; no broadcast, so that the plan is one at all sizes.
+    held = texts.dropDuplicates(["th"]).join(cut(held).hint("merge"), "th")
+
+    def run(part: list) -> tuple[list]:
+        return ([shingle_set(_words(t)).tobytes() for t in part],)
+
+    made = add_columns(held, ["text"], "sh binary", run).drop("text", "th")
+    lots = (
+        made.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("bs") - 1)))
+        .groupBy("root", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+        .agg(F.collect_list(F.struct("b", "node", "sk", "sh")).alias("rows"))
+        .filter(F.size("rows") > 1)
+        .select("i", "j", "rows")
+    )
+
+    def judge(own: dict[str, pa.Array]) -> Callable[[np.ndarray, int | None], tuple[list, list]]:
+        h, ends = _words_of(own["sh"])
+        sk = _words_of(own["sk"])[0].reshape(len(ends) - 1, -1)
+        return lambda at, inner: walk_sets([h[ends[k] : ends[k + 1]] for k in at], sk[at], inner)
+
+    return _forests(lots, judge)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node long, root long (least node of its component, as signed numbers) of an undirected edge list.
 
@@ -278,6 +413,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return roots.union(own.join(roots, "node", "left_anti"))
 
 
+def _named(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows without node, with root long and component_id; nodes: node and least, the least key of its rows."""
+    named = nodes.join(components(edges), "node", "left").select(
+        "node", "least", F.coalesce("root", "node").alias("root")
+    )
+    # Written, so that the join below is dealt anew on both sides and can be split where one root is large.
+    least = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    by_node = cut(named.join(least, "root").select("node", "root", "component_id"))
+    return rows.join(by_node, "node").drop("node")
+
+
 def near_duplicates(
     df: DataFrame,
     key: str,
@@ -285,28 +431,35 @@ def near_duplicates(
     shingle: int = SHINGLE,
     radius: int = RADIUS,
     cell: int = CELL,
-    similar: bool = False,
 ) -> DataFrame:
     """The columns of df but the text, with fp long, root long and component_id for every row.
 
-    With `similar`, fingerprints are of weighted words and links also need sketches of shingles that agree (see
-    STAGE_SHINGLE); then sk binary is added too. root is the least node of the component, component_id the
-    least key. Null and wordless texts have fingerprint 0 and are linked like any other. Equal fingerprints (and
-    sketches) are one node, so copies cost nothing beyond their row. Null keys take no part in the least key; a
-    component of null keys alone has a null id. Repeated rows are kept. An empty table gives no rows.
+    root is the least node of the component, component_id the least key. Null and wordless texts have
+    fingerprint 0 and are linked like any other. Equal fingerprints are one node, so copies cost nothing beyond
+    their row. Null keys take no part in the least key; a component of null keys alone has a null id. Repeated
+    rows are kept. An empty table gives no rows.
     """
-    made = sketched_fingerprints(df, text) if similar else fingerprints(df, text, shingle)
-    own = ["fp", "sk"] if similar else ["fp"]
-    rows = cut(made.withColumn("node", F.xxhash64(*own) if similar else F.col("fp")))
-    nodes = cut(rows.groupBy("node", *own).agg(F.min(key).alias("least")))
-    edges = links(nodes.select("node", *own), radius, cell, sk_radius=SKETCH_RADIUS if similar else None)
-    named = nodes.join(components(edges), "node", "left").select(
-        "node", "least", F.coalesce("root", "node").alias("root")
+    rows = cut(fingerprints(df, text, shingle).withColumn("node", F.col("fp")))
+    nodes = cut(rows.groupBy("node", "fp").agg(F.min(key).alias("least")))
+    return _named(rows, nodes, links(nodes.select("node", "fp"), radius, cell))
+
+
+def similar_documents(
+    df: DataFrame, key: str, text: str = "text", cell: int = CELL, set_cell: int = SET_CELL
+) -> DataFrame:
+    """The columns of df but the text, with root long and component_id (see near_duplicates) for every row.
+
+    Links are pairs of texts that share LIKE of their five-word shingles or more, by count. Equal sets of
+    shingles are one node; so are all null and wordless texts, which are linked with no other.
+    """
+    th = F.xxhash64(text).alias("th")
+    made = cut(sketched(df.select("*", th), text))
+    nodes = cut(
+        made.groupBy("node", "size", "sk", "bands").agg(F.min(key).alias("least"), F.min("th").alias("th"))
     )
-    # Written, so that the join below is dealt anew on both sides and can be split where one root is large.
-    least = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    by_node = cut(named.join(least, "root").select("node", "root", "component_id"))
-    return rows.join(by_node, "node").drop("node")
+    groups = cut(components(candidates(nodes, cell)))
+    edges = similar(groups, nodes, df.select(F.col(text).alias("text"), th), cell, set_cell)
+    return _named(made.drop("th", "size", "sk", "bands"), nodes.select("node", "least"), edges)
 
 
 def as_hex(fp: Column) -> Column:
@@ -323,7 +476,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: of the least doc_id (null ones last), then of the least text hash."""
     own = F.xxhash64("text").alias("own")
-    found = near_duplicates(docs.select("doc_id", "text", own), "doc_id", radius=STAGE_RADIUS, similar=True)
+    found = similar_documents(docs.select("doc_id", "text", own), "doc_id")
     first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "own")).alias("w")
     kept = found.groupBy("root").agg(first).select("w.doc_id", "w.own").distinct()
     left, right = docs.select("*", F.xxhash64("text").alias("__own")).alias("l"), kept.alias("r")

@@ -6,7 +6,7 @@ import xxhash
 from helpers_llm import documents, save
 
 from kinweave.llm.simhash import (
-    components, fingerprint, links, near_duplicates, op6_simhash, sketch, stage_near_dedup, walk,
+    components, fingerprint, links, near_duplicates, op6_simhash, similar_documents, sketch, stage_near_dedup, walk,
 )
 
 
@@ -139,5 +139,57 @@ def test_stage_keeps_one_of_each_group(spark):
     assert [x.text for x in rows if x.doc_id is None] == ["lonely one here"]
 
 
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similarity(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a and b else float(not a and not b)
+
+
+def copies(r, words, edits):
+    """A text and a copy with this many words changed at its end and, for longer ones, in places within."""
+    w = [f"w{r.randint(0, 10**6)}" for _ in range(words)]
+    c = [*w]
+    for k in range(edits):
+        c[-1 - k if words < 60 else r.randrange(words)] = f"n{r.randint(0, 10**6)}"
+    return " ".join(w), " ".join(c)
+
+
+def test_stage_finds_short_near_copies_and_nothing_below_the_rule(spark):
+    r = random.Random(6)
+    pairs = [copies(r, n, e) for n in (12, 30, 60, 200) for e in (1, 2, 3, 4, 6, 8) for _ in range(15)]
+    like = [similarity(a, b) for a, b in pairs]
+    assert sum(x >= 0.8 for x in like) > 80 and sum(0.6 < x < 0.8 for x in like) > 40
+    docs = documents(spark, [t for p in pairs for t in p])
+    kept = {x.doc_id for x in stage_near_dedup(spark, docs, "").select("doc_id").collect()}
+    assert kept == {2 * k for k in range(len(pairs))} | {2 * k + 1 for k, x in enumerate(like) if x < 0.8}
+
+
+def test_similar_documents_equal_brute_force_in_blocks_too(spark):
+    r = random.Random(7)
+    texts = [None, "", "a b", "A  b"]
+    for n in (8, 40, 120):
+        base = [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+        for _ in range(25):  # a chain of copies of copies and their originals
+            texts.append(" ".join(base))
+            base[r.randrange(n)] = f"n{r.randint(0, 10**6)}"
+    ids = range(len(texts))
+    root = [*ids]
+    for i in ids:
+        for j in ids:
+            if similarity(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert 10 < len(set(root)) < len(texts) - 10
+    for cell, set_cell in ((4096, 1 << 20), (7, 500)):
+        docs = documents(spark, texts).select("doc_id", "text")
+        found = similar_documents(docs, "doc_id", cell=cell, set_cell=set_cell)
+        assert {x.doc_id: x.component_id for x in found.collect()} == dict(zip(ids, root, strict=True))
+
+
 def test_empty_table(spark):
     assert near_duplicates(documents(spark, []).select("doc_id", "text"), "doc_id").count() == 0
+    assert similar_documents(documents(spark, []).select("doc_id", "text"), "doc_id").count() == 0
