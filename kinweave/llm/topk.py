@@ -7,7 +7,7 @@ some level is below the k-th best score known so far are dropped; survivors' sco
 
 Defined results: a vector that is null, or holds a null or a number that isn't finite, takes no part, and neither
 does a row without vec_id; vectors of different lengths don't meet; a query that comes several times counts once
-(its least vector), a candidate that comes several times is several candidates; rows with the query's vec_id are
+(its least vector that takes part), a candidate that comes several times is several candidates; rows with the query's vec_id are
 the query's own. Scores are exact in 64-bit integers. An empty table gives no rows.
 """
 
@@ -137,16 +137,18 @@ class Search:
 
 def top_k(
     df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", best: int = BEST,
-    scale: int = SCALE, query_bytes: int = QUERY_BYTES,
+    scale: int = SCALE, query_bytes: int = QUERY_BYTES, within: bool = False,
 ) -> DataFrame:
     """query_id long, rank int, vec_id long, score long: the best candidates of df for every query.
 
     The queries go to all tasks in lots of at most about `query_bytes`, each lot with its own pass over df; a
-    task sends on no more than the best of each query among its own candidates, whatever their number.
+    task sends on no more than the best of each query among its own candidates, whatever their number. `within`
+    says that every query is a row of df, so that queries bound each other's results; results are the same.
     """
     spark = df.sparkSession
     sized = queries.filter(F.col(key).isNotNull() & F.col(vector).isNotNull())
-    sized = sized.groupBy(F.col(key).cast("long").alias("id")).agg(F.min(vector).alias("v"))
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sized = sized.filter(finite).groupBy(F.col(key).cast("long").alias("id")).agg(F.min(vector).alias("v"))
     total = sized.agg(F.sum(F.size("v") * 8 + 8)).first()[0] or 0
     lots = max(1, -(-total // query_bytes))
     candidates = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
@@ -157,7 +159,7 @@ def top_k(
         kind = pa.list_(pa.float64())
         held = vectors(pa.array([r["id"] for r in rows], pa.int64()), pa.array([r["v"] for r in rows], kind), scale)
         searches = {n: Search(ids, x, best) for n, (ids, x) in held.items()}
-        for s in searches.values():
+        for s in searches.values() if within else ():
             s.floors()
         sent = spark.sparkContext.broadcast(searches)
 
@@ -195,4 +197,4 @@ def _fresh(s: Search) -> Search:
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best of all other vectors for every vector whose id is divisible by 50."""
     rows = table(spark, sf_dir, "embeddings")
-    return top_k(rows, rows.filter(F.col("vec_id") % EVERY == 0))
+    return top_k(rows, rows.filter(F.col("vec_id") % EVERY == 0), within=True)

@@ -57,6 +57,21 @@ def test_ties_repeats_and_lots(spark):
         assert {tuple(x) for x in got.collect()} == want
 
 
+def test_an_invalid_copy_of_a_query_takes_no_result(spark, tmp_path):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(101)]
+    rows += [(50, [None, 1.0]), (100, [-math.inf, 1.0]), (0, [math.nan, 1.0])]
+    frame(spark, rows).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {tuple(x) for x in op2_top_k(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()}
+    assert got == brute(rows) and {x[0] for x in got} == {0, 50, 100}
+
+
+def test_queries_that_are_no_rows_bound_nothing(spark):
+    df = frame(spark, [(i, [float(i), 1.0]) for i in range(1, 8)])
+    queries = frame(spark, [(100 + i, [50.0 + i, 1.0]) for i in range(8)])
+    got = top_k(df, queries).collect()
+    assert len(got) == 40 and {x.vec_id for x in got} == {3, 4, 5, 6, 7}
+
+
 def test_large_components_are_exact(spark):
     rows = [(0, [3e6, -1e6]), (1, [2e6, 5.0]), (2, [2e6, 4.0])]
     df = frame(spark, rows)
