@@ -135,7 +135,7 @@ class _Reader(HTMLParser):
 
 @lru_cache(4096)
 def _class_words(said: str) -> tuple[str, ...]:
-    parts = re.sub(r"([a-z])([A-Z])", r"\1 \2", said[:400])
+    parts = re.sub(r"([a-z])([A-Z])", r"\1 \2", said)
     return tuple(dict.fromkeys(w.lower() for w in re.findall(r"[A-Za-z]+", parts)))
 
 

@@ -89,3 +89,10 @@ def test_query(spark, tmp_path, model):
     clash = pages.selectExpr("*", "7 as text", "8 as extra")
     assert extract_text(clash, model=model).columns == ["page_id", "url", "html", "extra", "text"]
     assert extract_text(pages.limit(0), model=model).count() == 0
+
+
+def test_words_behind_a_long_class_list_count():
+    long = " ".join(f"u{chr(97 + k % 26)}-x" for k in range(300))
+    short, full = (read(f'<div class="{c}" id="comments">text</div>')[1] for c in ("ua-x", long))
+    assert {f for own in short for f in own if "comment" in f} <= {f for own in full for f in own}
+    assert any("comment" in f for own in full for f in own)
