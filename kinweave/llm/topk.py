@@ -2,13 +2,15 @@
 
 Every vector is cut into segments, coarse to fine, and each segment is kept as its mean and standard deviation.
 With s components in a segment, (mq - mx)^2 + (dq - dx)^2, times s and added up, is a lower bound of the squared
-distance, and so s (mq mx + dq dx), added up, is an upper bound of the inner product. Candidates whose bound at
-some level is below the k-th best score known so far are dropped; survivors' scores are computed exactly.
+distance, and so s (mq mx + dq dx), added up, is an upper bound of the inner product. A pair whose bound at some
+level is below the k-th best score known so far of its query is dropped; only the pairs that are left are
+multiplied out, those of the best bounds first, and those behind them are judged again by what that has found.
 
 Defined results: a vector that is null, or holds a null or a number that isn't finite, takes no part, and neither
 does a row without vec_id; vectors of different lengths don't meet; a query that comes several times counts once
 (its least vector that takes part), a candidate that comes several times is several candidates; rows with the query's vec_id are
-the query's own. Scores are exact in 64-bit integers. An empty table gives no rows.
+the query's own. Scores are exact in 64-bit integers; a score beyond them counts as the largest or least one.
+An empty table gives no rows. Columns beside the id and the vector are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,20 +23,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinweave.llm.common import table
+from kinweave.llm.common import cut, table
 
 #: Scale of the integers, results of a query, and queries: every EVERY-th id.
 SCALE, BEST, EVERY = 256, 5, 50
-#: Segments at each level.
-LEVELS = (2, 8, 16)
-#: Bytes of query vectors that go to every task in one pass over the candidates.
-QUERY_BYTES = 16_000_000
+#: Components of a segment at each level, coarse to fine.
+LEVELS = (32, 8, 4, 2)
+#: Bytes of query vectors and their statistics that go to every task in one pass over the candidates.
+QUERY_BYTES = 48_000_000
 #: Queries and candidates compared at once.
 BLOCK_QUERIES, BLOCK_CANDIDATES = 512, 2048
+#: Pairs multiplied out at once: the first of a block, and twice as many each time up to the most.
+FIRST_PAIRS, BLOCK_PAIRS = 1 << 10, 1 << 16
 
 
 def vectors(ids: pa.Array, lists: pa.Array, scale: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By length: ids and floor(scale * x) as int64 of the vectors that take part."""
+    """By length: ids and floor(scale * x), whole numbers as doubles, of the vectors that take part."""
     out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     usable = np.flatnonzero(np.array(ids.is_valid()) & np.array(lists.is_valid()))
     if not len(usable):
@@ -48,80 +52,109 @@ def vectors(ids: pa.Array, lists: pa.Array, scale: int) -> dict[int, tuple[np.nd
         x = values[offsets[at][:, None] + np.arange(n)]
         at, x = at[np.isfinite(x).all(axis=1)], x[np.isfinite(x).all(axis=1)]
         if len(at):
-            x = np.clip(np.floor(scale * x), -(2.0**62), 2.0**62)
-            out[n] = own[at], x.astype(np.int64)
+            with np.errstate(over="ignore"):
+                out[n] = own[at], np.nan_to_num(np.floor(scale * x))
     return out
 
 
 def statistics(x: np.ndarray) -> list[np.ndarray]:
     """For each level, rows whose inner products are the bounds."""
     out, n = [], x.shape[1]
-    for level in LEVELS:
-        parts = np.array_split(np.arange(n), min(level, n)) if n else []
+    for width in LEVELS:
         columns = []
-        for p in parts:
-            seg = x[:, p].astype(np.float64)
-            root = np.sqrt(len(p))
-            columns += [root * seg.mean(axis=1), root * seg.std(axis=1)]
+        with np.errstate(over="ignore", invalid="ignore"):
+            for a in range(0, n, width):
+                seg = x[:, a : a + width]
+                root = np.sqrt(seg.shape[1])
+                columns += [root * seg.mean(axis=1), root * seg.std(axis=1)]
         out.append(np.stack(columns, axis=1) if columns else np.zeros((len(x), 1)))
     return out
 
 
+def _exact(most: float) -> type:
+    """The type that holds sums of products up to `most` exactly."""
+    return np.float64 if most < 2**53 else np.int64 if most < 2**62 else object
+
+
+def _whole(x: np.ndarray, kind: type) -> np.ndarray:
+    if kind is not object:
+        return x.astype(kind)
+    return np.array([[int(y) for y in row] for row in x.tolist()], object).reshape(x.shape)
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The inner product of each row of q with the row of x at the same place, as int64, cut off at its ends."""
+    with np.errstate(over="ignore"):
+        most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
+    kind = _exact(most)
+    if kind is object:
+        ends = np.iinfo(np.int64)
+        sums = (_whole(q, kind) * _whole(x, kind)).sum(axis=1)
+        return np.array([min(max(int(s), ends.min), ends.max) for s in sums], np.int64)
+    return np.einsum("ij,ij->i", q.astype(kind), x.astype(kind)).astype(np.int64)
+
+
 class Search:
     """Queries of one length and the k best candidates seen of each."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, best: int):
         self.ids, self.x, self.best = ids, x, best
         self.levels = statistics(x)
-        self.norm = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
+        self.norm = np.sqrt(np.square(x).sum(axis=1))
         self.scores = np.full((len(ids), best), np.iinfo(np.int64).min)
         self.found = np.full((len(ids), best), np.iinfo(np.int64).max)
-        #: What a candidate must reach; raised by `floors` and by what has been found.
-        self.floor = np.full(len(ids), -np.inf)
+        #: What a candidate must reach; raised by what has been found.
+        self.floor = np.full(len(ids), np.iinfo(np.int64).min)
+        #: Pairs met, and pairs multiplied out.
+        self.pairs = self.multiplied = 0
 
-    def products(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
-        if most < 2**53:
-            return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-        return q @ x.T
-
-    def floors(self) -> None:
-        """The k-th best score of each query among the other queries: no result can be less."""
-        for a in range(0, len(self.ids), BLOCK_QUERIES):
-            s = self.products(self.x[a : a + BLOCK_QUERIES], self.x).astype(np.float64)
-            s[self.ids[a : a + BLOCK_QUERIES, None] == self.ids] = -np.inf
-            if len(self.ids) > self.best:
-                self.floor[a : a + BLOCK_QUERIES] = np.partition(s, -self.best, axis=1)[:, -self.best]
+    def fresh(self) -> Search:
+        """A search of the same queries that has found nothing yet."""
+        new = object.__new__(Search)
+        new.__dict__ = self.__dict__ | {k: getattr(self, k).copy() for k in ("scores", "found", "floor")}
+        return new
 
     def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
         """Take candidates into account."""
-        levels = statistics(x)
-        norm = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
-        for a in range(0, len(self.ids), BLOCK_QUERIES):
-            q = slice(a, a + BLOCK_QUERIES)
-            # Bounds are floating; a margin far over their error keeps every candidate that could tie.
-            need = self.floor[q] - 1 - 1e-9 * self.norm[q] * norm.max(initial=0)
-            left = np.arange(len(ids))
-            for mine, theirs in zip(self.levels, levels, strict=True):
-                bound = mine[q] @ theirs[left].T
-                left = left[(bound >= need[:, None]).any(axis=0)]
-                if not len(left):
-                    break
-            if not len(left):
-                continue
-            s = self.products(self.x[q], x[left])
-            rows, cols = np.nonzero((s >= self.floor[q][:, None]) & (self.ids[q][:, None] != ids[left]))
-            if len(rows):
-                self._keep(rows + a, s[rows, cols], ids[left][cols])
+        with np.errstate(over="ignore", invalid="ignore"):
+            levels = statistics(x)
+            norm = np.sqrt(np.square(x).sum(axis=1)).max(initial=0)
+            for a in range(0, len(self.ids), BLOCK_QUERIES):
+                q = slice(a, a + BLOCK_QUERIES)
+                # Bounds are floating; a margin far over their error keeps every pair that could tie.
+                margin = 1 + 1e-9 * self.norm[q] * norm
+                alive = self.ids[q][:, None] != ids
+                self.pairs += int(alive.sum())
+                # A bound that is no number drops nothing.
+                for mine, theirs in zip(self.levels, levels, strict=True):
+                    bound = mine[q] @ theirs.T
+                    alive &= ~(bound < (self.floor[q] - margin)[:, None])
+                rows, cols = np.nonzero(alive)
+                bound = bound[rows, cols]
+                order = np.argsort(-bound / np.maximum(self.norm[q], 1)[rows])
+                done, size = 0, FIRST_PAIRS
+                while done < len(order):
+                    at = order[done : done + size]
+                    done, size = done + size, min(2 * size, BLOCK_PAIRS)
+                    at = at[~(bound[at] < (self.floor[q] - margin)[rows[at]])]
+                    self._multiply(a, rows[at], cols[at], ids, x)
+
+    def _multiply(self, first: int, rows: np.ndarray, cols: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        if not len(rows):
+            return
+        s = products(self.x[first + rows], x[cols])
+        self.multiplied += len(rows)
+        held = s >= self.floor[first + rows]
+        if held.any():
+            self._keep(first + rows[held], s[held], ids[cols[held]])
 
     def _keep(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         touched = np.unique(rows)
         rows = np.concatenate((rows, np.repeat(touched, self.best)))
         scores = np.concatenate((scores, self.scores[touched].ravel()))
         ids = np.concatenate((ids, self.found[touched].ravel()))
-        order = np.lexsort((ids, -scores.astype(np.float64), rows)) if abs(scores).max() < 2**53 else np.array(
-            sorted(range(len(rows)), key=lambda i: (rows[i], -int(scores[i]), ids[i]))
-        )
+        # ~s falls as s rises, without overflow; an empty place has the least score and the largest id.
+        order = np.lexsort((ids, ~scores, rows))
         rows, scores, ids = rows[order], scores[order], ids[order]
         first = np.searchsorted(rows, touched)
         take = first[:, None] + np.arange(self.best)
@@ -137,34 +170,33 @@ class Search:
 
 def top_k(
     df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", best: int = BEST,
-    scale: int = SCALE, query_bytes: int = QUERY_BYTES, within: bool = False,
+    scale: int = SCALE, query_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """query_id long, rank int, vec_id long, score long: the best candidates of df for every query.
 
     The queries go to all tasks in lots of at most about `query_bytes`, each lot with its own pass over df; a
-    task sends on no more than the best of each query among its own candidates, whatever their number. `within`
-    says that every query is a row of df, so that queries bound each other's results; results are the same.
+    task sends on no more than the best of each query among its own candidates, whatever their number. With
+    several lots, each one's results are written to the shared folder and its queries leave the executors
+    before the next one starts. Queries need not be rows of df.
     """
     spark = df.sparkSession
-    sized = queries.filter(F.col(key).isNotNull() & F.col(vector).isNotNull())
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    sized = sized.filter(finite).groupBy(F.col(key).cast("long").alias("id")).agg(F.min(vector).alias("v"))
-    total = sized.agg(F.sum(F.size("v") * 8 + 8)).first()[0] or 0
+    sized = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sized = sized.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & finite).groupBy("id").agg(F.min("v").alias("v"))
+    # A component and its statistics at all levels, and what is kept of a query beside them.
+    total = sized.agg(F.sum(F.size("v") * 32 + 16 * best + 64)).first()[0] or 0
     lots = max(1, -(-total // query_bytes))
+    sized = cut(sized.withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(lots)))) if lots > 1 else sized
     candidates = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    schema = "query_id long, vec_id long, score long"
     parts = []
     for lot in range(lots):
-        rows = sized.filter(F.pmod(F.xxhash64("id"), F.lit(lots)) == lot).collect()
+        rows = (sized.filter(F.col("lot") == lot) if lots > 1 else sized).collect()
         kind = pa.list_(pa.float64())
         held = vectors(pa.array([r["id"] for r in rows], pa.int64()), pa.array([r["v"] for r in rows], kind), scale)
-        searches = {n: Search(ids, x, best) for n, (ids, x) in held.items()}
-        for s in searches.values() if within else ():
-            s.floors()
-        sent = spark.sparkContext.broadcast(searches)
+        sent = spark.sparkContext.broadcast({n: Search(ids, x, best) for n, (ids, x) in held.items()})
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = {n: _fresh(s) for n, s in sent.value.items()}
+            own = {n: s.fresh() for n, s in sent.value.items()}
             for batch in batches:
                 for n, (ids, x) in vectors(batch.column(0), batch.column(1), scale).items():
                     if n in own:
@@ -177,24 +209,24 @@ def top_k(
                     names=["query_id", "vec_id", "score"],
                 )
 
-        parts.append(candidates.mapInArrow(search, schema))
+        parts.append(_ranked(candidates.mapInArrow(search, "query_id long, vec_id long, score long"), best))
+        if lots > 1:
+            parts[-1] = cut(parts[-1])
+            sent.destroy()
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
+    return found
+
+
+def _ranked(found: DataFrame, best: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
     )
 
 
-def _fresh(s: Search) -> Search:
-    """A search of the same queries that has found nothing yet but knows the floors."""
-    new = object.__new__(Search)
-    new.__dict__ = s.__dict__ | {"scores": s.scores.copy(), "found": s.found.copy(), "floor": s.floor.copy()}
-    return new
-
-
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best of all other vectors for every vector whose id is divisible by 50."""
     rows = table(spark, sf_dir, "embeddings")
-    return top_k(rows, rows.filter(F.col("vec_id") % EVERY == 0), within=True)
+    return top_k(rows, rows.filter(F.col("vec_id") % EVERY == 0))

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from kinweave.llm.topk import op2_top_k, statistics, top_k
+from kinweave.llm.topk import Search, op2_top_k, statistics, top_k
 
 
 def brute(rows, best=5):
@@ -88,5 +88,34 @@ def test_bounds_are_never_below_products():
             assert (a @ b.T >= true - 1e-6).all()
 
 
+def test_scores_beyond_64_bits_are_cut_off(spark):
+    rows = [(0, [3e30, -1e30]), (1, [2e30, 5.0]), (2, [2e30, 4.0]), (3, [-1e30, 0.0]), (4, [3e-1, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(x.vec_id, x.score) for x in top_k(df, df.filter("vec_id = 0")).collect()]
+    most = (1 << 63) - 1
+    assert got == [(1, most), (2, most), (4, most), (3, -most - 1)]
+
+
+def test_bounds_drop_pairs_and_lose_none():
+    g = np.random.default_rng(3)
+    x = np.floor(256 * g.normal(0, 0.125, (3000, 64)))
+    ids = np.arange(3000)
+    s = Search(ids[:60], x[:60], 5)
+    for a in range(0, 3000, 1000):
+        s.meet(ids[a : a + 1000], x[a : a + 1000])
+    full = x[:60] @ x.T
+    full[np.arange(60), np.arange(60)] = -np.inf
+    assert (s.scores == -np.sort(-full, axis=1)[:, :5]).all()
+    assert s.pairs == 60 * 2999 and s.multiplied < 0.6 * s.pairs
+
+
+def test_clashing_columns_are_not_read(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(60)]
+    df = frame(spark, rows)
+    more = df.selectExpr("*", "1 as id", "'v' as v", "2 as lot", "3 as score", "4 as rank", "5 as query_id")
+    want = {tuple(x) for x in top_k(df, df.filter("vec_id % 50 = 0")).collect()}
+    assert {tuple(x) for x in top_k(more, more.filter("vec_id % 50 = 0")).collect()} == want == brute(rows)
+
+
 def test_empty(spark):
     assert top_k(frame(spark, []), frame(spark, [])).count() == 0
