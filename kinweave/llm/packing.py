@@ -1,11 +1,13 @@
 """Best-fit packing of token sequences by non-negative least squares over length patterns.
 
-A pattern is a few piece lengths that fit one sequence. Patterns are enumerated from the lengths that occur:
-each length with the partners that fill a sequence best. A non-negative least squares fit of repeat counts to the
-length histogram says how often to use each; the counts are rounded down, and what the histogram has left is
-packed best fit, longest first, into what room the patterns leave and then into new sequences, whole groups of
-equal pieces and equal rooms at a time. All of this is on the histogram, whose size is bounded by the sequence
-length; pieces are then dealt to the planned places by their rank among the pieces of their length.
+A pattern is the lengths of some pieces that fit one sequence. Patterns are enumerated from the lengths that occur:
+for each length as the longest piece, partners spread over the shorter ones, closed by what fills the sequence
+best. A non-negative least squares fit of repeat counts to the length histogram says how often to use each. The
+counts are rounded so that the patterns of each longest piece keep their sum, as far as pieces are left; then the
+fit is repeated on what is left, some rounds. The few pieces behind are packed best fit, longest first, into what
+room the patterns leave and then into new sequences, whole groups of equal pieces and equal rooms at a time. All
+of this is on the histogram, whose size is bounded by the sequence length; pieces are then dealt to the planned
+places by their rank among the pieces of their length.
 
 Null texts are empty: one piece, the closing id alone. Equal rows are packed each for itself. An empty table
 gives no rows. Only documents longer than a sequence are cut.
@@ -15,8 +17,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right, insort
-from collections import defaultdict
-from dataclasses import dataclass
+from collections import Counter, defaultdict
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 from zlib import crc32
 
 import numpy as np
@@ -28,8 +31,12 @@ from kinweave.llm.common import add_columns, cut, gapless, table
 
 #: Tokens of a sequence, and the id that closes a document.
 CAPACITY, CLOSING = 4096, 1
-#: Patterns that the least squares fit has at most, and the pieces of one.
-PATTERNS, PIECES = 30_000, 5
+#: Patterns that are tried for each length as the longest piece, and the pieces of one.
+EACH, PIECES = 12, 64
+#: The share of a sequence that a pattern may leave, in each fit; a fit is made to what the one before has left.
+WASTE = (1 / 64, 1 / 64, 1 / 16, 1 / 4)
+#: Steps of the golden ratio spread evenly over (0, 1), however many are taken.
+_GOLDEN = (5**0.5 - 1) / 2
 #: Words whose ids a task remembers.
 REMEMBERED = 300_000
 #: Rows that a cell of the ranking aims at.
@@ -131,38 +138,34 @@ def pieces(df: DataFrame, key: str, tokenizer: str, text: str = "text", capacity
     return made.select(key, F.explode("pieces").alias("p")).select(key, "p.*")
 
 
-def enumerate_patterns(histogram: dict[int, int], capacity: int, most: int = PATTERNS, deepest: int = PIECES) -> list[tuple[int, ...]]:
-    """Patterns of up to `deepest` lengths, each closed by the longest length that still fits."""
-    lengths = sorted(histogram)
-    # Second and later pieces are taken from lengths spread over the mass of the histogram.
-    mass = np.cumsum([histogram[x] * x for x in lengths])
-    spread = sorted({lengths[int(np.searchsorted(mass, mass[-1] * (k + 0.5) / 24))] for k in range(24)})
-    found: dict[tuple[int, ...], None] = {}
-
-    def close(pattern: tuple[int, ...]) -> None:
-        """Fill the room with the best fit, then with the best fit of what is left, and so on."""
-        room = capacity - sum(pattern)
-        own = pattern
-        while room and len(own) < deepest:
-            k = bisect_right(lengths, room)
-            if not k:
-                break
-            own = (*own, lengths[k - 1])
-            room -= lengths[k - 1]
-        if len(own) == 1 or capacity - sum(own) <= capacity // 64:
-            found.setdefault(tuple(sorted(own, reverse=True)))
+def enumerate_patterns(
+    histogram: dict[int, int], capacity: int, waste: int, each: int = EACH, deepest: int = PIECES
+) -> list[tuple[int, ...]]:
+    """Patterns, longest piece first: about `each` for every length as the longest piece, none left out.
 
+    Partners are taken at places spread evenly over the pieces that are no longer than the first and still fit,
+    the last ones as what fits best. Patterns that leave more than `waste` are dropped, but for pieces alone.
+    """
+    lengths = sorted(histogram)
+    pieces_to = np.cumsum([histogram[x] for x in lengths]).tolist()
+    found: list[tuple[int, ...]] = []
     for first in reversed(lengths):
-        close((first,))
-        for second in spread:
-            if first + second <= capacity:
-                close((first, second))
-                for third in spread[::3]:
-                    if third <= second and first + second + third <= capacity:
-                        close((first, second, third))
-        if len(found) >= most:
-            break
-    return list(found)[:most]
+        tried: dict[tuple[int, ...], int] = {}
+        for k in range(each + 1):
+            own, room, u = [first], capacity - first, (first * _GOLDEN + k / each) % 1
+            while room and len(own) < deepest:
+                fitting = bisect_right(lengths, min(room, first))
+                if not fitting:
+                    break
+                at = fitting - 1
+                if k < each and room > capacity // 8:
+                    at = min(at, bisect_left(pieces_to, u * pieces_to[at]))
+                    u = (u + _GOLDEN) % 1
+                own.append(lengths[at])
+                room -= lengths[at]
+            tried[tuple(sorted(own, reverse=True))] = room
+        found += [p for p, room in tried.items() if room <= waste or len(p) == 1]
+    return found
 
 
 def fit_counts(patterns: list[tuple[int, ...]], histogram: dict[int, int], sweeps: int = 25) -> np.ndarray:
@@ -195,35 +198,62 @@ def fit_counts(patterns: list[tuple[int, ...]], histogram: dict[int, int], sweep
 
 @dataclass
 class Group:
-    """Equal sequences: how many, and runs of (length, how many of it in each sequence)."""
+    """Equal sequences: how many, and runs of (length, how many of it in each sequence).
+
+    `fitted` are the pieces that each got from the least squares fit.
+    """
 
     count: int
     runs: list[tuple[int, int]]
     room: int
+    fitted: int = 0
+
+
+def fit_round(left: dict[int, int], capacity: int, waste: int) -> list[Group]:
+    """Sequences of the patterns that one fit to `left` uses; their pieces are taken from it."""
+    patterns = enumerate_patterns({length: n for length, n in left.items() if n}, capacity, waste)
+    counts = fit_counts(patterns, {length: n for length, n in left.items() if n})
+    groups, carried, longest = [], 0.0, -1
+    # Fractions of a count are carried to the next pattern of the same longest piece.
+    for j in sorted(np.flatnonzero(counts > 1e-9).tolist(), key=lambda j: (-patterns[j][0], -counts[j], patterns[j])):
+        if patterns[j][0] != longest:
+            longest, carried = patterns[j][0], 0.5
+        carried += counts[j]
+        need = Counter(patterns[j])
+        n = min([int(carried), *(left[x] // k for x, k in need.items())])
+        if n > 0:
+            carried -= n
+            for x, k in need.items():
+                left[x] -= n * k
+            runs = sorted(need.items(), reverse=True)
+            groups.append(Group(n, runs, capacity - sum(patterns[j]), len(patterns[j])))
+    return groups
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Group]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, waste: Sequence[float] = WASTE) -> list[Group]:
     """Groups of sequences that hold exactly the histogram's pieces.
 
-    Groups number at most the patterns used plus a few for each length: a length's pieces exhaust whole groups
-    of equal room, and split or open one or two.
+    After each fit what is left is packed best fit; of these plans the one of the fewest sequences is taken, the
+    one of the most fits where they tie. Groups number at most the patterns used plus a few for each length: a
+    length's pieces exhaust whole groups of equal room, and split or open one or two.
     """
     left = {length: n for length, n in histogram.items() if n}
-    if not left:
-        return []
-    patterns = enumerate_patterns(left, capacity)
-    counts = fit_counts(patterns, left)
-    groups: list[Group] = []
-    order = np.argsort(-counts, kind="stable")
-    for j in order.tolist():
-        need: dict[int, int] = defaultdict(int)
-        for x in patterns[j]:
-            need[x] += 1
-        n = min([int(counts[j] + 1e-9), *(left.get(x, 0) // k for x, k in need.items())])
-        if n > 0:
-            for x, k in need.items():
-                left[x] -= n * k
-            groups.append(Group(n, sorted(need.items(), reverse=True), capacity - sum(patterns[j])))
+    fitted: list[Group] = []
+    best: list[Group] = []
+    fewest = None
+    for share in waste:
+        if not any(left.values()):
+            break
+        fitted += fit_round(left, capacity, int(capacity * share))
+        made = best_fit([replace(g, runs=list(g.runs)) for g in fitted], left, capacity)
+        sequences = sum(g.count for g in made)
+        if fewest is None or sequences <= fewest:
+            best, fewest = made, sequences
+    return best
+
+
+def best_fit(groups: list[Group], left: dict[int, int], capacity: int) -> list[Group]:
+    """groups, and the pieces left in their room or in new groups, longest first; groups is changed."""
     rooms: dict[int, list[Group]] = defaultdict(list)
     sizes: list[int] = []
 
@@ -254,7 +284,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Group]:
             each = min(g.room // length, n)
             used = min(g.count, n // each)
             if used < g.count:
-                rest = Group(g.count - used, list(g.runs), g.room)
+                rest = Group(g.count - used, list(g.runs), g.room, g.fitted)
                 g.count = used
                 groups.append(rest)
                 put(rest)

@@ -7,7 +7,9 @@ import pytest
 from helpers_llm import documents, save
 from tokenizers import Tokenizer
 
-from kinweave.llm.packing import Encoder, fit_counts, op5_packing, pack, places, plan
+from kinweave.llm.packing import (
+    Encoder, enumerate_patterns, fit_counts, op5_packing, pack, pack_documents, places, plan
+)
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -63,6 +65,30 @@ def test_plans_hold_the_histogram_and_are_tight():
     assert checked(h, 4096) <= -(-sum(k * v for k, v in h.items()) // 4096) + 2
 
 
+def test_the_fit_places_most_pieces():
+    g = np.random.default_rng(2)
+    for n in (2_000, 200_000):
+        sizes, counts = np.unique(np.clip(g.lognormal(6.3, 1.2, n).astype(int), 1, 4096), return_counts=True)
+        h = dict(zip(sizes.tolist(), counts.tolist(), strict=True))
+        groups = plan(h)
+        assert sum(x.fitted * x.count for x in groups) >= 0.9 * n
+        assert sum(x.count for x in groups) <= -(-sum(k * v for k, v in h.items()) // 4096) + 2
+
+
+def test_every_length_opens_patterns():
+    found = enumerate_patterns(dict.fromkeys(range(1, 4097), 1), 4096, 64)
+    assert {p[0] for p in found} >= set(range(64, 4097)) and all(sum(p) <= 4096 for p in found)
+
+
+def test_other_columns_may_clash(spark):
+    docs = documents(spark, ["a b c", "d", None]).selectExpr(
+        "*", "1 as piece", "2 as start", "3 as length", "4 as ids_crc32", "5 as sequence_id", "6 as offset", "7 as pieces"
+    )
+    rows = pack_documents(docs, "doc_id", PATH).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length) for r in rows) == [(0, 0, 0, 4), (1, 0, 0, 2), (2, 0, 0, 1)]
+    assert len({r.sequence_id for r in rows}) == 1
+
+
 def test_least_squares_fit():
     x = fit_counts([(3, 1), (2, 2), (4,)], {3: 5, 1: 5, 2: 8, 4: 7}, 500)
     assert np.allclose(x, [5, 4, 7], atol=1e-3) and (fit_counts([(1,), (1, 2)], {1: 4, 2: 0}) >= 0).all()
