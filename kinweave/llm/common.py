@@ -11,12 +11,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from kinweave.scratch import cut
+from kinweave.scratch import cut, free
 
-__all__ = ["add_columns", "count_of", "cut", "gapless", "table"]
+__all__ = ["add_columns", "count_of", "cut", "free", "gapless", "table"]
 
 #: Rows that a function of `add_columns` gets at once at most.
 ROWS_AT_ONCE = 512
+#: Equal rows that `gapless` numbers in one place.
+EQUAL_ROWS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,20 +57,27 @@ def gapless(
 ) -> DataFrame:
     """Number the rows of each group from 0 without gaps, as column `out` (long).
 
-    df must consist of the columns `group` and `key` alone. Equal rows are counted before any shuffle and
-    numbered by `explode`, and a group is dealt over `cells` cells by a hash of its key, each counted and
-    numbered apart; so no task holds more than one cell of distinct rows, however large a group or a set of
-    equal rows is. Nulls are values like any other. Numbers depend on the rows alone, not on their order.
+    df must consist of the columns `group` and `key` alone. Equal rows are counted before any shuffle, dealt in
+    lots of EQUAL_ROWS, and numbered by `explode`; a group is dealt over `cells` cells by a hash of its key and
+    lot, each counted and numbered apart. So no task holds more than one cell of distinct rows, however large a
+    group or a set of equal rows is. Nulls are values like any other. Numbers depend on the rows alone, not on
+    their order.
     """
     group, key = list(group), list(key)
     n_cells = F.lit(cells) if isinstance(cells, int) else cells
-    cell = F.pmod(F.xxhash64(*(F.col(c) for c in [*group, *key])), n_cells.cast("long"))
-    rows = df.withColumn("__cell", cell).groupBy(*group, "__cell", *key).agg(F.count(F.lit(1)).alias("__n"))
+    rows = df.groupBy(*group, *key).agg(F.count(F.lit(1)).alias("__all"))
+    rows = rows.withColumn("__lot", F.explode(F.sequence(F.lit(0), F.expr(f"(__all - 1) div {EQUAL_ROWS}")))).select(
+        *group,
+        *key,
+        "__lot",
+        F.least(F.lit(EQUAL_ROWS), F.col("__all") - F.col("__lot") * EQUAL_ROWS).cast("long").alias("__n"),
+        F.pmod(F.xxhash64(*group, *key, "__lot"), n_cells.cast("long")).alias("__cell"),
+    )
     sums = rows.groupBy(*group, "__cell").agg(F.sum("__n").alias("__m"))
     before = Window.partitionBy(*group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*group, "__cell", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__base"))
     within = (
-        Window.partitionBy(*group, "__cell").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*group, "__cell").orderBy(*key, "__lot").rowsBetween(Window.unboundedPreceding, -1)
     )
     rows = rows.withColumn("__before", F.coalesce(F.sum("__n").over(within), F.lit(0)))
     left, right = rows.alias("l"), sums.alias("r")

@@ -1,7 +1,7 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Wherever fingerprints are compared, their Hamming distances to a fixed set of reference fingerprints (pivots) are
-tabled first. By the triangle inequality two fingerprints within `radius` differ by at most `radius` in every
+The Hamming distances of each distinct fingerprint to a fixed set of reference fingerprints (pivots) are tabled once,
+and travel with it wherever it is compared. By the triangle inequality two fingerprints within `radius` differ by at most `radius` in every
 coordinate, so a larger maximum coordinate difference discards a pair unseen; survivors are verified by the exact
 distance.
 
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import add_columns, cut, table
+from kinweave.llm.common import add_columns, cut, free, table
 
 #: Words of a shingle and bits that linked fingerprints may differ in, in the registered query.
 SHINGLE, RADIUS = 4, 4
@@ -184,12 +184,14 @@ def _span(n: int, near: Callable[[int, np.ndarray], np.ndarray], inner: int | No
     return left, right
 
 
-def walk(fp: np.ndarray, radius: int, inner: int | None = None) -> tuple[list, list]:
-    """A spanning forest of fingerprints within the radius; see _span.
+def walk(
+    fp: np.ndarray, radius: int, inner: int | None = None, pivots: np.ndarray | None = None
+) -> tuple[list, list]:
+    """A spanning forest of fingerprints within the radius; see _span. pivots are their rows of `pivot_table`.
 
     Each step discards the unreached ones whose pivot coordinates differ too much, and verifies the rest.
     """
-    pivots = pivot_table(fp)
+    pivots = pivot_table(fp) if pivots is None else pivots
 
     def near(x: int, free: np.ndarray) -> np.ndarray:
         for c in (slice(0, 4), slice(4, 16)):
@@ -287,7 +289,9 @@ def _cells(keyed: DataFrame, columns: list[str], cell: int) -> DataFrame:
     """The lots of the cells (m, k): one for each pair of blocks of `cell` nodes."""
     # Cells of one are dropped by a count that combines before it is shuffled; large ones are split in blocks.
     sizes = keyed.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = keyed.join(sizes, ["m", "k"])
+    # Dealt anew by the key's complement, so that Spark can split the join where a cell is large.
+    sizes = sizes.select("m", F.bitwise_not("k").alias("c"), "n")
+    held = keyed.withColumn("c", F.bitwise_not("k")).join(sizes, ["m", "c"])
     blocks = F.ceil(F.col("n") / F.lit(cell)).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = held.withColumn("bs", blocks).withColumn("b", block).withColumn(
@@ -304,7 +308,7 @@ def _cells(keyed: DataFrame, columns: list[str], cell: int) -> DataFrame:
 def links(nodes: DataFrame, radius: int = RADIUS, cell: int = CELL, segments: int | None = None) -> DataFrame:
     """Edges a long, b long between nodes that span the components of all links.
 
-    nodes: node long (distinct) and fp long. The parts are the finer the more nodes there are, so that a cell of
+    nodes: node long (distinct) and fp long; the pivot table is made here, once for each node. The parts are the finer the more nodes there are, so that a cell of
     unrelated ones stays small.
     """
     if segments is None:
@@ -312,16 +316,23 @@ def links(nodes: DataFrame, radius: int = RADIUS, cell: int = CELL, segments: in
         segments = radius + (2 if n < 1 << 23 else 3 if n < 1 << 30 else 4)
     masks = _cell_keys(segments, radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = nodes.select(
-        *nodes.columns,
+
+    def distances(fps: list) -> tuple[list]:
+        return ([row.tobytes() for row in pivot_table(np.array(fps, np.int64).view(np.uint64))],)
+
+    keyed = add_columns(nodes, ["fp"], "pivots binary", distances).select(
+        "node",
+        "fp",
+        "pivots",
         F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed))).alias("m", "k"),
     )
 
     def judge(own: dict[str, pa.Array]) -> Callable[[np.ndarray, int | None], tuple[list, list]]:
         fp = own["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
-        return lambda at, inner: walk(fp[at], radius, inner)
+        pivots = _words_of(own["pivots"])[0].view(np.int8).reshape(len(fp), -1)
+        return lambda at, inner: walk(fp[at], radius, inner, pivots[at])
 
-    return _forests(_cells(keyed, nodes.columns, cell), judge)
+    return _forests(_cells(keyed, ["node", "fp", "pivots"], cell), judge)
 
 
 def candidates(nodes: DataFrame, cell: int = CELL) -> DataFrame:
@@ -373,41 +384,43 @@ def similar(
     return _forests(lots, judge)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node long, root long (least node of its component, as signed numbers) of an undirected edge list.
 
     Alternating large-star and small-star rounds; each is a combined minimum and a join and is written to the
-    shared folder. A star's centre may hold a third of the edges: only minima are gathered for it, and the
-    join on it is an inner one that Spark splits where it is skewed. Isolated nodes don't occur.
+    shared folder, where the round before is deleted. A star's centre may hold a third of the edges: only minima
+    are gathered for it, and the minima are dealt anew for the join on it (by the key's complement, as else their
+    own partitioning would be taken), so that Spark can split the centre's edges. Isolated nodes don't occur.
     """
     now = cut(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     state = None
-    for _ in range(most_rounds):
+    while True:  # each round ties nodes to lesser ones, until none is left to tie
         # Large star: every larger neighbour of a node is tied to the least of its neighbours and itself.
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (
-            both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        ).filter("a <> b")
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        least = least.select(F.bitwise_not("a").alias("c"), F.least("a", "m").alias("m"))
+        larger = both.filter("b > a").select(F.bitwise_not("a").alias("c"), "b")
+        large = larger.join(least, "c").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         large = cut(large.distinct())
         # Small star: a node and its smaller neighbours are tied to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = large.select(F.bitwise_not("a").alias("c"), "b").join(
+            least.select(F.bitwise_not("a").alias("c"), "m"), "c"
+        )
         small = (
             small.filter("b <> m")
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(least.select("a", F.col("m").alias("b")))
             .distinct()
         )
-        now = cut(small)
+        before, now = now, cut(small)
+        free(before, large)
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == state:
             break
         state = seen
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     own = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return roots.union(own.join(roots, "node", "left_anti"))
@@ -424,6 +437,16 @@ def _named(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(by_node, "node").drop("node")
 
 
+def _set_apart(df: DataFrame, key: str, text: str, results: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """df with names that clash with none used here, and the columns that give it its own names again.
+
+    The text is left out of the latter, and so are columns named like a result.
+    """
+    apart = {c: f"__own_{i}" for i, c in enumerate(df.columns)} | {key: "__key", text: "__text"}
+    back = [F.col(apart[c]).alias(c) for c in df.columns if c not in (text, *results)]
+    return df.select(*(F.col(f"`{c}`").alias(n) for c, n in apart.items())), back
+
+
 def near_duplicates(
     df: DataFrame,
     key: str,
@@ -437,11 +460,14 @@ def near_duplicates(
     root is the least node of the component, component_id the least key. Null and wordless texts have
     fingerprint 0 and are linked like any other. Equal fingerprints are one node, so copies cost nothing beyond
     their row. Null keys take no part in the least key; a component of null keys alone has a null id. Repeated
-    rows are kept. An empty table gives no rows.
+    rows are kept. An empty table gives no rows. Columns of df named like a result are replaced.
     """
-    rows = cut(fingerprints(df, text, shingle).withColumn("node", F.col("fp")))
-    nodes = cut(rows.groupBy("node", "fp").agg(F.min(key).alias("least")))
-    return _named(rows, nodes, links(nodes.select("node", "fp"), radius, cell))
+    own, back = _set_apart(df, key, text, ("fp", "root", "component_id"))
+    rows = cut(fingerprints(own, "__text", shingle).withColumn("node", F.col("fp")))
+    nodes = cut(rows.groupBy("node", "fp").agg(F.min("__key").alias("least")))
+    return _named(rows, nodes, links(nodes.select("node", "fp"), radius, cell)).select(
+        *back, "fp", "root", "component_id"
+    )
 
 
 def similar_documents(
@@ -452,14 +478,16 @@ def similar_documents(
     Links are pairs of texts that share LIKE of their five-word shingles or more, by count. Equal sets of
     shingles are one node; so are all null and wordless texts, which are linked with no other.
     """
-    th = F.xxhash64(text).alias("th")
-    made = cut(sketched(df.select("*", th), text))
+    own, back = _set_apart(df, key, text, ("root", "component_id"))
+    th = F.xxhash64("__text").alias("th")
+    made = cut(sketched(own.select("*", th), "__text"))
     nodes = cut(
-        made.groupBy("node", "size", "sk", "bands").agg(F.min(key).alias("least"), F.min("th").alias("th"))
+        made.groupBy("node", "size", "sk", "bands").agg(F.min("__key").alias("least"), F.min("th").alias("th"))
     )
     groups = cut(components(candidates(nodes, cell)))
-    edges = similar(groups, nodes, df.select(F.col(text).alias("text"), th), cell, set_cell)
-    return _named(made.drop("th", "size", "sk", "bands"), nodes.select("node", "least"), edges)
+    edges = similar(groups, nodes, own.select(F.col("__text").alias("text"), th), cell, set_cell)
+    named = _named(made.drop("th", "size", "sk", "bands"), nodes.select("node", "least"), edges)
+    return named.select(*back, "root", "component_id")
 
 
 def as_hex(fp: Column) -> Column:

@@ -193,3 +193,18 @@ def test_similar_documents_equal_brute_force_in_blocks_too(spark):
 def test_empty_table(spark):
     assert near_duplicates(documents(spark, []).select("doc_id", "text"), "doc_id").count() == 0
     assert similar_documents(documents(spark, []).select("doc_id", "text"), "doc_id").count() == 0
+
+
+def test_clashing_columns_are_kept_or_replaced(spark):
+    docs = documents(spark, ["a b c d e f", "a b c d e f", "x y z u v w", None])
+    clash = docs.selectExpr("*", "'n' as node", "'l' as least", "'r' as root", "1 as fp", "2 as th", "3 as size", "'b' as bands")
+    got = {r.doc_id: r for r in near_duplicates(clash, "doc_id").collect()}
+    assert {r.node + r.least + r.bands for r in got.values()} == {"nlb"} and got[2].fp == int(
+        np.array([fingerprint("x y z u v w")], np.uint64).view(np.int64)[0]
+    )
+    assert [got[i].component_id for i in range(4)] == [0, 0, 2, 3]
+    got = {r.doc_id: r for r in similar_documents(clash, "doc_id").collect()}
+    assert {(r.node, r.fp, r.th, r["size"]) for r in got.values()} == {("n", 1, 2, 3)}
+    assert [got[i].component_id for i in range(4)] == [0, 0, 2, 3]
+    kept = stage_near_dedup(spark, clash, "")
+    assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
