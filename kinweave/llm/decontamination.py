@@ -19,12 +19,13 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import add_columns, cut, table
+from kinweave.llm.common import add_columns, cut, free, table
 
 #: Words of a window in the registered query.
 WINDOW = 10
-#: Bytes of benchmark text searched for in one pass; a larger benchmark takes several, one after the other.
-PASS_BYTES = 16_000_000
+#: Benchmark words searched for in one pass; a larger benchmark takes several, one after the other. Tables take some
+#: 500 bytes a word at most where words differ, so a task holds some 200 MB of them.
+PASS_WORDS = 400_000
 
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -37,59 +38,58 @@ def words(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """Shift table, suffix buckets and patterns of one length, in words."""
+    """Shift table and suffix buckets of the patterns of one length, in words.
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[int]], length: int):
+    A pattern is a place in an item's words, which all tables share, not a copy of them. Patterns of one suffix
+    are told apart by their first word before they are compared in full.
+    """
+
+    def __init__(self, patterns: Iterable[tuple[list[bytes], int, list[int]]], length: int):
         self.length, self.block = length, min(2, length)
         self.most = length - self.block + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
-        self.buckets: dict[tuple[bytes, ...], list[tuple[tuple[bytes, ...], list[int]]]] = defaultdict(list)
-        for p, owners in patterns.items():
-            for end in range(self.block, length + 1):
-                b = p[end - self.block : end]
-                self.shift[b] = min(self.shift.get(b, self.most), length - end)
-            self.buckets[p[-self.block :]].append((p, owners))
-        # Patterns of one suffix are told apart by their first word before they are compared in full.
-        self.by_first = {}
-        for b, ps in self.buckets.items():
-            first: dict[bytes, list] = defaultdict(list)
-            for p, owners in ps:
-                first[p[0]].append((p, owners))
-            self.by_first[b] = dict(first)
+        self.buckets: dict[tuple[bytes, ...], list] = {}
+        block = self.block
+        for item, start, owners in patterns:
+            end = start + length
+            for at in range(start + block, end + 1):
+                b = tuple(item[at - block : at])
+                if end - at < self.shift.get(b, self.most):
+                    self.shift[b] = end - at
+            key = (item[start], *item[end - block : end])
+            self.buckets.setdefault(key, []).append((item, start, owners))
 
     def find(self, text: list[bytes]) -> Iterator[tuple[int, list[int]]]:
         """(index of the first word, owners) of each occurrence, from left to right."""
-        n, m, shift, most = len(text), self.length, self.shift, self.most
+        n, m, shift, most, block = len(text), self.length, self.shift, self.most, self.block
         if n < m:
             return
-        get, i = shift.get, m - 1
-        if self.block == 2:
-            while i < n:
-                b = (text[i - 1], text[i])
-                s = get(b, most)
-                if s:
-                    i += s
-                    continue
-                start = i - m + 1
-                for p, owners in self.by_first[b].get(text[start], ()):
-                    if tuple(text[start : i + 1]) == p:
-                        yield start, owners
-                i += 1
-        else:
-            for i, w in enumerate(text):
-                for _, owners in self.buckets.get((w,), ()):
-                    yield i, owners
+        get, bucket, i = shift.get, self.buckets.get, m - 1
+        while i < n:
+            b = (text[i - 1], text[i]) if block == 2 else (text[i],)
+            s = get(b, most)
+            if s:
+                i += s
+                continue
+            start = i - m + 1
+            for item, at, owners in bucket((text[start], *b), ()):
+                if item[at : at + m] == text[start : i + 1]:
+                    yield start, owners
+            i += 1
 
 
 def compile_items(items: Iterable[tuple[int, str | None]], window: int) -> list[WuManber]:
     """Tables for (owner, text) items, one for each pattern length; owners are any ints."""
-    found: dict[int, dict[tuple[bytes, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
+    known: dict[bytes, bytes] = {}
+    found: dict[int, dict[tuple[bytes, ...], tuple[list[bytes], int, list[int]]]] = defaultdict(dict)
     for owner, text in items:
-        w = words(text)
+        w = [known.setdefault(x, x) for x in words(text)]
         size = min(window, len(w))
-        for p in {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if w else ():
-            found[size][p].append(owner)
-    return [WuManber(dict(ps), size) for size, ps in sorted(found.items())]
+        for at in range(len(w) - size + 1) if w else ():
+            owners = found[size].setdefault(tuple(w[at : at + size]), (w, at, []))[2]
+            if not owners or owners[-1] != owner:
+                owners.append(owner)
+    return [WuManber(ps.values(), size) for size, ps in sorted(found.items())]
 
 
 def scan(text: list[bytes], tables: list[WuManber]) -> tuple[list[list[int]], set[int]]:
@@ -114,20 +114,17 @@ def merged(at: Iterable[Iterable[int]]) -> list[list[int]]:
     return out
 
 
-def _passes(benchmark: DataFrame, item_id: str, item_text: str, pass_bytes: int) -> Iterator[list[tuple]]:
-    """Items in lots of about `pass_bytes` of text; only one lot is on the driver at a time."""
+def _passes(benchmark: DataFrame, item_id: str, item_text: str, pass_words: int) -> Iterator[list[tuple]]:
+    """Items in lots of at most `pass_words` words (or one item); only one lot is on the driver at a time."""
     rows = benchmark.select(F.col(item_id).cast("string"), F.col(item_text)).distinct()
-    total = rows.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    if total <= pass_bytes:
-        yield [tuple(r) for r in rows.collect()]
-        return
     lot, held = [], 0
     for r in rows.toLocalIterator():
-        lot.append(tuple(r))
-        held += len(r[1] or "") * 2
-        if held >= pass_bytes:
+        n = len(words(r[1]))
+        if lot and held + n > pass_words:
             yield lot
             lot, held = [], 0
+        lot.append(tuple(r))
+        held += n
     if lot:
         yield lot
 
@@ -139,13 +136,13 @@ def find_contamination(
     item_id: str = "item_id",
     item_text: str = "text",
     window: int = WINDOW,
-    pass_bytes: int = PASS_BYTES,
+    pass_words: int = PASS_WORDS,
 ) -> DataFrame:
     """docs with n_words long, hits array<array<int>> (runs of hit words), items array<string> (ids, sorted).
 
     Every column of docs is kept; one named like a result is replaced. The tables that tasks hold come from at
-    most `pass_bytes` of benchmark text; a larger benchmark is searched for in lots, and the documents with
-    what was found so far are written to the shared folder between two lots.
+    most `pass_words` words of the benchmark; a larger one is searched for in lots, and between two lots the
+    documents with what was found so far are written to the shared folder and the tables leave the executors.
     """
     out = docs.withColumns(
         {
@@ -154,15 +151,21 @@ def find_contamination(
             "items": F.array().cast("array<string>"),
         }
     )
-    spark, lots = docs.sparkSession, 0
-    for lot in _passes(benchmark, item_id, item_text, pass_bytes):
+    spark, before, sent = docs.sparkSession, None, None
+    for lot in _passes(benchmark, item_id, item_text, pass_words):
+        if sent is not None:
+            done = cut(out)
+            sent.destroy()
+            if before is not None:
+                free(before)
+            before = out = done
         ids = ["null" if i is None else i for i, _ in lot]
-        held = spark.sparkContext.broadcast((compile_items(((k, t) for k, (_, t) in enumerate(lot)), window), ids))
+        sent = spark.sparkContext.broadcast((compile_items(((k, t) for k, (_, t) in enumerate(lot)), window), ids))
 
-        def search(texts: list, before: list, items: list, held=held) -> tuple[list, list, list]:
+        def search(texts: list, known: list, items: list, held=sent) -> tuple[list, list, list]:
             tables, ids = held.value
             n, hits, found = [], [], []
-            for t, h, i in zip(texts, before, items, strict=True):
+            for t, h, i in zip(texts, known, items, strict=True):
                 w = words(t)
                 more, owners = scan(w, tables)
                 n.append(len(w))
@@ -171,12 +174,11 @@ def find_contamination(
             return n, hits, found
 
         out = add_columns(
-            cut(out) if lots else out,
+            out,
             [text, "hits", "items"],
             "n_words long, hits array<array<int>>, items array<string>",
             search,
         )
-        lots += 1
     return out
 
 

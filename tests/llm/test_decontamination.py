@@ -1,5 +1,7 @@
 import hashlib
+import pickle
 import random
+import tracemalloc
 
 from helpers_llm import documents, save
 
@@ -48,8 +50,28 @@ def test_query(spark, tmp_path):
 def test_lots_give_what_one_pass_gives_and_columns_stay(spark):
     docs = documents(spark, [f"a {ITEM} b zebra", "plain"]).selectExpr("*", "1 as hits_before", "doc_id as items")
     bench = spark.createDataFrame([(1, ITEM), (2, "zebra"), (3, "b zebra")], "item_id long, text string")
-    one, many = (find_contamination(docs, bench, pass_bytes=b).orderBy("doc_id").collect() for b in (1 << 20, 10))
-    assert one == many and one[0]["items"] == ["1", "2", "3"] and one[0]["hits_before"] == 1
+    one, many, single = (find_contamination(docs, bench, pass_words=b).orderBy("doc_id").collect() for b in (1 << 20, 5, 1))
+    assert one == many == single and one[0]["items"] == ["1", "2", "3"] and one[0]["hits_before"] == 1
+
+
+def test_tables_stay_within_what_a_pass_is_sized_for():
+    r = random.Random(1)
+    vocabulary = [f"word{i}" for i in range(5000)]
+    items = [(i, " ".join(r.choices(vocabulary, k=100))) for i in range(200)]
+    held = pickle.dumps(compile_items(items, 10))
+    tracemalloc.start()
+    tables = pickle.loads(held)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert tables and size < 600 * 200 * 100
+
+
+def test_very_long_text_and_repeated_items(spark):
+    text = "filler words here " * 30_000 + ITEM + " end"
+    docs = documents(spark, [text])
+    bench = spark.createDataFrame([(1, ITEM), (2, ITEM), (2, ITEM)], "item_id long, text string")
+    row = find_contamination(docs, bench).first()
+    assert row["items"] == ["1", "2"] and row["hits"] == [[90_000, 90_011]] and row["n_words"] == 90_012
 
 
 def test_empty_tables(spark):
