@@ -1,15 +1,18 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; a sample of all texts, whatever their label, is the unlabelled side.
-With class prior pi and logistic loss l, the estimate of the risk of a score f is
+Confirmed toxic documents are the positives; a sample of the rows that raters saw, whatever they said of them, is
+the unlabelled side. With class prior pi and logistic loss l, the estimate of the risk of a score f is
 pi E_P[l(f)] + max(0, E_U[l(-f)] - pi E_P[l(-f)]); where the second part falls below 0, the step goes against it.
-The prior is the share of toxic ones among the labelled rows of the training side.
+The prior is estimated from the two samples alone: the mixture has at least pi times the positives' share of any set
+of texts, so pi is at most the least ratio of the two shares over the sets that a score separates (`mixture_share`).
 
-Features are the presence of words and of their beginnings, hashed to 32 bits. Those that positives have far more
-often than unlabelled texts are chosen, by a score that a few copies of one text can't reach, as texts count once.
+Features are the presence of words and of their beginnings, hashed to 32 bits. All that positives have far more
+often than unlabelled texts are used, by a score that a few copies of one text can't reach, as texts count once.
 
-Null and wordless texts have no features and get the score of the bias. Without positives every score is 0.
-Repeated rows are scored each for itself; an empty table gives no rows.
+Null and wordless texts have no features and get the score of the bias. Very long texts are read whole; a feature
+counts once, however often it occurs. A score equal to the threshold counts as toxic. Without positives every score
+is 0. Repeated rows are scored each for itself; an empty table gives no rows; other columns are kept, but for one
+named like the score.
 """
 
 from __future__ import annotations
@@ -27,10 +30,14 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import add_columns, cut, table
 from kinweave.llm.decontamination import words
 
-#: Rows that the classifier is fitted on at most: the first by a hash of their key. Not a limit on what is scored.
+#: Rated rows that the classifier is fitted on at most, the first by a hash of their key: confirmed positives, and
+#: rows taken without their rating. Not a limit on what is scored.
 POSITIVES, UNLABELLED = 3000, 9000
-#: Features that the classifier has at most, and positives that must have one.
-FEATURES, LEAST_POSITIVES = 1024, 8
+#: The least share of the positives that must have a feature; two of them at least.
+LEAST_POSITIVES = 1 / 400
+#: Standard errors by which the positives' share of a feature must exceed the unlabelled one; the second where no
+#: feature reaches the first.
+LEAST_Z = (6, 3.5)
 #: Lengths (bytes) of the beginnings that words are cut to besides the whole word.
 BEGINNINGS = (4, 5, 6)
 #: Words whose features a task remembers at most; then it starts over.
@@ -71,42 +78,86 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def fit(
-    positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[int], prior: float,
-    steps: int = 400, rate: float = 0.05, decay: float = 2e-4, gamma: float = 1.0,
-) -> Classifier:
-    """Minimise the non-negative risk by Adam over all rows; rows are arrays of places in `names`."""
+class Rows:
+    """Texts as the places of their features, row after row."""
 
-    def matrix(rows: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(rows), len(names)), np.float32)
-        for i, r in enumerate(rows):
-            x[i, r] = 1
-        return x
+    def __init__(self, rows: list[np.ndarray], features: int):
+        self.n, self.features = len(rows), features
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.place = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
 
-    if not positive or not 0 < prior < 1:
-        return Classifier()
-    p, u = matrix(positive), matrix(unlabelled)
-    w, b = np.zeros(len(names), np.float32), np.float32(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    def scores(self, w: np.ndarray, b: float) -> np.ndarray:
+        return np.bincount(self.row, w[self.place], minlength=self.n) + b
+
+    def slope(self, by_score: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.place, by_score[self.row], minlength=self.features), by_score.sum())
 
-    def sigmoid(z: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def _descend(p: Rows, u: Rows, prior: float, non_negative: bool, steps: int, rate: float, decay: float, gamma: float):
+    """(weights, bias) by Adam over all rows; without `non_negative`, of telling p from u by plain logistic loss."""
+    x = np.zeros(p.features + 1)
+    x[-1] = np.log(prior / (1 - prior))
+    m, v = np.zeros(len(x)), np.zeros(len(x))
     for step in range(1, steps + 1):
-        zp, zu = p @ w + b, u @ w + b
+        zp, zu = p.scores(x[:-1], x[-1]), u.scores(x[:-1], x[-1])
         # Derivatives of the losses by the score: l(f)' = s - 1, l(-f)' = s.
-        sp, su = sigmoid(zp), sigmoid(zu)
-        gp, gu = prior * (sp - 1) / len(p), su / max(1, len(u))
-        gn = prior * sp / len(p)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        if negative >= 0:
-            dp, du = gp - gn, gu
-        else:
-            dp, du = gamma * gn, -gamma * gu
-        grad = np.append(p.T @ dp + u.T @ du + decay * w, dp.sum() + du.sum())
+        sp, su = _sigmoid(zp), _sigmoid(zu)
+        dp, du = prior * (sp - 1) / max(1, p.n), su / max(1, u.n)
+        if non_negative:
+            gn = prior * sp / max(1, p.n)
+            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+            dp, du = (dp - gn, du) if negative >= 0 else (gamma * gn, -gamma * du)
+        grad = p.slope(dp) + u.slope(du)
+        grad[:-1] += decay * x[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = (w - move[:-1]).astype(np.float32), np.float32(b - move[-1])
+        x = x - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return x[:-1], x[-1]
+
+
+def mixture_share(positive: list[np.ndarray], unlabelled: list[np.ndarray], features: int, doubt: float = 1.0) -> float:
+    """The share of positives in the unlabelled rows, from an order of either half that the other half teaches.
+
+    Of the rows above each threshold, the ratio of the two shares bounds the prior from above; the threshold is
+    taken whose ratio is least with both shares off by `doubt` standard errors. Where no ratio is below 1 so, the
+    bound says nothing, and as many positives are supposed as there are confirmed ones.
+    """
+    zp, zu = [], []
+    for k in (0, 1):
+        own, other = ([Rows(r[side::2], features) for r in (positive, unlabelled)] for side in (k, 1 - k))
+        w, b = _descend(*other, 0.5, False, 200, 0.05, 1e-3, 1.0)
+        zp.append(own[0].scores(w, b))
+        zu.append(own[1].scores(w, b))
+    p, u = np.sort(np.concatenate(zp)), np.sort(np.concatenate(zu))
+    cuts = np.unique(p)
+    share_p = 1 - np.searchsorted(p, cuts) / len(p)
+    share_u = 1 - np.searchsorted(u, cuts) / len(u)
+    high = share_u + doubt * np.sqrt((share_u * (1 - share_u) + 1 / len(u)) / len(u))
+    low = share_p - doubt * np.sqrt((share_p * (1 - share_p) + 1 / len(p)) / len(p))
+    ratio = np.where(low > 0, high / np.maximum(low, 1e-9), np.inf)
+    at = int(np.argmin(ratio))
+    if ratio[at] >= 1:
+        return min(0.5, len(p) / len(u))
+    return float(np.clip(share_u[at] / share_p[at], 1 / (len(u) + 1), 0.99))
+
+
+def fit(
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[int], prior: float | None = None,
+    steps: int = 400, rate: float = 0.05, decay: float = 2e-4, gamma: float = 1.0,
+) -> Classifier:
+    """Minimise the non-negative risk by Adam over all rows; rows are arrays of places in `names`.
+
+    Without a prior, `mixture_share` estimates it.
+    """
+    if not positive or not unlabelled:
+        return Classifier()
+    if prior is None:
+        prior = mixture_share(positive, unlabelled, len(names))
+    p, u = Rows(positive, len(names)), Rows(unlabelled, len(names))
+    w, b = _descend(p, u, prior, True, steps, rate, decay, gamma)
     keep = np.abs(w) > 1e-3
     return Classifier({names[i]: float(w[i]) for i in np.flatnonzero(keep)}, float(b))
 
@@ -131,18 +182,17 @@ def _hashes(texts: DataFrame) -> DataFrame:
 
 
 def train(
-    docs: DataFrame, positives: DataFrame, key: str, prior: float, text: str = "text",
-    most_positive: int = POSITIVES, most_unlabelled: int = UNLABELLED, most_features: int = FEATURES,
-    among: Column | None = None,
+    docs: DataFrame, rated: DataFrame, key: str, text: str = "text",
+    most_positive: int = POSITIVES, most_unlabelled: int = UNLABELLED,
 ) -> Classifier:
-    """A classifier from the docs whose key is among `positives`, and from a sample of all docs.
+    """A classifier from docs and `rated`: key, and is_p, whether the row is a confirmed positive.
 
-    The sample is the rows of docs (those that satisfy `among`, if given) whose keys have the least hashes.
+    The positives are those of the least hashes of their keys; so is the unlabelled side among all rated rows,
+    whatever their is_p.
     """
     order = F.xxhash64(key)
-    p = positives.select(key).distinct().orderBy(order, key).limit(most_positive)
-    pool = docs if among is None else docs.filter(among)
-    u = pool.select(key).distinct().orderBy(order, key).limit(most_unlabelled)
+    p = rated.filter("is_p").select(key).distinct().orderBy(order, key).limit(most_positive)
+    u = rated.select(key).distinct().orderBy(order, key).limit(most_unlabelled)
     # Both lists are of a stated length, so they may go to every task.
     p = cut(p.filter(F.col(key).isNotNull()).withColumn("is_p", F.lit(True)))
     u = cut(u.filter(F.col(key).isNotNull()).withColumn("is_p", F.lit(False)))
@@ -174,13 +224,14 @@ def train(
     share_p, share_u = F.col("p") / n_p, (F.col("u") + 1) / (n_u + 1)
     z = (share_p - share_u) / F.sqrt(share_u * (1 - share_u * F.lit(n_u / (n_u + 1))) / n_p)
     best = (
-        counts.filter(F.col("p") >= LEAST_POSITIVES)
+        counts.filter(F.col("p") >= max(2, n_p * LEAST_POSITIVES))
         .withColumn("z", z)
-        .filter((F.col("z") > 6) & (share_p > 2.5 * share_u))
+        .filter((F.col("z") > LEAST_Z[1]) & (share_p > 2.5 * share_u))
         .orderBy(F.desc("z"), "f")
-        .limit(most_features)
         .collect()
     )
+    # With few positives no feature can reach the first score; then the second one does.
+    best = [r for r in best if r["z"] > LEAST_Z[0]] or best
     names = [r["f"] for r in best]
     known = np.array(sorted(names), np.uint32)
     place = {f: i for i, f in enumerate(names)}
@@ -194,7 +245,7 @@ def train(
     sides = {True: [], False: []}
     for side, feats in sorted((r[0], bytes(r[1])) for r in rows):
         sides[side].append(np.array([place[f] for f in np.frombuffer(feats, np.uint32).tolist()], np.int64))
-    return fit(sides[True], sides[False], names, prior)
+    return fit(sides[True], sides[False], names)
 
 
 def score_toxicity(df: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:
@@ -206,11 +257,9 @@ def score_toxicity(df: DataFrame, classifier: Classifier, text: str = "text") ->
 def toxicity_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score for docs, learned from the labels of the training side."""
     usable = labels.filter(in_training(F.col("doc_id")) & F.col("toxic").isNotNull())
-    seen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    prior = seen.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    positives = seen.filter("toxic = 1")
+    rated = usable.groupBy("doc_id").agg((F.max("toxic") == 1).alias("is_p"))
     docs = docs.select("doc_id", "text")
-    classifier = train(docs, positives, "doc_id", float(prior), among=in_training(F.col("doc_id")))
+    classifier = train(docs, rated, "doc_id")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return score_toxicity(docs, classifier).select("doc_id", held_out.alias("held_out"), "score")
 
