@@ -8,9 +8,10 @@ Features are the tokens of a text, and apart from them the shapes of its tokens
 digits and each other sign), how often tokens occur and whether one repeats the one before it, all hashed; a
 feature's value is the square root of its share among the text's tokens.
 
-Null and wordless texts have no features: their score is 0 and the thresholds alone decide. Grades may be any
+Very long texts are read whole. Null and wordless texts have no features: their score is 0 and the thresholds alone decide. Grades may be any
 distinct numbers; a single grade is predicted with certainty, and without ratings the expected grade is null
-and everything is kept. Repeated rows are rated each for itself; an empty table gives no rows.
+and everything is kept. A tail probability equal to the selection's limit is kept. Repeated rows are rated each for
+itself; an empty table gives no rows; other columns are kept, but for ones named like a result.
 """
 
 from __future__ import annotations
@@ -138,9 +139,10 @@ def train(docs: DataFrame, ratings: DataFrame, key: str, grade: str, text: str =
         made = [features(t) for t in texts]
         return [p.tobytes() for p, _ in made], [v.tobytes() for _, v in made]
 
-    made = add_columns(rated, ["__text"], "places binary, vals binary", run).drop("__text")
-    rows = made.dropDuplicates([key]).collect()
-    rows = sorted((r[key], r["__grade"], bytes(r["places"]), bytes(r["vals"])) for r in rows)
+    # Of several texts of a key the one of the least hash is rated, so that the model doesn't depend on the plan.
+    one = rated.groupBy(key, "__grade").agg(F.min_by("__text", F.struct(F.xxhash64("__text"), "__text")).alias("__text"))
+    made = add_columns(one, ["__text"], "places binary, vals binary", run).drop("__text")
+    rows = sorted((r[key], r["__grade"], bytes(r["places"]), bytes(r["vals"])) for r in made.collect())
     return fit(
         [(np.frombuffer(p, np.int32), np.frombuffer(v, np.float32)) for _, _, p, v in rows], [r[1] for r in rows]
     )

@@ -65,3 +65,31 @@ def test_clashing_columns(spark, tmp_path):
     clash = docs.selectExpr("*", "'mine' as keep", "1 as expected_grade", "2 as quality")
     out = stage_quality(spark, clash, str(tmp_path))
     assert out.columns == clash.columns and {r.keep for r in out.collect()} == {"mine"}
+
+
+def test_the_model_by_brute_force(spark):
+    """Texts and grades picked by plain Python give the same thresholds and weights, however rows are dealt."""
+    docs, labels, _ = corpus(spark, 120)
+    twice = docs.unionByName(docs.filter("doc_id < 40").selectExpr("doc_id", "concat(text, ' other words') as text", "lang", "source", "n_chars"))
+    models = [train(d, labels, "doc_id", "quality") for d in (twice, twice.repartition(7, "text"), twice.orderBy("n_chars"))]
+    hashed = {(r.doc_id, r.text): r.h for r in twice.selectExpr("doc_id", "text", "xxhash64(text) as h").collect()}
+    grade = {}
+    for r in labels.collect():
+        grade[r.doc_id] = min(grade.get(r.doc_id, 9), r.quality)
+    picked = []
+    for i in sorted(grade):
+        own = [(h, t) for (d, t), h in hashed.items() if d == i]
+        if own:
+            picked.append((i, float(grade[i]), min(own)[1]))
+    rows = sorted((i, g, *(x.tobytes() for x in features(t))) for i, g, t in picked)
+    want = fit([(np.frombuffer(p, np.int32), np.frombuffer(v, np.float32)) for _, _, p, v in rows], [r[1] for r in rows])
+    for m in models:
+        assert m.grades == want.grades and (m.weights == want.weights).all() and (m.thresholds == want.thresholds).all()
+
+
+def test_long_text_is_read_whole_and_a_tie_is_kept(spark):
+    m = Ordinal([0.0, 1.0], np.zeros(1), np.zeros(2 << 16))
+    assert {r.keep for r in rate(documents(spark, ["any", None, ""]), m).collect()} == {True}
+    long = "plain words here " * 60_000
+    places, values = features(long + "tail&&&")
+    assert len(places) > len(features(long)[0]) and np.isfinite(values).all()

@@ -1,7 +1,9 @@
+import math
 import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from helpers_llm import documents, save
 
 from kinweave.llm.sharding import op3_sharding, shard_records
@@ -45,3 +47,47 @@ def test_empty_and_bad_weights(spark):
     for weights in ([], [0.0], [1.0, -1.0]):
         with pytest.raises(ValueError):
             shard_records(spark.range(1), ["id"], weights)
+
+
+def winner(doc_id, shards):
+    """The shard by definition: least -ln(u), u from XXH64 of the shard's name and then of the id, seed 42."""
+    best = None
+    for k in range(shards):
+        h = xxhash.xxh64_intdigest(f"shard {k}".encode(), 42)
+        if doc_id is not None:
+            h = xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), h)
+        score = -math.log(((h >> 11) + 0.5) / (1 << 53))
+        if best is None or score < best[0]:
+            best = score, k
+    return best[1]
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    texts = [f"text {i % 37} é" * (i % 5) for i in range(300)] + [None, "", "word " * 300_000]
+    docs = documents(spark, texts, -20).unionByName(documents(spark, ["b"] * 9, 2**62))
+    docs = docs.unionByName(docs.limit(1).selectExpr("cast(null as long) doc_id", "'n' text", "lang", "source", "n_chars"))
+    clash = docs.selectExpr("*", "'x' as shard", "'y' as slot", "1 as grown_shard", "2 as size", "3 as __n", "4 as law")
+    save(clash, tmp_path, "documents")
+    rows = op3_sharding(spark, str(tmp_path)).collect()
+    got = Counter((r.doc_id, r["size"], r.text_crc32, r.law, r.shard, r.grown_shard) for r in rows)
+    want = Counter()
+    for r in docs.collect():
+        data = (r.text or "").encode()
+        want[r.doc_id, len(data) + 1, zlib.crc32(data), "key", winner(r.doc_id, 16), winner(r.doc_id, 17)] += 1
+    assert got == want
+    for s in range(16):
+        own = sorted(r.slot for r in rows if r.shard == s)
+        assert own == list(range(len(own)))
+
+
+def test_query_on_an_empty_table(spark, tmp_path):
+    save(documents(spark, []), tmp_path, "documents")
+    out = op3_sharding(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns[:4] == ["doc_id", "size", "text_crc32", "law"]
+
+
+def test_many_equal_rows_are_numbered_in_lots(spark):
+    df = spark.range(10_000).selectExpr("cast(id < 9000 as int) as k", "'p' as p")
+    rows = shard_records(df, ["k"], [1.0] * 2, payload=["p"], cell_rows=1000).collect()
+    for s in (0, 1):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
