@@ -7,13 +7,17 @@ more likely content than not are the page's text. Weights and potentials maximis
 pages (`labelled_pages`), whose gradient is the marginals' difference to the labels.
 
 Null and empty pages, and pages without content, give an empty text. Repeated rows are read each for itself; an
-empty table gives no rows; broken markup is read as far as Python's parser makes sense of it, never refused.
+empty table gives no rows; other columns are kept, but for one named like the result. Very long pages are read whole,
+in time in proportion to their length. Broken markup is read as far as Python's parser makes sense of it, never
+refused: an element left open ends with what holds it, a paragraph, a button or a head with the next block.
+A text equally likely to be content and not is left out.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -24,24 +28,29 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.common import add_columns, table
 
-#: Elements inside a line of text; all others are blocks.
+#: Elements inside a line of text; all others are blocks, but for those within a drawing or a formula.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small"
-    " span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math nobr object q s samp"
+    " small span strike strong sub sup svg time tt u var wbr".split()
 )
-#: Elements whose text is never shown as text of the page.
+FOREIGN = ("svg", "math")
+#: Elements whose text is markup, a script, a form's controls, or shown only where the element itself is not. What
+#: stands around one in a line stays one line.
 UNSEEN = frozenset(
-    "script style noscript template head title svg math iframe object canvas audio video select option optgroup"
-    " textarea button datalist".split()
+    "script style template head title desc noscript select option optgroup textarea datalist button canvas audio video"
+    " iframe".split()
 )
+#: Elements of a head; any other ends it.
+HEAD = frozenset("head title style script template noscript meta link base".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end an open element of the first kind when they begin.
 _ENDS = {
-    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
-    "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "option": {"option"},
-    "tfoot": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"},
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
+    "th": ("td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody"),
 }
-_SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
+_SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
+#: Elements that a form's choices hold; any other element ends them.
+_CHOICES = frozenset("option optgroup hr".split())
 TEXT = "#text"
 #: Kinds of edges, by the child: each has its own potentials.
 KINDS = {TEXT: 1} | dict.fromkeys("nav aside footer header form".split(), 2) | dict.fromkeys(
@@ -53,14 +62,21 @@ N_KINDS = 5
 
 
 class _Reader(HTMLParser):
-    """Nodes in page order: parent, tag, class words, text and linked characters."""
+    """Nodes in page order: parent, tag, class words, text and linked characters.
+
+    Where an element ends an open one is looked up by the places of open elements of each tag, so that reading
+    takes time in proportion to the page, however its elements nest and whatever is left open.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.words = [-1], ["#root"], [()]
         self.text: dict[int, list[str]] = {}
         self.linked: dict[int, int] = {}
-        self.open: list[tuple[str, int]] = [("#root", 0)]  # tag and the block that it is or stands in
+        #: Tag, the block that it is or stands in, and whether it stands in a line.
+        self.open: list[tuple[str, int, bool]] = [("#root", 0, False)]
+        self.places: dict[str, list[int]] = {}  # where elements of a tag are open
+        self.blocks: list[int] = []  # where blocks other than paragraphs are open
         self.unseen = 0
         self.links = 0
         self.run = -1
@@ -71,38 +87,54 @@ class _Reader(HTMLParser):
         self.words.append(words)
         return len(self.tag) - 1
 
+    def _last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these tags, 0 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
     def _close(self, at: int) -> None:
-        for tag, _ in self.open[at:]:
+        for tag, _, inline in reversed(self.open[at:]):
+            self.places[tag].pop()
             self.unseen -= tag in UNSEEN
             self.links -= tag == "a"
-            if tag not in INLINE:
+            if not inline:
                 self.run = -1
+                if tag != "p":
+                    self.blocks.pop()
         del self.open[at:]
 
+    def _end_by(self, tag: str) -> None:
+        """Close what the start of a block ends."""
+        if self.places.get("button"):
+            self._close(self.places["button"][0])
+        scope = self._last(_SCOPE.get(tag, ()))
+        ended = [x for t in _ENDS.get(tag, ()) for x in self.places.get(t, ())[-1:] if x > scope]
+        # A cell ends the cell beside it; a row or a table's part ends its row and the cells of that.
+        if ended:
+            self._close(min(ended))
+        if self._last("p") > max(scope, self.blocks[-1] if self.blocks else 0):
+            self._close(self._last("p"))
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag not in INLINE:
+        if tag not in HEAD and self.places.get("head"):
+            self._close(self.places["head"][0])
+        if tag not in _CHOICES and self._last(("select", "datalist")):
+            self._close(self._last(("select", "datalist")))
+        inline = tag in INLINE or tag in UNSEEN or bool(self._last(FOREIGN))
+        if not inline:
             self.run = -1
-            ends = _ENDS.get(tag, ())
-            limit = _SCOPE.get(tag, ())
-            for at in range(len(self.open) - 1, 0, -1):
-                t = self.open[at][0]
-                if t in limit:
-                    break
-                if t in ends or t == "p" and tag not in UNSEEN:
-                    self._close(at)
-                    if t == "p":
-                        break
-                elif t not in INLINE and t != "p" and not ends:
-                    break
+            self._end_by(tag)
         elif tag == "br" and self.run >= 0:
             self.text[self.run].append(" ")
         if tag in VOID:
             return
-        if tag in INLINE:
+        if inline:
             block = self.open[-1][1]
         else:
             block = self._add(tag, _class_words(" ".join(v for k, v in attrs if k in ("class", "id", "role") and v)))
-        self.open.append((tag, block))
+            if tag != "p":
+                self.blocks.append(len(self.open))
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, block, inline))
         self.unseen += tag in UNSEEN
         self.links += tag == "a"
 
@@ -112,16 +144,15 @@ class _Reader(HTMLParser):
             self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == tag:
-                self._close(at)
-                return
-            if tag in INLINE and self.open[at][0] not in INLINE:
-                return
+        at = self._last((tag,))
+        if at and not (self.open[at][2] and at < max(self._last("p"), self.blocks[-1] if self.blocks else 0)):
+            self._close(at)
 
     def handle_data(self, data: str) -> None:
         if self.unseen:
-            return
+            if self.open[-1][0] != "head" or not data.strip():
+                return
+            self._close(len(self.open) - 1)
         if self.run < 0:
             if not data.strip():
                 return
@@ -330,7 +361,10 @@ def labelled_pages(n: int = 800, seed: int = 5) -> list[tuple[str, set[str]]]:
     def other(kind: str) -> str:
         said = named(_OTHER_WORDS[kind])
         if kind == "menu":
-            tag = r.choice(("nav", "nav", "div"))
+            tag = r.choice(("nav", "nav", "div", "table"))
+            if tag == "table":
+                cells = "".join(f'<td><a href="/{i}">{words(1, 4)}</a>' for i in range(r.randint(3, 9)))
+                return f"<table{said}><tr>{cells}</table>"
             return f"<{tag}{said if tag == 'nav' else said or ' class=menu'}>{links(r.randint(3, 9))}</{tag}>"
         if kind == "header":
             return f"<header{said}><p>{words(1, 6)}</p>{other('menu') if r.random() < 0.6 else links(4)}</header>"
@@ -384,6 +418,8 @@ def labelled_pages(n: int = 800, seed: int = 5) -> list[tuple[str, set[str]]]:
                 t = keep(words(1, 90, r.choice((".", ".", ".", "!", ""))))
                 if r.random() < 0.25:
                     return f"<p><b>{t}<br>"
+                if r.random() < 0.1:
+                    return f"<p>{t}<button>{words(1, 2)}</button>"
                 if r.random() < 0.25:
                     cut_at = t.rfind(" ")
                     return f'<p>{t[: cut_at + 1]}<a href="/x">{t[cut_at + 1 :]}</a></p>'
@@ -406,16 +442,17 @@ def labelled_pages(n: int = 800, seed: int = 5) -> list[tuple[str, set[str]]]:
                 inside.append(other(r.choice(("ad", "share", "side", "form", "notice"))))
         if r.random() < 0.15:
             inside.append(other("comments"))
-        tag = r.choice(("article", "article", "article", "main", "div"))
-        said = named(_CONTENT_WORDS) or (' class="content"' if tag == "div" else "")
-        body = f"<{tag}{said}>{''.join(inside)}</{tag}>"
+        tag = r.choice(("article", "article", "article", "main", "div", "div", ""))
+        said = named(_CONTENT_WORDS) or (' class="content"' if tag == "div" and r.random() < 0.5 else "")
+        body = f"<{tag}{said}>{''.join(inside)}</{tag}>" if tag else "".join(inside)
         if r.random() < 0.3:
             body = f"<div{named(_CONTENT_WORDS)}>{body}</div>"
         before = [other(k) for k in ("header", "menu", "notice", "ad", "form") if r.random() < 0.45]
         after = [other(k) for k in ("share", "comments", "side", "ad", "notice", "form") if r.random() < 0.3]
         after += [other("footer")] * (r.random() < 0.9)
         head = f"<head><title>{words(1, 8)}</title><style>p{{margin:0}}</style></head>"
-        pages.append((f"<html>{head}<body>{''.join(before)}{body}{''.join(after)}</body></html>", good))
+        body = f"{''.join(before)}{body}{''.join(after)}"
+        pages.append((f"<html>{head}<body>{body}</body></html>" if r.random() < 0.85 else body, good))
     return pages
 
 

@@ -1,4 +1,6 @@
 import itertools
+import random
+import time
 
 import numpy as np
 import pytest
@@ -96,3 +98,74 @@ def test_words_behind_a_long_class_list_count():
     short, full = (read(f'<div class="{c}" id="comments">text</div>')[1] for c in ("ua-x", long))
     assert {f for own in short for f in own if "comment" in f} <= {f for own in full for f in own}
     assert any("comment" in f for own in full for f in own)
+
+
+def other_pages(n, seed):
+    """Pages of layouts that the training generator doesn't make, with their texts; words are drawn from a list."""
+    r = random.Random(seed)
+    vocabulary = "river market stone letter winter garden signal copper window harbour lantern meadow".split()
+
+    def say(lo, hi, end="."):
+        return " ".join(r.choices(vocabulary, k=r.randint(lo, hi))).capitalize() + end
+
+    def menu():
+        items = [f'<a href="/{k}">{say(1, 2, "")}</a>' for k in range(r.randint(4, 8))]
+        return r.choice(
+            (
+                "<div class='top-menu'>" + " | ".join(items) + "</div>",
+                "<nav>" + "".join(f"<span>{i}</span>" for i in items) + "</nav>",
+                "<table class=navigation><tr>" + "".join(f"<td>{i}" for i in items) + "</table>",
+            )
+        )
+
+    def page(kind):
+        good = [say(3, 8, "")] + [say(12, 60) for _ in range(r.randint(3, 7))]
+        h, ps = good[0], good[1:]
+        foot = f"<div id=footer>&copy; {say(2, 5)} <a href=/i>{say(1, 2, '')}</a></div>"
+        notice = f'<div class="cookie-bar" role="alert">{say(5, 12)}<button>OK</button></div>'
+        if kind == "bare":
+            return f"<title>x</title><h1>{h}</h1>" + "".join(f"<p>{p}" for p in ps), good
+        if kind == "plain":
+            inner = f"<h1>{h}</h1>" + "".join(f"<p>{p}</p>" for p in ps)
+            return f"<html><body>{menu()}<div>{inner}</div>{foot}</body></html>", good
+        if kind == "prose":
+            inner = f"<h1>{h}</h1><div class='prose'>" + "".join(f"<p>{p}</p>" for p in ps) + "</div>"
+            return f"<body>{notice}{menu()}<main><div><div>{inner}</div></div></main>{foot}", good
+        if kind == "button":
+            return f"<body>{menu()}<h1>{h}</h1><p>{ps[0]}<button>Share" + "".join(f"<p>{p}" for p in ps[1:]) + foot, good
+        text = f"{ps[0]} Let <math><mi>a</mi><mo>=</mo><mi>b</mi></math> hold."
+        inner = f"<h2>{h}</h2><p>{text}</p><object><p>{ps[1]}</p></object>" + "".join(f"<p>{p}</p>" for p in ps[2:])
+        good = [h, f"{ps[0]} Let a=b hold.", *ps[1:]]
+        return f"<body>{menu()}<section class=story>{inner}</section><aside class=promo>{say(6, 12)}</aside>{foot}", good
+
+    return [page(r.choice(("bare", "plain", "prose", "button", "formula"))) for _ in range(n)]
+
+
+def test_pages_of_another_generator(model):
+    pages = other_pages(200, 9)
+    got = [t.split("\n") for t in model.extract([p for p, _ in pages])]
+    assert sum(a == b for a, (_, b) in zip(got, pages, strict=True)) >= 0.95 * len(pages)
+
+
+def test_formulas_scripts_and_open_elements_keep_a_line_whole():
+    def lines(html):
+        return list(read(html)[2].values())
+
+    assert lines("<p>Let <math><mi>a</mi><mo>=</mo><mn>2</mn></math> as shown</p>") == ["Let a=2 as shown"]
+    assert lines("<p>a <script>x</script> b <button>y</button> c</p>") == ["a b c"]
+    assert lines("<object><p>inside</p></object>") == ["inside"]
+    assert lines("<p>a<button>Share<p>next<p>more") == ["a", "next", "more"]
+    assert lines("<head><title>t</title>text<p>b") == ["text", "b"]
+    assert lines("<select><option>a<p>b") == ["b"]
+    assert lines("<table><tr><td>a<td>b<tr><td>c</table>d<svg><g><path/></g></svg>e") == ["a", "b", "c", "de"]
+
+
+def test_reading_takes_linear_time():
+    def seconds(k):
+        html = "<b>" * k + "<div>" * k + "<li>" * k + "</x>" * k + "<p>" * k + "</b>" * k + "<td>" * k
+        start = time.perf_counter()
+        read(html)
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(8000) < 12 * seconds(2000)
