@@ -1,7 +1,8 @@
 """Personal data: four base patterns, and information-theoretic sanitisation of the terms that give them away.
 
-A protected entity is a distinct value of a base pattern. Over the whole corpus, with documents as events,
-a term t of the words around an entity e discloses the share PMI(e; t) / IC(e) of e's information content,
+A protected entity is a distinct value of a base pattern, and so is each kind of them as a whole: that a text holds
+somebody's card number is worth hiding as well as whose it is. Over the whole corpus, with documents as events, a
+term t of the words around an entity e discloses the share PMI(e; t) / IC(e) of e's information content,
 PMI = log2(p(e, t) / (p(e) p(t))), IC = -log2 p(e). A term is disclosing if, for some entity, that share is at
 least `disclosure`, at least half of the documents with t have it beside e, and it stands beside e in at
 least `support` different surroundings (copies of one passage count as one). Disclosing terms are generalised
@@ -99,7 +100,10 @@ class _Hidden:
 
 
 def surroundings(text: str | None, around: int = AROUND) -> list[tuple[str, str, int]]:
-    """(entity, term, surroundings' hash) for the words beside each base span, words of spans left out."""
+    """(entity, term, surroundings' hash) for the words beside each base span, words of spans left out.
+
+    Entities are a kind, and a kind with a value.
+    """
     spans = base_spans(text)
     if not spans:
         return []
@@ -116,9 +120,9 @@ def surroundings(text: str | None, around: int = AROUND) -> list[tuple[str, str,
             width *= 8
         near = [*left[-around:], *right[:around]]
         free = [m.group().translate(_FOLD) for m in near if not hidden.touches(m.start(), m.end())]
-        entity = f"{kind}:{text[a:b].translate(_FOLD)}"
         mark = xxhash.xxh64_intdigest(" ".join(free)) - (1 << 63)
-        out += [(entity, t, mark) for t in dict.fromkeys(free)]
+        for entity in (f"{kind}:{text[a:b].translate(_FOLD)}", kind):
+            out += [(entity, t, mark) for t in dict.fromkeys(free)]
     return out
 
 
@@ -134,19 +138,19 @@ def _lots(names: DataFrame, column: str, at_once: int) -> Iterator[list]:
         yield lot
 
 
-def disclosing_terms(
+def disclosure(
     df: DataFrame,
     text: str = "text",
     around: int = AROUND,
     support: int = SUPPORT,
-    disclosure: float = DISCLOSURE,
-    confidence: float = CONFIDENCE,
+    confidence: float = 0.0,
     at_once: int = TERMS_AT_ONCE,
 ) -> DataFrame:
-    """term and share (the largest over entities), a table in the shared folder.
+    """entity, term, both, with_entity, with_term and share for all terms of enough support and confidence.
 
-    The first pass over the corpus gathers the words beside entities; the second counts documents with the
-    terms that have enough support, each task adding up its own before anything is shuffled.
+    The numbers are of documents: with the term beside the entity, with the entity, with the term. The first pass
+    over the corpus gathers the words beside entities; the second counts documents with the terms that have enough
+    support, each task adding up its own before anything is shuffled.
     """
 
     def beside(texts: list) -> tuple[list, list]:
@@ -184,17 +188,30 @@ def disclosing_terms(
         own = own.groupBy("term").agg(F.sum("n").alias("with_term"))
         counts = own if counts is None else counts.union(own)
     if counts is None:
-        return cut(both.select("term", F.lit(0.0).alias("share")).limit(0))
+        counts = both.select("term", F.col("both").alias("with_term"))
     share = F.when(F.col("with_entity") >= total, F.lit(0.0)).otherwise(
         F.lit(1.0)
         - F.greatest(F.log2(F.col("with_term") / F.col("both")), F.lit(0.0))
         / F.log2(F.lit(float(total)) / F.col("with_entity"))
     )
     joined = both.join(having, "entity").join(counts, "term").withColumn("share", share)
-    joined = joined.filter(
-        (F.col("share") >= disclosure) & (F.col("both") >= F.lit(confidence) * F.col("with_term"))
+    return joined.filter(F.col("both") >= F.lit(confidence) * F.col("with_term")).select(
+        "entity", "term", "both", "with_entity", "with_term", "share"
     )
-    return cut(joined.groupBy("term").agg(F.max("share").alias("share")))
+
+
+def disclosing_terms(
+    df: DataFrame,
+    text: str = "text",
+    around: int = AROUND,
+    support: int = SUPPORT,
+    least_share: float = DISCLOSURE,
+    confidence: float = CONFIDENCE,
+    at_once: int = TERMS_AT_ONCE,
+) -> DataFrame:
+    """term and share (the largest over entities) of the disclosing terms, a table in the shared folder."""
+    found = disclosure(df, text, around, support, confidence, at_once).filter(F.col("share") >= least_share)
+    return cut(found.groupBy("term").agg(F.max("share").alias("share")))
 
 
 def find_personal_data(
@@ -265,6 +282,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         *(count_of(k).alias(f"n_{k}") for k in BASE),
+        count_of("term").alias("n_term"),
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", said), ",").alias("spans"),
     )

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -6,7 +7,7 @@ from collections import Counter
 from helpers_llm import documents, save
 
 from kinweave.llm.pii import (
-    base_spans, disclosing_terms, find_personal_data, op7_pii, sanitised, stage_sanitise, surroundings,
+    base_spans, disclosing_terms, disclosure, find_personal_data, op7_pii, sanitised, stage_sanitise, surroundings,
 )
 
 
@@ -78,7 +79,7 @@ def test_long_runs_take_linear_time():
 def test_surroundings_of_sparse_and_empty_texts():
     assert surroundings(None) == surroundings("no entity") == []
     text = "far " + "." * 5000 + " a@b.co " + "-" * 5000 + " away"
-    assert [t for _, t, _ in surroundings(text)] == ["far", "away"]
+    assert [(e, t) for e, t, _ in surroundings(text)] == [(e, t) for e in ("email:a@b.co", "email") for t in ("far", "away")]
 
 
 def corpus(spark):
@@ -136,3 +137,61 @@ def test_query(spark, tmp_path):
             rows[i].n_phone,
         ) == (n["email"], n["ip"], n["card"], n["phone"])
         assert rows[i].base_sha256 == hashlib.sha256(said.encode()).hexdigest() and rows[i].spans == said
+
+
+def scores_by_brute_force(texts, around=8, support=3):
+    """entity, term -> (both, with_entity, with_term, share) from every text's words and spans."""
+    marks, both, entity_docs, term_docs = {}, Counter(), Counter(), Counter()
+    for t in texts:
+        words = [(m.group().lower(), *m.span()) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", t or "")]
+        spans = brute(t)
+        seen, own = set(), set()
+        for kind, a, b in spans:
+            left = [w for w in words if w[2] <= a][-around:]
+            right = [w for w in words if w[1] >= b][:around]
+            free = [w[0] for w in left + right if not any(w[1] < e and w[2] > s for _, s, e in spans)]
+            for e in (kind, f"{kind}:{t[a:b].lower()}"):
+                own.add(e)
+                for w in free:
+                    seen.add((e, w))
+                    marks.setdefault((e, w), set()).add(" ".join(free))
+        both.update(seen)
+        entity_docs.update({e for e, _ in seen})
+        term_docs.update({w[0] for w in words})
+    out = {}
+    for (e, w), n in both.items():
+        if len(marks[e, w]) >= support:
+            pmi = math.log2(n * len(texts) / (entity_docs[e] * term_docs[w]))
+            ic = math.log2(len(texts) / entity_docs[e])
+            out[e, w] = (n, entity_docs[e], term_docs[w], pmi / ic if ic else 0.0)
+    return out
+
+
+def test_shares_equal_brute_force(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(25)]
+    ends = ["bob@x.org", "amy@y.net", "10.1.2.3", "+1 (377) 555-0271", "4111 1111 1111 1111"]
+    texts = []
+    for k in range(240):
+        t = r.choices(words, k=r.randint(4, 30))
+        if k % 3 == 0:
+            at = r.randrange(len(t))
+            end = r.choice(ends)
+            t[at:at] = [{"b": "zorro", "4": "card", "+": "dial"}.get(end[0], "on") if r.random() < 0.8 else "on", end]
+        elif k % 40 == 1:
+            t.append("zorro")
+        texts.append(" ".join(t))
+    texts += [None, "", "zorro " * 3000]
+    got = {(x.entity, x.term): (x.both, x.with_entity, x.with_term, x.share) for x in disclosure(documents(spark, texts)).collect()}
+    want = scores_by_brute_force(texts)
+    assert got.keys() == want.keys() and len(want) > 50 and any(":" not in e for e, _ in want)
+    for key, (a, b, c, share) in want.items():
+        assert got[key][:3] == (a, b, c) and abs(got[key][3] - share) < 1e-9
+    chosen = {w for (e, w), (a, _, c, share) in want.items() if share >= 0.5 and a >= 0.5 * c}
+    assert {x.term for x in disclosing_terms(documents(spark, texts), least_share=0.5).collect()} == chosen and chosen
+
+
+def test_a_kind_may_be_disclosed_where_no_value_is(spark):
+    texts = [f"n{i} cardholder 4111 1111 1111 {d} m{i}" for i, d in enumerate(("1111", "1129", "1137", "1145", "1152"))]
+    docs = documents(spark, [*texts, *(f"plain {i}" for i in range(200))])
+    assert {r.term: r.share for r in disclosing_terms(docs).collect()} == {"cardholder": 1.0}
