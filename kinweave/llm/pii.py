@@ -102,7 +102,7 @@ class _Hidden:
 def surroundings(text: str | None, around: int = AROUND) -> list[tuple[str, str, int]]:
     """(entity, term, surroundings' hash) for the words beside each base span, words of spans left out.
 
-    Entities are a kind, and a kind with a value.
+    An entity is named by its kind, a colon and its value.
     """
     spans = base_spans(text)
     if not spans:
@@ -120,9 +120,9 @@ def surroundings(text: str | None, around: int = AROUND) -> list[tuple[str, str,
             width *= 8
         near = [*left[-around:], *right[:around]]
         free = [m.group().translate(_FOLD) for m in near if not hidden.touches(m.start(), m.end())]
+        entity = f"{kind}:{text[a:b].translate(_FOLD)}"
         mark = xxhash.xxh64_intdigest(" ".join(free)) - (1 << 63)
-        for entity in (f"{kind}:{text[a:b].translate(_FOLD)}", kind):
-            out += [(entity, t, mark) for t in dict.fromkeys(free)]
+        out += [(entity, t, mark) for t in dict.fromkeys(free)]
     return out
 
 
@@ -161,12 +161,15 @@ def disclosure(
     near = add_columns(texts, ["text"], "near array<struct<entity:string,term:string,mark:long>>", beside)
     near = cut(near.filter(F.size("near") > 0).select(F.monotonically_increasing_id().alias("doc"), "near"))
     total = df.count()
-    flat = near.select("doc", F.explode("near").alias("x")).select("doc", "x.*")
+    values = near.select("doc", F.explode("near").alias("x")).select("doc", "x.*")
+    # A value's kind is an entity as well, named by the kind alone.
+    kinds = F.explode(F.array("entity", F.substring_index("entity", ":", 1)))
+    flat = values.select("doc", kinds.alias("entity"), "term", "mark")
     both = flat.groupBy("entity", "term").agg(
         F.count_distinct("mark").alias("marks"), F.count_distinct("doc").alias("both")
     )
     # Documents that have a term beside any entity are the least that can have it at all.
-    least = flat.groupBy("term").agg(F.count_distinct("doc").alias("beside_any"))
+    least = values.groupBy("term").agg(F.count_distinct("doc").alias("beside_any"))
     both = both.filter(F.col("marks") >= support).join(least, "term")
     both = cut(both.filter(F.col("both") >= F.lit(confidence) * F.col("beside_any")))
     having = flat.select("entity", "doc").distinct().groupBy("entity").agg(F.count("doc").alias("with_entity"))
