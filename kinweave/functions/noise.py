@@ -6,6 +6,7 @@ include a secret; a public seed makes results reproducible and nothing else.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column
@@ -38,6 +39,24 @@ def gaussian(*parts: Column | str | int) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(first)) * F.cos(F.lit(2 * math.pi) * uniform("g2", *parts))
 
 
+def gaussian_value(*parts: str | int) -> float:
+    """The same draw as `gaussian` for a key known on the driver."""
+
+    def take(purpose: str) -> int:
+        return int(hashlib.md5("|".join(map(str, (purpose, *parts))).encode()).hexdigest()[:13], 16)
+
+    return math.sqrt(-2.0 * math.log((take("g1") + 1) / (_STEPS + 1))) * math.cos(2 * math.pi * (take("g2") / _STEPS))
+
+
+def bits_sql(key: str) -> str:
+    """`bits` as DuckDB SQL; `key` is an expression of the key's text."""
+    return f"cast('0x' || substr(md5({key}), 1, 13) as bigint)"
+
+
+def uniform_sql(key: str) -> str:
+    return f"({bits_sql(key)} / {float(_STEPS)!r})"
+
+
 def gaussian_sql(key: str) -> str:
     """The same draw as DuckDB SQL; `key` is an expression of the key's text behind its first part."""
     take = "cast('0x' || substr(md5({0}), 1, 13) as bigint)"

@@ -33,6 +33,39 @@ class Options:
         return ",".join(":".join([t, *(f"{x:g}" for x in n)]) for t, n in self.chosen.items()) or "off"
 
 
+#: Names under which a cross-hop setting is known.
+CROSS_NAMES = {
+    "off": "off", "no": "off", "none": "off", "inner": "inner", "child": "inner", "single": "inner",
+    "both": "both", "double": "both", "product": "both",
+}
+
+
+@dataclass(frozen=True)
+class CrossHop:
+    """Whether pairs across a level are released, how they weigh, and which guards their lifts have."""
+
+    weight: str = "inner"
+    guard_cell: bool = True
+    guard_ancestor: bool = True
+
+    @property
+    def on(self) -> bool:
+        return self.weight != "off"
+
+
+def cross_hop(text: str = "inner") -> CrossHop:
+    """Read `weight[:noguard|cell|ancestor]`; names have aliases, unknown ones raise ValueError."""
+    name, _, guard = text.strip().lower().partition(":")
+    if name not in CROSS_NAMES or guard not in ("", "noguard", "cell", "ancestor"):
+        raise ValueError(f"unknown cross-hop setting {text!r}")
+    return CrossHop(CROSS_NAMES[name], guard in ("", "cell"), guard in ("", "ancestor"))
+
+
+def is_one_way(name: str) -> bool:
+    """Whether an object of a release counts one attribute alone: names of joint objects hold * or begin with SZ."""
+    return "*" not in name and not name.startswith("SZ.")
+
+
 def parse(text: str, rail: str | None = None) -> Options:
     """Read options; unknown tokens, and those the rail doesn't honour, raise ValueError.
 

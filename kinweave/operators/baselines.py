@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions.accountant import delta_of, gamma
-from kinweave.functions.noise import gaussian
+from kinweave.functions.noise import gaussian, gaussian_value
 from kinweave.operators.calibrate import normalised
 from kinweave.operators.sampling import draw, linked
 from kinweave.operators.sizes import group_sizes
@@ -20,16 +20,18 @@ from kinweave.schema import Schema
 TableSynthesizer = Callable[[SparkSession, DataFrame, Mapping[str, int], float, int, int], DataFrame]
 
 
-def independent_marginals(spark: SparkSession, table: DataFrame, sizes: Mapping[str, int], epsilon: float, rows: int, seed: int) -> DataFrame:
+def independent_marginals(
+    spark: SparkSession, table: DataFrame, sizes: Mapping[str, int], epsilon: float, rows: int, seed: int, delta: float | None = None
+) -> DataFrame:
     """Every attribute drawn from its own noisy histogram, alone."""
-    scale = np.sqrt(2.0 * max(1, len(sizes))) / gamma(epsilon, delta_of(max(2, table.count())))
-    rng = np.random.default_rng(seed)
+    scale = np.sqrt(2.0 * max(1, len(sizes))) / gamma(epsilon, delta or delta_of(max(2, table.count())))
     out = spark.range(rows)
     for a, n in sizes.items():
         counts = np.zeros(n)
         for code, k in table.groupBy(a).agg(F.count(F.lit(1))).collect():
             counts[code] = k
-        out = draw(out, "id", a, normalised(np.maximum(counts + rng.normal(0, scale, n), 0)), {}, seed)
+        noise = np.array([gaussian_value(seed, "marginal", a, code) for code in range(n)])
+        out = draw(out, "id", a, normalised(np.maximum(counts + scale * noise, 0)), {}, seed)
     return out
 
 
@@ -68,7 +70,7 @@ def per_table(
     for r, up, fk in links:
         n = max(2, tables[r].count())
         cap = group_sizes(tables[r], fk).agg(F.max("n")).first()[0] or 1
-        shares = noisy_size_shares(tables[r], fk, share * epsilon, seed, min(cap, 1024), delta_of(n))
+        shares = noisy_size_shares(tables[r], fk, share * epsilon, seed, cap, delta_of(n))
         out[r] = relink(out[r], schema.roles[r].key, out[up], schema.roles[up].key, shares, fk, seed)
     return out
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinweave.functions.noise import bits
+from kinweave.operators.views import number_within, ranked
 
 
 def largest_remainder(weights: Sequence[float], total: int) -> list[int]:
@@ -55,13 +56,16 @@ def remainder_ranks(cells: DataFrame, group: Sequence[str], share: str, total: C
     )
 
 
-def grown_at_cap(sizes: Sequence[int], target: int, hi: int) -> list[int]:
-    """Sizes whose sum is raised to target by the groups at hi alone, alike, earlier ones first for the rest."""
+def grown_at_cap(sizes: Sequence[int], target: int, hi: int, lo: int = 0) -> list[int]:
+    """Sizes whose sum is raised to target by the groups at hi alone, alike, earlier ones first for the rest.
+
+    A surplus, and sizes of which none is at hi, are scaled in proportion instead.
+    """
     sizes = list(sizes)
     short = target - sum(sizes)
     at = [i for i, s in enumerate(sizes) if s >= hi]
-    if short <= 0 or not at:
-        return sizes
+    if short < 0 or short and not at:
+        return rescaled(sizes, target, lo)
     for k, i in enumerate(at):
         sizes[i] += short // len(at) + (k < short % len(at))
     return sizes
@@ -106,20 +110,22 @@ def rescaled(sizes: Sequence[int], target: int, lo: int, hi: int | None = None)
 def rescale_groups(sizes: DataFrame, group: Sequence[str], key: str, size: str, target: Column, lo: int, out: str) -> DataFrame:
     """Proportional rescaling of a column of sizes within groups, distributed: floors, then one more by remainder.
 
-    Rows of one group are ranked by remainder in a window of the group; deal `group` finer if a group is large.
+    Rows of a group are put in order of their remainders by ranges, so a group may be as large as the table.
     """
-    own = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     over = F.greatest(F.col(size) - lo, F.lit(0))
-    n, whole = F.count(F.lit(1)).over(own), F.sum(over).over(own)
-    spend = F.greatest(target - n * lo, F.lit(0))
-    share = F.when(whole > 0, over / whole).otherwise(F.lit(1.0) / n)
-    rows = sizes.withColumn("__x", share * spend).withColumn(
-        "__f",
-        F.floor(F.col("__x") + F.lit(1e-9)),
-    ).withColumn("__s", spend)
-    r = F.row_number().over(own.orderBy(F.desc(F.col("__x") - F.col("__f")), key))
-    more = (r <= F.max("__s").over(own) - F.sum("__f").over(own)).cast("long")
-    return rows.withColumn(out, (F.col("__f") + more + lo).cast("long")).drop("__x", "__f", "__s")
+    sums = sizes.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("__n"), F.sum(over).alias("__whole"), F.first(target).alias("__goal")
+    )
+    rows = sizes.join(sums, list(group)) if group else sizes.join(sums, F.lit(True))
+    spend = F.greatest(F.col("__goal") - F.col("__n") * lo, F.lit(0))
+    share = F.when(F.col("__whole") > 0, over / F.col("__whole")).otherwise(F.lit(1.0) / F.col("__n"))
+    rows = rows.withColumn("__s", spend).withColumn("__x", share * spend).drop("__n", "__whole", "__goal")
+    rows = rows.withColumn("__f", F.floor(F.col("__x") + F.lit(1e-9))).withColumn("__d", F.col("__f") - F.col("__x"))
+    rows = ranked(rows, list(group), ["__d", key], "__r")
+    left = rows.groupBy(*group).agg((F.max("__s") - F.sum("__f")).alias("__left"))
+    rows = rows.join(left, list(group)) if group else rows.join(left, F.lit(True))
+    more = (F.col("__r") < F.col("__left")).cast("long")
+    return rows.withColumn(out, (F.col("__f") + more + lo).cast("long")).drop("__x", "__f", "__s", "__d", "__r", "__left")
 
 
 def quota_by_value(sizes: Sequence[int], ids: Sequence[int], quotas: Mapping[int, float], lo: int, hi: int | None = None, grow: bool = False) -> list[int]:
@@ -130,8 +136,7 @@ def quota_by_value(sizes: Sequence[int], ids: Sequence[int], quotas: Mapping[int
         goal = round(quotas.get(v, 0))
         mine = [sizes[i] for i in at]
         if grow and hi is not None and sum(mine) < goal:
-            mine = grown_at_cap(mine, goal, hi)
-            new = mine if sum(mine) == goal else rescaled(mine, goal, lo)
+            new = grown_at_cap(mine, goal, hi, lo)
         else:
             new = rescaled(mine, goal, lo)
         for i, s in zip(at, new, strict=True):
@@ -221,6 +226,7 @@ def leaf_target(size_table: Sequence[Sequence[float]], size_values: Sequence[flo
 
 
 def averaged_targets(targets: Sequence[Sequence[float]], total: int) -> list[int]:
+    """A histogram of rows in proportion to the mean of several."""
     return largest_remainder(np.mean(np.asarray(targets, float), axis=0).tolist(), total)
 
 
@@ -229,19 +235,27 @@ def quota_draw(df: DataFrame, key: str, out: str, counts: Sequence[int], seed: i
 
     Rows are ranked by hash within hash ranges and the ranges' counts are added, so no task ranks all rows.
     """
-    ranked = shuffled_rank(df, key, seed, f"quota {out}")
+    numbered = shuffled_rank(df, key, seed, f"quota {out}", rows=int(sum(counts)))
     ends = np.cumsum(np.asarray(counts, int)).tolist()
     code = F.lit(0)
     for e in ends[:-1]:
         code = code + (F.col("__rank") >= F.lit(e)).cast("int")
-    return ranked.withColumn(out, code.cast("int")).drop("__rank")
+    return numbered.withColumn(out, code.cast("int")).drop("__rank")
 
 
-def shuffled_rank(df: DataFrame, key: str, seed: int, purpose: str, group: Sequence[str] = (), ranges: int = 256) -> DataFrame:
-    """df with __rank from 0 in an order shuffled by the key's hash, within groups."""
-    from kinweave.operators.views import number_within
+#: Rows that one range of hashes holds on average where rows are ranked in them.
+RANGE_ROWS = 50_000
 
-    step = (1 << 52) // ranges
+
+def shuffled_rank(
+    df: DataFrame, key: str, seed: int, purpose: str, group: Sequence[str] = (), rows: int | None = None
+) -> DataFrame:
+    """df with __rank from 0 in an order shuffled by the key's hash, within groups.
+
+    Rows are dealt over equal ranges of hashes, one for every RANGE_ROWS rows; `rows` saves counting them.
+    """
+    rows = df.count() if rows is None else rows
+    step = (1 << 52) // max(1, rows // RANGE_ROWS) + 1
     hashed = df.withColumn("__h", bits(seed, purpose, F.col(key))).withColumn(
         "__cell",
         F.floor(F.col("__h") / F.lit(step)),
@@ -249,11 +263,12 @@ def shuffled_rank(df: DataFrame, key: str, seed: int, purpose: str, group: Seque
     return number_within(hashed, list(group), ["__h", key], "__rank", "__cell").drop("__h")
 
 
-def repair(df: DataFrame, key: str, code: str, target: Mapping[int, int], support: Column, group: Sequence[str] = ()) -> DataFrame:
+def repair(df: DataFrame, key: str, code: str, target: Mapping[int, int], support: Column, seed: int = 0) -> DataFrame:
     """df with its codes' histogram brought to the target by moving rows from surplus codes to codes in deficit.
 
-    Of a code with a surplus, the rows of least support move (ties by key); freed rows and open places are matched
-    by rank. Rows that stay keep their code. The target must add up to the number of rows.
+    Of a code with a surplus, the rows of least support move, ties in an order shuffled by the key's hash, so that
+    no parent's rows go together; freed rows and open places are matched by rank. Rows that stay keep their code.
+    The target must add up to the number of rows. A code's rows are ranked by ranges, so it may have all of them.
     """
     have = {r[0]: r[1] for r in df.groupBy(code).agg(F.count(F.lit(1))).collect()}
     codes = sorted({*have, *target})
@@ -264,17 +279,15 @@ def repair(df: DataFrame, key: str, code: str, target: Mapping[int, int], suppor
     if not surplus:
         return df
     quota = F.create_map(*(F.lit(x) for kv in surplus.items() for x in kv))
-    own = Window.partitionBy(code).orderBy("__s", key)
-    losers = (
-        df.filter(F.col(code).isin(*surplus)).select(key, code, support.alias("__s"))
-        .withColumn("__r", F.row_number().over(own))
-        .filter(F.col("__r") <= quota[F.col(code)])
+    rows = df.filter(F.col(code).isin(*surplus)).select(
+        F.col(key).alias("__k"), F.col(code).alias("__c"), support.alias("__s"), bits(seed, "repair", F.col(key)).alias("__h")
     )
+    losers = ranked(rows, ["__c"], ["__s", "__h", "__k"], "__r").filter(F.col("__r") < quota[F.col("__c")])
     before, at = {}, 0
     for c in sorted(surplus):
         before[c] = at
         at += surplus[c]
-    slot = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))[F.col(code)] + F.col("__r") - 1
+    slot = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))[F.col("__c")] + F.col("__r")
     new, end = F.lit(open_places[-1][0]), 0
     bounds = []
     for c, n in open_places:
@@ -282,7 +295,7 @@ def repair(df: DataFrame, key: str, code: str, target: Mapping[int, int], suppor
         bounds.append((end, c))
     for e, c in reversed(bounds):
         new = F.when(slot < e, F.lit(c)).otherwise(new)
-    moved = losers.select(F.col(key).alias("__k"), new.cast("int").alias("__new"))
+    moved = losers.select("__k", new.cast("int").alias("__new"))
     out = df.join(moved, df[key] == moved["__k"], "left")
     return out.withColumn(code, F.coalesce("__new", code).cast("int")).drop("__k", "__new")
 

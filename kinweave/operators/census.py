@@ -1,18 +1,28 @@
-"""The three-table census benchmark: a generator with a planted effect across two joins, and two synthesizers.
+"""The three-table census benchmark: a generator with a planted effect across two joins, two synthesizers, workload.
 
 region[r_id, URBAN, BAND] <- household[h_id, r_id, OWN, SIZE] <- individual[i_id, h_id, AGE, EMP, EDU].
 """
 
 from __future__ import annotations
 
+import random
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.functions.accountant import COUNT, PAIRS, weighted_sigmas
 from kinweave.functions.noise import uniform
-from kinweave.operators.calibrate import bisect, largest_remainder, normalised
-from kinweave.operators.sampling import MOST_CHILDREN
+from kinweave.operators.calibrate import bisect, normalised
+from kinweave.operators.marginals import Marginal, domain_grid, marginals, on_grid, within_pairs
+from kinweave.operators.marginals import released as noised
+from kinweave.operators.sampling import children, draw
+from kinweave.operators.views import view
+from kinweave.operators.workload import CountQuery
 from kinweave.schema import Role, Schema
+from kinweave.scratch import cut
 
 SCHEMA = Schema.chain(
     Role("region", "r_id", {"URBAN": 2, "BAND": 3}),
@@ -42,19 +52,16 @@ def generate(spark: SparkSession, n_regions: int, seed: int = 0) -> dict[str, Da
         "BAND",
         F.floor(uniform(seed, "band", F.col("r_id")) * 3).cast("int"),
     )
-    r = r.withColumn("__z", _coin(_by("URBAN", TYPE_BY_URBAN), seed, "type", F.col("r_id")))
     lo, hi = HOUSEHOLDS
     n = (F.lit(lo) + F.floor(uniform(seed, "households", F.col("r_id")) * (hi - lo + 1))).cast("int")
-    h = r.withColumn("__i", F.explode(F.sequence(F.lit(1), n)))
-    h = h.withColumn("h_id", F.col("r_id") * MOST_CHILDREN + F.col("__i"))
+    h = children(r.withColumn("__n", n), "r_id", "__n", "r_id", "h_id", ["URBAN"])
     h = h.withColumn("OWN", _coin(_by("URBAN", OWN_BY_URBAN), seed, "own", F.col("h_id"))).withColumn(
         "SIZE",
         F.floor(uniform(seed, "size", F.col("h_id")) * 5).cast("int"),
     )
     # The hidden type is the household's own, so that members of one household share it.
-    h = h.withColumn("__z", _coin(_by("URBAN", TYPE_BY_URBAN), seed, "type", F.col("h_id")))
-    i = h.withColumn("__j", F.explode(F.sequence(F.lit(1), F.col("SIZE") + 1)))
-    i = i.withColumn("i_id", F.col("h_id") * 8 + F.col("__j"))
+    h = cut(h.withColumn("__z", _coin(_by("URBAN", TYPE_BY_URBAN), seed, "type", F.col("h_id"))))
+    i = children(h.withColumn("__n", F.col("SIZE") + 1), "h_id", "__n", "h_id", "i_id", ["__z"])
     i = i.withColumn("EMP", _coin(_by("__z", EMP_BY_TYPE), seed, "emp", F.col("i_id")))
     i = i.withColumn(
         "AGE",
@@ -104,43 +111,163 @@ def latent_mixture(cells: np.ndarray, k: int = 4, steps: int = 30, seed: int = 0
     return weights, parts
 
 
-def synthesize(spark: SparkSession, rel, seed: int = 0) -> dict[str, DataFrame]:
-    """A census from a release of the pairs URBAN-OWN, URBAN-SIZE, URBAN-EMP, OWN-EMP and SIZE-EMP.
+#: The registered objects: name, roles that it spans, attributes. r, h and i are the tables; ii pairs members.
+REGISTRY = {
+    "R_URBAN": ("r", "URBAN"), "R_BAND": ("r", "BAND"), "RB": ("r", "URBAN BAND"),
+    "H_OWN": ("h", "OWN"), "H_SIZE": ("h", "SIZE"), "HS": ("h", "OWN SIZE"),
+    "RH_OWN": ("rh", "URBAN OWN"), "RH_SIZE": ("rh", "URBAN SIZE"), "RH_BOWN": ("rh", "BAND OWN"),
+    "HI_OWN_EMP": ("hi", "OWN EMP"), "HI_OWN_AGE": ("hi", "OWN AGE"), "HI_OWN_EDU": ("hi", "OWN EDU"),
+    "HI_SIZE_EMP": ("hi", "SIZE EMP"), "HI_SIZE_AGE": ("hi", "SIZE AGE"),
+    "RI_URB_EMP": ("ri", "URBAN EMP"), "RI_URB_AGE": ("ri", "URBAN AGE"), "RI_URB_EDU": ("ri", "URBAN EDU"),
+    "RI_BAND_EMP": ("ri", "BAND EMP"),
+    "RHI_U_O_E": ("rhi", "URBAN OWN EMP"), "RHI_U_O_A": ("rhi", "URBAN OWN AGE"), "RHI_U_S_E": ("rhi", "URBAN SIZE EMP"),
+    "II_AGE_EMP": ("ii", "AGE EMP"), "II_AGE_EDU": ("ii", "AGE EDU"), "II_EMP_EDU": ("ii", "EMP EDU"),
+}
+#: Those that are released by default.
+RELEASED = "RB RH_OWN RH_SIZE RI_URB_EMP RHI_U_O_E RHI_U_O_A RHI_U_S_E II_AGE_EDU".split()
+ROLE_OF = {a: r.name for r in SCHEMA.roles.values() for a in r.attrs}
+
 
-    EMP follows the pooled conditional, brought for each URBAN to the released share of EMP by URBAN.
+def family(tables: dict[str, DataFrame], names: Sequence[str] = tuple(REGISTRY)) -> DataFrame:
+    """query_name, c0, c1, c2, value of the named objects over real or synthetic tables.
+
+    Objects of households count households, those that reach individuals weigh each by 1 / its household's members;
+    pairs of members count as `marginals.within_pairs` does.
     """
-    from kinweave.functions.options import Options
-    from kinweave.operators.sampling import draw
-    from kinweave.operators.synth import synthesize_chain
-    from kinweave.operators.views import view
-
-    out = synthesize_chain(spark, rel, Options(), seed)
-    joint = rel.joint.get((("region", "URBAN"), ("individual", "EMP")))
-    if joint is None:
-        return out
-    target = [normalised(row)[1] for row in joint]
-    wide = view(
-        SCHEMA,
-        out,
-        "individual",
-        [("region", "URBAN"), ("household", "OWN")],
-        extra=["i_id", "h_id", "AGE", "EDU"],
-    )
-    own = rel.joint.get((("household", "OWN"), ("individual", "EMP")))
-    base_of = [normalised(row)[1] for row in own] if own is not None else [0.5, 0.5]
-    counts = {(r[0], r[1]): r["n"] for r in wide.groupBy("region__URBAN", "household__OWN").agg(F.count(F.lit(1)).alias("n")).collect()}
-    table = np.zeros((4, 2))
-    for u in (0, 1):
-        n = np.array([counts.get((u, o), 0) for o in (0, 1)], float)
-        p = recalibrated(np.array(base_of), n, target[u])
-        for o in (0, 1):
-            table[u * 2 + o] = (1 - p[o], p[o])
-    wide = wide.withColumn("__cell", F.col("region__URBAN") * 2 + F.col("household__OWN"))
-    wide = draw(wide, "i_id", "EMP", np.ones(2), {"__cell": table}, seed + 5)
-    out["individual"] = wide.select("i_id", "h_id", "AGE", "EMP", "EDU")
+    parts = []
+    for start, roles in (("region", ("r",)), ("household", ("h", "rh")), ("individual", ("hi", "ri", "rhi"))):
+        own = [n for n in names if REGISTRY[n][0] in roles]
+        if not own:
+            continue
+        source, weight = dict(tables), None
+        if start == "individual":
+            weight = "w"
+            members = tables[start].groupBy("h_id").agg(F.count(F.lit(1)).alias("__s"))
+            source[start] = tables[start].join(members, "h_id").withColumn("w", F.lit(1.0) / F.col("__s")).drop("__s")
+        attrs = {n: [(ROLE_OF[a], a) for a in REGISTRY[n][1].split()] for n in own}
+        wide = view(SCHEMA, source, start, dict.fromkeys(k for x in attrs.values() for k in x), extra=["w"] if weight else [])
+        wanted = [Marginal(n, tuple(f"{r}__{a}" for r, a in attrs[n])) for n in own]
+        parts.append(marginals(wide, wanted, weight))
+    for n in (n for n in names if REGISTRY[n][0] == "ii"):
+        a, b = REGISTRY[n][1].split()
+        pairs = within_pairs(tables["individual"], "h_id", "i_id", a, b)
+        parts.append(pairs.select(F.lit(n).alias("query_name"), "c0", "c1", F.lit(None).cast("int").alias("c2"), "value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def workload(n_per_class: int = 150, seed: int = 0) -> list[CountQuery]:
+    """Count queries of one hop up and down, of two hops, and of two hops over wider domains.
+
+    A predicate is a set of 1 to domain - 1 values, each set of a size as likely as the others.
+    """
+    r = random.Random(seed)
+
+    def condition(role: str, attr: str) -> tuple[str, str, tuple[int, ...]]:
+        n = SCHEMA.size(role, attr)
+        return role, attr, tuple(sorted(r.sample(range(n), r.randint(1, n - 1))))
+
+    classes = {
+        "1hop_rh": ("household", ("region", "URBAN"), ("household", "OWN")),
+        "1hop_hi": ("individual", ("household", "OWN"), ("individual", "EMP")),
+        "2hop": ("individual", ("region", "URBAN"), ("individual", "EMP")),
+        "2hop_wide": ("individual", ("region", "BAND"), ("individual", "AGE")),
+    }
+    return [
+        CountQuery(cls, qid, counted, (condition(*a), condition(*b)))
+        for qid in range(n_per_class) for cls, (counted, a, b) in classes.items()
+    ]
+
+
+def emp_table(by_own: np.ndarray, by_size: np.ndarray, marginal: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """P(EMP | URBAN, OWN, SIZE), pooled and brought for each URBAN to the released share of EMP by URBAN.
+
+    Tables of counts with axes (U, O, E), (U, S, E), (U, E); counts of individuals by (U, O, S).
+    """
+    pooled = pooled_conditional(*(conditional_last(x) for x in (by_own, by_size, marginal)))
+    out = pooled.copy()
+    for u in range(pooled.shape[0]):
+        p = recalibrated(pooled[u, :, :, 1], counts[u], conditional_last(marginal)[u, 1])
+        out[u, :, :, 0], out[u, :, :, 1] = 1 - p, p
+    return out
+
+
+def conditional_last(x: np.ndarray) -> np.ndarray:
+    """A table of counts as distributions of its last axis; alike where there is no mass."""
+    x = np.maximum(np.asarray(x, float), 0)
+    s = x.sum(axis=-1, keepdims=True)
+    return np.where(s > 0, x / np.where(s > 0, s, 1), 1 / x.shape[-1])
+
+
+def synthesize(
+    spark: SparkSession, objects: Mapping[str, np.ndarray], n_regions: int, n_households: int, seed: int = 0, mixture: int = 0
+) -> dict[str, DataFrame]:
+    """A census from released objects (see REGISTRY) and the numbers of regions and households.
+
+    Regions follow RB; each has the mean number of households, the rest dealt alike, and one more or less by chance
+    in pairs of neighbours, so that their total stays. OWN and SIZE follow RH_OWN and RH_SIZE, members number
+    SIZE + 1, AGE follows RHI_U_O_A and EDU II_AGE_EDU. EMP follows RHI_U_O_E and RHI_U_S_E pooled over RI_URB_EMP
+    and brought back to the latter; with `mixture`, types of that many profiles fitted to RHI_U_O_E are drawn for the
+    households, and EMP follows the type, brought back alike.
+    """
+    tables = {n: np.maximum(np.asarray(x, float), 0) for n, x in objects.items()}
+    r = draw(spark.range(n_regions).withColumnRenamed("id", "r_id"), "r_id", "__rb", tables["RB"].ravel(), {}, seed)
+    bands = tables["RB"].shape[1]
+    r = r.withColumn("URBAN", F.expr(f"cast(__rb div {bands} as int)")).withColumn("BAND", (F.col("__rb") % bands).cast("int"))
+    low, more = divmod(n_households, max(1, n_regions))
+    pair, odd = F.expr("r_id div 2"), F.col("r_id") % 2
+    whole = pair * 2 + 1 < n_regions
+    step = F.when(whole & (low > 1), (F.floor(uniform(seed, "jitter", pair) * 3) - 1) * (1 - 2 * odd)).otherwise(F.lit(0))
+    r = cut(r.withColumn("__n", F.lit(low) + (F.col("r_id") < more).cast("int") + step).drop("__rb"))
+    h = children(r, "r_id", "__n", "r_id", "h_id", ["URBAN", "BAND"])
+    h = draw(h, "h_id", "OWN", np.ones(2), {"URBAN": conditional_last(tables["RH_OWN"])}, seed)
+    h = draw(h, "h_id", "SIZE", np.ones(5), {"URBAN": conditional_last(tables["RH_SIZE"])}, seed)
+    kept = ["URBAN", "OWN", "SIZE"]
+    if mixture:
+        weights, parts = latent_mixture(tables["RHI_U_O_E"], mixture)
+        likely = weights[None, None, :] * parts[0].T[:, None, :] * parts[1].T[None, :, :]
+        h = draw(h.withColumn("__uo", F.col("URBAN") * 2 + F.col("OWN")), "h_id", "__type", np.ones(mixture), {"__uo": likely.reshape(4, -1)}, seed)
+        kept.append("__type")
+    h = cut(h)
+    i = cut(children(h.withColumn("__m", F.col("SIZE") + 1), "h_id", "__m", "h_id", "i_id", kept))
+    if mixture:
+        counts = {tuple(x)[:2]: x["n"] for x in i.groupBy("URBAN", "__type").agg(F.count(F.lit(1)).alias("n")).collect()}
+        table = np.zeros((2, mixture, 2))
+        for u in (0, 1):
+            own = np.array([counts.get((u, k), 0) for k in range(mixture)], float)
+            table[u, :, 1] = recalibrated(parts[2][:, 1], own, conditional_last(tables["RI_URB_EMP"])[u, 1])
+            table[u, :, 0] = 1 - table[u, :, 1]
+        cell, flat = F.col("URBAN") * mixture + F.col("__type"), table.reshape(-1, 2)
+    else:
+        counts = np.zeros((2, 2, 5))
+        for u, o, s, n in i.groupBy("URBAN", "OWN", "SIZE").agg(F.count(F.lit(1))).collect():
+            counts[u, o, s] = n
+        table = emp_table(tables["RHI_U_O_E"], tables["RHI_U_S_E"], tables["RI_URB_EMP"], counts)
+        cell, flat = (F.col("URBAN") * 2 + F.col("OWN")) * 5 + F.col("SIZE"), table.reshape(-1, 2)
+    i = draw(i.withColumn("__cell", cell), "i_id", "EMP", np.ones(2), {"__cell": flat}, seed)
+    age = conditional_last(tables["RHI_U_O_A"]).reshape(4, -1)
+    i = draw(i.withColumn("__uo", F.col("URBAN") * 2 + F.col("OWN")), "i_id", "AGE", np.ones(8), {"__uo": age}, seed)
+    i = draw(i, "i_id", "EDU", np.ones(4), {"AGE": conditional_last(tables["II_AGE_EDU"])}, seed)
+    return {
+        "region": r.select("r_id", "URBAN", "BAND"),
+        "household": h.select("h_id", "r_id", "OWN", "SIZE"),
+        "individual": i.select("i_id", "h_id", "AGE", "EMP", "EDU"),
+    }
+
+
+def dense(cells: DataFrame, names: Sequence[str] = tuple(RELEASED)) -> dict[str, np.ndarray]:
+    """The named objects as arrays over their whole domains; their size doesn't depend on the tables."""
+    out = {n: np.zeros([SCHEMA.size(ROLE_OF[a], a) for a in REGISTRY[n][1].split()]) for n in names}
+    for r in cells.filter(F.col("query_name").isin(*names)).collect():
+        codes = [r[c] for c in ("c0", "c1", "c2")][: out[r["query_name"]].ndim]
+        out[r["query_name"]][tuple(codes)] = r["value"]
     return out
 
 
-def households_by_capacity(total: int, regions: int) -> list[int]:
-    """Households dealt evenly over regions."""
-    return largest_remainder([1.0] * regions, total)
+def released(spark: SparkSession, tables: dict[str, DataFrame], epsilon: float, delta: float, seed: int, names: Sequence[str] = tuple(RELEASED)) -> dict[str, np.ndarray]:
+    """The named objects with noise on every cell of their domains; pairs of members have twice the sensitivity."""
+    sensitivity = {n: PAIRS if REGISTRY[n][0] == "ii" else COUNT for n in names}
+    sigma = weighted_sigmas(epsilon, delta, sensitivity, {})
+    sizes = {a: SCHEMA.size(r, a) for a, r in ROLE_OF.items()}
+    wanted = [Marginal(n, tuple(REGISTRY[n][1].split())) for n in names]
+    cells = on_grid(family(tables, names), domain_grid(sizes, wanted, spark))
+    return dense(noised(cells, sigma, seed), names)

@@ -15,17 +15,14 @@ from pyspark.sql.window import Window
 
 from kinweave.functions.encode import passed
 from kinweave.functions.noise import bits
-from kinweave.operators.views import closure, dense_keys
+from kinweave.operators.views import closure, dense_keys, ranked
 from kinweave.schema import Schema
 
 
 def sorted_ranks(df: DataFrame, value: str, code: str) -> DataFrame:
     """value, code: the place of each distinct non-null value in sorted order."""
-    order = Window.partitionBy(F.lit(0)).orderBy(value)
-    return df.select(value).filter(F.col(value).isNotNull()).distinct().withColumn(
-        code,
-        (F.row_number().over(order) - 1).cast("int"),
-    )
+    found = df.select(value).filter(F.col(value).isNotNull()).distinct()
+    return ranked(found, [], [value], code).withColumn(code, F.col(code).cast("int"))
 
 
 def encode_sorted(df: DataFrame, value: str, code: str) -> DataFrame:
@@ -43,12 +40,21 @@ def top_values(df: DataFrame, value: str, k: int, by: str = "count") -> DataFram
     (`by` = count) or of the values (`by` = value). Nulls are no value and belong to the others.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy(F.lit(0))
-    ranked = counts.withColumn("r", F.row_number().over(whole.orderBy(F.desc("n"), value)) - 1)
-    ranked = ranked.withColumn("all", F.count(F.lit(1)).over(whole))
-    few = F.col("r") if by == "count" else F.row_number().over(whole.orderBy(value)) - 1
+    # Only the k most frequent values are put in order, and one more tells whether there are others.
+    head = counts.orderBy(F.desc("n"), value).limit(k + 1)
+    places = Window.partitionBy(F.lit(0))
+    head = head.select(
+        F.col(value).alias("__v"),
+        (F.row_number().over(places.orderBy(F.desc("n"), value)) - 1).alias("r"),
+        (F.row_number().over(places.orderBy(value)) - 1).alias("place"),
+        F.count(F.lit(1)).over(places).alias("all"),
+    )
+    few = F.col("r") if by == "count" else F.col("place")
     code = F.when(F.col("all") <= k, few).otherwise(F.least(F.col("r"), F.lit(k - 1)))
-    return ranked.select(value, code.cast("int").alias("code"), "n")
+    head = head.select("__v", F.coalesce(code, F.lit(k - 1)).cast("int").alias("code"))
+    # At most k + 1 rows go to every task.
+    found = counts.join(F.broadcast(head), counts[value] == head["__v"], "left")
+    return found.select(value, F.coalesce("code", F.lit(k - 1)).alias("code"), "n")
 
 
 def encode_top(df: DataFrame, value: str, code: str, k: int, by: str = "count") -> DataFrame:

@@ -104,6 +104,36 @@ def missing_cells(expected: DataFrame, found: DataFrame, key: Sequence[str]) ->
     return expected.select(*key).join(found, list(key), "left_anti")
 
 
+def usable_records(
+    records: DataFrame, modes: Sequence[str], grid: Sequence[float], mode: str = "mode", value: str = "eps",
+    needed: Sequence[str] = (), may_lack: str | None = None, out: str = "key_eps", tolerance: float = 1e-9,
+) -> DataFrame:
+    """Records of the modes whose value lies within the tolerance of a point of the grid, with that point as `out`.
+
+    Records that lack a needed field go; those that lack `may_lack` stay and are marked in `degraded`.
+    """
+    point = F.coalesce(*(F.when(F.abs(F.col(value) - F.lit(float(g))) < tolerance, F.lit(float(g))) for g in reversed(list(grid))))
+    kept = records.filter(F.col(mode).isin(*modes)).withColumn(out, point).filter(F.col(out).isNotNull())
+    for c in needed:
+        kept = kept.filter(F.col(c).isNotNull())
+    return kept.withColumn("degraded", F.col(may_lack).isNull() if may_lack else F.lit(False))
+
+
+def planted_stats(wide: DataFrame, pairs: Sequence[tuple[str, str]], sizes: DataFrame, by: str, big: int, measure: str) -> DataFrame:
+    """stat, value: association distance of each pair, the range over `by` of the share of big groups, a mean."""
+    out = sizes.sparkSession.createDataFrame([], "stat string, value double")
+    for x, y in pairs:
+        out = out.unionByName(association_tv(wide, x, y).select(F.lit(f"tv {x} {y}").alias("stat"), F.col("tv").alias("value")))
+    out = out.unionByName(big_group_share_gap(sizes, by, big).select(F.lit("big groups").alias("stat"), F.col("gap").alias("value")))
+    return out.unionByName(wide.agg(F.avg(measure).alias("value")).select(F.lit(f"mean {measure}").alias("stat"), "value"))
+
+
+def ratios(real: DataFrame, synthetic: DataFrame) -> DataFrame:
+    """stat, real, synthetic, ratio; null where the real value is 0."""
+    both = real.withColumnRenamed("value", "real").join(synthetic.withColumnRenamed("value", "synthetic"), "stat")
+    return both.withColumn("ratio", F.try_divide("synthetic", "real"))
+
+
 def first_runtime(records: DataFrame, fields: Sequence[str], out: str = "runtime") -> DataFrame:
     """The first of the fields that is there and not null."""
     there = [c for c in fields if c in records.columns]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.encode import rule
 from kinweave.functions.noise import bits, uniform
-from kinweave.operators.calibrate import largest_remainder, shuffled_rank
+from kinweave.operators.calibrate import shuffled_rank
 
 
 def planted_bit(key: str, rule_name: str, strength: float, u: Column, x1: Column, x2: Column, old: Column, seed: int) -> Column:
@@ -76,7 +76,7 @@ def plant_star(
     moves = F.create_map(*(F.lit(x) for k, v in cells.items() for x in (k[0] * 2 + k[1], v[1] - goal[k])))
     off = df.withColumn("__d", moves[F.col(x1) * 2 + F.col(x2)])
     surplus = (F.col(out) == (F.col("__d") > 0).cast("int")) & (F.col("__d") != 0)
-    ranked = shuffled_rank(off.withColumn("__c", surplus.cast("int")), key, seed, f"cells {out}", [x1, x2, "__c"])
+    ranked = shuffled_rank(off.withColumn("__c", surplus.cast("int")), key, seed, f"cells {out}", [x1, x2, "__c"], sum(v[0] for v in cells.values()))
     flip = (F.col("__c") == 1) & (F.col("__rank") < F.abs("__d"))
     return ranked.withColumn(
         out,
@@ -128,7 +128,3 @@ def segment_plant(customers: DataFrame, key: str, nation: str, segments: int, sh
         out,
         F.when(follows, F.pmod(F.col(nation), F.lit(segments))).otherwise(free).cast("int"),
     )
-
-
-def even_quota(total: int, parts: int) -> list[int]:
-    return largest_remainder([1.0] * parts, total)

@@ -5,132 +5,126 @@ Draws depend on a row's key and a purpose alone (see functions.noise), so retrie
 
 from __future__ import annotations
 
-import itertools
-import math
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from kinweave.functions.noise import bits, uniform
 from kinweave.operators.calibrate import normalised
+from kinweave.operators.views import ranked, running
 
-#: Tuples of conditions whose distributions are tabled and joined.
-TUPLES = 5000
-#: Children of one parent that a child key has room for.
-MOST_CHILDREN = 1 << 20
+#: Rows whose attributes are drawn at once.
+ROWS_AT_ONCE = 4096
 
 
-def numbers(x: np.ndarray) -> Column:
-    """A vector, or a matrix by rows, as a literal."""
-    x = np.asarray(x, float)
-    return F.array(*(F.lit(float(v)) for v in x)) if x.ndim == 1 else F.array(*(numbers(r) for r in x))
+@dataclass(frozen=True)
+class Drawn:
+    """An attribute to draw: its column, its weights, and lifts by condition column (rows by the condition's codes)."""
 
+    out: str
+    base: np.ndarray
+    lifts: Mapping[str, np.ndarray] = field(default_factory=dict)
 
-def inverse(cdf: Column, u: Column) -> Column:
-    """The number of entries, the last one apart, that u has reached."""
-    return F.size(F.filter(F.slice(cdf, 1, F.size(cdf) - 1), lambda c: c <= u)).cast("int")
+    def codes(self, u: np.ndarray, conditions: Mapping[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(code, its probability) for every row."""
+        p = np.tile(normalised(self.base), (len(u), 1))
+        for c, x in self.lifts.items():
+            p *= np.asarray(x, float)[conditions[c]]
+        total = p.sum(axis=1, keepdims=True)
+        p = np.where(total > 0, p / np.where(total > 0, total, 1), 1 / p.shape[1])
+        code = (np.cumsum(p, axis=1)[:, :-1] <= u[:, None]).sum(axis=1)
+        return code, p[np.arange(len(u)), code]
 
 
-def drawn_code(weights: Column, u: Column) -> Column:
-    """The code that u falls on among the running sums of weights; alike for all codes if they add up to 0."""
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    # A fold keeps the running sum and how many of the sums, the last one apart, u has reached.
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k"))
-    reached = F.aggregate(
-        F.slice(weights, 1, F.size(weights) - 1),
-        start,
-        lambda a, x: F.struct((a["s"] + x).alias("s"), (a["k"] + (a["s"] + x <= u * total).cast("int")).alias("k")),
-        lambda a: a["k"],
-    )
-    return F.when(total > 0, reached).otherwise(F.floor(u * F.size(weights)).cast("int"))
+def draw_all(df: DataFrame, key: str, drawn: Sequence[Drawn], seed: int | str, support: str | None = None) -> DataFrame:
+    """df with all the attributes, each drawn given its conditions, which may be attributes drawn before it.
 
+    One pass over df in Arrow batches, whatever the number of attributes and conditions. With `support`, column
+    support + name has the probability that the drawn code had.
+    """
+    if not drawn:
+        return df
+    us = {d.out: f"__u{i}" for i, d in enumerate(drawn)}
+    kept = list(df.columns)
+    made = [StructField(d.out, IntegerType()) for d in drawn]
+    made += [StructField(support + d.out, DoubleType()) for d in drawn] if support else []
+    schema = StructType([*df.schema.fields, *made])
+    reads = [c for c in dict.fromkeys(c for d in drawn for c in d.lifts) if c in kept]
 
-def conditional_rows(base: np.ndarray, lifts: Sequence[np.ndarray]) -> list[tuple]:
-    """(codes of the conditions..., distribution function) for every tuple of the conditions' domains."""
-    out = []
-    for codes in itertools.product(*(range(len(x)) for x in lifts)):
-        w = np.asarray(base, float)
-        for x, c in zip(lifts, codes, strict=True):
-            w = w * x[c]
-        out.append((*codes, np.cumsum(normalised(w)).tolist()))
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                known = {c: batch.column(kept.index(c)).to_numpy(zero_copy_only=False) for c in reads}
+                likely = {}
+                for i, d in enumerate(drawn):
+                    known[d.out], likely[d.out] = d.codes(batch.column(len(kept) + i).to_numpy(), known)
+                arrays = [*(batch.column(i) for i in range(len(kept))), *(pa.array(known[d.out], pa.int32()) for d in drawn)]
+                arrays += [pa.array(likely[d.out]) for d in drawn] if support else []
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
+    return df.select("*", *(uniform(seed, d.out, F.col(key)).alias(us[d.out]) for d in drawn)).mapInArrow(run, schema)
 
-def draw(df: DataFrame, key: str, out: str, base: np.ndarray, lifts: Mapping[str, np.ndarray], seed: int) -> DataFrame:
-    """df with a code drawn from base, or from base times the lifts of its condition columns.
 
-    Where the conditions' domains have few tuples, each tuple's distribution is computed once and joined; the
-    table's size is bounded by TUPLES. Beyond, every row folds its own weights. Neither way reads df twice.
-    """
-    u = uniform(seed, out, F.col(key))
-    base = normalised(base)
-    if not lifts:
-        return df.withColumn(out, inverse(numbers(np.cumsum(base)), u))
-    if math.prod(len(x) for x in lifts.values()) <= TUPLES:
-        names = [f"__c{i}" for i in range(len(lifts))]
-        rows = conditional_rows(base, list(lifts.values()))
-        table = df.sparkSession.createDataFrame(rows, ", ".join([*(f"{n} int" for n in names), "__cdf array<double>"]))
-        same = [F.col(c) == F.col(n) for c, n in zip(lifts, names, strict=True)]
-        # A table made here has no statistics; at most TUPLES rows go to every task.
-        return df.join(
-            F.broadcast(table),
-            reduce(Column.__and__, same),
-        ).withColumn(out, inverse(F.col("__cdf"), u)).drop("__cdf", *names)
-    weights = numbers(base)
-    for c, x in lifts.items():
-        row = F.element_at(numbers(x), F.col(c).cast("int") + 1)
-        weights = F.zip_with(weights, row, lambda a, b: a * b)
-    return df.withColumn(out, drawn_code(weights, u))
+def draw(df: DataFrame, key: str, out: str, base: np.ndarray, lifts: Mapping[str, np.ndarray], seed: int | str) -> DataFrame:
+    """df with a code drawn from base, or from base times the lifts of its condition columns."""
+    return draw_all(df, key, [Drawn(out, base, lifts)], seed)
+
+
+#: Children that one step of `children` makes of a parent.
+CHUNK = 1 << 16
 
 
 def children(parents: DataFrame, key: str, size: str, fk: str, pk: str, keep: Sequence[str] = ()) -> DataFrame:
-    """`size` rows for each parent: pk (parent's key and the child's number in one), fk and the kept columns."""
+    """`size` rows for each parent: pk, numbered from 0 without gaps in the order of the parents' keys, fk, keep.
+
+    A parent of many children is dealt in lots over the tasks.
+    """
     rows = parents.filter(F.col(size) > 0).select(
-        F.col(key).alias(fk), *keep, F.explode(F.sequence(F.lit(1), F.col(size).cast("int"))).alias("__i")
+        F.col(key).alias(fk), *(c for c in keep if c != fk), F.col(size).cast("long").alias("__n")
+    )
+    placed = running(rows, [fk], "__n", "__base")
+    lots = placed.withColumn("__lot", F.explode(F.sequence(F.lit(0), F.expr(f"(__n - 1) div {CHUNK}"))))
+    lots = lots.repartition(F.col(fk), F.col("__lot"))
+    first = F.col("__lot") * CHUNK
+    last = F.least(first + CHUNK, F.col("__n")) - 1
+    return lots.withColumn("__i", F.explode(F.sequence(first, last))).select(
+        (F.col("__base") + F.col("__i")).alias(pk), fk, *keep
     )
-    return rows.select((F.col(fk) * MOST_CHILDREN + F.col("__i")).alias(pk), fk, *keep)
 
 
-def linked(children_: DataFrame, key: str, weighted: DataFrame, parent: str, weight: str, fk: str, seed: int, ranges: int = 4096) -> DataFrame:
+def linked(children_: DataFrame, key: str, weighted: DataFrame, parent: str, weight: str, fk: str, seed: int) -> DataFrame:
     """children with a parent drawn in proportion to weight.
 
-    The parents' running weights cut [0, 1) into intervals, and a child takes the one its uniform falls into.
-    Both sides are cut at the bounds of equal ranges of [0, 1), so the match is an equality of range numbers with
-    a comparison, and no task holds all parents.
+    The parents' running weights, in the order of their keys, cut [0, 1) into intervals, and a child takes the one
+    its uniform falls into. Both sides are cut at the bounds of equal ranges of [0, 1), of which there is one for
+    every 16 parents, so the match is an equality of range numbers with a comparison among few, and no task holds
+    all parents.
     """
-    dealt = weighted.filter(F.col(weight) > 0).withColumn("__cell", F.pmod(F.xxhash64(parent), F.lit(64)))
-    sums = dealt.groupBy("__cell").agg(F.sum(weight).alias("__m"))
-    before = Window.partitionBy(F.lit(0)).orderBy("__cell")
-    sums = sums.select(
-        "__cell",
-        F.sum("__m").over(before).alias("__top"),
-        "__m",
-        F.sum("__m").over(Window.partitionBy(F.lit(0))).alias("__all"),
-    )
-    own = Window.partitionBy("__cell").orderBy(parent)
-    placed = dealt.withColumn("__run", F.sum(weight).over(own)).join(sums, "__cell")
-    hi = (F.col("__top") - F.col("__m") + F.col("__run")) / F.col("__all")
-    lo = hi - F.col(weight) / F.col("__all")
+    placed = running(weighted.filter(F.col(weight) > 0).select(parent, weight), [parent], weight, "__before", "__all")
+    ranges = max(64, placed.count() // 16)
+    lo = F.col("__before") / F.col("__all")
+    hi = (F.col("__before") + F.col(weight)) / F.col("__all")
     placed = placed.select(
         F.col(parent).alias(fk), lo.alias("__lo"), hi.alias("__hi"),
         F.explode(
-            F.sequence(F.floor(lo * ranges).cast("int"), F.least(F.floor(hi * ranges), F.lit(ranges - 1)).cast("int")),
+            F.sequence(F.floor(lo * ranges), F.least(F.floor(hi * ranges), F.lit(ranges - 1))),
         ).alias("__b"),
     )
     u = uniform(seed, "link", F.col(key))
-    drawn = children_.withColumn("__u", u).withColumn("__b", F.floor(u * ranges).cast("int"))
+    drawn = children_.withColumn("__u", u).withColumn("__b", F.floor(u * ranges))
     hit = drawn.join(placed, "__b").filter((F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi")))
     return hit.drop("__u", "__b", "__lo", "__hi")
 
 
 def random_member(df: DataFrame, key: str, group: str, members: DataFrame, member: str, out: str, seed: int) -> DataFrame:
     """df with a member of its group, each as likely as the others; groups without members give null."""
-    own = Window.partitionBy(group).orderBy(member)
-    numbered = members.select(group, member).withColumn("__r", F.row_number().over(own) - 1)
+    numbered = ranked(members.select(group, member), [group], [member], "__r")
     sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     drawn = df.join(sizes, group, "left").withColumn("__r", F.pmod(bits(seed, out, F.col(key)), F.col("__n")))
     numbered = numbered.withColumnsRenamed({group: "__g", member: out, "__r": "__q"})
@@ -140,12 +134,10 @@ def random_member(df: DataFrame, key: str, group: str, members: DataFrame, membe
 
 def bootstrap(df: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
     """replicate and the columns of df: every replicate draws as many rows as df has, with replacement."""
-    own = Window.partitionBy(F.lit(0)).orderBy(key)
-    numbered = df.withColumn("__r", F.row_number().over(own) - 1)
-    n = df.count()
-    slots = df.sparkSession.range(replicates).select(
-        F.col("id").alias("replicate"),
-        F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("__s"),
+    numbered = ranked(df, [], [key], "__r")
+    n = numbered.count()
+    slots = df.sparkSession.range(replicates * n).select(
+        F.expr(f"id div {max(n, 1)}").alias("replicate"), (F.col("id") % max(n, 1)).alias("__s")
     )
     drawn = slots.withColumn("__r", F.pmod(bits(seed, "boot", F.col("replicate"), F.col("__s")), F.lit(max(n, 1))))
     return drawn.join(numbered, "__r").drop("__r", "__s")

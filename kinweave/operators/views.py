@@ -117,29 +117,53 @@ def closure(schema: Schema, tables: Mapping[str, DataFrame], kept: Mapping[str,
     return out
 
 
-def dense_keys(df: DataFrame, order: Sequence[str], key: str = "key", cells: int = 64) -> DataFrame:
-    """df with `key` numbered from 0 in the given order.
+def dense_keys(df: DataFrame, order: Sequence[str], key: str = "key") -> DataFrame:
+    """df with `key` numbered from 0 in the given order."""
+    return ranked(df, [], order, key)
 
-    Rows are dealt by ranges of the order, each range is counted and numbered apart, and the counts before it are
-    added; so there is no window over all rows in one task.
+
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], out: str) -> DataFrame:
+    """df with `out`, the row's number from 0 within its group in the given order.
+
+    Rows are dealt by ranges of group and order, as many as the session has shuffle partitions; each range is counted
+    and numbered apart, and the counts before it are added. So no task holds a group, however large, if the order
+    tells its rows apart.
     """
-    dealt = cut(df.repartitionByRange(cells, *order).withColumn("__part", F.spark_partition_id()))
-    return number_within(dealt, [], order, key, "__part")
+    dealt = cut(df.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()))
+    return number_within(dealt, group, order, out, "__part")
+
 
+def running(df: DataFrame, order: Sequence[str | Column], value: str, out: str, total: str | None = None) -> DataFrame:
+    """df with `out`, the sum of `value` over the rows before it in the given order, dealt like `ranked`.
 
-def number_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str, cell: str) -> DataFrame:
+    `total` names a further column with the sum over all rows.
+    """
+    dealt = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sums = dealt.groupBy("__part").agg(F.sum(value).alias("__m"))
+    whole = Window.partitionBy(F.lit(0))
+    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    more = [F.sum("__m").over(whole).alias(total)] if total else []
+    sums = sums.select("__part", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__sum"), *more)
+    own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("__within", F.coalesce(F.sum(value).over(own), F.lit(0))).join(sums, "__part")
+    return placed.withColumn(out, F.col("__sum") + F.col("__within")).drop("__sum", "__within", "__part")
+
+
+def number_within(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], out: str, cell: str) -> DataFrame:
     """Numbers from 0 in the order within each group, for rows whose column `cell` rises with the order."""
     sums = df.groupBy(*group, cell).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = before.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*group, cell, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     own = Window.partitionBy(*group, cell).orderBy(*order)
-    ranked = df.withColumn("__row", F.row_number().over(own) - 1)
-    return (
-        ranked.join(sums, [*group, cell])
-        .withColumn(out, (F.col("__base") + F.col("__row")).cast("long"))
-        .drop("__base", "__row", cell)
-    )
+    numbered = df.withColumn("__row", F.row_number().over(own) - 1).alias("l")
+    right = sums.alias("r")
+    same = F.lit(True)
+    for c in [*group, cell]:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    number = (F.col("r.__base") + F.col("l.__row")).cast("long").alias(out)
+    kept = [F.col(f"l.{c}") for c in df.columns if c not in (cell, out)]
+    return numbered.join(right, same).select(*kept, number)
 
 
 def denormalise_signature(wide: DataFrame, columns: Sequence[str], key: str = "signature") -> DataFrame:
@@ -175,8 +199,7 @@ def slots(parents: DataFrame, key: str, children: DataFrame, fk: str, order: Seq
 
     Children take slots in the given order; those beyond n have none.
     """
-    own = Window.partitionBy(fk).orderBy(*order)
-    placed = children.withColumn("slot", F.row_number().over(own) - 1).filter(F.col("slot") < n)
+    placed = ranked(children, [fk], order, "slot").withColumn("slot", F.col("slot").cast("int")).filter(F.col("slot") < n)
     grid = parents.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     placed = placed.withColumnsRenamed({fk: "__fk", "slot": "__slot"})
     return (
@@ -188,5 +211,6 @@ def slots(parents: DataFrame, key: str, children: DataFrame, fk: str, order: Seq
 
 def bucketed(df: DataFrame, group: Sequence[str], order: Sequence[str], capacity: int, out: str = "bucket") -> DataFrame:
     """df with the number of its bucket, each bucket of a group holding at most `capacity` rows in order."""
-    own = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(out, F.floor((F.row_number().over(own) - 1) / capacity).cast("long"))
+    return ranked(df, group, order, "__at").withColumn(
+        out, F.floor(F.col("__at") / capacity).cast("long")
+    ).drop("__at")

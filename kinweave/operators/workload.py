@@ -1,25 +1,25 @@
 """Count queries over foreign-key joins: generation, batch answering, relative errors.
 
 A query counts rows of one role under a conjunction of attribute-in-set conditions on roles above it. A batch is
-answered from the tuples of codes that occur: each counted role is joined once, summed to distinct tuples of the
-attributes that its queries use, and all its queries are sums over those.
+answered from the tuples of codes that occur: queries over the same roles share one join, its rows are summed to the
+distinct tuples of the attributes that these queries use, and one pass over the tuples sums for all of them at once.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.views import column, view
 from kinweave.schema import Schema
 
-#: Queries whose sums share one aggregate; more make generated code too large to compile well.
-CHUNK = 100
 #: Queries of each class, seed, and the count from which an answer is large.
 PER_CLASS, SEED, LARGE = 150, 123, 50
 
@@ -111,29 +111,78 @@ def answer(schema: Schema, tables: Mapping[str, DataFrame], queries: Iterable[Co
     for q in queries:
         # Queries over the same roles share a view; one more role would cost the others a join.
         by_view.setdefault((q.role, tuple(sorted({r for r, _, _ in q.conditions}))), []).append(q)
-    parts = []
+    spark = next(iter(tables.values())).sparkSession
+    # Every query is there with 0, whatever rows its view has.
+    parts = [spark.createDataFrame([(q.cls, q.qid, 0) for mine in by_view.values() for q in mine], ANSWER)]
     for (role, _), mine in by_view.items():
         wanted = sorted({(r, a) for q in mine for r, a, _ in q.conditions})
         names = [column(r, a) for r, a in wanted]
         cube = view(schema, tables, role, wanted, policy).groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
-        for at in range(0, len(mine), CHUNK):
-            lot = mine[at : at + CHUNK]
-            sums = [
-                F.coalesce(F.sum(F.when(condition(q), F.col("__n"))), F.lit(0)).alias(f"q{i}") for i,
-                q in enumerate(lot)
-            ]
-            rows = F.array(
-                *(
-                    F.struct(
-                        F.lit(q.cls).alias("cls"),
-                        F.lit(q.qid).alias("qid"),
-                        F.col(f"q{i}").alias("answer"),
-                    ) for i,
-                    q in enumerate(lot)
-                )
-            )
-            parts.append(cube.agg(*sums).select(F.explode(rows).alias("r")).select("r.*"))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(cube.select(*names, "__n").mapInArrow(_summed(mine, names), ANSWER))
+    found = reduce(DataFrame.unionByName, parts)
+    return found.groupBy("cls", "qid").agg(F.sum("answer").alias("answer"))
+
+
+#: What one task found of every query.
+ANSWER = "cls string, qid int, answer long"
+
+
+def _summed(queries: Sequence[CountQuery], names: Sequence[str]):
+    """A function over batches of tuples and their counts that sums the counts for every query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(queries), np.int64)
+        for batch in batches:
+            # A null code satisfies no condition, as codes are never negative.
+            codes = {c: batch.column(i).cast(pa.int64()).fill_null(-1).to_numpy() for i, c in enumerate(names)}
+            n = batch.column(len(names)).to_numpy(zero_copy_only=False)
+            masks: dict[tuple, np.ndarray] = {}
+            for k, q in enumerate(queries):
+                hit = n
+                for r, a, some in q.conditions:
+                    key = (column(r, a), some)
+                    if key not in masks:
+                        masks[key] = np.isin(codes[key[0]], some)
+                    hit = hit * masks[key]
+                sums[k] += hit.sum()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([q.cls for q in queries], pa.string()),
+                pa.array([q.qid for q in queries], pa.int32()),
+                pa.array(sums),
+            ],
+            names=["cls", "qid", "answer"],
+        )
+
+    return run
+
+
+def fixed_values(
+    schema: Schema, upper: str, lower: str, per_class: int = PER_CLASS, seed: int = SEED, above: int = 12, below: int = 10, most: int = 3
+) -> list[CountQuery]:
+    """Queries of the classes 2hop, 1hop (the lower role alone) and 0hop (the upper role alone).
+
+    Each side has one or two attributes and for each 1 to `most` values out of the first `above` or `below` ones,
+    whatever the domain is.
+    """
+    r, out = random.Random(seed), []
+
+    def side(role: str, values: int) -> list[tuple]:
+        attrs = list(schema.roles[role].attrs)
+        chosen = sorted(r.sample(attrs, r.randint(1, min(2, len(attrs)))))
+        return [(role, a, tuple(sorted(r.sample(range(values), r.randint(1, most))))) for a in chosen]
+
+    for qid in range(per_class):
+        high, low = side(upper, above), side(lower, below)
+        out.append(CountQuery("2hop", qid, lower, (*high, *low)))
+        out.append(CountQuery("1hop", qid, lower, tuple(low)))
+        out.append(CountQuery("0hop", qid, upper, tuple(high)))
+    return out
+
+
+def qualifying(children: DataFrame, fk: str, parents: DataFrame, pk: str, keep: Column) -> DataFrame:
+    """The children of the parents that qualify; parents are only a filter, so no column of theirs is carried."""
+    return children.join(parents.filter(keep).select(F.col(pk).alias("__pk")), F.col(fk) == F.col("__pk"), "left_semi")
 
 
 def relative_errors(real: DataFrame, synthetic: DataFrame) -> DataFrame:

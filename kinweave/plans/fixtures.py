@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.encode import divided, passed, value_list
 from kinweave.operators.encode import encode_sorted
+from kinweave.operators.views import ranked
 from kinweave.schema import Role, Schema
 
 #: Fixed value lists of the coded attributes.
@@ -14,6 +15,11 @@ STATUSES = ("O", "F", "P")
 FLAGS = ("A", "N", "R")
 LINE_STATUSES = ("F", "O")
 DISCOUNT_EDGES = (0.02, 0.05, 0.08)
+#: The columns of a lineitem, in the order that keys follow.
+LINE_ORDER = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+)
 
 REGION = Role("region", "rkey", {"RNAME": 5})
 NATION = Role("nation", "nkey", {"NCODE": 25}, {"region": "rkey"})
@@ -71,11 +77,14 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
-    """Coded lineitems; lkey, a hash of all columns, only where asked for."""
+    """Coded lineitems; lkey, the row's place in the order of all columns, only where asked for, and else 0.
+
+    Equal rows take neighbouring places, which of them which makes no difference.
+    """
     raw = _read(spark, sf_dir, "lineitem")
-    key = [F.xxhash64(*raw.columns).alias("lkey")] if keyed else [F.lit(0).cast("long").alias("lkey")]
+    raw = ranked(raw, [], LINE_ORDER, "lkey") if keyed else raw.withColumn("lkey", F.lit(0).cast("long"))
     return raw.select(
-        *key,
+        "lkey",
         F.col("l_orderkey").alias("okey"),
         F.col("l_partkey").alias("pkey"),
         F.col("l_suppkey").alias("skey"),
@@ -109,7 +118,7 @@ def tables(spark: SparkSession, sf_dir: str, schema: Schema, keyed: bool = False
 
 
 #: The coded roles as DuckDB views for the oracle queries, in the same names and codes.
-SQL = """
+SQL = f"""
  region_ AS (SELECT CAST(r_regionkey AS BIGINT) AS rkey, CAST(dense_rank() OVER (ORDER BY r_name) - 1 AS INTEGER) AS RNAME FROM region),
  nation_ AS (SELECT CAST(n_nationkey AS BIGINT) AS nkey, CAST(n_regionkey AS BIGINT) AS rkey, n_nationkey AS NCODE FROM nation),
  customer_ AS (
@@ -124,7 +133,7 @@ SQL = """
    CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1 AS PRIORITY
   FROM orders),
  lineitem_ AS (
-  SELECT l_orderkey AS okey, l_partkey AS pkey, l_suppkey AS skey,
+  SELECT row_number() OVER (ORDER BY {", ".join(LINE_ORDER)}) - 1 AS lkey, l_orderkey AS okey, l_partkey AS pkey, l_suppkey AS skey,
    CAST(least(greatest(floor(l_quantity / 10.0::DOUBLE), 0), 5) AS INTEGER) AS QBIN,
    CAST(l_discount >= 0.02::DOUBLE AS INTEGER) + CAST(l_discount >= 0.05::DOUBLE AS INTEGER) + CAST(l_discount >= 0.08::DOUBLE AS INTEGER) AS DBIN,
    CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS RFLAG,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,48 +10,25 @@ from pyspark.sql.window import Window
 
 from kinweave.functions import encode as E
 from kinweave.functions.accountant import geometric_bins, hybrid_bins
-from kinweave.functions.noise import bits, gaussian_sql
-from kinweave.functions.options import parse
-from kinweave.operators import baselines as BL
+from kinweave.functions.noise import bits, bits_sql, gaussian_sql
 from kinweave.operators import calibrate as C
-from kinweave.operators import census as CE
 from kinweave.operators import encode as fit
 from kinweave.operators import marginals as M
 from kinweave.operators import metrics as MX
 from kinweave.operators import plant as PL
 from kinweave.operators import sampling as SA
 from kinweave.operators import sizes as S
-from kinweave.operators import synth as SY
 from kinweave.operators import views as V
 from kinweave.operators import workload as W
 from kinweave.plans import fixtures as X
-from kinweave.plans.release import release
-from kinweave.schema import Role, Schema
+from kinweave.plans.registry import ORACLES, QUERIES, register
+from kinweave.plans.registry import raw as _raw
 from kinweave.streaming.incremental import windowed_marginal as windowed
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 #: Caps of group sizes in the registered queries.
 TAU_ORDERS, TAU_LINES = 15, 8
 
 
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        if name in QUERIES:
-            raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
-def _raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def rounded(column: str, digits: int = M.DECIMALS):
     return F.round(column, digits).alias(column)
 
@@ -63,7 +39,7 @@ register("enc_top", X.with_sql("SELECT ckey, NATION, SEGMENT, ACCTBIN FROM custo
     lambda s, d: X.customer(s, d).drop("nkey")
 )
 register("enc_mid", X.with_sql("SELECT * FROM orders_"))(X.orders)
-register("enc_bot", X.with_sql("SELECT * FROM lineitem_"))(lambda s, d: X.lineitem(s, d).drop("lkey"))
+register("enc_bot", X.with_sql("SELECT * EXCLUDE (lkey) FROM lineitem_"))(lambda s, d: X.lineitem(s, d).drop("lkey"))
 register("enc_star_r1", X.with_sql("SELECT * FROM part_"))(X.part)
 register("enc_star_r2", X.with_sql("SELECT okey, YEAR, PRIORITY, STATUS FROM orders_"))(
     lambda s, d: X.orders(s, d).select("okey", "YEAR", "PRIORITY", "STATUS")
@@ -425,9 +401,9 @@ def _batch_sql(schema, queries: list[W.CountQuery]) -> str:
     return X.with_sql(" UNION ALL ".join(W.sql_of(q, f"w_{q.role}") for q in queries), views)
 
 
-_CHAIN_BATCH = batch(X.CHAIN, W.chain_classes("customer", "orders", "lineitem"), 30)
-_STAR_BATCH = batch(X.STAR, W.star_classes("part", "lineitem", "orders"), 30)
-_DEEP_BATCH = batch(X.DEEP, W.deep_classes("nation", "customer", "orders", "lineitem"), 15)
+_CHAIN_BATCH = batch(X.CHAIN, W.chain_classes("customer", "orders", "lineitem"), W.PER_CLASS)
+_STAR_BATCH = batch(X.STAR, W.star_classes("part", "lineitem", "orders"), W.PER_CLASS)
+_DEEP_BATCH = batch(X.DEEP, W.deep_classes("nation", "customer", "orders", "lineitem"), W.PER_CLASS)
 register("q_batch_chain", _batch_sql(X.CHAIN, _CHAIN_BATCH))(
     lambda s,
     d: W.answer(X.CHAIN, X.tables(s, d, X.CHAIN), _CHAIN_BATCH),
@@ -1140,12 +1116,12 @@ _BOOT = "cast('0x' || substr(md5('3|boot|' || i || '|' || j), 1, 13) as bigint)"
 @register(
     "bootstrap_ci",
     f"""WITH v AS (SELECT c_nationkey AS k, avg(c_acctbal) AS v FROM customer GROUP BY 1), n AS (SELECT k, v, row_number() OVER (ORDER BY k) - 1 AS r, count(*) OVER () AS m FROM v),
-     s AS (SELECT i.range AS i, j.range AS j, {_BOOT.replace("i ||", "i.range ||").replace("|| j)", "|| j.range)")} AS h FROM range(200) i CROSS JOIN range((SELECT count(*) FROM v)) j),
+     s AS (SELECT i.range AS i, j.range AS j, {_BOOT.replace("i ||", "i.range ||").replace("|| j)", "|| j.range)")} AS h FROM range(2000) i CROSS JOIN range((SELECT count(*) FROM v)) j),
      d AS (SELECT i, median(v) AS x FROM s JOIN n ON s.h % n.m = n.r GROUP BY i) SELECT round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM d""",
 )
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _raw(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("c_acctbal").alias("v"))
-    x = SA.bootstrap(v, "k", 200, 3).groupBy("replicate").agg(F.median("v").alias("x"))
+    x = SA.bootstrap(v, "k", 2000, 3).groupBy("replicate").agg(F.median("v").alias("x"))
     return x.agg(
         F.round(F.percentile("x", F.lit(0.025)), 6).alias("low"),
         F.round(F.percentile("x", F.lit(0.975)), 6).alias("high"),
@@ -1160,6 +1136,16 @@ def sample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.sample_exact(_raw(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 100, 5)
 
 
+def planted_sql(rows: str, strength: float = 0.8, seed: int = 1) -> str:
+    """WITH entries up to `done`, the rows with `planted`, for rows of lkey, m, old, u, x1 and x2 under the rule xor."""
+    return f"""w AS ({rows}),
+     b AS (SELECT *, CASE WHEN {bits_sql(f"'{seed}|plant|' || lkey")} < {int(strength * (1 << 52))} THEN (u + x1 + x2) % 2 ELSE old END AS p FROM w),
+     k AS (SELECT m, u, sum(p) - sum(old) AS d FROM b GROUP BY ALL),
+     off AS (SELECT b.*, d, CAST(d <> 0 AND p = CAST(d > 0 AS INTEGER) AS INTEGER) AS c FROM b JOIN k USING (m, u)),
+     ranks AS (SELECT *, row_number() OVER (PARTITION BY m, u, c ORDER BY {bits_sql(f"'{seed}|swap planted|' || lkey")}, lkey) - 1 AS r FROM off),
+     done AS (SELECT *, CASE WHEN c = 1 AND r < abs(d) THEN 1 - p ELSE p END AS planted FROM ranks)"""
+
+
 @register(
     "plant_chain_audit",
     X.with_sql(
@@ -1190,7 +1176,16 @@ def planted(spark: SparkSession, sf_dir: str, strength: float = 0.8, seed: int =
     return PL.plant_chain(wide, "lkey", "old", "u", "x1", "x2", ["orders__STATUS"], "xor", strength, seed)
 
 
-@register("plant_chain")
+@register(
+    "plant_chain",
+    X.with_sql(
+        f"""SELECT avg(CAST(old = (u + x1 + x2) % 2 AS INTEGER)) AS before, avg(CAST(planted = (u + x1 + x2) % 2 AS INTEGER)) AS after FROM done""",
+        planted_sql(
+            """SELECT lkey, STATUS AS m, LSTATUS AS old, CAST(RFLAG >= 1 AS INTEGER) AS u, CAST(SEGMENT >= 2 AS INTEGER) AS x1,
+             CAST(ACCTBIN >= 11 AS INTEGER) AS x2 FROM lineitem_ JOIN orders_ USING (okey) JOIN customer_ USING (ckey)"""
+        ),
+    ),
+)
 def plant_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule fidelity before and after planting."""
     df = planted(spark, sf_dir)
@@ -1201,7 +1196,21 @@ def plant_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("plant_star")
+@register(
+    "plant_star",
+    X.with_sql(
+        """SELECT x1, x2, count(*) AS n, CAST(sum(old) AS BIGINT) AS ones_old, CAST(sum(CASE WHEN c = 1 AND r < abs(d) THEN 1 - p ELSE p END) AS BIGINT) AS ones_new,
+         CAST(sum(CAST(old <> CASE WHEN c = 1 AND r < abs(d) THEN 1 - p ELSE p END AS INTEGER)) AS BIGINT) AS changed FROM ranks GROUP BY ALL""",
+        f"""w AS (SELECT lkey, CAST(QBIN >= 3 AS INTEGER) AS old, CAST(RFLAG >= 1 AS INTEGER) AS u, CAST(PSIZEBIN >= 2 AS INTEGER) AS x1,
+          CAST(orders_.PRIORITY >= 2 AS INTEGER) AS x2 FROM lineitem_ JOIN orders_ USING (okey) JOIN part_ USING (pkey)),
+         b AS (SELECT *, CASE WHEN {bits_sql("'1|plant|' || lkey")} < {int(0.8 * (1 << 52))} THEN (u + x1 + x2) % 2 ELSE old END AS p FROM w),
+         cells AS (SELECT x1, x2, CASE WHEN x1 = x2 THEN 1 ELSE -1 END AS s, count(*) AS n, sum(p) AS ones, sum(old) AS old FROM b GROUP BY ALL),
+         t AS (SELECT least(greatest(round_even(sum(s * (ones - old)) / 4.0, 0), max(CASE WHEN s > 0 THEN -old ELSE old - n END)), min(CASE WHEN s > 0 THEN n - old ELSE old END)) AS t FROM cells),
+         moves AS (SELECT x1, x2, CAST(ones - (old + s * t) AS BIGINT) AS d FROM cells, t),
+         off AS (SELECT b.*, d, CAST(d <> 0 AND p = CAST(d > 0 AS INTEGER) AS INTEGER) AS c FROM b JOIN moves USING (x1, x2)),
+         ranks AS (SELECT *, row_number() OVER (PARTITION BY x1, x2, c ORDER BY {bits_sql("'1|cells planted|' || lkey")}, lkey) - 1 AS r FROM off)""",
+    ),
+)
 def plant_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of ones by the two roots' bits, before and after planting in a star."""
     cols = [("part", "PSIZEBIN"), ("orders", "PRIORITY"), ("lineitem", "RFLAG"), ("lineitem", "QBIN")]
@@ -1223,132 +1232,5 @@ def windowed_marginal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed(_raw(spark, sf_dir, "events"), "ts", ["event_type"])
 
 
-# Synthesis ----------------------------------------------------------------------------------------------------
-
-
-def chain_pairs(schema) -> list[tuple[tuple[str, str], tuple[str, str]]]:
-    """Pairs within the top, of adjacent levels, and of the top with every lower level."""
-    roles = list(schema.roles)
-    top = [(roles[0], a) for a in schema.roles[roles[0]].attrs]
-    out = [(a, b) for i, a in enumerate(top) for b in top[i + 1 :]]
-    for i, up in enumerate(roles):
-        for down in roles[i + 1 :]:
-            if i == 0 or roles.index(down) == i + 1:
-                out += [((up, a), (down, b)) for a in schema.roles[up].attrs for b in schema.roles[down].attrs]
-    return out
-
-
-def _histograms(schema, made: dict[str, DataFrame]) -> DataFrame:
-    """role, attr, code, n of every synthesized attribute."""
-    parts = [
-        made[r].groupBy(F.col(a).alias("code")).agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(r).alias("role"),
-            F.lit(a).alias("attr"),
-            "code",
-            "n",
-        )
-        for r, role in schema.roles.items() for a in role.attrs
-    ]
-    return _union(parts)
-
-
-def synthesis(spark: SparkSession, sf_dir: str, schema, epsilon: float, text: str, rail: str, pairs: list, triples: tuple = ()) -> dict[str, DataFrame]:
-    options = parse(text, rail)
-    rel = release(schema, X.tables(spark, sf_dir, schema), epsilon, options, 1, pairs, triples)
-    make = SY.synthesize_star if rail == "star" else SY.synthesize_chain
-    return make(spark, rel, options)
-
-
-@register("synth_chain3")
-def synth_chain3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attribute histograms of a database synthesized from noisy marginals of the chain."""
-    made = synthesis(
-        spark,
-        sf_dir,
-        X.CHAIN,
-        3.2,
-        "pubn,rowleaf,szthresh,exactmarg,growcap",
-        "chain3",
-        chain_pairs(X.CHAIN),
-    )
-    return _histograms(X.CHAIN, made)
-
-
-CHAIN2 = Schema.chain(
-    Role("orders", "okey", {"STATUS": 3, "YEAR": 7, "MONTH": 12, "PRIORITY": 5}),
-    Role("lineitem", "lkey", {"QBIN": 6, "DBIN": 4, "RFLAG": 3, "LSTATUS": 2}, {"orders": "okey"}),
-)
-
-
-@register("synth_chain2")
-def synth_chain2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = synthesis(spark, sf_dir, CHAIN2, 3.2, "totals,szthresh", "chain2", chain_pairs(CHAIN2))
-    return _histograms(CHAIN2, made)
-
-
-@register("synth_star")
-def synth_star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roles = ["part", "orders", "lineitem"]
-    a, b, c = ([(r, x) for x in X.STAR.roles[r].attrs] for r in roles)
-    pairs = [(a[0], b[0]), *((x, k) for x in [*a, *b] for k in c)]
-    made = synthesis(spark, sf_dir, X.STAR, 3.2, "pubn,rowleaf,shrink", "star", pairs, [(a[0], b[0], k) for k in c])
-    return _histograms(X.STAR, made)
-
-
-@register("synth_census")
-def synth_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Real and synthetic P(EMP | URBAN) of the census benchmark, as many regions as there are nations."""
-    n = 40 * spark.read.parquet(f"{sf_dir}/nation.parquet").count()
-    real = CE.generate(spark, n)
-    rel = release(CE.SCHEMA, real, 3.2, parse("pubn", "chain3"), 1, chain_pairs(CE.SCHEMA))
-    made = CE.synthesize(spark, rel)
-
-    def emp(tables: dict[str, DataFrame], name: str) -> DataFrame:
-        w = V.view(CE.SCHEMA, tables, "individual", [("region", "URBAN"), ("individual", "EMP")])
-        return w.groupBy("region__URBAN").agg(F.avg("individual__EMP").alias("p")).withColumn("source", F.lit(name))
-
-    return emp(real, "real").unionByName(emp(made, "synthetic"))
-
-
-@register("relink")
-def relink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Group sizes of orders linked anew to customers by a noisy size histogram."""
-    o, c = X.orders(spark, sf_dir), X.customer(spark, sf_dir)
-    shares = BL.noisy_size_shares(o, "ckey", 1.0, 1, 64, 1e-5)
-    made = BL.relink(o.drop("ckey"), "okey", c, "ckey", shares, "ckey", 1)
-    return S.size_histogram(c, "ckey", made, "ckey", zeros=True)
-
-
-@register("baseline_independent")
-def baseline_independent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = BL.per_table(spark, X.CHAIN, X.tables(spark, sf_dir, X.CHAIN), 3.2, 1)
-    return _histograms(X.CHAIN, made)
-
-
-@register(
-    "repair",
-    X.with_sql(
-        "SELECT CAST(range AS INTEGER) AS STATUS, CASE range WHEN 0 THEN n - 2 * (n // 3) ELSE n // 3 END AS n FROM range(3), (SELECT count(*) AS n FROM orders_)",
-    ),
-)
-def repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders' status codes moved, least date first, until the three codes are alike in number."""
-    o = X.orders(spark, sf_dir).select("okey", "STATUS", "YEAR")
-    n = o.count()
-    target = {0: n - 2 * (n // 3), 1: n // 3, 2: n // 3}
-    return C.repair(o, "okey", "STATUS", target, F.col("YEAR")).groupBy("STATUS").agg(F.count(F.lit(1)).alias("n"))
-
-
-@register("ipf_margins")
-def ipf_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occupied cells of three attributes fitted to two pairwise tables of the other half of the orders."""
-    o = X.orders(spark, sf_dir)
-    names = ["STATUS", "YEAR", "PRIORITY"]
-    cells = {tuple(r)[:3]: float(r["n"]) for r in _half(o).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()}
-    targets = []
-    for axes in ((0, 1), (1, 2)):
-        own = o.groupBy(*(names[a] for a in axes)).agg(F.count(F.lit(1)).alias("n")).collect()
-        targets.append((axes, {tuple(r)[:2]: float(r["n"]) for r in own}))
-    fitted = C.ipf(cells, targets)
-    rows = [(*map(int, k), v) for k, v in sorted(fitted.items())]
-    return spark.createDataFrame(rows, "STATUS int, YEAR int, PRIORITY int, value double")
+# The other modules register their own queries.
+from kinweave.plans import source_queries, stat_queries, synthesis_queries  # noqa: E402, F401

@@ -17,6 +17,7 @@ from kinweave.functions.accountant import (
     COUNT, SIZES, accepted_total, debiased, delta_of, equal_sigma, geometric_bins, hybrid_bins, split_sigmas,
 )
 from kinweave.functions.encode import size_bin
+from kinweave.functions.noise import gaussian_value
 from kinweave.functions.options import Options
 from kinweave.operators.calibrate import shrunk_joint
 from kinweave.operators.marginals import Marginal, domain_grid, marginals, on_grid, released
@@ -181,12 +182,11 @@ def release(
                     options.numbers("shrink")[0],
                     float(x.sum()),
                 )
-    rng = np.random.default_rng(seed + 777_001)
     for r in schema.roles:
         n = tables[r].count() if {"totals", "pubn"} & options.chosen.keys() or epsilon is None else None
         if n is not None and "totals" in options and epsilon is not None:
             fallback = float(np.mean([out.one[r, a].sum() for a in schema.roles[r].attrs]))
-            n = accepted_total(n + rng.normal(0, out.sigma["TOTALS"]), fallback)
+            n = accepted_total(n + out.sigma["TOTALS"] * gaussian_value(seed, "total", r), fallback)
         if n is not None:
             out.totals[r] = int(round(n))
     return out

@@ -117,6 +117,41 @@ def read_jdbc_ranges(
     )
 
 
+def read_jdbc_resumed(
+    spark: SparkSession, url: str, table: str, column: str, lowest: int, highest: int, folder: str, step: int = 200_000,
+    tries: int = 3, **options,
+) -> DataFrame:
+    """A table of a database, kept in `folder` range by range; ranges that are there already are not read again.
+
+    Each missing range is a job of its own, tried `tries` times beside Spark's own repeats of its task. A range counts
+    as there when its folder was written whole.
+    """
+    for predicate, place in _missing(spark, column, lowest, highest, step, folder):
+        error = None
+        for _ in range(tries):
+            try:
+                df = spark.read.jdbc(url, table, predicates=[predicate], properties={k: str(v) for k, v in options.items()})
+                df.write.mode("overwrite").parquet(place)
+                break
+            except Exception as e:  # the next try, or the caller, decides
+                error = e
+        else:
+            raise RuntimeError(f"{predicate} of {table} could not be read") from error
+    return spark.read.parquet(f"{folder}/range=*")
+
+
+def _missing(spark: SparkSession, column: str, lowest: int, highest: int, step: int, folder: str) -> list[tuple[str, str]]:
+    """(condition, folder) of the ranges that are not there."""
+    context = spark.sparkContext
+    out = []
+    for k, predicate in enumerate(range_predicates(column, lowest, highest, step)):
+        place = f"{folder}/range={k}"
+        mark = context._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
+        if not mark.getFileSystem(context._jsc.hadoopConfiguration()).exists(mark):
+            out.append((predicate, place))
+    return out
+
+
 def range_predicates(column: str, lowest: int, highest: int, step: int) -> list[str]:
     """Conditions that cut lowest to highest into ranges of `step` keys."""
     return [f"{column} BETWEEN {a} AND {min(a + step - 1, highest)}" for a in range(lowest, highest + 1, step)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,6 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str, schema: Schema, f
 
 def write_domain(spark: SparkSession, sizes: Mapping[str, int], path: str, mode: str = "overwrite") -> None:
     """Domain sizes in the form that `readers.read_domain` takes."""
-    import json
-
     text = json.dumps({a: {"size": int(n)} for a, n in sizes.items()})
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(path)
 
@@ -41,6 +40,32 @@ def write_summary(df: DataFrame, path: str, order: Sequence[str], mode: str = "e
     df.orderBy(*order).coalesce(1).write.mode(mode).options(header=True, sep="\t").csv(path)
 
 
+def write_text(spark: SparkSession, text: str, path: str, overwrite: bool = False) -> None:
+    """A small text as one file, in any store that Spark writes to."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place, overwrite)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_processed(
+    spark: SparkSession, tables: Mapping[str, DataFrame], folder: str, schema: Schema, rules: Mapping[str, str], counts: Mapping[str, int]
+) -> None:
+    """A processed database: a CSV folder and a domain file for each role, what was done (spec) and what was seen (report).
+
+    rules say how each attribute was coded; counts are numbers of rows in and out, orphans and the like.
+    """
+    write_tables(tables, folder, schema, "csv")
+    for r, role in schema.roles.items():
+        write_text(spark, json.dumps({a: {"size": n} for a, n in role.sizes.items()}), f"{folder}/{r}_domain.json")
+    spec = {r: {"key": x.key, "parents": dict(x.parents), "attributes": list(x.attrs)} for r, x in schema.roles.items()}
+    write_text(spark, json.dumps({"tables": spec, "rules": dict(rules)}), f"{folder}/spec.json")
+    write_text(spark, json.dumps({k: int(v) for k, v in counts.items()}), f"{folder}/report.json")
+
+
 def write_planted(tables: Mapping[str, DataFrame], child: str, planted: DataFrame, audit: DataFrame, folder: str, schema: Schema) -> None:
     """A planted database: parents as they were, the child rewritten, and the audit beside them."""
     write_tables({**tables, child: planted}, folder, schema, "csv")
