@@ -33,8 +33,10 @@ LEVELS = (32, 8, 4, 2)
 QUERY_BYTES = 48_000_000
 #: Queries and candidates compared at once.
 BLOCK_QUERIES, BLOCK_CANDIDATES = 512, 2048
-#: Pairs multiplied out at once: the first of a block, and twice as many each time up to the most.
-FIRST_PAIRS, BLOCK_PAIRS = 1 << 10, 1 << 16
+#: Pairs of a query multiplied out at first, while it has no k results.
+FIRST_PAIRS = 32
+#: A coarse level that drops less than this share of the pairs is asked only in every PROBE-th block.
+IDLE, PROBE = 0.01, 16
 
 
 def vectors(ids: pa.Array, lists: pa.Array, scale: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -67,7 +69,8 @@ def statistics(x: np.ndarray) -> list[np.ndarray]:
                 seg = x[:, a : a + width]
                 root = np.sqrt(seg.shape[1])
                 columns += [root * seg.mean(axis=1), root * seg.std(axis=1)]
-        out.append(np.stack(columns, axis=1) if columns else np.zeros((len(x), 1)))
+            made = np.stack(columns, axis=1) if columns else np.zeros((len(x), 1))
+            out.append(made.astype(np.float32))
     return out
 
 
@@ -76,22 +79,15 @@ def _exact(most: float) -> type:
     return np.float64 if most < 2**53 else np.int64 if most < 2**62 else object
 
 
-def _whole(x: np.ndarray, kind: type) -> np.ndarray:
-    if kind is not object:
-        return x.astype(kind)
-    return np.array([[int(y) for y in row] for row in x.tolist()], object).reshape(x.shape)
-
-
-def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The inner product of each row of q with the row of x at the same place, as int64, cut off at its ends."""
+def products(q: np.ndarray, x: np.ndarray, largest: float) -> np.ndarray:
+    """The inner product of q with each row of x, as int64, cut off at its ends; no component of x exceeds `largest`."""
     with np.errstate(over="ignore"):
-        most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
-    kind = _exact(most)
+        kind = _exact(float(np.abs(q).max(initial=0)) * largest * max(1, len(q)))
     if kind is object:
         ends = np.iinfo(np.int64)
-        sums = (_whole(q, kind) * _whole(x, kind)).sum(axis=1)
-        return np.array([min(max(int(s), ends.min), ends.max) for s in sums], np.int64)
-    return np.einsum("ij,ij->i", q.astype(kind), x.astype(kind)).astype(np.int64)
+        sums = [sum(int(a) * int(b) for a, b in zip(q.tolist(), row, strict=True)) for row in x.tolist()]
+        return np.array([min(max(s, ends.min), ends.max) for s in sums], np.int64)
+    return (x.astype(kind, copy=False) @ q.astype(kind, copy=False)).astype(np.int64)
 
 
 class Search:
@@ -105,13 +101,14 @@ class Search:
         self.found = np.full((len(ids), best), np.iinfo(np.int64).max)
         #: What a candidate must reach; raised by what has been found.
         self.floor = np.full(len(ids), np.iinfo(np.int64).min)
-        #: Pairs met, and pairs multiplied out.
-        self.pairs = self.multiplied = 0
+        #: Pairs met and pairs multiplied out; pairs that each level judged and dropped; blocks met.
+        self.pairs = self.multiplied = self.blocks = 0
+        self.judged, self.dropped = np.zeros(len(LEVELS), np.int64), np.zeros(len(LEVELS), np.int64)
 
     def fresh(self) -> Search:
         """A search of the same queries that has found nothing yet."""
         new = object.__new__(Search)
-        new.__dict__ = self.__dict__ | {k: getattr(self, k).copy() for k in ("scores", "found", "floor")}
+        new.__dict__ = self.__dict__ | {k: getattr(self, k).copy() for k in ("scores", "found", "floor", "judged", "dropped")}
         return new
 
     def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
@@ -121,34 +118,63 @@ class Search:
             norm = np.sqrt(np.square(x).sum(axis=1)).max(initial=0)
             for a in range(0, len(self.ids), BLOCK_QUERIES):
                 q = slice(a, a + BLOCK_QUERIES)
-                # Bounds are floating; a margin far over their error keeps every pair that could tie.
-                margin = 1 + 1e-9 * self.norm[q] * norm
+                # Bounds are single floats; a margin over the error of their sums keeps every pair that could tie.
+                margin = 1 + (x.shape[1] + 8) * 2.0**-23 * self.norm[q] * norm
+                need = (self.floor[q].astype(np.float64) - margin).astype(np.float32)
                 alive = self.ids[q][:, None] != ids
-                self.pairs += int(alive.sum())
+                left = self.pairs_of(alive)
+                self.pairs += left
                 # A bound that is no number drops nothing.
-                for mine, theirs in zip(self.levels, levels, strict=True):
+                for k, (mine, theirs) in enumerate(zip(self.levels, levels, strict=True)):
+                    if k + 1 < len(levels) and self.blocks % PROBE and self.dropped[k] < IDLE * self.judged[k]:
+                        continue
                     bound = mine[q] @ theirs.T
-                    alive &= ~(bound < (self.floor[q] - margin)[:, None])
-                rows, cols = np.nonzero(alive)
-                bound = bound[rows, cols]
-                order = np.argsort(-bound / np.maximum(self.norm[q], 1)[rows])
-                done, size = 0, FIRST_PAIRS
-                while done < len(order):
-                    at = order[done : done + size]
-                    done, size = done + size, min(2 * size, BLOCK_PAIRS)
-                    at = at[~(bound[at] < (self.floor[q] - margin)[rows[at]])]
-                    self._multiply(a, rows[at], cols[at], ids, x)
-
-    def _multiply(self, first: int, rows: np.ndarray, cols: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
-        if not len(rows):
-            return
-        s = products(self.x[first + rows], x[cols])
-        self.multiplied += len(rows)
-        held = s >= self.floor[first + rows]
-        if held.any():
-            self._keep(first + rows[held], s[held], ids[cols[held]])
+                    alive &= ~(bound < need[:, None])
+                    before, left = left, self.pairs_of(alive)
+                    self.judged[k] += before
+                    self.dropped[k] += before - left
+                self.blocks += 1
+                self._multiply(a, alive, bound, margin, ids, x)
+
+    @staticmethod
+    def pairs_of(alive: np.ndarray) -> int:
+        return int(np.count_nonzero(alive))
+
+    def _multiply(self, first: int, alive: np.ndarray, bound: np.ndarray, margin: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Multiply out the pairs that are left, query by query.
+
+        While a query has no k results, its candidates come in the order of their bounds, few and then more, and
+        the rest goes as soon as the next bound is below what has been found.
+        """
+        rows, cols, scores = [], [], []
+        largest = float(np.abs(x).max(initial=0))
+        for r in np.flatnonzero(alive.any(axis=1)).tolist():
+            at = np.flatnonzero(alive[r])
+            q = self.x[first + r]
+            if self.found[first + r, -1] == np.iinfo(np.int64).max and len(at) > FIRST_PAIRS:
+                at = at[np.argsort(-np.nan_to_num(bound[r, at], nan=np.inf), kind="stable")]
+                done, size, held = 0, FIRST_PAIRS, []
+                while done < len(at):
+                    part = at[done : done + size]
+                    held.append(products(q, x[part], largest))
+                    done, size = done + size, 2 * size
+                    known = np.concatenate(held)
+                    if done < len(at) and bound[r, at[done]] < np.partition(known, -self.best)[-self.best] - margin[r]:
+                        at = at[:done]
+                s = np.concatenate(held)
+            else:
+                s = products(q, x[at], largest)
+            self.multiplied += len(at)
+            fine = s >= self.floor[first + r]
+            rows.append(np.full(int(fine.sum()), first + r))
+            cols.append(at[fine])
+            scores.append(s[fine])
+        if rows:
+            self._keep(np.concatenate(rows), np.concatenate(scores), ids[np.concatenate(cols)])
 
     def _keep(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        if not len(rows):
+            return
         touched = np.unique(rows)
         rows = np.concatenate((rows, np.repeat(touched, self.best)))
         scores = np.concatenate((scores, self.scores[touched].ravel()))

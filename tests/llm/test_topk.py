@@ -85,7 +85,8 @@ def test_bounds_are_never_below_products():
         q, x = g.integers(-200, 200, (20, n)), g.integers(-200, 200, (50, n))
         true = q @ x.T
         for a, b in zip(statistics(q), statistics(x), strict=True):
-            assert (a @ b.T >= true - 1e-6).all()
+            allowed = (n + 8) * 2.0**-23 * np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))
+            assert (a @ b.T >= true - 1e-6 - allowed).all()
 
 
 def test_scores_beyond_64_bits_are_cut_off(spark):
