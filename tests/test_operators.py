@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.encode import rule, size_bin
 from kinweave.functions.noise import gaussian, uniform
+from kinweave.functions.options import Options
 from kinweave.operators import calibrate as C
 from kinweave.operators import census, encode, plant, sampling, sizes, views
+from kinweave.operators import synth as SY
 from kinweave.operators import workload as W
 from kinweave.plans.release import release
 from kinweave.schema import Role, Schema
@@ -289,3 +291,172 @@ def test_workloads_of_several_attributes():
     assert queries == W.generate(schema, {"c": ("r", ["r"])}, 50, most_attrs=3)
     with pytest.raises(ValueError):
         W.some_codes(random.Random(0), 1)
+
+
+def test_child_keys_are_dense_beyond_any_packing(spark):
+    base = 1 << 45
+    parents = spark.createDataFrame([(base + i, [0, 3, 1, 70_000][i % 4], i) for i in range(16)], "p long, n long, a int")
+    rows = sampling.children(parents, "p", "n", "fk", "k", ["a"])
+    got = rows.agg(F.count("k"), F.min("k"), F.max("k"), F.count_distinct("k")).first()
+    assert tuple(got) == (4 * 70_004, 0, 4 * 70_004 - 1, 4 * 70_004)
+    # Keys follow the order of the parents, and a parent's children their own numbers.
+    first = {r["fk"]: (r["lo"], r["n"]) for r in rows.groupBy("fk").agg(F.min("k").alias("lo"), F.count("k").alias("n")).collect()}
+    at = 0
+    for p, n in sorted((r["p"], r["n"]) for r in parents.collect()):
+        assert first.get(p, (at, 0)) == (at, n)
+        at += n
+
+
+def test_ranks_and_running_sums_over_one_hot_group(spark):
+    rows = [(i * 7919 % 1000, "hot" if i % 10 else None, float(i % 3)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, g string, w double")
+    got = {r["k"]: r["r"] for r in views.ranked(df, ["g"], ["k"], "r").collect()}
+    for g in ("hot", None):
+        own = sorted(k for k, x, _ in rows if x == g)
+        assert [got[k] for k in own] == list(range(len(own)))
+    run = {r["k"]: (r["s"], r["t"]) for r in views.running(df, ["k"], "w", "s", "t").collect()}
+    at = 0.0
+    for k, _, w in sorted(rows, key=lambda x: x[0]):
+        assert run[k] == (at, sum(x for *_, x in rows))
+        at += w
+    assert views.ranked(df.limit(0), [], ["k"], "r").count() == 0
+
+
+def test_repair_takes_the_least_supported_rows_of_many_parents(spark):
+    r = random.Random(6)
+    rows = [(i, i // 10, r.randrange(2), r.choice([0.2, 0.5, 0.9])) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, p long, c int, s double")
+    ones = sum(c for _, _, c, _ in rows)
+    out = {x["k"]: x["c"] for x in C.repair(df, "k", "c", {0: 1000 - ones + 60, 1: ones - 60}, F.col("s")).collect()}
+    moved = [(p, s) for k, p, c, s in rows if out[k] != c]
+    assert len(moved) == 60 and sum(out.values()) == ones - 60 and {s for _, s in moved} == {0.2}
+    assert len({p for p, _ in moved}) > 40
+    same = C.repair(df, "k", "c", {0: 1000 - ones + 60, 1: ones - 60}, F.lit(1.0))
+    tied = {x["k"]: x["c"] for x in same.collect()}
+    assert len({p for k, p, c, _ in rows if tied[k] != c}) > 40
+
+
+def test_surplus_at_the_cap_is_scaled(spark):
+    assert C.grown_at_cap([1, 5, 5, 2], 20, 5) == [1, 9, 8, 2] and sum(C.grown_at_cap([3, 5, 5], 9, 5, 1)) == 9
+    assert sum(C.grown_at_cap([1, 2, 3], 12, 9, 1)) == 12 and C.grown_at_cap([1, 2], 3, 9) == [1, 2]
+
+
+def two_levels(spark, n=400, seed=9):
+    """A chain whose leaf depends on its parent, released without noise, and its tables."""
+    r = random.Random(seed)
+    schema = Schema.chain(Role("top", "t", {"A": 3, "B": 2}), Role("bot", "leaf", {"C": 4}, {"top": "t"}))
+    top = [(i, r.randrange(3), r.randrange(2)) for i in range(n)]
+    bot = [(t, (a + r.choice([0, 0, 1])) % 4) for t, a, b in top for _ in range(1 + a * 3 + r.randrange(3))]
+    frames = {
+        "top": spark.createDataFrame(top, "t long, A int, B int"),
+        "bot": spark.createDataFrame([(i, *x) for i, x in enumerate(bot)], "leaf long, t long, C int"),
+    }
+    pairs = [(("top", "A"), ("top", "B")), (("top", "A"), ("bot", "C")), (("top", "B"), ("bot", "C"))]
+    return schema, frames, pairs, top, bot
+
+
+def test_synthesis_meets_quotas_of_several_attributes_and_leaf_targets(spark):
+    schema, frames, pairs, top, bot = two_levels(spark)
+    chosen = Options({t: () for t in ("pubn", "rowleaf", "exactmarg", "szquota", "repair", "growcap")})
+    rel = release(schema, frames, None, chosen, 1, pairs)
+    made = SY.synthesize_chain(spark, rel, chosen, 3)
+    wide = made["bot"].join(made["top"], "t").collect()
+    assert len(wide) == len(bot) and made["top"].count() == len(top)
+    real = {(a, b): 0 for a in range(3) for b in range(2)}
+    for t, _ in bot:
+        real[top[t][1], top[t][2]] += 1
+    for at, name in ((0, "A"), (1, "B")):
+        for v in range(3 - at):
+            want = sum(n for k, n in real.items() if k[at] == v)
+            assert abs(sum(x[name] == v for x in wide) - want) <= 4
+    assert [sum(x["C"] == c for x in wide) for c in range(4)] == [sum(c == x for _, x in bot) for c in range(4)]
+    # The first pair of the top is dealt by quota, so its joint counts are exact as well.
+    pairs_of = [(x["A"], x["B"]) for x in made["top"].collect()]
+    assert all(pairs_of.count(k) == sum(t[1:] == k for t in top) for k in real)
+
+
+def test_leaf_targets_weigh_parents_by_their_sizes(spark):
+    schema, frames, pairs, top, bot = two_levels(spark)
+    rel = release(schema, frames, None, Options({"pubn": ()}), 1, pairs)
+    target = SY.target_of(rel, "bot", "C", "top", Options({"pubn": ()}), len(bot))
+    real = [sum(c == x for _, x in bot) for c in range(4)]
+    flat = C.row_target(rel.one["bot", "C"].tolist(), len(bot))
+    assert sum(target) == len(bot)
+    assert sum(abs(a - b) for a, b in zip(target, real, strict=True)) < sum(abs(a - b) for a, b in zip(flat, real, strict=True))
+
+
+def test_product_form_fits_all_pairs_wherever_tuples_are(spark, monkeypatch):
+    schema, frames, pairs, top, bot = two_levels(spark)
+    wide = frames["bot"].join(frames["top"], "t").select(F.col("A").alias("top__A"), F.col("B").alias("top__B"), "C")
+    found = {}
+    for most in (SY.TUPLES, 0):
+        monkeypatch.setattr(SY, "TUPLES", most)
+        seen = SY.Occupied(wide, ["top__A", "top__B"], 4)
+        targets = {}
+        for c, n in (("top__A", 3), ("top__B", 2)):
+            targets[c] = np.zeros((n, 4))
+            for x, v, k in wide.groupBy(c, "C").count().collect():
+                targets[c][x, v] = k
+        base, factors = SY.fitted_factors(seen, np.full(4, 0.25), targets, 50)
+        for c, t in targets.items():
+            assert np.allclose(seen.margin(base, factors, c), t, rtol=1e-2, atol=0.5)
+        found[most] = base
+    assert np.allclose(*found.values())
+
+
+def test_guards_pull_noisy_lifts_to_one():
+    table, counts = np.array([[2.0, 0.5], [3.0, 0.1]]), np.array([[100.0, 0.0], [25.0, 100.0]])
+    got = SY.guarded(table, counts, np.array([1000.0, 25.0]), 10.0)
+    assert np.allclose(got, [[2.0, 1.0], [1 + 2 * 0.5 * 0.5, 1 - 0.9 * 0.5]]) and (SY.guarded(table, counts, counts[0], 0.0) == table).all()
+
+
+def test_planted_strength_is_calibrated_to_an_effect(spark):
+    r = random.Random(2)
+    df = spark.createDataFrame([(i, *(r.randrange(2) for _ in range(5))) for i in range(3000)], "k long, old int, u int, x1 int, x2 int, m int").cache()
+
+    def effect(strength, seed):
+        out = plant.plant_chain(df, "k", "old", "u", "x1", "x2", ["m"], "xor", strength, seed)
+        return out.agg(F.avg((F.col("planted") == rule("xor", F.col("u"), F.col("x1"), F.col("x2"))).cast("int"))).first()[0]
+
+    found = plant.calibrate(effect, 0.8, (1, 2), 5)
+    assert abs(np.mean([effect(found, s) for s in (1, 2)]) - 0.8) < 0.03
+
+
+def test_scratch_is_refused_on_a_cluster_without_a_shared_folder():
+    from kinweave import scratch
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(RuntimeError, match="share"):
+        scratch.shared_folder(Session())
+
+
+def test_resumed_jdbc_reading_fails_aloud(spark, tmp_path):
+    with pytest.raises(RuntimeError, match="could not be read"):
+        readers.read_jdbc_resumed(spark, "jdbc:derby:memory:none", "T", "K", 0, 3, str(tmp_path / "x"), 2, 1, driver="org.apache.derby.jdbc.EmbeddedDriver")
+
+
+def test_signed_ranks_by_enumeration():
+    from itertools import product
+
+    from kinweave.functions.stats import signed_rank
+
+    r = random.Random(1)
+    for n in (3, 7, 11):
+        x, y = [r.randint(0, 6) for _ in range(n)], [r.randint(0, 6) for _ in range(n)]
+        d = [a - b for a, b in zip(x, y, strict=True) if a != b]
+        ranks = [sum(abs(e) < abs(f) for e in d) + (sum(abs(e) == abs(f) for e in d) + 1) / 2 for f in d]
+        least = min(sum(k for k, v in zip(ranks, d, strict=True) if v > 0), sum(k for k, v in zip(ranks, d, strict=True) if v < 0))
+        hits = [min(w := sum(k for k, s in zip(ranks, signs, strict=True) if s), sum(ranks) - w) <= least + 1e-9 for signs in product((0, 1), repeat=len(d))]
+        assert signed_rank(x, y) == pytest.approx(sum(hits) / len(hits))
+    assert 0 < signed_rank(range(25), [k + (k % 3 - 0.9) for k in range(25)]) < 1
