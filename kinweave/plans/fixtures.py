@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions.encode import divided, passed, value_list
-from kinweave.operators.encode import encode_sorted
 from kinweave.operators.views import ranked
 from kinweave.schema import Role, Schema
 
 #: Fixed value lists of the coded attributes.
 STATUSES = ("O", "F", "P")
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 FLAGS = ("A", "N", "R")
 LINE_STATUSES = ("F", "O")
 DISCOUNT_EDGES = (0.02, 0.05, 0.08)
@@ -43,8 +45,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = encode_sorted(_read(spark, sf_dir, "region"), "r_name", "RNAME")
-    return df.select(F.col("r_regionkey").cast("long").alias("rkey"), "RNAME")
+    return _read(spark, sf_dir, "region").select(
+        F.col("r_regionkey").cast("long").alias("rkey"), value_list(F.col("r_name"), REGIONS).alias("RNAME")
+    )
 
 
 def nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,13 +57,12 @@ def nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = encode_sorted(_read(spark, sf_dir, "customer"), "c_mktsegment", "SEGMENT")
     balance = F.least(F.greatest(F.col("c_acctbal"), F.lit(-1000.0)), F.lit(9999.99))
-    return df.select(
+    return _read(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("ckey"),
         F.col("c_nationkey").cast("long").alias("nkey"),
         F.col("c_nationkey").alias("NATION"),
-        "SEGMENT",
+        value_list(F.col("c_mktsegment"), SEGMENTS).alias("SEGMENT"),
         divided(balance, 500.0, 0, 21, 1000.0).alias("ACCTBIN"),
     )
 
@@ -96,10 +98,9 @@ def lineitem(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame
 
 
 def part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = encode_sorted(_read(spark, sf_dir, "part"), "p_type", "PTYPE")
-    return df.select(
+    return _read(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("pkey"),
-        "PTYPE",
+        value_list(F.col("p_type"), TYPES).alias("PTYPE"),
         divided(F.col("p_size") - 1, 10.0, 0, 4).alias("PSIZEBIN"),
     )
 

@@ -49,6 +49,12 @@ register("enc_star_c", X.with_sql("SELECT pkey, okey, QBIN, RFLAG FROM lineitem_
 )
 
 
+@register("enc_sorted", "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderdate) - 1 AS INTEGER) AS code FROM orders")
+def enc_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each order's date among the dates that occur."""
+    return fit.encode_sorted(_raw(spark, sf_dir, "orders"), "o_orderdate", "code").select("o_orderkey", "code")
+
+
 @register(
     "enc_top_k_other",
     """WITH n AS (SELECT c_nationkey AS v, count(*) AS n FROM customer GROUP BY 1),
