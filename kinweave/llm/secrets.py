@@ -8,6 +8,10 @@ texts are cut only after bytes that bring every state to the same one, so each s
 An ending match is told by the state that the next byte leads to; its start comes from running the rule's
 reversed automaton back from the end, no further than the end of the rule's match before. Matches of one rule
 don't overlap; matches that fail a rule's length are dropped without another try.
+
+Null texts are empty and have no spans. Very long texts are scanned whole. Equal starts of different rules are all
+kept, in the rules' order. Repeated rows are scanned each for itself; an empty table gives no rows; other columns
+are kept, but for one named like the result.
 """
 
 from __future__ import annotations

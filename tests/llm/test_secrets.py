@@ -5,7 +5,7 @@ import re
 import pytest
 from helpers_llm import documents, save
 
-from kinweave.llm.secrets import BASE, RULES, Automaton, Rule, digest, op8_secret_scan
+from kinweave.llm.secrets import BASE, RULES, Automaton, Rule, digest, find_secrets, op8_secret_scan
 
 PATTERNS = {
     "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -73,3 +73,13 @@ def test_query(spark, tmp_path):
     assert len(RULES) == 5
     save(documents(spark, []), tmp_path, "documents")
     assert op8_secret_scan(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    text = "AKIA" + "Q" * 16 + " token=abcdef1"
+    docs = documents(spark, [text, None]).unionByName(documents(spark, [text]))
+    clash = docs.selectExpr("*", "'mine' as spans", "1 as kind", "2 as start")
+    rows = find_secrets(clash).collect()
+    assert sorted(r.doc_id for r in rows) == [0, 0, 1] and {(r.kind, r.start) for r in rows} == {(1, 2)}
+    found = [[(s.kind, s.start, s.end) for s in r.spans] for r in rows if r.doc_id == 0]
+    assert found[0] == found[1] == [tuple(x) for x in brute(text)]
