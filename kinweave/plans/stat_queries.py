@@ -385,8 +385,8 @@ _TEXTS = (
 )
 
 
-@register("option_texts", "SELECT text, rail, reading FROM (VALUES " + ", ".join(f"('{t}', '{r}', {'NULL' if v is None else repr(v)})" for t, r, v in _TEXTS) + ") v(text, rail, reading)")
-def option_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("token_texts", "SELECT text, rail, reading FROM (VALUES " + ", ".join(f"('{t}', '{r}', {'NULL' if v is None else repr(v)})" for t, r, v in _TEXTS) + ") v(text, rail, reading)")
+def token_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the option language makes of texts on each rail; refused ones give null."""
     rows = []
     for text, rail, _ in _TEXTS:
