@@ -128,22 +128,6 @@ def rescale_groups(sizes: DataFrame, group: Sequence[str], key: str, size: str,
     return rows.withColumn(out, (F.col("__f") + more + lo).cast("long")).drop("__x", "__f", "__s", "__d", "__r", "__left")
 
 
-def quota_by_value(sizes: Sequence[int], ids: Sequence[int], quotas: Mapping[int, float], lo: int, hi: int | None = None, grow: bool = False) -> list[int]:
-    """Sizes whose sums by id are the quotas as nearly as lo and hi allow."""
-    out = list(sizes)
-    for v in sorted(set(ids)):
-        at = [i for i, x in enumerate(ids) if x == v]
-        goal = round(quotas.get(v, 0))
-        mine = [sizes[i] for i in at]
-        if grow and hi is not None and sum(mine) < goal:
-            new = grown_at_cap(mine, goal, hi, lo)
-        else:
-            new = rescaled(mine, goal, lo)
-        for i, s in zip(at, new, strict=True):
-            out[i] = s
-    return out
-
-
 def ras(cells: np.ndarray, margins: Sequence[np.ndarray], sweeps: int = 500, tolerance: float = 1e-9) -> np.ndarray:
     """A tensor scaled, axis by axis, to the margins; margins are first brought to one grand total.
 
@@ -171,25 +155,6 @@ def ras(cells: np.ndarray, margins: Sequence[np.ndarray], sweeps: int = 500, tol
     return x
 
 
-def quota_by_cells(sizes: Sequence[int], ids: Sequence[Sequence[int]], quotas: Sequence[Sequence[float]], lo: int) -> list[int]:
-    """Sizes that meet quotas on several attributes at once: RAS on the tensor of cells, then rescaling in each."""
-    shape = tuple(len(q) for q in quotas)
-    tensor = np.zeros(shape)
-    rows = list(zip(*ids, strict=True))
-    for s, cell in zip(sizes, rows, strict=True):
-        tensor[cell] += max(s, 1e-9)
-    goal = ras(tensor, [np.asarray(q, float) for q in quotas])
-    occupied = sorted(set(rows))
-    exact = [goal[c] for c in occupied]
-    whole = largest_remainder(exact, round(sum(exact)))
-    out = list(sizes)
-    for cell, n in zip(occupied, whole, strict=True):
-        at = [i for i, c in enumerate(rows) if c == cell]
-        for i, s in zip(at, rescaled([sizes[i] for i in at], n, lo), strict=True):
-            out[i] = s
-    return out
-
-
 def ipf(cells: Mapping[tuple[int, ...], float], targets: Sequence[tuple[tuple[int, ...], Mapping[tuple[int, ...], float]]], sweeps: int = 200, tolerance: float = 1e-10) -> dict[tuple[int, ...], float]:
     """Iterative proportional fitting on the occupied cells; targets are (axes, margin) pairs.
 

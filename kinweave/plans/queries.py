@@ -837,10 +837,6 @@ def debias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("size", F.round(F.greatest(F.col("groups") - 0.39894 * 4, F.lit(0.0)), 6).alias("groups"))
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 # Effects, associations, quotas, records -----------------------------------------------------------------------
 
 

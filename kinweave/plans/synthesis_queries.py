@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from kinweave.plans import fixtures as X
 from kinweave.plans.registry import register
 from kinweave.plans.release import Release, release
 from kinweave.schema import Role, Schema
+from kinweave.scratch import shared_folder
+from kinweave.sources import writers as K
 
 # Draws and links ----------------------------------------------------------------------------------------------
 
@@ -350,6 +354,28 @@ def ras_kd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(made, "NATION int, SEGMENT int, ACCTBIN int, value double")
 
 
+@register(
+    "szquota_sizes",
+    X.with_sql(
+        """SELECT 'NATION' AS attr, NATION AS code, TRUE AS met FROM orders_ JOIN customer_ USING (ckey) GROUP BY NATION
+         UNION ALL SELECT 'SEGMENT', SEGMENT, TRUE FROM orders_ JOIN customer_ USING (ckey) GROUP BY SEGMENT UNION ALL SELECT 'total', -1, TRUE"""
+    ),
+)
+def szquota_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal sizes brought to the orders of each nation and of each segment at once, one off a cell at most."""
+    tables = X.tables(spark, sf_dir, X.CHAIN)
+    pairs = [(("customer", a), ("orders", "STATUS")) for a in ("NATION", "SEGMENT")]
+    rel = release(X.CHAIN, tables, None, parse("rowleaf,pubn,szquota", "chain3"), 1, pairs, exclude_sizes=["ACCTBIN"])
+    df = tables["customer"].select("ckey", F.col("NATION").alias("customer__NATION"), F.col("SEGMENT").alias("customer__SEGMENT"), F.lit(10).cast("long").alias("size"))
+    made = SY.to_total(df, "ckey", rel, "orders", "customer", rel.totals["orders"], 0, parse("szquota", "chain3"), 1)
+    o, rows = tables["orders"].join(tables["customer"], "ckey"), []
+    for a, other in (("NATION", 5), ("SEGMENT", 25)):
+        have = {r[0]: r[1] for r in made.groupBy(f"customer__{a}").agg(F.sum("size")).collect()}
+        rows += [(a, code, abs(have[code] - n) <= other) for code, n in o.groupBy(a).agg(F.count(F.lit(1))).collect()]
+    rows.append(("total", -1, made.agg(F.sum("size")).first()[0] == rel.totals["orders"]))
+    return spark.createDataFrame(rows, "attr string, code int, met boolean")
+
+
 @register(
     "cross_guard",
     X.with_sql(
@@ -700,6 +726,30 @@ def _noisy_total_sql(schema, sigma: float) -> str:
     )
 
 
+_ONE_WAY = [f"{r}.{a}" for r, role in CHAIN2.roles.items() for a in role.attrs] + [f"SZ.lineitem.{a}" for a in CHAIN2.roles["orders"].attrs]
+
+
+@register(
+    "release_record",
+    X.with_sql(
+        "SELECT 'sigma' AS part, name, sigma AS value FROM (VALUES "
+        + ", ".join(f"('{n}', {round(equal_sigma(EPSILON, DELTA, len(_ONE_WAY)), 6)}::DOUBLE)" for n in [*_ONE_WAY, "TOTALS"])
+        + ") v(name, sigma) UNION ALL SELECT 'tau', 'lineitem', least(greatest(trunc(quantile_cont(n, 0.95)), 12), 1024) FROM (SELECT count(*) AS n FROM lineitem_ GROUP BY okey)"
+        + " UNION ALL SELECT 're', 'all', 0.25"
+    ),
+)
+def release_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A release's scales and caps with median errors, as a record written and read back."""
+    rel = release(CHAIN2, X.tables(spark, sf_dir, CHAIN2), EPSILON, parse("pubn", "chain2"), 1, (), (), DELTA)
+    errors = spark.createDataFrame([("all", 0.25)], "cls string, median_re double")
+    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    K.write_record(K.release_record(rel, spark, errors), path, "r")
+    back = spark.read.schema("sigma map<string,double>, tau map<string,int>, re_median map<string,double>").json(f"{path}/r")
+    parts = [back.select(F.lit(n).alias("part"), F.explode(c).alias("name", "value")) for n, c in (("sigma", "sigma"), ("tau", "tau"), ("re", "re_median"))]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select("part", "name", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
 @register(
     "release_totals",
     X.with_sql(_noisy_total_sql(CHAIN2, equal_sigma(EPSILON, DELTA, _n_objects(CHAIN2, []) + 2))),
