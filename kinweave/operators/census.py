@@ -54,14 +54,14 @@ def generate(spark: SparkSession, n_regions: int, seed: int = 0) -> dict[str, Da
     )
     lo, hi = HOUSEHOLDS
     n = (F.lit(lo) + F.floor(uniform(seed, "households", F.col("r_id")) * (hi - lo + 1))).cast("int")
-    h = children(r.withColumn("__n", n), "r_id", "__n", "r_id", "h_id", ["URBAN"])
+    h = children(r.withColumn("__n", n), "r_id", "__n", "r_id", "h_id", ["URBAN"], dense=True)
     h = h.withColumn("OWN", _coin(_by("URBAN", OWN_BY_URBAN), seed, "own", F.col("h_id"))).withColumn(
         "SIZE",
         F.floor(uniform(seed, "size", F.col("h_id")) * 5).cast("int"),
     )
     # The hidden type is the household's own, so that members of one household share it.
     h = cut(h.withColumn("__z", _coin(_by("URBAN", TYPE_BY_URBAN), seed, "type", F.col("h_id"))))
-    i = children(h.withColumn("__n", F.col("SIZE") + 1), "h_id", "__n", "h_id", "i_id", ["__z"])
+    i = children(h.withColumn("__n", F.col("SIZE") + 1), "h_id", "__n", "h_id", "i_id", ["__z"], dense=True)
     i = i.withColumn("EMP", _coin(_by("__z", EMP_BY_TYPE), seed, "emp", F.col("i_id")))
     i = i.withColumn(
         "AGE",
@@ -218,7 +218,7 @@ def synthesize(
     whole = pair * 2 + 1 < n_regions
     step = F.when(whole & (low > 1), (F.floor(uniform(seed, "jitter", pair) * 3) - 1) * (1 - 2 * odd)).otherwise(F.lit(0))
     r = cut(r.withColumn("__n", F.lit(low) + (F.col("r_id") < more).cast("int") + step).drop("__rb"))
-    h = children(r, "r_id", "__n", "r_id", "h_id", ["URBAN", "BAND"])
+    h = children(r, "r_id", "__n", "r_id", "h_id", ["URBAN", "BAND"], dense=True)
     h = draw(h, "h_id", "OWN", np.ones(2), {"URBAN": conditional_last(tables["RH_OWN"])}, seed)
     h = draw(h, "h_id", "SIZE", np.ones(5), {"URBAN": conditional_last(tables["RH_SIZE"])}, seed)
     kept = ["URBAN", "OWN", "SIZE"]
@@ -228,7 +228,7 @@ def synthesize(
         h = draw(h.withColumn("__uo", F.col("URBAN") * 2 + F.col("OWN")), "h_id", "__type", np.ones(mixture), {"__uo": likely.reshape(4, -1)}, seed)
         kept.append("__type")
     h = cut(h)
-    i = cut(children(h.withColumn("__m", F.col("SIZE") + 1), "h_id", "__m", "h_id", "i_id", kept))
+    i = cut(children(h.withColumn("__m", F.col("SIZE") + 1), "h_id", "__m", "h_id", "i_id", kept, dense=True))
     if mixture:
         counts = {tuple(x)[:2]: x["n"] for x in i.groupBy("URBAN", "__type").agg(F.count(F.lit(1)).alias("n")).collect()}
         table = np.zeros((2, mixture, 2))

@@ -80,15 +80,18 @@ def draw(df: DataFrame, key: str, out: str, base: np.ndarray, lifts: Mapping[str
 CHUNK = 1 << 16
 
 
-def children(parents: DataFrame, key: str, size: str, fk: str, pk: str, keep: Sequence[str] = ()) -> DataFrame:
+def children(
+    parents: DataFrame, key: str, size: str, fk: str, pk: str, keep: Sequence[str] = (), dense: bool = False
+) -> DataFrame:
     """`size` rows for each parent: pk, numbered from 0 without gaps in the order of the parents' keys, fk, keep.
 
-    A parent of many children is dealt in lots over the tasks.
+    A parent of many children is dealt in lots over the tasks. `dense` says that the parents' keys have few gaps.
     """
     rows = parents.filter(F.col(size) > 0).select(
         F.col(key).alias(fk), *(c for c in keep if c != fk), F.col(size).cast("long").alias("__n")
     )
-    placed = running(rows, [fk], "__n", "__base")
+    cell = F.expr(f"`{fk}` div {CHUNK}") if dense else None
+    placed = running(rows, [fk], "__n", "__base", cell=cell)
     lots = placed.withColumn("__lot", F.explode(F.sequence(F.lit(0), F.expr(f"(__n - 1) div {CHUNK}"))))
     lots = lots.repartition(F.col(fk), F.col("__lot"))
     first = F.col("__lot") * CHUNK

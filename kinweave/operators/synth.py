@@ -362,7 +362,7 @@ def synthesize_chain(spark: SparkSession, rel: Release, options: Options | None
         p, c = rel.schema.roles[up], rel.schema.roles[down]
         fk = c.parents[up]
         df = add_sizes(df, p.key, rel, down, up, options, purpose, 0 if level == 0 and len(roles) > 2 else 1)
-        df = children(df, p.key, "size", fk, c.key, [column(*k) for k in known])
+        df = children(df, p.key, "size", fk, c.key, [column(*k) for k in known], dense=True)
         last = down == roles[-1]
         mend = last and "repair" in options
         if last and "ipf" in options:
@@ -393,7 +393,7 @@ def synthesize_star(spark: SparkSession, rel: Release, options: Options | None =
     known = [(r1.name, a) for a in r1.attrs]
     sized = add_sizes(one, r1.key, rel, ch.name, r1.name, options, purpose, 1)
     fk1, fk2 = ch.parents[r1.name], ch.parents[r2.name]
-    df = children(sized, r1.key, "size", fk1, ch.key, [column(*k) for k in known])
+    df = children(sized, r1.key, "size", fk1, ch.key, [column(*k) for k in known], dense=True)
     drawn = []
     for a in r2.attrs:
         lifts = {column(*k): x for k in known if (x := pair_lift(rel, k, (r2.name, a))) is not None}

@@ -133,12 +133,18 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], o
     return number_within(dealt, group, order, out, "__part")
 
 
-def running(df: DataFrame, order: Sequence[str | Column], value: str, out: str, total: str | None = None) -> DataFrame:
+def running(
+    df: DataFrame, order: Sequence[str | Column], value: str, out: str, total: str | None = None, cell: Column | None = None
+) -> DataFrame:
     """df with `out`, the sum of `value` over the rows before it in the given order, dealt like `ranked`.
 
-    `total` names a further column with the sum over all rows.
+    `total` names a further column with the sum over all rows. `cell`, a number that rises with the order and deals the
+    rows evenly, saves finding ranges.
     """
-    dealt = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    if cell is None:
+        dealt = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    else:
+        dealt = df.withColumn("__part", cell)
     sums = dealt.groupBy("__part").agg(F.sum(value).alias("__m"))
     whole = Window.partitionBy(F.lit(0))
     before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

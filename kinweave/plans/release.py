@@ -7,6 +7,7 @@ included; what comes back to the driver is bounded by the domains.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,11 +42,29 @@ class Release:
     taus: dict[str, int] = field(default_factory=dict)
 
 
-def _arrays(cells: DataFrame, wanted: Sequence[Marginal], sizes: Mapping[str, int]) -> dict[str, np.ndarray]:
+#: Cells whose noise the driver draws; the domains of a release bound them, and more are drawn by the tasks.
+CELLS = 300_000
+
+
+def _arrays(
+    cells: DataFrame, wanted: Sequence[Marginal], sizes: Mapping[str, int], sigma: Mapping[str, float] | None, seed: int
+) -> dict[str, np.ndarray]:
+    """Every object over its whole domain, with noise on every cell if there are scales.
+
+    A cell's noise depends on its key alone, so it is the same wherever it is drawn.
+    """
     out = {m.name: np.zeros(tuple(sizes[c] for c in m.columns)) for m in wanted}
     depth = {m.name: len(m.columns) for m in wanted}
+    here = sum(x.size for x in out.values()) <= CELLS
+    if not here:
+        cells = on_grid(cells, domain_grid(sizes, wanted, cells.sparkSession))
+        cells = released(cells, sigma, seed) if sigma else cells
     for name, *codes, value in cells.collect():
         out[name][tuple(codes[: depth[name]])] = value
+    if here and sigma:
+        for name, x in out.items():
+            noise = [gaussian_value(seed, name, *k, *("~",) * (3 - len(k))) for k in np.ndindex(x.shape)]
+            out[name] = np.maximum(x + sigma[name] * np.reshape(noise, x.shape), 0.0)
     return out
 
 
@@ -65,7 +84,6 @@ def release(
     if cross not in ("inner", "both"):
         raise ValueError("cross must be inner or both")
     options = options or Options()
-    spark = next(iter(tables.values())).sparkSession
     out = Release(schema)
     objects: dict[str, list[tuple[Marginal, tuple]]] = {r: [] for r in schema.roles}
     for r, role in schema.roles.items():
@@ -78,10 +96,13 @@ def release(
             ),
         )
     bins: dict[str, tuple[list[int] | None, int]] = {}
+    # What doesn't wait for each other runs side by side.
+    pool = ThreadPoolExecutor(max_workers=8)
+    below = [r for r, role in schema.roles.items() if role.parents]
+    out.taus = dict(zip(below, pool.map(lambda r: tau(tables[r], next(iter(schema.roles[r].parents.values()))), below), strict=True))
     for r, role in schema.roles.items():
         if role.parents:
             fk = next(iter(role.parents.values()))
-            out.taus[r] = tau(tables[r], fk)
             if "bins" in options or "tailbins" in options:
                 most = size_histogram(
                     tables[next(iter(role.parents))],
@@ -117,7 +138,9 @@ def release(
             out.sigma |= split_sigmas(epsilon, delta, one, joint, *options.numbers("budget"))
         if "szsens" in options or "rowleaf" in options:
             out.sigma |= {n: out.sigma[n] * SIZES / COUNT for n in size_names}
-    for r, own in objects.items():
+
+    def counted(r: str) -> dict[str, np.ndarray]:
+        own = objects[r]
         wanted = [m for m, _ in own]
         role = schema.roles[r]
         attrs = dict.fromkeys(k for _, members in own for k in members)
@@ -138,18 +161,9 @@ def release(
             both = source[r].join(keyed, F.col(role.parents[up]) == F.col("__up")).drop("__up")
             both = both.withColumn("w", F.col("w") * F.col("__above")).drop("__above")
             cells = cells.unionByName(marginals(view(schema, source | {r: both}, r, attrs, extra=["w"]), far, "w"))
-        dense = on_grid(cells, domain_grid(sizes, wanted, spark))
-        arrays = _arrays(
-            released(dense, {m.name: out.sigma[m.name] for m in wanted}, seed) if epsilon else dense,
-            wanted,
-            sizes,
-        )
-        for m, members in own:
-            if len(members) == 1:
-                out.one[members[0]] = arrays[m.name]
-            else:
-                out.joint[members] = arrays[m.name]
-    for r in dict.fromkeys(r for r, _ in size_objects):
+        return _arrays(cells, wanted, sizes, out.sigma if epsilon else None, seed)
+
+    def grouped(r: str) -> dict[str, np.ndarray]:
         up = next(iter(schema.roles[r].parents))
         edges, width = bins[r]
         attrs = [a for q, a in size_objects if q == r]
@@ -160,10 +174,20 @@ def release(
         rows = rows.select(*(F.col(a).alias(column(up, a)) for a in attrs), size.alias("__size"))
         wanted = [Marginal(f"SZ.{r}.{a}", (column(up, a), "__size")) for a in attrs]
         sizes = {column(up, a): schema.size(up, a) for a in attrs} | {"__size": width}
-        dense = on_grid(marginals(rows, wanted), domain_grid(sizes, wanted, spark))
-        dense = released(dense, {m.name: out.sigma[m.name] for m in wanted}, seed) if epsilon else dense
-        for a, m in zip(attrs, _arrays(dense, wanted, sizes).items(), strict=True):
-            out.sizes[r, a] = m[1]
+        return _arrays(marginals(rows, wanted), wanted, sizes, out.sigma if epsilon else None, seed)
+
+    arrays: dict[str, np.ndarray] = {}
+    sized = list(dict.fromkeys(r for r, _ in size_objects))
+    for job in [*(pool.submit(counted, r) for r in objects), *(pool.submit(grouped, r) for r in sized)]:
+        arrays |= job.result()
+    for own in objects.values():
+        for m, members in own:
+            if len(members) == 1:
+                out.one[members[0]] = arrays[m.name]
+            else:
+                out.joint[members] = arrays[m.name]
+    for r, a in size_objects:
+        out.sizes[r, a] = arrays[f"SZ.{r}.{a}"]
     for r, a in size_objects:
         name, table = f"SZ.{r}.{a}", out.sizes[r, a]
         if "szthresh" in options:
@@ -182,8 +206,11 @@ def release(
                     options.numbers("shrink")[0],
                     float(x.sum()),
                 )
+    known = {"totals", "pubn"} & options.chosen.keys() or epsilon is None
+    rows = dict(zip(schema.roles, pool.map(lambda r: tables[r].count(), schema.roles), strict=True)) if known else {}
+    pool.shutdown()
     for r in schema.roles:
-        n = tables[r].count() if {"totals", "pubn"} & options.chosen.keys() or epsilon is None else None
+        n = rows.get(r)
         if n is not None and "totals" in options and epsilon is not None:
             fallback = float(np.mean([out.one[r, a].sum() for a in schema.roles[r].attrs]))
             n = accepted_total(n + out.sigma["TOTALS"] * gaussian_value(seed, "total", r), fallback)
