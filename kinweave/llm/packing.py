@@ -35,6 +35,8 @@ CAPACITY, CLOSING = 4096, 1
 EACH, PIECES = 12, 64
 #: The share of a sequence that a pattern may leave, in each fit; a fit is made to what the one before has left.
 WASTE = (1 / 64, 1 / 64, 1 / 16, 1 / 4)
+#: Sweeps over all patterns that a fit makes.
+SWEEPS = 10
 #: Steps of the golden ratio spread evenly over (0, 1), however many are taken.
 _GOLDEN = (5**0.5 - 1) / 2
 #: Words whose ids a task remembers.
@@ -168,7 +170,7 @@ def enumerate_patterns(
     return found
 
 
-def fit_counts(patterns: list[tuple[int, ...]], histogram: dict[int, int], sweeps: int = 25) -> np.ndarray:
+def fit_counts(patterns: list[tuple[int, ...]], histogram: dict[int, int], sweeps: int = SWEEPS) -> np.ndarray:
     """Repeat counts x >= 0 that minimise the squared distance of sum(x * pattern) to the histogram.
 
     Coordinate descent on the normal equations; each step touches the lengths of one pattern.
