@@ -40,6 +40,8 @@ STAGE_SHINGLE, LIKE, BANDS, BAND, SKETCH, SKETCH_RADIUS = 5, (4, 5), 20, 3, 128,
 PIVOTS = np.array([xxhash.xxh64_intdigest(str(k), 7) for k in range(16)], dtype=np.uint64)
 #: Fingerprints of a cell that one block of a task holds.
 CELL = 4096
+#: Edges that are contracted at once within a task.
+LOT = 100_000
 #: Shingles that one block of a task holds where sets are compared.
 SET_CELL = 1 << 20
 #: The SKETCH orders of hashes: h comes at (h ^ _FLIP) * _ODD.
@@ -384,17 +386,57 @@ def similar(
     return _forests(lots, judge)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from every node to the least node of its component, for the components of these edges alone."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    root = list(range(len(nodes)))
+    left, right = at[: len(a)].tolist(), at[len(a) :].tolist()
+    for x, y in zip(left, right, strict=True):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x < y:
+            root[y] = x
+        elif y < x:
+            root[x] = y
+    for x in range(len(root)):  # roots come before what hangs on them, as a lesser node is never hung on a greater
+        root[x] = root[root[x]]
+    least = np.array(root, np.int64)
+    tied = np.flatnonzero(least != np.arange(len(least)))
+    return nodes[tied], nodes[least[tied]]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """An edge list a, b (a > b) of the same components: each lot of LOT edges of a task becomes stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            x, y = stars(*(np.concatenate([z.column(k).to_numpy() for z in held]) for k in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(z.num_rows for z in held) >= LOT:
+                yield made()
+                held = []
+        if held:
+            yield made()
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node long, root long (least node of its component, as signed numbers) of an undirected edge list.
 
-    Alternating large-star and small-star rounds; each is a combined minimum and a join and is written to the
-    shared folder, where the round before is deleted. A star's centre may hold a third of the edges: only minima
-    are gathered for it, and the minima are dealt anew for the join on it (by the key's complement, as else their
-    own partitioning would be taken), so that Spark can split the centre's edges. Isolated nodes don't occur.
+    Edges are first contracted within lots of them, which takes long chains out. Then large-star and small-star
+    rounds alternate; each is a combined minimum and a join and is written to the shared folder, where the round
+    before is deleted. A star's centre may hold a third of the edges: only minima are gathered for it, and the minima
+    are dealt anew for the join on it (by the key's complement, as else their own partitioning would be taken), so that
+    Spark can split the centre's edges. Isolated nodes don't occur.
     """
-    now = cut(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
+    now = cut(contracted(edges.filter("a <> b")).distinct())
     state = None
     while True:  # each round ties nodes to lesser ones, until none is left to tie
         # Large star: every larger neighbour of a node is tied to the least of its neighbours and itself.

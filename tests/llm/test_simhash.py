@@ -6,7 +6,7 @@ import xxhash
 from helpers_llm import documents, save
 
 from kinweave.llm.simhash import (
-    components, fingerprint, links, near_duplicates, op6_simhash, similar_documents, sketch, stage_near_dedup, walk,
+    components, fingerprint, links, near_duplicates, op6_simhash, similar_documents, sketch, stage_near_dedup, stars, walk,
 )
 
 
@@ -208,3 +208,24 @@ def test_clashing_columns_are_kept_or_replaced(spark):
     assert [got[i].component_id for i in range(4)] == [0, 0, 2, 3]
     kept = stage_near_dedup(spark, clash, "")
     assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+
+
+def test_stars_keep_components():
+    r = random.Random(7)
+    for _ in range(50):
+        n = r.randint(1, 60)
+        a = np.array([r.randint(-30, 30) for _ in range(n)])
+        b = np.array([r.randint(-30, 30) for _ in range(n)])
+        x, y = stars(a, b)
+        nodes = sorted({*a.tolist(), *b.tolist()})
+        root = {v: v for v in nodes}
+
+        def find(v, root=root):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for p, q in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = sorted((find(p), find(q)))
+            root[q] = p
+        assert dict(zip(x.tolist(), y.tolist(), strict=True)) == {v: find(v) for v in nodes if find(v) != v}
