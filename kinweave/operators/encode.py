@@ -5,6 +5,7 @@ Fits are aggregates whose results are a few numbers or a domain; applying them i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -15,8 +16,9 @@ from pyspark.sql.window import Window
 
 from kinweave.functions.encode import passed
 from kinweave.functions.noise import bits
-from kinweave.operators.views import closure, dense_keys, ranked
+from kinweave.operators.views import closure, dense_keys, ranked, running
 from kinweave.schema import Schema
+from kinweave.scratch import cut
 
 
 def sorted_ranks(df: DataFrame, value: str, code: str) -> DataFrame:
@@ -65,14 +67,28 @@ def encode_top(df: DataFrame, value: str, code: str, k: int, by: str = "count")
 
 def median_split(df: DataFrame, value: str, code: str) -> DataFrame:
     """1 where the value exceeds the exact median, else 0; nulls are 0."""
-    cut_at = df.agg(F.median(value)).first()[0]
+    cut_at = next(iter(quantile_cuts(df, value, [0.5])), None)
     above = F.lit(False) if cut_at is None else F.coalesce(F.col(value) > F.lit(float(cut_at)), F.lit(False))
     return df.withColumn(code, above.cast("int"))
 
 
 def quantile_cuts(df: DataFrame, value: str, shares: Sequence[float]) -> list[float]:
-    """Exact quantiles with linear interpolation; none for a column without values."""
-    return list(df.agg(F.percentile(value, F.array(*map(F.lit, shares)))).first()[0] or [])
+    """Exact quantiles with linear interpolation; none for a column without values.
+
+    Equal values are counted first, and the distinct ones are put in order by ranges, so that no task holds all of
+    them; what comes to the driver are the two values around each quantile.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    placed = cut(running(counts, ["v"], "n", "before", "all"))
+    n = placed.agg(F.max("all")).first()[0]
+    if not n:
+        return []
+    at = [q * (n - 1) for q in shares]
+    ranks = sorted({int(k) for x in at for k in (math.floor(x), math.ceil(x))})
+    wanted = F.explode(F.filter(F.array(*map(F.lit, ranks)), lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n"))))
+    found = {r["k"]: r["v"] for r in placed.select("v", wanted.alias("k")).collect()}
+    low, high = ([found[int(f(x))] for x in at] for f in (math.floor, math.ceil))
+    return [a + (b - a) * (x - math.floor(x)) for a, b, x in zip(low, high, at, strict=True)]
 
 
 def quantile_bins(df: DataFrame, value: str, code: str, n: int, inclusive: bool = True) -> DataFrame:
@@ -144,12 +160,8 @@ def flip_least(df: DataFrame, bit: str, value: int, flips: int, score: str, key:
         before += n
     if edge is None:
         return df.withColumn(bit, F.when(F.col(bit) == value, 1 - F.col(bit)).otherwise(F.col(bit)).cast("int"))
-    order = Window.partitionBy(F.lit(0)).orderBy(score, key)
     chosen = df.filter((F.col(bit) == value) & (bucket == edge)).select(key, score)
-    chosen = chosen.withColumn(
-        "r",
-        F.row_number().over(order),
-    ).filter(F.col("r") <= flips - before).select(F.col(key).alias("__k"))
+    chosen = ranked(chosen, [], [score, key], "r").filter(F.col("r") < flips - before).select(F.col(key).alias("__k"))
     out = df.join(chosen, df[key] == chosen["__k"], "left")
     hit = (F.col(bit) == value) & ((bucket < edge) | F.col("__k").isNotNull())
     return out.withColumn(bit, F.when(hit, 1 - F.col(bit)).otherwise(F.col(bit)).cast("int")).drop("__k")
