@@ -15,11 +15,13 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import add_columns, cut, free, table
+from kinweave.llm.common import add_columns, cut, table
 
 #: Words of a window in the registered query.
 WINDOW = 10
@@ -141,45 +143,54 @@ def find_contamination(
     """docs with n_words long, hits array<array<int>> (runs of hit words), items array<string> (ids, sorted).
 
     Every column of docs is kept; one named like a result is replaced. The tables that tasks hold come from at
-    most `pass_words` words of the benchmark; a larger one is searched for in lots, and between two lots the
-    documents with what was found so far are written to the shared folder and the tables leave the executors.
+    most `pass_words` words of the benchmark. A larger one is searched for in lots: documents are written once with a
+    number, each lot's finds (numbers, runs and ids of the documents that have some) are written by themselves, its
+    tables leave the executors before the next lot, and all finds are joined to the documents at the end.
     """
-    out = docs.withColumns(
-        {
-            "n_words": F.lit(0).cast("long"),
-            "hits": F.array().cast("array<array<int>>"),
-            "items": F.array().cast("array<string>"),
-        }
+    lots = _passes(benchmark, item_id, item_text, pass_words)
+    first, second = next(lots, []), next(lots, None)
+    if second is None:
+        sent = _sent(docs, first, window)
+        return add_columns(docs, [text], FOUND, lambda texts: _search(texts, sent.value))
+    stored = cut(docs.withColumn("__number", F.monotonically_increasing_id()))
+    parts = []
+    for lot in chain([first, second], lots):
+        sent = _sent(docs, lot, window)
+        found = add_columns(stored.select("__number", text), [text], FOUND, lambda texts, sent=sent: _search(texts, sent.value))
+        parts.append(cut(found.filter(F.size("hits") > 0).select("__number", "hits", "items")))
+        sent.destroy()
+    # A document has no more finds than lots.
+    finds = reduce(DataFrame.union, parts).groupBy("__number").agg(
+        F.flatten(F.collect_list("hits")).alias("__hits"), F.flatten(F.collect_list("items")).alias("__items")
     )
-    spark, before, sent = docs.sparkSession, None, None
-    for lot in _passes(benchmark, item_id, item_text, pass_words):
-        if sent is not None:
-            done = cut(out)
-            sent.destroy()
-            if before is not None:
-                free(before)
-            before = out = done
-        ids = ["null" if i is None else i for i, _ in lot]
-        sent = spark.sparkContext.broadcast((compile_items(((k, t) for k, (_, t) in enumerate(lot)), window), ids))
-
-        def search(texts: list, known: list, items: list, held=sent) -> tuple[list, list, list]:
-            tables, ids = held.value
-            n, hits, found = [], [], []
-            for t, h, i in zip(texts, known, items, strict=True):
-                w = words(t)
-                more, owners = scan(w, tables)
-                n.append(len(w))
-                hits.append(merged([*h, *more]))
-                found.append(sorted({*i, *(ids[o] for o in owners)}))
-            return n, hits, found
-
-        out = add_columns(
-            out,
-            [text, "hits", "items"],
-            "n_words long, hits array<array<int>>, items array<string>",
-            search,
-        )
-    return out
+
+    def gathered(texts: list, hits: list, items: list) -> tuple[list, list, list]:
+        return [len(words(t)) for t in texts], [merged(h or []) for h in hits], [sorted({*(i or [])}) for i in items]
+
+    joined = stored.join(finds, "__number", "left")
+    return add_columns(joined, [text, "__hits", "__items"], FOUND, gathered).drop("__number", "__hits", "__items")
+
+
+#: What is found of a document.
+FOUND = "n_words long, hits array<array<int>>, items array<string>"
+
+
+def _sent(docs: DataFrame, lot: list[tuple], window: int):
+    """Tables of a lot and the ids of its items, on their way to all tasks."""
+    ids = ["null" if i is None else i for i, _ in lot]
+    return docs.sparkSession.sparkContext.broadcast((compile_items(((k, t) for k, (_, t) in enumerate(lot)), window), ids))
+
+
+def _search(texts: list, held: tuple) -> tuple[list, list, list]:
+    tables, ids = held
+    n, hits, items = [], [], []
+    for t in texts:
+        w = words(t)
+        runs, owners = scan(w, tables)
+        n.append(len(w))
+        hits.append(runs)
+        items.append(sorted({ids[o] for o in owners}))
+    return n, hits, items
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
