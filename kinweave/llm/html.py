@@ -280,7 +280,7 @@ class Model:
         return out
 
 
-def train(pages: list[tuple[str, set[str]]], steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Model:
+def train(pages: list[tuple[str, set[str]]], steps: int = 100, rate: float = 0.1, decay: float = 1e-3) -> Model:
     """Fit to pages with the set of texts of their content blocks; an element is content if some of it is."""
     trees = [read(html) for html, _ in pages]
     label: list[int] = []
