@@ -23,7 +23,7 @@ from kinweave.operators.calibrate import (
 )
 from kinweave.operators.sampling import Drawn, children, draw_all, random_member
 from kinweave.operators.views import column
-from kinweave.plans.release import Release
+from kinweave.plans.release import Release, skips_level
 from kinweave.scratch import cut
 
 #: How many times its noise an estimate must be to count in full.
@@ -53,17 +53,24 @@ def pair_lift(rel: Release, known: tuple[str, str], new: tuple[str, str]) -> np.
     counts, name = found
     joint = counts / max(counts.sum(), 1e-300)
     table = lift(joint, joint.sum(axis=1), joint.sum(axis=0))
-    above = rel.schema.roles[new[0]].parents
-    if above and known[0] != new[0] and known[0] not in above:
-        table = guarded(table, counts, rel.one[known], rel.sigma.get(name, 0.0))
+    if skips_level(rel.schema, known, new):
+        sigma = rel.sigma.get(name, 0.0)
+        table = guarded(table, counts, rel.one[known], sigma, SNR, rel.cross.guard_cell, rel.cross.guard_ancestor)
     return table
 
 
-def guarded(table: np.ndarray, counts: np.ndarray, ancestor: np.ndarray, sigma: float, factor: float = SNR) -> np.ndarray:
+def guarded(
+    table: np.ndarray, counts: np.ndarray, ancestor: np.ndarray, sigma: float, factor: float = SNR, by_cell: bool = True,
+    by_ancestor: bool = True,
+) -> np.ndarray:
     """1 + (lift - 1) w, w the share that the cell's count, and that the ancestor's, reach of factor sigma."""
     if sigma <= 0:
         return table
-    w = np.clip(counts / (factor * sigma), 0, 1) * np.clip(np.asarray(ancestor) / (factor * sigma), 0, 1)[:, None]
+    w = np.ones_like(table)
+    if by_cell:
+        w = w * np.clip(counts / (factor * sigma), 0, 1)
+    if by_ancestor:
+        w = w * np.clip(np.asarray(ancestor) / (factor * sigma), 0, 1)[:, None]
     return 1 + (table - 1) * w
 
 

@@ -19,7 +19,7 @@ from kinweave.functions.accountant import (
 )
 from kinweave.functions.encode import size_bin
 from kinweave.functions.noise import gaussian_value
-from kinweave.functions.options import Options
+from kinweave.functions.options import CrossHop, Options, cross_hop
 from kinweave.operators.calibrate import shrunk_joint
 from kinweave.operators.marginals import Marginal, domain_grid, marginals, on_grid, released
 from kinweave.operators.sizes import all_sizes, capped, size_histogram, tau, with_weights
@@ -40,6 +40,7 @@ class Release:
     totals: dict[str, int] = field(default_factory=dict)
     sigma: dict[str, float] = field(default_factory=dict)
     taus: dict[str, int] = field(default_factory=dict)
+    cross: CrossHop = CrossHop()
 
 
 #: Cells whose noise the driver draws; the domains of a release bound them, and more are drawn by the tasks.
@@ -73,18 +74,20 @@ def release(
     pairs: Sequence[
         tuple[tuple[str, str], tuple[str, str]]
     ] = (), triples: Sequence[tuple] = (), delta: float | None = None,
-    exclude_sizes: Sequence[str] = (), cross: str = "inner",
+    exclude_sizes: Sequence[str] = (), cross: str | CrossHop = "inner",
 ) -> Release:
     """Release one-way marginals of all roles, the pairs and triples named, and size histograms.
 
     pairs and triples name (role, attribute) members; each is counted over the lowest role that it names. Rows of
-    roles with parents weigh 1 / min(size of their group, tau), or 1 with `rowleaf`. With `cross` = both, pairs that
-    skip a level weigh by the weights of all levels between, not by the lowest one's alone. epsilon None adds no noise.
+    roles with parents weigh 1 / min(size of their group, tau), or 1 with `rowleaf`. `cross` says of pairs that skip a
+    level whether they are released, whether they weigh by the weights of all levels between (both) or by the lowest
+    one's alone (inner), and how synthesis guards their lifts. epsilon None adds no noise.
     """
-    if cross not in ("inner", "both"):
-        raise ValueError("cross must be inner or both")
+    setting = cross if isinstance(cross, CrossHop) else cross_hop(cross)
     options = options or Options()
-    out = Release(schema)
+    out = Release(schema, cross=setting)
+    if not setting.on:
+        pairs = [p for p in pairs if not skips_level(schema, *p)]
     objects: dict[str, list[tuple[Marginal, tuple]]] = {r: [] for r in schema.roles}
     for r, role in schema.roles.items():
         objects[r] += [(Marginal(f"{r}.{a}", (column(r, a),)), ((r, a),)) for a in role.attrs]
@@ -152,7 +155,7 @@ def release(
             weight = "w"
         sizes = {column(q, a): schema.size(q, a) for q, a in attrs}
         wide = view(schema, source, r, attrs, extra=[weight] if weight else [])
-        far = [m for m, k in own if cross == "both" and len(k) == 2 and len(schema.path(r, k[0][0])) > 2]
+        far = [m for m, k in own if setting.weight == "both" and len(k) == 2 and len(schema.path(r, k[0][0])) > 2]
         cells = marginals(wide, [m for m in wanted if m not in far], weight)
         if far:
             up = next(iter(role.parents))
@@ -219,6 +222,12 @@ def release(
     return out
 
 
+def skips_level(schema: Schema, known: tuple[str, str], new: tuple[str, str]) -> bool:
+    """Whether a pair joins a role to one that is not its own parent."""
+    above = schema.roles[new[0]].parents
+    return bool(above) and known[0] != new[0] and known[0] not in above
+
+
 def _counted(schema: Schema, members: Sequence[tuple[str, str]]) -> str:
     """The first role, from the top, from which all members' roles can be reached."""
     for r in schema.roles:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.encode import rule, size_bin
 from kinweave.functions.noise import gaussian, uniform
-from kinweave.functions.options import Options
+from kinweave.functions.options import Options, cross_hop
 from kinweave.operators import calibrate as C
 from kinweave.operators import census, encode, plant, sampling, sizes, views
 from kinweave.operators import synth as SY
@@ -460,3 +460,15 @@ def test_signed_ranks_by_enumeration():
         hits = [min(w := sum(k for k, s in zip(ranks, signs, strict=True) if s), sum(ranks) - w) <= least + 1e-9 for signs in product((0, 1), repeat=len(d))]
         assert signed_rank(x, y) == pytest.approx(sum(hits) / len(hits))
     assert 0 < signed_rank(range(25), [k + (k % 3 - 0.9) for k in range(25)]) < 1
+
+
+def test_cross_hop_settings_reach_release_and_synthesis(spark):
+    frames, *_ = toy(spark)
+    far, near = (("top", "TT"), ("bot", "BB")), (("mid", "MM"), ("bot", "BB"))
+    rel = release(SCHEMA, frames, None, pairs=[far, near], cross="none")
+    assert list(rel.joint) == [near]
+    rel = release(SCHEMA, frames, 1.0, pairs=[far, near], cross="double:noguard", delta=1e-4)
+    free = SY.pair_lift(rel, *far)
+    assert rel.cross.weight == "both" and set(rel.joint) == {far, near}
+    rel.cross = cross_hop("both")
+    assert np.abs(SY.pair_lift(rel, *far) - 1).max() < np.abs(free - 1).max()
