@@ -117,6 +117,10 @@ def closure(schema: Schema, tables: Mapping[str, DataFrame], kept: Mapping[str,
     return out
 
 
+#: Low bits of the numbers that `monotonically_increasing_id` gives, which count a partition's rows.
+ROW_BITS = 33
+
+
 def dense_keys(df: DataFrame, order: Sequence[str], key: str = "key") -> DataFrame:
     """df with `key` numbered from 0 in the given order."""
     return ranked(df, [], order, key)
@@ -125,12 +129,26 @@ def dense_keys(df: DataFrame, order: Sequence[str], key: str = "key") -> DataFra
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], out: str) -> DataFrame:
     """df with `out`, the row's number from 0 within its group in the given order.
 
-    Rows are dealt by ranges of group and order, as many as the session has shuffle partitions; each range is counted
-    and numbered apart, and the counts before it are added. So no task holds a group, however large, if the order
-    tells its rows apart.
+    Rows are dealt by ranges of group and order, as many as the session has shuffle partitions, sorted and counted
+    within each, and the counts of the ranges before are added. So no task holds a group, however large, if the order
+    tells its rows apart, and rows are sorted once.
     """
-    dealt = cut(df.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()))
-    return number_within(dealt, group, order, out, "__part")
+    by = [*group, *order]
+    at = F.monotonically_increasing_id()  # the partition's number in the high bits, the row's in its low ROW_BITS
+    dealt = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", at))
+    dealt = dealt.withColumns({"__part": F.shiftright("__at", ROW_BITS), "__row": F.col("__at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))})
+    sums = dealt.groupBy(*group, "__part").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    before = before.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__base")
+    sums = sums.select(*group, "__part", base)
+    same = F.lit(True)
+    for c in [*group, "__part"]:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    # Without groups there is one row for each range, of which there are as many as shuffle partitions.
+    right = (sums if group else F.broadcast(sums)).alias("r")
+    kept = [F.col(f"l.{c}") for c in df.columns if c != out]
+    return dealt.alias("l").join(right, same).select(*kept, (F.col("r.__base") + F.col("l.__row")).alias(out))
 
 
 def running(
