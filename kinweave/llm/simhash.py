@@ -42,6 +42,8 @@ PIVOTS = np.array([xxhash.xxh64_intdigest(str(k), 7) for k in range(16)], dtype=
 CELL = 4096
 #: Edges that are contracted at once within a task.
 LOT = 100_000
+#: Cells of more than CELL fingerprints that go to all tasks, 20 bytes each; more are joined.
+HOT_CELLS = 100_000
 #: Shingles that one block of a task holds where sets are compared.
 SET_CELL = 1 << 20
 #: The SKETCH orders of hashes: h comes at (h ^ _FLIP) * _ODD.
@@ -288,13 +290,14 @@ def _forests(
 
 
 def _cells(keyed: DataFrame, columns: list[str], cell: int) -> DataFrame:
-    """The lots of the cells (m, k): one for each pair of blocks of `cell` nodes."""
-    # Cells of one are dropped by a count that combines before it is shuffled; large ones are split in blocks.
-    sizes = keyed.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # Dealt anew by the key's complement, so that Spark can split the join where a cell is large.
-    sizes = sizes.select("m", F.bitwise_not("k").alias("c"), "n")
-    held = keyed.withColumn("c", F.bitwise_not("k")).join(sizes, ["m", "c"])
-    blocks = F.ceil(F.col("n") / F.lit(cell)).cast("int")
+    """The lots of the cells (m, k): one for each pair of blocks of `cell` nodes.
+
+    Only cells of more than `cell` nodes are dealt over blocks; they are counted first, and go to all tasks if there are
+    no more than HOT_CELLS of them. So every node is shuffled once for each of its cells, however many they hold.
+    """
+    hot = cut(keyed.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell))
+    held = keyed.join(F.broadcast(hot) if hot.count() <= HOT_CELLS else hot, ["m", "k"], "left")
+    blocks = F.coalesce(F.ceil(F.col("n") / F.lit(cell)), F.lit(1)).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = held.withColumn("bs", blocks).withColumn("b", block).withColumn(
         "o", F.explode(F.sequence(F.lit(0), F.col("bs") - 1))
