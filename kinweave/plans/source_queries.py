@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import os
+import shutil
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,7 +161,7 @@ def src_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("src_jdbc", "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name FROM nation")
 def src_jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A database's table read whole; the database is Derby in the driver's memory, so this one is for local masters."""
+    """A database's table read whole by one task."""
     url = _database(spark, sf_dir)
     return _named(R.read_jdbc(spark, url, "NATION", driver=_DRIVER))
 
@@ -180,10 +184,35 @@ _DRIVER = "org.apache.derby.jdbc.EmbeddedDriver"
 
 
 def _database(spark: SparkSession, sf_dir: str) -> str:
-    url = f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true"
-    n = raw(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("K"), F.col("n_name").alias("NAME"))
-    n.coalesce(1).write.jdbc(url, "NATION", properties={"driver": _DRIVER, "createTableColumnTypes": "NAME VARCHAR(64)"})
-    return url
+    """The URL of a Derby database with the table NATION, which every executor can open.
+
+    Derby lets one process open a database, but any number of them one that is packed into an archive. It is made on
+    the driver and packed into the shared folder, which has to be mounted as files.
+    """
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    place = jvm.org.apache.hadoop.fs.Path(_place(spark))
+    if place.getFileSystem(context._jsc.hadoopConfiguration()).getScheme() != "file":
+        raise RuntimeError("a Derby database needs a shared folder that is mounted as files")
+    folder = place.toUri().getPath()
+    os.makedirs(folder)
+    driver, none = jvm.org.apache.derby.jdbc.EmbeddedDriver(), jvm.java.util.Properties()
+    session = driver.connect(f"jdbc:derby:{folder}/db;create=true", none)
+    try:
+        session.setAutoCommit(False)
+        session.createStatement().execute("CREATE TABLE NATION (K INTEGER, NAME VARCHAR(32672))")
+        put = session.prepareStatement("INSERT INTO NATION VALUES (?, ?)")
+        for row in raw(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int"), "n_name").toLocalIterator():
+            for k, value in enumerate(row, 1):
+                put.setObject(k, value)
+            put.executeUpdate()
+        session.commit()
+    finally:
+        session.close()
+        with contextlib.suppress(Py4JJavaError):  # Derby says by an exception that the database is closed
+            driver.connect(f"jdbc:derby:{folder}/db;shutdown=true", none)
+    shutil.make_archive(f"{folder}/db", "zip", folder, "db")
+    shutil.rmtree(f"{folder}/db")
+    return f"jdbc:derby:jar:({folder}/db.zip)db"
 
 
 def _named(df: DataFrame) -> DataFrame:
