@@ -24,7 +24,7 @@ print("ROWS" + json.dumps(sorted(map(tuple, rows), key=str)))
 """
 
 
-@pytest.mark.parametrize("name", ["src_jdbc", "src_jdbc_parallel"])
+@pytest.mark.parametrize("name", ["src_jdbc", "src_jdbc_parallel", "src_jdbc_ranges"])
 def test_databases_are_seen_by_every_executor(spark, tmp_path, name):
     names = ["a 'quoted' name", "", None, *(f"n{k}" for k in range(3, 25))]
     (tmp_path / "data").mkdir()
