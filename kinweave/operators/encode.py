@@ -167,9 +167,54 @@ def flip_least(df: DataFrame, bit: str, value: int, flips: int, score: str, key:
     return out.withColumn(bit, F.when(hit, 1 - F.col(bit)).otherwise(F.col(bit)).cast("int")).drop("__k")
 
 
+#: Bits of a hash by whose values rows are counted at once, and rows whose whole hashes are counted on the driver.
+STEP_BITS, LAST_ROWS = 12, 10_000
+
+
+def _by_hash(df: DataFrame, score: Column, bits_left: int) -> list[tuple[int, int]]:
+    """(value, rows) of the bits of the score above its `bits_left` lowest, in order."""
+    counted = df.groupBy(F.shiftright(score, bits_left).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return sorted(map(tuple, counted.collect()))
+
+
+def _least_hash(
+    df: DataFrame, key: str, n: int, score: Column, counts: Sequence[tuple[int, int]]
+) -> DataFrame:
+    """The n rows of least score, then key, of df (all, if fewer); counts: `_by_hash` of its first STEP_BITS.
+
+    Counts by ranges of the score lead to the score where the sample ends, so the sample is a filter of df and nothing
+    is sorted. Only rows of that very score are ranked, if not all of them are taken.
+    """
+    if n <= 0:
+        return df.limit(0)
+    left, before, first = 52 - STEP_BITS, 0, 0
+    while True:
+        edge = None
+        for b, m in counts:
+            if before + m >= n:
+                edge = (b, m)
+                break
+            before += m
+        if edge is None:
+            return df
+        first = edge[0] << left
+        if before + edge[1] == n or not left:
+            break
+        within = df.filter(score.between(first, first + (1 << left) - 1))
+        left = 0 if edge[1] <= LAST_ROWS else max(0, left - STEP_BITS)
+        counts = _by_hash(within, score, left)
+    last = first + (1 << left) - 1
+    if before + edge[1] == n:
+        return df.filter(score <= last)
+    equal = df.filter(score == last).withColumn("__at", F.monotonically_increasing_id())
+    taken = ranked(equal, [], [key, "__at"], "__r").filter(F.col("__r") < n - before).drop("__r", "__at")
+    return df.filter(score < last).unionByName(taken)
+
+
 def sample_exact(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement (all, if fewer): those with the least hashes of their key."""
-    return df.orderBy(bits(seed, "sample", F.col(key)), key).limit(n)
+    score = bits(seed, "sample", F.col(key))
+    return _least_hash(df, key, n, score, _by_hash(df, score, 52 - STEP_BITS))
 
 
 def sample_capped(df: DataFrame, key: str, n: int, seed: int, grow, cap: int, tries: int = 3, slack: float = 0.97):
@@ -177,14 +222,21 @@ def sample_capped(df: DataFrame, key: str, n: int, seed: int, grow, cap: int, tr
 
     Returns (sample, what grow made); at most `tries` attempts, the last of which may exceed the cap.
     """
-    for _ in range(tries):
-        rows = sample_exact(df, key, n, seed)
+    return sample_counted(df, key, n, seed, grow, cap, tries, slack)[:2]
+
+
+def sample_counted(df: DataFrame, key: str, n: int, seed: int, grow, cap: int, tries: int = 3, slack: float = 0.97):
+    """`sample_capped`, with the number of rows that grow made as a third result."""
+    score = bits(seed, "sample", F.col(key))
+    counts = _by_hash(df, score, 52 - STEP_BITS)
+    for left in reversed(range(tries)):
+        rows = _least_hash(df, key, n, score, counts)
         grown = grow(rows)
         total = grown.count()
-        if total <= cap:
+        if total <= cap or not left:
             break
         n = max(1, int(n * cap / total * slack))
-    return rows, grown
+    return rows, grown, total
 
 
 def sample_fraction(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:

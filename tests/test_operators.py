@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions.encode import rule, size_bin
-from kinweave.functions.noise import gaussian, uniform
+from kinweave.functions.noise import bits, gaussian, uniform
 from kinweave.functions.options import Options, cross_hop
 from kinweave.operators import calibrate as C
 from kinweave.operators import census, encode, plant, sampling, sizes, views
@@ -180,6 +180,24 @@ def test_encoders(spark):
     assert [r[0] for r in s.select(size_bin(F.col("n"), [1, 2, 5])).collect()] == [0, 0, 1, 2]
 
 
+def test_samples_are_filters_without_a_sort(spark, monkeypatch):
+    rows = [(k,) for k in range(3000)] + [(7,)] * 500 + [(None,)] * 3
+    df = spark.createDataFrame(rows, "k long").repartition(3)
+    score = bits(4, "sample", F.col("k"))
+    order = sorted(map(tuple, df.select(score, "k").collect()), key=lambda x: (x[0], x[1] is not None, x[1] or 0))
+    at = [s for s, _ in order].index(next(s for s, k in order if k == 7))
+    for last in (10_000, 1):
+        monkeypatch.setattr(encode, "LAST_ROWS", last)
+        for n in (0, 1, 2, 999, at, at + 1, at + 250, at + 501, 3502, 3503, 9999):
+            got = encode.sample_exact(df, "k", n, 4)
+            want = [k for _, k in order[:n]]
+            assert sorted(map(str, (r[0] for r in got.collect()))) == sorted(map(str, want))
+    assert encode.sample_exact(df.limit(0), "k", 5, 4).count() == 0
+    # A limit of many rows is one task that holds them all.
+    plan = encode.sample_exact(spark.range(100_000).withColumnRenamed("id", "k"), "k", 30_000, 1)._jdf.queryExecution().toString()
+    assert "Limit" not in plan and "TakeOrdered" not in plan and "Sort" not in plan
+
+
 def test_renormalised_tables_join_back(spark):
     r = random.Random(5)
     wide = spark.createDataFrame(
