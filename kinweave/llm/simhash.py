@@ -11,9 +11,11 @@ put into one cell for each choice of that many parts and shares a cell with ever
 `CELL` fingerprints is dealt over pairs of blocks, each its own bounded task; nothing is capped. Within a cell a
 breadth-first walk emits a spanning forest of the links, never all pairs; its components are those of the links.
 
-The pipeline's stage links by the similarity of texts itself (shared shingles of all shingles, 0.8 or more), which
-fingerprints can't tell. Candidates share one of BANDS cells of least hashes and have near sketches; each connected
-group of candidates is then walked again with the exact similarity of the shingle sets.
+The pipeline's stage keeps one of the texts that share 0.8 or more of their shingles. Its candidates are the links of
+their fingerprints, found as above; at that similarity fingerprints differ in 10 bits of 64 on average, more than cells
+of equal bits can hold together, so texts with further ones are candidates if they share one of BANDS cells of least
+hashes and their fingerprints and sketches are near enough. Each connected group of candidates is then walked again with
+the exact similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ from kinweave.llm.common import add_columns, cut, free, table
 #: Words of a shingle and bits that linked fingerprints may differ in, in the registered query.
 SHINGLE, RADIUS = 4, 4
 #: In the pipeline's stage, texts are linked whose sets of five-word shingles share LIKE[0] / LIKE[1] of their union or
-#: more. A candidate pair has the same BAND least hashes in one of BANDS cells (missed at 0.8 with a chance of 6e-7)
-#: and sketches of SKETCH bits, one of each least hash, that differ in SKETCH_RADIUS at most (more at 0.8 with a
-#: chance of 3e-7); both chances fall with the similarity and don't depend on the length of the texts.
-STAGE_SHINGLE, LIKE, BANDS, BAND, SKETCH, SKETCH_RADIUS = 5, (4, 5), 20, 3, 128, 32
+#: more. A candidate pair has fingerprints within RADIUS, or the same BAND least hashes in one of BANDS cells (missed at
+#: 0.8 with a chance of 6e-7), fingerprints that differ in FAR bits at most (more at 0.8 with a chance of 3e-7 where 4 of
+#: 5 shingles are shared, which is the worst case, and less for longer texts) and sketches of SKETCH bits, one of each
+#: least hash, that differ in SKETCH_RADIUS at most (more at 0.8 with a chance of 3e-7). The chances fall with the
+#: similarity.
+STAGE_SHINGLE, LIKE, BANDS, BAND, FAR, SKETCH, SKETCH_RADIUS = 5, (4, 5), 20, 3, 29, 128, 32
 #: Reference fingerprints: XXH64 of their number under seed 7.
 PIVOTS = np.array([xxhash.xxh64_intdigest(str(k), 7) for k in range(16)], dtype=np.uint64)
 #: Fingerprints of a cell that one block of a task holds.
@@ -93,6 +97,11 @@ def shingle_set(words: list[bytes], shingle: int = STAGE_SHINGLE) -> np.ndarray:
     return np.unique(np.ascontiguousarray(_shingle_hashes(words, shingle)).view(">u8").astype(np.uint64))
 
 
+def set_fingerprint(h: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of a set of shingle hashes; 0 for none."""
+    return _majority(h.astype(">u8").view(np.uint8).reshape(-1, 8))
+
+
 def least_hashes(h: np.ndarray) -> np.ndarray:
     """The least of the hashes in each of SKETCH orders; two sets share each with the chance of their similarity."""
     least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
@@ -129,21 +138,22 @@ def fingerprints(df: DataFrame, text: str = "text", shingle: int = SHINGLE) -> D
 
 
 def sketched(df: DataFrame, text: str = "text") -> DataFrame:
-    """df without `text`, with node long (a hash of the shingle set), size int (its shingles), sk binary (its sketch)
-    and bands array<long> (a hash of each band)."""
+    """df without `text`, with node long (a hash of the shingle set), fp long (its fingerprint), size int (its
+    shingles), sk binary (its sketch) and bands array<long> (a hash of each band)."""
 
-    def run(texts: list) -> tuple[list, list, list, list]:
-        node, size, sk, bands = [], [], [], []
+    def run(texts: list) -> tuple[list, np.ndarray, list, list, list]:
+        node, fp, size, sk, bands = [], [], [], [], []
         for t in texts:
             h = shingle_set(_words(t))
             least = least_hashes(h)
             node.append(int.from_bytes(xxhash.xxh64_digest(h.tobytes(), 42), "big", signed=True))
+            fp.append(set_fingerprint(h))
             size.append(len(h))
             sk.append(_sketch_of(least))
             bands.append(_bands_of(least))
-        return node, size, sk, bands
+        return node, np.array(fp, np.uint64).view(np.int64), size, sk, bands
 
-    return add_columns(df, [text], "node long, size int, sk binary, bands array<long>", run).drop(text)
+    return add_columns(df, [text], "node long, fp long, size int, sk binary, bands array<long>", run).drop(text)
 
 
 def pivot_table(fp: np.ndarray) -> np.ndarray:
@@ -218,9 +228,16 @@ def _alike(sk: np.ndarray, size: np.ndarray) -> Callable[[int, np.ndarray], np.n
     return near
 
 
-def walk_candidates(sk: np.ndarray, size: np.ndarray, inner: int | None = None) -> tuple[list, list]:
-    """A spanning forest of candidates; see _span and _alike."""
-    return _span(len(size), _alike(sk, size), inner)
+def walk_candidates(
+    fp: np.ndarray, sk: np.ndarray, size: np.ndarray, inner: int | None = None
+) -> tuple[list, list]:
+    """A spanning forest of candidates, whose fingerprints differ in FAR bits at most; see _span and _alike."""
+    alike = _alike(sk, size)
+
+    def near(x: int, free: np.ndarray) -> np.ndarray:
+        return alike(x, free[np.bitwise_count(fp[free] ^ fp[x]) <= FAR])
+
+    return _span(len(size), near, inner)
 
 
 def walk_sets(sets: list[np.ndarray], sk: np.ndarray, inner: int | None = None) -> tuple[list, list]:
@@ -341,15 +358,19 @@ def links(nodes: DataFrame, radius: int = RADIUS, cell: int = CELL, segments: in
 
 
 def candidates(nodes: DataFrame, cell: int = CELL) -> DataFrame:
-    """Edges a long, b long that span the connected groups of candidates; nodes: node, size, sk, bands."""
-    keyed = nodes.filter("size > 0").select("node", "size", "sk", F.posexplode("bands").alias("m", "k"))
+    """Edges a long, b long that span the connected groups of candidates within cells of least hashes.
+
+    nodes: node, fp, size, sk, bands.
+    """
+    keyed = nodes.filter("size > 0").select("node", "fp", "size", "sk", F.posexplode("bands").alias("m", "k"))
 
     def judge(own: dict[str, pa.Array]) -> Callable[[np.ndarray, int | None], tuple[list, list]]:
+        fp = own["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
         size = own["size"].to_numpy(zero_copy_only=False).astype(np.int64)
         sk = _words_of(own["sk"])[0].reshape(len(size), -1)
-        return lambda at, inner: walk_candidates(sk[at], size[at], inner)
+        return lambda at, inner: walk_candidates(fp[at], sk[at], size[at], inner)
 
-    return _forests(_cells(keyed, ["node", "size", "sk"], cell), judge)
+    return _forests(_cells(keyed, ["node", "fp", "size", "sk"], cell), judge)
 
 
 def similar(
@@ -520,18 +541,20 @@ def similar_documents(
 ) -> DataFrame:
     """The columns of df but the text, with root long and component_id (see near_duplicates) for every row.
 
-    Links are pairs of texts that share LIKE of their five-word shingles or more, by count. Equal sets of
-    shingles are one node; so are all null and wordless texts, which are linked with no other.
+    Links are pairs of texts that share LIKE of their five-word shingles or more, by count; candidates are the links of
+    their fingerprints within RADIUS, as in near_duplicates, and those of `candidates`. Equal sets of shingles are one
+    node; so are all null and wordless texts, which are linked with no other.
     """
     own, back = _set_apart(df, key, text, ("root", "component_id"))
     th = F.xxhash64("__text").alias("th")
     made = cut(sketched(own.select("*", th), "__text"))
     nodes = cut(
-        made.groupBy("node", "size", "sk", "bands").agg(F.min("__key").alias("least"), F.min("th").alias("th"))
+        made.groupBy("node", "fp", "size", "sk", "bands").agg(F.min("__key").alias("least"), F.min("th").alias("th"))
     )
-    groups = cut(components(candidates(nodes, cell)))
+    near = links(nodes.filter("size > 0").select("node", "fp"), RADIUS, cell)
+    groups = cut(components(near.union(candidates(nodes, cell))))
     edges = similar(groups, nodes, own.select(F.col("__text").alias("text"), th), cell, set_cell)
-    named = _named(made.drop("th", "size", "sk", "bands"), nodes.select("node", "least"), edges)
+    named = _named(made.drop("th", "fp", "size", "sk", "bands"), nodes.select("node", "least"), edges)
     return named.select(*back, "root", "component_id")
 
 

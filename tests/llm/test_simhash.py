@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 from helpers_llm import documents, save
 
+from kinweave.llm import simhash
 from kinweave.llm.simhash import (
     components, fingerprint, links, near_duplicates, op6_simhash, similar_documents, sketch, stage_near_dedup, stars, walk,
 )
@@ -190,6 +191,38 @@ def test_similar_documents_equal_brute_force_in_blocks_too(spark):
         assert {x.doc_id: x.component_id for x in found.collect()} == dict(zip(ids, root, strict=True))
 
 
+def set_bits(text):
+    """The SimHash of the distinct five-word shingles, by definition."""
+    hs = {xxhash.xxh64_intdigest(" ".join(x).encode(), 42) for x in shingles(text)}
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_stage_links_fingerprints_within_the_radius(spark, monkeypatch):
+    r = random.Random(8)
+    pairs = [copies(r, n, e) for n in (200, 600) for e in (1, 2, 3) for _ in range(15)]
+    apart = [(set_bits(a) ^ set_bits(b)).bit_count() for a, b in pairs]
+    assert sum(x <= 4 for x in apart) > 20 and sum(x > 4 for x in apart) > 20
+    docs = documents(spark, [t for p in pairs for t in p])
+    monkeypatch.setattr(simhash, "candidates", lambda nodes, cell: nodes.selectExpr("node as a", "node as b").limit(0))
+    kept = {x.doc_id for x in stage_near_dedup(spark, docs, "").select("doc_id").collect()}
+    assert kept == {2 * k for k in range(len(pairs))} | {2 * k + 1 for k, x in enumerate(apart) if x > 4}
+
+
+def test_candidates_have_fingerprints_that_texts_at_the_rule_have():
+    sk, size = np.zeros((2, 2), np.uint64), np.array([9, 9])
+    for bits, n in ((simhash.FAR, 1), (simhash.FAR + 1, 0)):
+        fp = np.array([0, (1 << bits) - 1], np.uint64)
+        assert len(simhash.walk_candidates(fp, sk, size)[0]) == n
+    r = np.random.default_rng(9)
+    for shared, a, b in ((4, 1, 0), (8, 1, 1), (12, 1, 2), (80, 10, 10), (400, 100, 0)):
+        far = []
+        for _ in range(500):
+            h = r.integers(0, 1 << 64, shared + a + b, dtype=np.uint64)
+            x, y = (simhash.set_fingerprint(part) for part in (h[: shared + a], np.delete(h, np.s_[shared : shared + a])))
+            far.append((x ^ y).bit_count())
+        assert max(far) <= simhash.FAR and np.mean(far) < 64 * 0.1975
+
+
 def test_empty_table(spark):
     assert near_duplicates(documents(spark, []).select("doc_id", "text"), "doc_id").count() == 0
     assert similar_documents(documents(spark, []).select("doc_id", "text"), "doc_id").count() == 0
