@@ -177,7 +177,9 @@ def src_jdbc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("src_jdbc_parallel", "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name FROM nation")
 def src_jdbc_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same table in ranges of its key, a task each, in one job."""
-    return _named(R.read_jdbc_ranges(spark, _database(spark, sf_dir), "NATION", "K", 0, 24, 7, driver=_DRIVER))
+    url = _database(spark, sf_dir)
+    lowest, highest, step = R.key_ranges(spark, url, "NATION", "K", 7, driver=_DRIVER)
+    return _named(R.read_jdbc_ranges(spark, url, "NATION", "K", lowest, highest, step, driver=_DRIVER))
 
 
 _DRIVER = "org.apache.derby.jdbc.EmbeddedDriver"

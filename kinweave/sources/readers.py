@@ -107,12 +107,27 @@ def read_jdbc(spark: SparkSession, url: str, table: str, fetch: int = 5000, **op
     return spark.read.format("jdbc").options(url=url, dbtable=table, fetchsize=fetch, **options).load()
 
 
+def key_ranges(spark: SparkSession, url: str, table: str, column: str, step: int = 200_000, most: int = 1000, **options) -> tuple[int, int, int]:
+    """(lowest, highest, step) of ranges that hold all keys of a table; the step is widened if they would be over `most`.
+
+    Keys are whole numbers. A table without any has a highest below its lowest, so no range.
+    """
+    bounds = f"(SELECT min({column}) AS lowest, max({column}) AS highest FROM {table}) bounds"
+    lowest, highest = read_jdbc(spark, url, bounds, **options).first()
+    if lowest is None:
+        return 0, -1, step
+    return int(lowest), int(highest), max(step, -(-(int(highest) - int(lowest) + 1) // most))
+
+
 def read_jdbc_ranges(
     spark: SparkSession, url: str, table: str, column: str, lowest: int, highest: int, step: int = 200_000, fetch: int = 5000, **options
 ) -> DataFrame:
-    """A table of a database in ranges of a key, one task each; a range that fails is tried again as its task is."""
+    """A table of a database in ranges of a key, one task each; a range that fails is tried again as its task is.
+
+    Rows without a key are a range of their own. `key_ranges` gives bounds that leave out no row.
+    """
     return spark.read.jdbc(
-        url, table, predicates=range_predicates(column, lowest, highest, step),
+        url, table, predicates=[*range_predicates(column, lowest, highest, step), f"{column} IS NULL"],
         properties={"fetchsize": str(fetch)} | {k: str(v) for k, v in options.items()},
     )
 

@@ -61,3 +61,19 @@ def test_synthesis_keeps_public_totals_exactly(spark):
     n = totals(QUERIES["synth_star"](spark, DATA).collect())
     assert {v for (role, _), v in n.items() if role == "lineitem"} == {6000}
     assert {v for (role, _), v in n.items() if role == "part"} == {200}
+
+
+NATIONS = {
+    "copies": [(25 * j + k, f"n{k}") for j in range(60) for k in range(25)],
+    "far": [(-(2**31), "least"), (-5, None), (24, ""), (25, "next"), (2**31 - 1, "most")],
+    "no key": [(None, "a"), (None, None), (3, "b"), (3, "b")],
+    "only no key": [(None, "a")],
+    "empty": [],
+}
+
+
+@pytest.mark.parametrize("rows", NATIONS.values(), ids=NATIONS)
+@pytest.mark.parametrize("name", ["src_jdbc", "src_jdbc_parallel"])
+def test_databases_are_read_whole_whatever_their_keys(spark, tmp_path, name, rows):
+    spark.createDataFrame(rows, "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()), key=str) == sorted(rows, key=str)
