@@ -168,10 +168,11 @@ def src_jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("src_jdbc_ranges", "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name FROM nation")
 def src_jdbc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same table in ranges of its key, kept range by range; a second reading finds all ranges there."""
+    """The same table in ranges of its key, kept range by range; a second reading finds the first ranges there."""
     url, folder = _database(spark, sf_dir), _place(spark)
-    R.read_jdbc_resumed(spark, url, "NATION", "K", 0, 11, folder, 4, driver=_DRIVER)
-    return _named(R.read_jdbc_resumed(spark, url, "NATION", "K", 0, 24, folder, 4, driver=_DRIVER))
+    lowest, highest, step = R.key_ranges(spark, url, "NATION", "K", 4, 16, driver=_DRIVER)
+    R.read_jdbc_resumed(spark, url, "NATION", "K", lowest, min(lowest + 3 * step - 1, highest), folder, step, driver=_DRIVER)
+    return _named(R.read_jdbc_resumed(spark, url, "NATION", "K", lowest, highest, folder, step, driver=_DRIVER))
 
 
 @register("src_jdbc_parallel", "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name FROM nation")

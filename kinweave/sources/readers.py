@@ -139,9 +139,11 @@ def read_jdbc_resumed(
     """A table of a database, kept in `folder` range by range; ranges that are there already are not read again.
 
     Each missing range is a job of its own, tried `tries` times beside Spark's own repeats of its task. A range counts
-    as there when its folder was written whole.
+    as there when its folder was written whole. Rows without a key are a range of their own. The folder may hold ranges
+    of other bounds or steps; they are not returned.
     """
-    for predicate, place in _missing(spark, column, lowest, highest, step, folder):
+    places = _places(column, lowest, highest, step, folder)
+    for predicate, place in _missing(spark, places):
         error = None
         for _ in range(tries):
             try:
@@ -152,15 +154,21 @@ def read_jdbc_resumed(
                 error = e
         else:
             raise RuntimeError(f"{predicate} of {table} could not be read") from error
-    return spark.read.parquet(f"{folder}/range=*")
+    return spark.read.parquet(*(place for _, place in places))
 
 
-def _missing(spark: SparkSession, column: str, lowest: int, highest: int, step: int, folder: str) -> list[tuple[str, str]]:
+def _places(column: str, lowest: int, highest: int, step: int, folder: str) -> list[tuple[str, str]]:
+    """(condition, folder) of every range; folders are named by what they hold."""
+    names = [f"{a}_to_{min(a + step - 1, highest)}" for a in range(lowest, highest + 1, step)]
+    conditions = range_predicates(column, lowest, highest, step)
+    return [(p, f"{folder}/range={n}") for p, n in zip([*conditions, f"{column} IS NULL"], [*names, "none"], strict=True)]
+
+
+def _missing(spark: SparkSession, places: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """(condition, folder) of the ranges that are not there."""
     context = spark.sparkContext
     out = []
-    for k, predicate in enumerate(range_predicates(column, lowest, highest, step)):
-        place = f"{folder}/range={k}"
+    for predicate, place in places:
         mark = context._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
         if not mark.getFileSystem(context._jsc.hadoopConfiguration()).exists(mark):
             out.append((predicate, place))

@@ -464,6 +464,23 @@ def test_resumed_jdbc_reading_fails_aloud(spark, tmp_path):
         readers.read_jdbc_resumed(spark, "jdbc:derby:memory:none", "T", "K", 0, 3, str(tmp_path / "x"), 2, 1, driver="org.apache.derby.jdbc.EmbeddedDriver")
 
 
+def test_resumed_jdbc_reading_returns_the_ranges_asked_for(spark, tmp_path):
+    driver = spark.sparkContext._jvm.org.apache.derby.jdbc.EmbeddedDriver()
+    session = driver.connect("jdbc:derby:memory:resumed;create=true", spark.sparkContext._jvm.java.util.Properties())
+    session.createStatement().execute("CREATE TABLE T (K INTEGER)")
+    session.createStatement().execute("INSERT INTO T VALUES (-3), (0), (1), (2), (5), (9), (NULL)")
+
+    def read(*bounds):
+        df = readers.read_jdbc_resumed(spark, "jdbc:derby:memory:resumed", "T", "K", *bounds, driver="org.apache.derby.jdbc.EmbeddedDriver")
+        return sorted((r["K"] for r in df.collect()), key=str)
+
+    assert read(0, 3, str(tmp_path), 2) == [0, 1, 2, None]
+    session.createStatement().execute("DELETE FROM T WHERE K = 0")
+    assert read(-3, 9, str(tmp_path), 5) == [-3, 1, 2, 5, 9, None]
+    assert read(0, 3, str(tmp_path), 2) == [0, 1, 2, None]  # kept
+    session.close()
+
+
 def test_signed_ranks_by_enumeration():
     from itertools import product
 
