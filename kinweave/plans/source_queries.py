@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import json
 import os
 import shutil
+import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -179,7 +181,7 @@ def src_jdbc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_jdbc_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same table in ranges of its key, a task each, in one job."""
     url = _database(spark, sf_dir)
-    lowest, highest, step = R.key_ranges(spark, url, "NATION", "K", 7, driver=_DRIVER)
+    lowest, highest, step = R.key_ranges(spark, url, "NATION", "K", 7, 32, driver=_DRIVER)
     return _named(R.read_jdbc_ranges(spark, url, "NATION", "K", lowest, highest, step, driver=_DRIVER))
 
 
@@ -190,16 +192,17 @@ def _database(spark: SparkSession, sf_dir: str) -> str:
     """The URL of a Derby database with the table NATION, which every executor can open.
 
     Derby lets one process open a database, but any number of them one that is packed into an archive. It is made on
-    the driver and packed into the shared folder, which has to be mounted as files.
+    the driver and packed into the shared folder; where that isn't mounted as files, Spark hands the archive to the
+    executors, which have it on their class path.
     """
     jvm, context = spark.sparkContext._jvm, spark.sparkContext
     place = jvm.org.apache.hadoop.fs.Path(_place(spark))
-    if place.getFileSystem(context._jsc.hadoopConfiguration()).getScheme() != "file":
-        raise RuntimeError("a Derby database needs a shared folder that is mounted as files")
-    folder = place.toUri().getPath()
-    os.makedirs(folder)
+    mounted = place.getFileSystem(context._jsc.hadoopConfiguration()).getScheme() == "file"
+    folder = place.toUri().getPath() if mounted else tempfile.mkdtemp(prefix="kinweave-")
+    os.makedirs(folder, exist_ok=True)
+    name = f"db{uuid.uuid4().hex}"
     driver, none = jvm.org.apache.derby.jdbc.EmbeddedDriver(), jvm.java.util.Properties()
-    session = driver.connect(f"jdbc:derby:{folder}/db;create=true", none)
+    session = driver.connect(f"jdbc:derby:{folder}/{name};create=true", none)
     try:
         session.setAutoCommit(False)
         session.createStatement().execute("CREATE TABLE NATION (K INTEGER, NAME VARCHAR(32672))")
@@ -212,10 +215,14 @@ def _database(spark: SparkSession, sf_dir: str) -> str:
     finally:
         session.close()
         with contextlib.suppress(Py4JJavaError):  # Derby says by an exception that the database is closed
-            driver.connect(f"jdbc:derby:{folder}/db;shutdown=true", none)
-    shutil.make_archive(f"{folder}/db", "zip", folder, "db")
-    shutil.rmtree(f"{folder}/db")
-    return f"jdbc:derby:jar:({folder}/db.zip)db"
+            driver.connect(f"jdbc:derby:{folder}/{name};shutdown=true", none)
+    archive = shutil.make_archive(f"{folder}/{name}", "zip", folder, name)
+    shutil.rmtree(f"{folder}/{name}")
+    if mounted:
+        return f"jdbc:derby:jar:({archive}){name}"
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sql(f"ADD JAR '{archive}'")
+    return f"jdbc:derby:classpath:{name}"
 
 
 def _named(df: DataFrame) -> DataFrame:

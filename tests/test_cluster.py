@@ -40,3 +40,26 @@ def test_databases_are_seen_by_every_executor(spark, tmp_path, name):
     found = [x for x in run.stdout.splitlines() if x.startswith("ROWS")]
     assert found, run.stderr[-3000:]
     assert sorted(map(tuple, json.loads(found[0][4:])), key=str) == sorted(enumerate(names), key=str)
+
+
+REMOTE = RUN.replace(
+    'f"file://{folder}/shared")',
+    '"viewfs://store/shared").config("spark.hadoop.fs.viewfs.mounttable.store.link./shared", f"file://{folder}/shared")',
+)
+
+
+@pytest.mark.parametrize("name", ["src_jdbc", "src_jdbc_parallel"])
+def test_databases_need_no_shared_folder_that_is_mounted(spark, tmp_path, name):
+    rows = [(None, "no key"), (-5, "a 'quoted' name"), (0, ""), (24, None), (25, "next"), (1499, "last")]
+    for folder in ("data", "shared", "home"):
+        (tmp_path / folder).mkdir()
+    spark.createDataFrame(rows, "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/data/nation.parquet")
+    for p in Path(pyspark.__file__).parent.iterdir():  # executors write to `work` in Spark's home
+        if p.name != "work":
+            (tmp_path / "home" / p.name).symlink_to(p)
+    kept = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_"))}
+    env = kept | {"SPARK_HOME": f"{tmp_path}/home", "PYTHONPATH": str(REPO), "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable}
+    run = subprocess.run([sys.executable, "-c", REMOTE, name, str(tmp_path)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    found = [x for x in run.stdout.splitlines() if x.startswith("ROWS")]
+    assert found, run.stderr[-3000:]
+    assert sorted(map(tuple, json.loads(found[0][4:])), key=str) == sorted(rows, key=str)
